@@ -38,7 +38,7 @@ MISSING_TEXT = "nan"
 MAX_CATEGORIES = 10_000
 
 
-class _Applied(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+class JsonStage(Transformer, DefaultParamsReadable, DefaultParamsWritable):
     """Transformer whose state is one JSON document."""
 
     state = Param(Params._dummy(), "state", "fitted state as JSON", TypeConverters.toString)
@@ -89,7 +89,7 @@ class FillMissing(_Learner):
         return FilledMissing(fills={c: v for c, v in fills.items() if v is not None})
 
 
-class FilledMissing(_Applied):
+class FilledMissing(JsonStage):
     def _transform(self, df: DataFrame) -> DataFrame:
         fills = self.known["fills"]
         df = nan_to_null(df)
@@ -106,7 +106,7 @@ def _filled(field: T.StructField, fill: Any) -> Column:
     return F.coalesce(x, F.lit(fill).cast(field.dataType))
 
 
-class DropMissing(_Applied):
+class DropMissing(JsonStage):
     """Drop rows with a null in the given columns, or in any column."""
 
     def __init__(self, columns: Sequence[str] | None = None):
@@ -142,7 +142,7 @@ class OneHot(_Learner):
         return OneHotApplied(categories=categories)
 
 
-class OneHotApplied(_Applied):
+class OneHotApplied(JsonStage):
     def _transform(self, df: DataFrame) -> DataFrame:
         categories = self.known["categories"]
         kept = [quoted(c) for c in df.columns if c not in categories]
@@ -179,7 +179,7 @@ class _DictionaryReader(DefaultParamsReader):
         return stage
 
 
-class _Dictionary(_Applied):
+class _Dictionary(JsonStage):
     """Stage that replaces columns by a lookup in ``feature, key, n, value``."""
 
     table: FittedTable
@@ -333,7 +333,7 @@ def _noise_free(m: dict[str, float]) -> float:
     return 0.0 if m["min"] == m["max"] else m["std"]
 
 
-class Scaled(_Applied):
+class Scaled(JsonStage):
     def _transform(self, df: DataFrame) -> DataFrame:
         columns = self.known["columns"]
         return df.select(
@@ -349,7 +349,7 @@ class Scaled(_Applied):
 # ---------------------------------------------------------------- stateless
 
 
-class DatetimeParts(_Applied):
+class DatetimeParts(JsonStage):
     """Replace a time column by hour, day, month, dayofweek (Monday 0) and is_weekend."""
 
     def __init__(self, column: str = ""):
@@ -372,7 +372,7 @@ class DatetimeParts(_Applied):
         )
 
 
-class Interactions(_Applied):
+class Interactions(JsonStage):
     """Add the product ``a_x_b`` of every pair of the given numeric columns."""
 
     def __init__(self, columns: Sequence[str] = (), degree: int = 2):

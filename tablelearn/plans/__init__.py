@@ -1,0 +1 @@
+"""Training, comparison, promotion and scoring jobs built from the operators."""
