@@ -15,7 +15,7 @@ from tablelearn.functions.ordering import EXACT_ROWS, order_statistics
 # Above this many columns the pairwise sums move from SQL aggregates, whose
 # number grows with the square, to matrix products inside the tasks.
 SQL_PAIR_COLUMNS = 10
-SKETCH_ERROR = 0.01
+SKETCH_ERROR = 0.05
 
 
 def moments(df: DataFrame, columns: Sequence[str]) -> dict[str, dict[str, float | None]]:

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tablelearn.functions import metrics
-from tablelearn.functions.columns import divide
+from tablelearn.functions.columns import divide, quoted
 from tablelearn.functions.student import two_sided_p
 
 # Recommendation texts and their limits.
@@ -40,7 +40,9 @@ def best_model(scores: DataFrame, primary: str) -> DataFrame:
     return rank_models(scores, primary).where("rank = 1")
 
 
-def comparison_table(scores: DataFrame, primary: str, names: Sequence[str], times: DataFrame | None = None) -> DataFrame:
+def comparison_table(
+    scores: DataFrame, primary: str, names: Sequence[str], times: DataFrame | None = None
+) -> DataFrame:
     """``rank, model``, one column per metric, and ``training_time`` if given."""
     wide = scores.groupBy("model").pivot("metric", list(names)).agg(F.first("value"))
     table = rank_models(scores, primary).select("rank", "model").join(wide, "model")
@@ -51,9 +53,7 @@ def comparison_table(scores: DataFrame, primary: str, names: Sequence[str], time
     return table.select(*columns)
 
 
-def paired_t_test(
-    folds: DataFrame, ranking: DataFrame, level: float = 0.05
-) -> DataFrame:
+def paired_t_test(folds: DataFrame, ranking: DataFrame, level: float = 0.05) -> DataFrame:
     """Paired t-test between the first two models on their common folds.
 
     ``folds`` has ``model, fold, score``; ``ranking`` has ``model, rank``. One
@@ -73,7 +73,9 @@ def paired_t_test(
         F.max(F.when(F.col("rank") == 1, F.col("model"))).alias("model_a"),
         F.max(F.when(F.col("rank") == 2, F.col("model"))).alias("model_b"),
     ).where("model_b is not null")
-    t = divide(F.col("mean"), F.col("std") / F.sqrt(F.col("n").cast("double")))
+    # A constant non-zero difference is infinitely significant.
+    certain = F.when((F.col("std") == 0) & (F.col("mean") != 0), F.signum("mean") * F.lit(float("inf")))
+    t = F.coalesce(divide(F.col("mean"), F.col("std") / F.sqrt(F.col("n").cast("double"))), certain)
     enough = F.col("n") >= 2
     # Two one-row tables side by side.
     row = names.withColumn("__one", F.lit(1)).join(sums.withColumn("__one", F.lit(1)), "__one").drop("__one")
@@ -99,7 +101,9 @@ def recommendations(scores: DataFrame, task: str) -> DataFrame:
         return F.coalesce(F.max(F.when(F.col("metric") == name, F.col("value"))), F.lit(default)).alias(name)
 
     if task == "classification":
-        one = scores.groupBy("model").agg(value("f1", 0.0), value("precision", 0.0), value("recall", 0.0), value("auc_roc", 1.0))
+        one = scores.groupBy("model").agg(
+            value("f1", 0.0), value("precision", 0.0), value("recall", 0.0), value("auc_roc", 1.0)
+        )
         gap = (F.col("precision") > 0) & (F.col("recall") > 0) & (F.abs(F.col("precision") - F.col("recall")) > 0.15)
         rules = [(F.col("f1") < 0.6, LOW_F1), (gap, GAP), (F.col("auc_roc") < 0.7, LOW_AUC)]
     else:
@@ -123,31 +127,37 @@ def summary_text(
     return f"{text}. NOT statistically significantly better than {rival} (p={p:.4f}); consider the simpler model."
 
 
+SIDES = ("new", "current")
+
+
 def promotion_decision(
     df: DataFrame, label: str, new: str, current: str, task: str = "classification", min_improvement: float = 0.01
 ) -> DataFrame:
-    """Champion against challenger on the same rows, from two prediction columns.
+    """Champion against challenger on the same rows, from two prediction columns."""
+    sides = [F.struct(F.lit(s).alias("side"), quoted(c).alias("prediction")) for s, c in zip(SIDES, (new, current))]
+    stacked = df.select(quoted(label).alias("label"), F.inline(F.array(*sides)))
+    return decide_promotion(stacked, task, min_improvement)
+
+
+def decide_promotion(stacked: DataFrame, task: str = "classification", min_improvement: float = 0.01) -> DataFrame:
+    """The decision from ``side, label, prediction`` rows with side new or current.
 
     Classification compares weighted F1, regression the mean squared error. One
     row: ``should_promote, improvement, current_score, new_score, reason``.
     """
     if task == "classification":
-        one = metrics.classification_wide(df, label, new).select(F.lit("k").alias("k"), F.col("f1").alias("new_score"))
-        two = metrics.classification_wide(df, label, current).select(F.lit("k").alias("k"), F.col("f1").alias("current_score"))
-        row = one.join(two, "k")
-        gain, direction = F.col("new_score") - F.col("current_score"), "higher is better"
+        scores = metrics.classification_wide(stacked, "label", "prediction", ["side"]).withColumnRenamed("f1", "s")
+        sign, direction = 1, "higher is better"
     else:
-        y = F.col(label).cast("double")
-        row = df.agg(
-            F.avg(F.pow(y - F.col(new), 2)).alias("new_score"), F.avg(F.pow(y - F.col(current), 2)).alias("current_score")
-        )
-        gain, direction = F.col("current_score") - F.col("new_score"), "lower is better"
+        scores = metrics.regression_wide(stacked, "label", "prediction", ["side"]).withColumnRenamed("mse", "s")
+        sign, direction = -1, "lower is better"
+    row = scores.agg(
+        F.max(F.when(F.col("side") == "new", F.col("s"))).alias("new_score"),
+        F.max(F.when(F.col("side") == "current", F.col("s"))).alias("current_score"),
+    ).withColumn("improvement", sign * (F.col("new_score") - F.col("current_score")))
+    gain = F.col("improvement")
     better = gain >= F.lit(min_improvement)
     said = F.when(better, F.format_string(f"New model improves by %.4f ({direction})", gain)).otherwise(
-        F.format_string(
-            f"New model does not improve sufficiently (delta=%.4f, threshold={min_improvement})", gain
-        )
-    )
-    return row.select(
-        better.alias("should_promote"), gain.alias("improvement"), "current_score", "new_score", said.alias("reason")
+        F.format_string(f"New model does not improve sufficiently (delta=%.4f, threshold={min_improvement})", gain)
     )
+    return row.select(better.alias("should_promote"), "improvement", "current_score", "new_score", said.alias("reason"))

@@ -262,7 +262,6 @@ def fold_scores(
         return []
     if task == "classification" and classes is None:
         classes = class_list(df, target)
-    kind = df.schema[target].dataType.simpleString()
     identity = list(keys) if keys else [*columns, target]
     parts = k_folds(df, target, folds, task == "classification", seed, identity, FOLD)
     ready = assemble(parts, columns, target, task, classes).select(FEATURES, LABEL, FOLD, quoted(target).alias(target))

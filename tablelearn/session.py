@@ -61,6 +61,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write once to the shared folder and read back, with columnar pruning kept."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 @dataclass(frozen=True)
 class FittedTable:
     """A learned table; ``local`` holds its rows if its size was proven to be small."""

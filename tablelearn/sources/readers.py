@@ -30,9 +30,14 @@ def read_parquet(spark: SparkSession, path: str, **options) -> DataFrame:
     return _found(lambda: spark.read.options(**options).parquet(str(path)), path, "Parquet")
 
 
-def read_json_payload(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Landed API responses: a list of objects, an object with ``data``, or one object."""
-    reader = spark.read.option("multiLine", True)
+def read_json_payload(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, lines: bool = False
+) -> DataFrame:
+    """Landed API responses: a list of objects, an object with ``data``, or one object.
+
+    One response per file, or with ``lines`` one per line, which splits large files.
+    """
+    reader = spark.read.option("multiLine", not lines)
     raw = _found(lambda: (reader.schema(schema) if schema is not None else reader).json(str(path)), path, "JSON")
     if "data" not in raw.columns:
         return raw

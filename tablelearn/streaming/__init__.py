@@ -1,0 +1 @@
+"""Scoring and validation of arriving data with Structured Streaming."""
