@@ -26,6 +26,8 @@ PREFIX_DIGITS = 5
 # Interval size at which ``order_statistics`` stops narrowing and counts values.
 EXACT_ROWS = 1_000_000
 SKETCH_ACCURACY = 10_000
+# Bounds the sketches one task holds at a time.
+SKETCHES_PER_SCAN = 64
 
 
 def order_hash(df: DataFrame, keys: Sequence[str] | None, seed: int) -> Column:
@@ -120,7 +122,10 @@ def order_statistics(
         open_ones = [b for b in searches if not b.settled(limit)]
         if not open_ones:
             break
-        narrowed = dict(zip(open_ones, _narrow(df, open_ones)))
+        narrowed: dict[Bracket, Bracket] = {}
+        for i in range(0, len(open_ones), SKETCHES_PER_SCAN):
+            some = open_ones[i : i + SKETCHES_PER_SCAN]
+            narrowed.update(zip(some, _narrow(df, some)))
         stuck = [b for b, n in narrowed.items() if n.inside >= b.inside]
         searches = [narrowed.get(b, b) for b in searches]
         if stuck:

@@ -11,11 +11,14 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablelearn.functions.columns import as_double, divide, is_number, quoted
 from tablelearn.functions.ordering import EXACT_ROWS, order_statistics
+from tablelearn.session import fit_table
 
 # Above this many columns the pairwise sums move from SQL aggregates, whose
 # number grows with the square, to matrix products inside the tasks.
 SQL_PAIR_COLUMNS = 10
 SKETCH_ERROR = 0.05
+# Texts longer than this many bytes are counted by digest.
+LONG_TEXT = 256
 
 
 def moments(df: DataFrame, columns: Sequence[str]) -> dict[str, dict[str, float | None]]:
@@ -50,19 +53,20 @@ def quantiles(
     """Exact quantiles with linear interpolation between neighbouring values.
 
     The built-in ``percentile`` keeps every distinct value in one task, so it
-    serves only columns of at most ``limit`` values; longer ones are searched.
+    serves only while all columns together hold few of them; longer ones are
+    searched.
     """
     if not columns:
         return {}
     counted = df.agg(*[F.count(as_double(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
     sizes = {c: counted[f"n{i}"] for i, c in enumerate(columns)}
-    short = [c for c in columns if sizes[c] <= limit]
+    short = [c for c in columns if sizes[c] * max(1, len(columns) // 4) <= limit]
     out: dict[str, list[float | None]] = {}
     if short:
         probes = F.array(*[F.lit(float(s)) for s in shares])
         row = df.agg(*[F.percentile(as_double(c), probes).alias(f"q{i}") for i, c in enumerate(short)]).first()
         out.update({c: row[f"q{i}"] or [None] * len(shares) for i, c in enumerate(short)})
-    long = [c for c in columns if sizes[c] > limit]
+    long = [c for c in columns if c not in short]
     if long:
         spots = {c: [s * (sizes[c] - 1) for s in shares] for c in long}
         wanted = {
@@ -84,51 +88,68 @@ def medians(df: DataFrame, columns: Sequence[str], limit: int = EXACT_ROWS) -> d
 
 
 def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
-    """Most frequent value per column, the smallest on a tie; one scan.
+    """Most frequent value per column, the smallest on a tie.
 
     Values are counted per (column, value) with map-side partial sums, so
-    neither a hot value nor a column of distinct values loads one task.
+    neither a hot value nor a column of distinct values loads one task. Long
+    texts are counted by digest; a second scan then finds the text itself.
     """
     if not columns:
         return {}
-    slots = []
-    for i, c in enumerate(columns):
-        kind = df.schema[c].dataType
-        whole = isinstance(kind, (T.IntegralType, T.BooleanType))
-        real = is_number(kind) and not whole
-        slots.append(
-            F.when(
-                quoted(c).isNotNull(),
-                F.struct(
-                    F.lit(i).alias("col"),
-                    (quoted(c).cast("long") if whole else F.lit(None).cast("long")).alias("whole"),
-                    (as_double(c) if real else F.lit(None).cast("double")).alias("real"),
-                    (F.lit(None).cast("string") if whole or real else quoted(c).cast("string")).alias("text"),
-                ),
-            )
-        )
     counted = (
-        df.select(F.explode(F.filter(F.array(*slots), lambda s: s.isNotNull())).alias("s"))
-        .groupBy("s.col", "s.whole", "s.real", "s.text")
+        df.select(F.explode(F.array(*[_countable(df, i, c) for i, c in enumerate(columns)])).alias("s"))
+        .where("s.whole is not null or s.real is not null or s.text is not null")
+        .groupBy("s.col", "s.whole", "s.real", "s.text", "s.digest")
         .agg(F.count(F.lit(1)).alias("n"))
     )
     value = F.struct("whole", "real", "text")
-    best = (
-        counted.groupBy("col")
-        .agg(F.min_by(value, F.struct((-F.col("n")).alias("n"), "whole", "real", "text")).alias("v"))
-        .collect()
+    best = counted.groupBy("col").agg(
+        F.min_by(value, F.struct((-F.col("n")).alias("n"), "whole", "real", "text")).alias("v"),
+        F.max(F.struct("n", "digest")).alias("top"),
     )
     out: dict[str, object] = dict.fromkeys(columns)
-    for row in best:
+    for row in best.collect():
         name = columns[row["col"]]
+        if row["top"]["digest"]:
+            out[name] = _long_mode(df, name, counted.where(F.col("col") == row["col"]), row["top"]["n"])
+            continue
         v = row["v"]
         picked = v["whole"] if v["whole"] is not None else v["real"] if v["real"] is not None else v["text"]
-        if isinstance(df.schema[name].dataType, T.BooleanType):
-            picked = bool(picked)
-        out[name] = picked
+        out[name] = bool(picked) if isinstance(df.schema[name].dataType, T.BooleanType) else picked
     return out
 
 
+def _is_long(name: str) -> Column:
+    return F.octet_length(quoted(name).cast("string")) > LONG_TEXT
+
+
+def _countable(df: DataFrame, i: int, name: str) -> Column:
+    """One column's value in the slot of its kind; texts beyond LONG_TEXT as digest."""
+    kind = df.schema[name].dataType
+    whole = isinstance(kind, (T.IntegralType, T.BooleanType))
+    real = is_number(kind) and not whole
+    text = quoted(name).cast("string")
+    return F.struct(
+        F.lit(i).alias("col"),
+        (quoted(name).cast("long") if whole else F.lit(None).cast("long")).alias("whole"),
+        (as_double(name) if real else F.lit(None).cast("double")).alias("real"),
+        (F.lit(None).cast("string") if whole or real else F.when(_is_long(name), F.md5(text)).otherwise(text)).alias("text"),
+        (F.lit(False) if whole or real else F.coalesce(_is_long(name), F.lit(False))).alias("digest"),
+    )
+
+
+def _long_mode(df: DataFrame, name: str, counted: DataFrame, most: int) -> str:
+    """Smallest text among the most frequent ones, some of which were digested."""
+    text = quoted(name).cast("string")
+    rows = df.where(quoted(name).isNotNull()).select(
+        text.alias("value"), F.when(_is_long(name), F.md5(text)).otherwise(text).alias("text"), _is_long(name).alias("digest")
+    )
+    if most > 1:  # else every value is among the most frequent
+        ties = fit_table(counted.where(F.col("n") == most).select("text", "digest"))
+        rows = rows.join(ties.hinted(), ["text", "digest"], "left_semi")
+    return rows.agg(F.min("value")).first()[0]
+
+
 def distinct_counts(df: DataFrame, columns: Sequence[str], exact_below: int = 200) -> dict[str, int]:
     """Distinct non-null values: exact where few, estimated where clearly many.
 

@@ -11,6 +11,7 @@ from tablelearn.functions.columns import is_moment, is_number, missing, quoted
 from tablelearn.functions.stats import distinct_counts
 
 ISSUE = "check string, column string, message string, severity string"
+STATISTICS = "column string, dtype string, n_rows long, n_columns long, null_count long"
 
 # Type names users bring from other table libraries, beside Spark's own.
 TYPE_ALIASES = {"bigint": "int64", "int": "int32", "smallint": "int16", "tinyint": "int8", "double": "float64",
@@ -53,8 +54,11 @@ class _Plan:
         self.aggs.setdefault(key, agg)
         return F.col(key)
 
+    def row(self) -> DataFrame:
+        return self.df.agg(*[a.alias(k) for k, a in self.aggs.items()])
+
     def issues(self) -> DataFrame:
-        return _rows(self.df.agg(*[a.alias(k) for k, a in self.aggs.items()]), self.rules)
+        return _rows(self.row(), self.rules)
 
     def schema(self, expected: Sequence[str], dtypes: Mapping[str, str] | None) -> None:
         present = dict(self.df.dtypes)
@@ -158,26 +162,31 @@ def validate(
     max_null_pct: float = 0.1,
     column_ranges: Mapping[str, tuple[float, float]] | None = None,
 ) -> ValidationReport:
-    """All checks from a single scan: schema, then completeness, then ranges."""
+    """All checks and statistics from a single scan: schema, completeness, ranges.
+
+    The scan runs at once; reading the report costs nothing more.
+    """
     plan = _Plan(df)
     if expected_columns is not None:
         plan.schema(expected_columns, dtypes)
     plan.completeness(max_null_pct)
     if column_ranges:
         plan.ranges(column_ranges)
-    return ValidationReport(plan.issues(), profile(df))
+    lazy = plan.row()
+    row = df.sparkSession.createDataFrame(lazy.toArrow(), schema=lazy.schema)
+    return ValidationReport(_rows(row, plan.rules), _statistics(df, row))
 
 
 def profile(df: DataFrame) -> DataFrame:
     """``column, dtype, n_rows, n_columns, null_count`` for every column, one scan."""
+    plan = _Plan(df)
+    plan.completeness(1.0)
+    return _statistics(df, plan.row())
+
+
+def _statistics(df: DataFrame, row: DataFrame) -> DataFrame:
     if not df.columns:
-        return df.sparkSession.createDataFrame(
-            [], "column string, dtype string, n_rows long, n_columns long, null_count long"
-        )
-    row = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count_if(missing(df, c)).alias(f"null_{i}") for i, c in enumerate(df.columns)],
-    )
+        return df.sparkSession.createDataFrame([], STATISTICS)
     cells = [
         F.struct(
             F.lit(c).alias("column"),

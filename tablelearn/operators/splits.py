@@ -9,6 +9,9 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tablelearn.functions.columns import is_moment, quoted
@@ -22,7 +25,7 @@ from tablelearn.functions.ordering import (
 )
 from tablelearn.functions.stats import distinct_counts
 from tablelearn.operators.profile import MANY_CLASSES, is_stratifiable
-from tablelearn.session import FittedTable, fit_table
+from tablelearn.session import FittedTable, fit_table, local_table
 
 TRAIN, VAL, TEST = "train", "val", "test"
 _AFTER_ALL = float(2**63)
@@ -44,23 +47,30 @@ def _allocate(counts: FittedTable, size: str, total: int, name: str) -> FittedTa
 
     Equal remainders go to the earlier stratum in name order.
     """
-    exact = F.col(size) / F.lit(float(counts.total(size))) * F.lit(float(total))
-    shares = counts.df.select("*", F.floor(exact).alias("__base"), (F.floor(exact) - exact).alias("__rest"))
+    whole = float(counts.total(size))
     if counts.small:
-        everywhere = Window.partitionBy()
-        place = F.row_number().over(everywhere.orderBy("__rest", "stratum"))
-        ranked = shares.withColumn("__place", place).withColumn("__given", F.sum("__base").over(everywhere))
-    else:
-        given = shares.agg(F.sum("__base")).first()[0]
-        ranked = global_rank(shares, ["__rest", "stratum"], "__place").withColumn("__given", F.lit(given))
-    extra = F.col("__place") <= F.lit(int(total)) - F.col("__given")
-    shared = ranked.withColumn(name, (F.col("__base") + extra.cast("int")).cast("long"))
-    return fit_table(shared.drop("__base", "__rest", "__place", "__given"))
+        rows = counts.local.sort_by("stratum")
+        exact = rows[size].to_numpy() / whole * float(total)
+        given = np.floor(exact).astype("int64")
+        first = np.argsort(given - exact, kind="stable")[: total - int(given.sum())]
+        given[first] += 1
+        fields = [T.StructField(name, T.LongType())]
+        schema = T.StructType([*counts.df.schema.fields, *fields])
+        return local_table(counts.df.sparkSession, rows.append_column(name, pa.array(given)), schema)
+    exact = F.col(size) / F.lit(whole) * F.lit(float(total))
+    shares = counts.df.select("*", F.floor(exact).alias("__base"), (F.floor(exact) - exact).alias("__rest"))
+    left = total - shares.agg(F.sum("__base")).first()[0]
+    ranked = global_rank(shares, ["__rest", "stratum"], "__place")
+    shared = ranked.withColumn(name, (F.col("__base") + (F.col("__place") <= left).cast("int")).cast("long"))
+    return fit_table(shared.drop("__base", "__rest", "__place"))
 
 
 def _check_classes(counts: FittedTable, size: str, held: int) -> None:
     n = counts.total(size)
-    smallest, classes = counts.df.agg(F.min(size), F.count(F.lit(1))).first()
+    if counts.small:
+        smallest, classes = pc.min(counts.local[size]).as_py(), counts.local.num_rows
+    else:
+        smallest, classes = counts.df.agg(F.min(size), F.count(F.lit(1))).first()
     if smallest < 2:
         raise ValueError("the least populated class has only 1 member; stratifying needs 2")
     if min(held, n - held) < classes:
@@ -80,7 +90,9 @@ def _apply(
         for i in reversed(range(len(names) - 1)):
             labels = F.when(hashed <= F.lit(found[i]), F.lit(names[i])).otherwise(labels)
         return df.withColumn(out, labels.cast(kind))
-    wide = cuts.groupBy("stratum").pivot("cut", list(range(len(names) - 1))).agg(F.first("threshold"))
+    wide = cuts.groupBy("stratum").agg(
+        *[F.max(F.when(F.col("cut") == i, F.col("threshold"))).alias(str(i)) for i in range(len(names) - 1)]
+    )
     table = fit_table(wide.withColumnRenamed("stratum", "__stratum"))
     labels = F.lit(names[-1])
     for i in reversed(range(len(names) - 1)):

@@ -64,6 +64,7 @@ class JobSpec:
     test_size: float = 0.2
     val_size: float = 0.1
     random_state: int = 42
+    # Columns that name a row; without them all columns together do.
     key_columns: list[str] = field(default_factory=list)
 
     def problems(self) -> list[str]:

@@ -95,26 +95,31 @@ class FittedTable:
         return self.local.to_pylist()
 
 
-def fit_table(df: DataFrame, max_rows: int = SMALL_ROWS) -> FittedTable:
+def local_table(spark: SparkSession, rows: pa.Table, schema: T.StructType | str) -> FittedTable:
+    """A small table from rows already on the driver."""
+    return FittedTable(spark.createDataFrame(rows, schema=schema), rows)
+
+
+def fit_table(df: DataFrame, max_rows: int | None = None) -> FittedTable:
     """Compute ``df`` and keep the result.
 
     A small result becomes a local table whose plan no longer refers to the
-    source. Any other is checkpointed and stays distributed. At most
-    ``max_rows`` + 1 rows of at most ``ROW_BYTES`` reach the driver: wider rows
+    source. Any other is checkpointed and stays distributed. At most ``max_rows``
+    (by default SMALL_ROWS) + 1 rows of at most ``ROW_BYTES`` reach the driver: wider rows
     are blanked before they are sent, and only show that the table is not small.
     """
     width = sum(
         (F.coalesce(F.octet_length(quoted(c).cast("string")), F.lit(0)) for c in df.columns), F.lit(0)
     )
     wide = width > ROW_BYTES
+    max_rows = SMALL_ROWS if max_rows is None else max_rows
     found = (
         df.limit(max_rows + 1)
         .select(wide.alias("__wide"), *[F.when(~wide, quoted(c)).alias(c) for c in df.columns])
         .toArrow()
     )
     if found.num_rows <= max_rows and not pc.any(found["__wide"]).as_py():
-        local = found.drop_columns(["__wide"])
-        return FittedTable(df.sparkSession.createDataFrame(local, schema=_nullable(df.schema)), local)
+        return local_table(df.sparkSession, found.drop_columns(["__wide"]), _nullable(df.schema))
     return FittedTable(cut_lineage(df))
 
 

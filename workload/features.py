@@ -16,6 +16,7 @@ from tablelearn.operators.features import (
     Scale,
     TargetMeans,
 )
+from tablelearn.session import scratch_path
 from workload import query
 from workload.inputs import (
     DOUBLED_LINEITEM,
@@ -167,7 +168,7 @@ _SCALED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "const"]
 
 def _scale_sql(centre: str, width: str) -> str:
     stats = ", ".join(f"{centre.format(c=c)} AS {c}_c, {width.format(c=c)} AS {c}_w" for c in _SCALED)
-    out = ", ".join(f"round(({c} - {c}_c) / CASE WHEN {c}_w = 0 THEN 1 ELSE {c}_w END, 6) AS {c}" for c in _SCALED)
+    out = ", ".join(f"round(({c} - {c}_c) / CASE WHEN {c}_w = 0 THEN 1 ELSE {c}_w END, 6) + 0.0 AS {c}" for c in _SCALED)
     return f"WITH {DOUBLED_LINEITEM}, s AS (SELECT {stats} FROM doubled) SELECT {out} FROM doubled, s"
 
 
@@ -213,22 +214,34 @@ def interactions(spark, folder):
     return rounded(Interactions(columns).transform(df), 4)
 
 
-@query(
-    f"""WITH {GAPPY_EVENTS},
+_CHAIN = f"""WITH {GAPPY_EVENTS},
 filled AS (SELECT event_id, user_id, coalesce(value, (SELECT median(value) FROM gappy)) AS value,
                   coalesce(event_type, {_MODE_TYPE}) AS event_type FROM gappy),
 coded AS (SELECT event_id, user_id, value, (dense_rank() OVER (ORDER BY event_type) - 1)::DOUBLE AS event_type FROM filled),
 s AS (SELECT avg(user_id) AS ua, stddev_pop(user_id) AS us, avg(value) AS va, stddev_pop(value) AS vs,
              avg(event_type) AS ta, stddev_pop(event_type) AS ts FROM coded)
-SELECT event_id, round((user_id - ua) / us, 6) AS user_id, round((value - va) / vs, 6) AS value,
-       round((event_type - ta) / ts, 6) AS event_type
+SELECT event_id, round((user_id - ua) / us, 6) + 0.0 AS user_id, round((value - va) / vs, 6) + 0.0 AS value,
+       round((event_type - ta) / ts, 6) + 0.0 AS event_type
 FROM coded, s"""
-)
+
+
+def _chain():
+    chain = FeatureChain().add_step("fill", "handle_missing", strategy="median")
+    return chain.add_step("code", "encode_categorical", strategy="label").add_step("scale", "scale_numeric")
+
+
+@query(_CHAIN)
 def feature_chain(spark, folder):
+    return rounded(_chain().fit_transform(gappy_events(spark, folder), exclude=["event_id"]))
+
+
+@query(_CHAIN)
+def saved_feature_chain(spark, folder):
+    """The chain after a round trip through storage, dictionaries included."""
     df = gappy_events(spark, folder)
-    chain = FeatureChain().add_step("fill", "handle_missing", strategy="median")
-    chain.add_step("code", "encode_categorical", strategy="label").add_step("scale", "scale_numeric")
-    return rounded(chain.fit_transform(df, exclude=["event_id"]))
+    path = scratch_path(spark, "chain")
+    _chain().fit(df, exclude=["event_id"]).save(path)
+    return rounded(FeatureChain.load(path).transform(df))
 
 
 _PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]

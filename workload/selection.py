@@ -16,6 +16,7 @@ from tablelearn.operators.selection import (
     variance_filter,
 )
 from tablelearn.operators.splits import k_folds, random_split, split_shapes, time_split
+from tablelearn.session import store
 from workload import query
 from workload.inputs import (
     DOCUMENT_FEATURES,
@@ -99,16 +100,51 @@ def selected_columns(spark, folder):
 
 @query()
 def important_columns(spark, folder):
-    df = labelled_documents(spark, folder).select(*DOCUMENT_FEATURES, "quality")
+    df = store(labelled_documents(spark, folder).select(*DOCUMENT_FEATURES, "quality"))
     return importance_filter(df, "quality", top_k=3).rows(df)
 
 
 @query()
 def recursive_selection(spark, folder):
-    df = labelled_documents(spark, folder).select(*DOCUMENT_FEATURES, "quality")
+    df = store(labelled_documents(spark, folder).select(*DOCUMENT_FEATURES, "quality"))
     return recursive_elimination(df, "quality", min_features=4).rows(df)
 
 
+_PRICED = ["l_quantity", "l_extendedprice", "l_discount"]
+
+
+@query(
+    "SELECT u.* FROM (SELECT count(*) AS n, "
+    + ", ".join(
+        f"avg({c}) AS {c}_a, stddev_pop({c}) AS {c}_s, min({c}) AS {c}_0, max({c}) AS {c}_1, median({c}) AS {c}_m, "
+        f"quantile_cont({c}, 0.25) AS {c}_l, quantile_cont({c}, 0.75) AS {c}_h, var_samp({c}) AS {c}_v"
+        for c in _PRICED
+    )
+    + " FROM lineitem) s, LATERAL (VALUES "
+    + ", ".join(
+        f"('{c}', n, round({c}_a, 4), round({c}_s, 4), {c}_0, {c}_1, round({c}_l, 4), round({c}_m, 4), round({c}_h, 4), "
+        f"round({c}_v, 3))"
+        for c in _PRICED
+    )
+    + ') AS u("column", n, mean, std, "min", "max", q25, median, q75, variance)'
+)
+def column_statistics(spark, folder):
+    df = table(spark, folder, "lineitem")
+    m, q, v = stats.moments(df, _PRICED), stats.quantiles(df, _PRICED, [0.25, 0.5, 0.75]), stats.variances(df, _PRICED)
+    rows = [
+        (
+            c, m[c]["n"], round(m[c]["mean"], 4), round(m[c]["std"], 4), m[c]["min"], m[c]["max"],
+            *[round(x, 4) for x in q[c]], round(v[c], 3),
+        )
+        for c in _PRICED
+    ]
+    return spark.createDataFrame(
+        rows,
+        "column string, n long, mean double, std double, min double, max double, q25 double, median double, "
+        "q75 double, variance double",
+    )
+
+
 @query("SELECT median(l_extendedprice) AS q50, quantile_cont(l_extendedprice, 0.01) AS q01 FROM lineitem")
 def searched_quantiles(spark, folder):
     """Quantiles by narrowing intervals, as on columns too long for one task."""

@@ -11,9 +11,17 @@ from tablelearn.operators.labels import class_list
 from tablelearn.operators.models import Shape, estimator
 from tablelearn.operators.splits import TEST, TRAIN, VAL, random_split
 from tablelearn.plans.job import run_job
-from tablelearn.plans.search import Trainer, assemble, finished, predict, results_table
+from tablelearn.plans.search import (
+    Candidate,
+    Trainer,
+    assemble,
+    finished,
+    fold_scores,
+    predict,
+    results_table,
+)
 from tablelearn.plans.spec import EvaluationSpec, FeatureSpec, JobSpec, TrainingSpec
-from tablelearn.session import scratch_path
+from tablelearn.session import scratch_path, store
 from tablelearn.streaming.scoring import (
     prediction_counts,
     read_stream,
@@ -27,8 +35,11 @@ from workload.inputs import DOCUMENT_FEATURES, documents_measured, labelled_docu
 
 
 def _split_documents(spark, folder):
-    """Labelled documents, filled and scaled, with a stratified split."""
-    df = labelled_documents(spark, folder).select("doc_id", "quality", *DOCUMENT_FEATURES)
+    """Labelled documents, filled and scaled, with a stratified split.
+
+    The texts are measured once and the small result stored for all later scans.
+    """
+    df = store(labelled_documents(spark, folder).select("doc_id", "quality", *DOCUMENT_FEATURES))
     for stage in (FillMissing("median", DOCUMENT_FEATURES), Scale("standard", DOCUMENT_FEATURES)):
         df = stage.fit(df).transform(df)
     return random_split(df, "quality", keys=["doc_id"])
@@ -72,7 +83,7 @@ def train_boosted_by_leaves(spark, folder):
 @query()
 def train_boosted_many_classes(spark, folder):
     """Language from document statistics by one boosted model per class."""
-    df = documents_measured(spark, folder).select("doc_id", "lang", *DOCUMENT_FEATURES)
+    df = store(documents_measured(spark, folder).select("doc_id", "lang", *DOCUMENT_FEATURES))
     split = random_split(df, "lang", keys=["doc_id"])
     params = {"n_estimators": 3, "max_depth": 3}
     model, classes = _fit(split.where(F.col("split") != TEST), "xgboost", params, "lang", DOCUMENT_FEATURES, "classification")
@@ -96,7 +107,7 @@ def search_classifiers(spark, folder):
 @query()
 def search_regressors(spark, folder):
     columns = ["words", "distinct_words", "non_letters"]
-    df = documents_measured(spark, folder).select("doc_id", "n_chars", *columns)
+    df = store(documents_measured(spark, folder).select("doc_id", "n_chars", *columns))
     split = random_split(df, "n_chars", keys=["doc_id"])
     trainer = Trainer(
         "regression", ["linear_regression", "xgboost"], n_trials=1, cv_folds=2,
@@ -221,3 +232,44 @@ def training_job(spark, folder):
     result = run_job(spark, spec, scratch_path(spark, "registry"), source=source)
     rows = [(result.best_model, m, float(v), result.promotion["stage"]) for m, v in sorted(result.metrics.items())]
     return rounded(spark.createDataFrame(rows, "model string, metric string, value double, stage string"))
+
+
+@query(
+    """WITH d AS (SELECT doc_id, n_chars::DOUBLE AS y, len(string_split(text, ' '))::DOUBLE AS x FROM documents),
+ranked AS (SELECT *, row_number() OVER (ORDER BY md5('42-' || sha256(doc_id::VARCHAR))) AS r, count(*) OVER () AS n FROM d),
+sizes AS (SELECT *, ceil(0.2::DOUBLE * n) AS t FROM ranked),
+parts AS (SELECT *, t + ceil((0.1::DOUBLE / (1 - 0.2::DOUBLE)) * (n - t)) AS held FROM sizes),
+line AS (SELECT regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM parts WHERE r > held),
+test AS (SELECT y, a * x + b AS p FROM parts, line WHERE r <= t),
+m AS (SELECT avg(abs(y - p)) AS mae, avg((y - p) ** 2) AS mse, sqrt(avg((y - p) ** 2)) AS rmse,
+             1 - avg((y - p) ** 2) / var_pop(y) AS r2,
+             avg(abs(y - p) / greatest(abs(y), 2.220446049250313e-16)) AS mape FROM test)
+SELECT 'linear_regression' AS model, u.metric AS metric, round(u.v, 4) AS value, 'Production' AS stage
+FROM m, LATERAL (VALUES ('mae', mae), ('mse', mse), ('rmse', rmse), ('r2', r2), ('mape', mape)) AS u(metric, v)"""
+)
+def linear_training_job(spark, folder):
+    """A whole job whose every step has exact SQL: split, fit and test metrics."""
+    source = documents_measured(spark, folder).select("doc_id", "n_chars", "words")
+    spec = JobSpec(
+        "lengths",
+        "documents",
+        "n_chars",
+        FeatureSpec(missing_strategy="mean", categorical_strategy="label"),
+        TrainingSpec("regression", ["linear_regression"], n_trials=1, cv_folds=2, metric="r2"),
+        EvaluationSpec("r2", cv_folds=2),
+        key_columns=["doc_id"],
+    )
+    result = run_job(spark, spec, scratch_path(spark, "registry"), source=source)
+    rows = [(result.best_model, m, round(float(v), 4), result.promotion["stage"]) for m, v in result.metrics.items()]
+    return spark.createDataFrame(rows, "model string, metric string, value double, stage string")
+
+
+@query()
+def refit_fold_scores(spark, folder):
+    """r2 of a linear model refitted without each fold in turn."""
+    df = store(documents_measured(spark, folder).select("doc_id", "n_chars", "words", "distinct_words"))
+    columns = ["words", "distinct_words"]
+    candidate = Candidate("linear_regression", None, {}, {}, 0.0)
+    scores = fold_scores(df, "n_chars", columns, "regression", candidate, 3, keys=["doc_id"])
+    rows = [(i, round(float(v), 6)) for i, v in enumerate(scores)]
+    return spark.createDataFrame(rows, "fold int, score double")
