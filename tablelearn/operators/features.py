@@ -322,15 +322,15 @@ class Scale(_Learner):
         else:
             seen = {c: m for c, m in stats.moments(df, columns).items() if m["n"]}
             if self.strategy == "standard":
-                found = {c: (m["mean"], _noise_free(m)) for c, m in seen.items()}
+                found = {c: _centre_and_spread(m) for c, m in seen.items()}
             else:
                 found = {c: (m["min"], m["max"] - m["min"]) for c, m in seen.items()}
         return Scaled(columns={c: [centre, width or 1.0] for c, (centre, width) in found.items()})
 
 
-def _noise_free(m: dict[str, float]) -> float:
-    """Population std, exactly 0 for a constant column whatever the rounding."""
-    return 0.0 if m["min"] == m["max"] else m["std"]
+def _centre_and_spread(m: dict[str, float]) -> tuple[float, float]:
+    """Mean and population std, free of rounding for a constant column."""
+    return (m["min"], 0.0) if m["min"] == m["max"] else (m["mean"], m["std"])
 
 
 class Scaled(JsonStage):
