@@ -32,4 +32,4 @@ def two_sided_p(t: Column, dof: Column) -> Column:
         .when(odd, 2 / F.pi() * (angle + F.sin(angle) * series))
         .otherwise(F.sin(angle) * series)
     )
-    return F.when(dof >= 1, F.greatest(F.lit(0.0), 1 - inside))
+    return F.when((dof >= 1) & t.isNotNull(), F.greatest(F.lit(0.0), 1 - inside))
