@@ -41,10 +41,10 @@ def order_hash(df: DataFrame, keys: Sequence[str] | None, seed: int) -> Column:
 
 @dataclass(frozen=True)
 class Bracket:
-    """Interval known to hold the value of one rank."""
+    """Interval of values known to hold the given ranks of a column."""
 
     column: str
-    rank: int
+    ranks: tuple[int, ...]
     below: int
     inside: int
     low: float | None = None
@@ -71,36 +71,45 @@ class OrderStatistic:
     equal: int
 
 
+def _neighbours(ranks: Sequence[int]) -> list[tuple[int, ...]]:
+    """Ranks in runs without gaps: the two sides of one quantile are searched together."""
+    runs: list[list[int]] = []
+    for r in sorted(set(ranks)):
+        if runs and r == runs[-1][-1] + 1:
+            runs[-1].append(r)
+        else:
+            runs.append([r])
+    return [tuple(run) for run in runs]
+
+
 def _narrow(df: DataFrame, brackets: list[Bracket]) -> list[Bracket]:
     """One round: sketch each interval, then count the shorter one exactly."""
     slack = 2.0 / SKETCH_ACCURACY
     sketches = []
     for i, b in enumerate(brackets):
-        share = (b.rank - b.below) / b.inside
-        probes = F.array(F.lit(max(0.0, share - slack)), F.lit(min(1.0, share + slack)))
+        first, last = ((r - b.below) / b.inside for r in (b.ranks[0], b.ranks[-1]))
+        probes = F.array(F.lit(max(0.0, first - slack)), F.lit(min(1.0, last + slack)))
         x = as_double(b.column)
         sketches.append(F.percentile_approx(F.when(b.member(x), x), probes, F.lit(SKETCH_ACCURACY)).alias(f"s{i}"))
     ends = df.agg(*sketches).first()
 
-    counts, trial = [], []
+    counts = []
     for i, b in enumerate(brackets):
         low, high = ends[f"s{i}"]
-        trial.append((low, high))
         x = as_double(b.column)
         counts.append(F.count_if(x < F.lit(low)).alias(f"b{i}"))
-        counts.append(F.count_if((x >= F.lit(low)) & (x <= F.lit(high))).alias(f"n{i}"))
+        counts.append(F.count_if(x <= F.lit(high)).alias(f"u{i}"))
     seen = df.agg(*counts).first()
 
     out = []
     for i, b in enumerate(brackets):
-        below, inside = seen[f"b{i}"], seen[f"n{i}"]
-        if below < b.rank <= below + inside:
-            out.append(Bracket(b.column, b.rank, below, inside, *trial[i]))
-        elif b.rank <= below:  # the sketch overshot: keep what lies left of it
-            out.append(Bracket(b.column, b.rank, b.below, below - b.below, b.low, trial[i][0]))
-        else:
-            rest = b.below + b.inside - below - inside
-            out.append(Bracket(b.column, b.rank, below + inside, rest, trial[i][1], b.high))
+        low, high = ends[f"s{i}"]
+        below, upto = seen[f"b{i}"], seen[f"u{i}"]
+        if below >= b.ranks[0]:  # the sketch overshot: keep the old end
+            below, low = b.below, b.low
+        if upto < b.ranks[-1]:
+            upto, high = b.below + b.inside, b.high
+        out.append(Bracket(b.column, b.ranks, below, upto - below, low, high))
     return out
 
 
@@ -115,9 +124,11 @@ def order_statistics(
     ``counts`` holds the number of non-null values per column. Each round reads
     only the columns asked for and cuts the interval by a factor of about 2,500.
     """
-    searches = [
-        Bracket(c, r, 0, counts[c]) for c, ranks in wanted.items() for r in sorted(set(ranks)) if counts[c] > 0
-    ]
+    searches: list[Bracket] = []
+    for c, ranks in wanted.items():
+        if counts[c] > 0 and ranks:
+            runs = [tuple(sorted(set(ranks)))] if counts[c] <= limit else _neighbours(ranks)
+            searches += [Bracket(c, run, 0, counts[c]) for run in runs]
     while True:
         open_ones = [b for b in searches if not b.settled(limit)]
         if not open_ones:
@@ -126,10 +137,9 @@ def order_statistics(
         for i in range(0, len(open_ones), SKETCHES_PER_SCAN):
             some = open_ones[i : i + SKETCHES_PER_SCAN]
             narrowed.update(zip(some, _narrow(df, some)))
-        stuck = [b for b, n in narrowed.items() if n.inside >= b.inside]
         searches = [narrowed.get(b, b) for b in searches]
-        if stuck:
-            break
+        if any(n.inside >= b.inside for b, n in narrowed.items()):
+            break  # no progress: the exact count below settles it
 
     if not searches:
         return {}
@@ -146,16 +156,16 @@ def order_statistics(
         .agg(F.count(F.lit(1)).alias("n"))
     )
     upto = Window.partitionBy("q").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    need = F.element_at(
-        F.array(*[F.lit(b.rank - b.below).cast("long") for b in searches]), F.col("q") + 1
+    needs = F.element_at(
+        F.array(*[F.array(*[F.lit(r - b.below).cast("long") for r in b.ranks]) for b in searches]), F.col("q") + 1
     )
     found = (
         values.withColumn("upto", F.sum("n").over(upto))
-        .where((F.col("upto") >= need) & (F.col("upto") - F.col("n") < need))
+        .select("*", F.explode(F.filter(needs, lambda r: (r <= F.col("upto")) & (r > F.col("upto") - F.col("n")))).alias("need"))
         .collect()
     )
     return {
-        (searches[r["q"]].column, searches[r["q"]].rank): OrderStatistic(
+        (searches[r["q"]].column, searches[r["q"]].below + r["need"]): OrderStatistic(
             r["v"], searches[r["q"]].below + r["upto"] - r["n"], r["n"]
         )
         for r in found

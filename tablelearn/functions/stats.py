@@ -15,7 +15,7 @@ from tablelearn.session import fit_table
 
 # Above this many columns the pairwise sums move from SQL aggregates, whose
 # number grows with the square, to matrix products inside the tasks.
-SQL_PAIR_COLUMNS = 10
+SQL_PAIR_COLUMNS = 4
 SKETCH_ERROR = 0.05
 # Texts longer than this many bytes are counted by digest.
 LONG_TEXT = 256

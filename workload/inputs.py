@@ -69,7 +69,7 @@ def documents_measured(spark: SparkSession, folder: str) -> DataFrame:
         F.col("n_chars").cast("double").alias("n_chars"),
         F.size(words).cast("double").alias("words"),
         F.size(F.array_distinct(words)).cast("double").alias("distinct_words"),
-        F.length(F.regexp_replace("text", "[A-Za-z]", "")).cast("double").alias("non_letters"),
+        F.length(F.regexp_replace("text", "[A-Za-z]+", "")).cast("double").alias("non_letters"),
     ).select(
         "*",
         (F.col("distinct_words") / F.col("words")).alias("distinct_share"),
