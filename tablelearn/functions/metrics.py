@@ -216,6 +216,13 @@ def regression(df: DataFrame, label: str, prediction: str, by: Sequence[str] = (
     return out.unionByName(_custom(df, label, prediction, by)) if CUSTOM else out
 
 
+def evaluate(df: DataFrame, task: str, label: str, prediction: str, **scores) -> DataFrame:
+    """Classification metrics for that task, regression metrics for any other."""
+    if task == "classification":
+        return classification(df, label, prediction, **scores)
+    return regression(df, label, prediction, scores.get("by", ()))
+
+
 def _custom(df: DataFrame, label: str, prediction: str, by: Sequence[str]) -> DataFrame:
     wide = df.groupBy(*by).agg(
         *[build(quoted(label), quoted(prediction)).alias(name) for name, build in CUSTOM.items()]

@@ -12,6 +12,7 @@ Three tools, by falling cost:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -20,9 +21,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tablelearn.functions.columns import as_double, quoted
 from tablelearn.session import cut_lineage, fit_table
 
-# Leading hex digits that form the first-level buckets of ``hash_cuts``: 16^5
-# buckets per stratum keep 10^12 rows at about a million rows per bucket.
-PREFIX_DIGITS = 5
+# ``hash_cuts`` first counts by leading hex digits, as many as bring a bucket
+# to this many rows, but at most 16^5 buckets: a million of 10^12 rows each.
+BUCKET_ROWS = 65_536
+MOST_DIGITS = 5
 # Interval size at which ``order_statistics`` stops narrowing and counts values.
 EXACT_ROWS = 1_000_000
 SKETCH_ACCURACY = 10_000
@@ -172,14 +174,16 @@ def order_statistics(
     }
 
 
-def hash_cuts(
-    df: DataFrame, stratum: Column, hashed: Column, targets: DataFrame, digits: int = PREFIX_DIGITS
-) -> DataFrame:
+def prefix_digits(n: int) -> int:
+    return min(MOST_DIGITS, max(1, math.ceil(math.log(max(n, 1) / BUCKET_ROWS, 16))))
+
+
+def hash_cuts(df: DataFrame, stratum: Column, hashed: Column, targets: DataFrame, digits: int) -> DataFrame:
     """Per stratum and cut, the hash of the row at the wanted rank.
 
     ``targets`` has columns ``stratum, cut, rank``; the result has ``stratum,
     cut, threshold``. Ranks of zero give the empty string, which no hash
-    reaches. Only counts are shuffled: first per hash prefix, then per hash
+    reaches. ``digits`` comes from ``prefix_digits``. Only counts are shuffled: first per hash prefix, then per hash
     inside the few prefixes that hold a cut.
     """
     rows = df.select(stratum.alias("stratum"), hashed.alias("hash")).withColumn(

@@ -21,6 +21,7 @@ from tablelearn.functions.ordering import (
     hash_cuts,
     order_hash,
     order_statistics,
+    prefix_digits,
     running_totals,
 )
 from tablelearn.functions.stats import distinct_counts
@@ -165,9 +166,10 @@ def _cut(
     kind: str,
 ) -> DataFrame:
     """Turn per-stratum ranks into thresholds and label the rows with them."""
+    digits = prefix_digits(shares.total("n"))
     cells = [F.struct(F.lit(int(k)).alias("cut"), r.cast("long").alias("rank")) for k, r in ranks.items()]
     targets = shares.df.select("stratum", F.inline(F.array(*cells)))
-    cuts = hash_cuts(df, _stratum(by), hashed, F.broadcast(targets) if shares.small else targets)
+    cuts = hash_cuts(df, _stratum(by), hashed, F.broadcast(targets) if shares.small else targets, digits)
     return _apply(df, by, hashed, cuts, names, out, kind)
 
 
@@ -249,7 +251,8 @@ def time_split(
             inside = F.col("__at") <= F.lit(spot.value)
         else:
             targets = df.sparkSession.createDataFrame([("", 0, need)], "stratum string, cut int, rank long")
-            edge = hash_cuts(here, F.lit(""), F.col("hash"), targets).first()["threshold"]
+            digits = prefix_digits(spot.equal)
+            edge = hash_cuts(here, F.lit(""), F.col("hash"), targets, digits).first()["threshold"]
             inside = inside | ((F.col("__at") == F.lit(spot.value)) & (F.col("__hash") <= F.lit(edge)))
         labels = F.when(inside, F.lit(name)).otherwise(labels)
     return marked.select(*[quoted(c) for c in df.columns], labels.alias(out))

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.storagelevel import StorageLevel
 
 from tablelearn.functions.columns import quoted
 
@@ -69,6 +70,25 @@ def store(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+class Workspace:
+    """Stored intermediate tables of one job, deleted when the job is over."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.path = scratch_path(spark, "job")
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.path}/{name}")
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @dataclass(frozen=True)
 class FittedTable:
     """A learned table; ``local`` holds its rows if its size was proven to be small."""
@@ -114,14 +134,19 @@ def fit_table(df: DataFrame, max_rows: int | None = None) -> FittedTable:
     )
     wide = width > ROW_BYTES
     max_rows = SMALL_ROWS if max_rows is None else max_rows
-    found = (
-        df.limit(max_rows + 1)
-        .select(wide.alias("__wide"), *[F.when(~wide, quoted(c)).alias(c) for c in df.columns])
-        .toArrow()
-    )
-    if found.num_rows <= max_rows and not pc.any(found["__wide"]).as_py():
-        return local_table(df.sparkSession, found.drop_columns(["__wide"]), _nullable(df.schema))
-    return FittedTable(cut_lineage(df))
+    # Kept between the two steps, so that a large table is computed only once.
+    computed = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        found = (
+            computed.limit(max_rows + 1)
+            .select(wide.alias("__wide"), *[F.when(~wide, quoted(c)).alias(c) for c in df.columns])
+            .toArrow()
+        )
+        if found.num_rows <= max_rows and not pc.any(found["__wide"]).as_py():
+            return local_table(df.sparkSession, found.drop_columns(["__wide"]), _nullable(df.schema))
+        return FittedTable(cut_lineage(computed))
+    finally:
+        computed.unpersist()
 
 
 def _nullable(schema: T.StructType) -> T.StructType:

@@ -106,3 +106,9 @@ def test_fold_summary(spark):
     df = spark.createDataFrame([("m", 1.0), ("m", 3.0), ("n", None)], "model string, score double")
     got = {r["model"]: (r["cv_mean"], r["cv_std"]) for r in metrics.fold_summary(df).collect()}
     assert got == {"m": (2.0, 1.0), "n": (0.0, 0.0)}
+
+
+def test_evaluate_by_task(spark):
+    df = spark.createDataFrame([(1, 1), (0, 1)], "y int, p int")
+    assert set(as_dict(metrics.evaluate(df, "classification", "y", "p"))) == set(metrics.CLASSIFICATION)
+    assert set(as_dict(metrics.evaluate(df, "anything", "y", "p"))) == set(metrics.REGRESSION)

@@ -92,6 +92,10 @@ def test_hash_cuts_distributed(spark, tiny_tables):
     test_hash_cuts(spark, 2)
 
 
+def test_prefix_digits():
+    assert [ordering.prefix_digits(n) for n in (0, 1, 10**6, 2 * 10**7, 10**9, 10**12, 10**14)] == [1, 1, 1, 3, 4, 5, 5]
+
+
 def test_fitted_tables_keep_their_bounds(spark):
     rows = spark.range(50).select("id", F.repeat(F.lit("x"), 10).alias("t"))
     assert session.fit_table(rows).small and session.fit_table(rows).total("id") == 1225
