@@ -357,10 +357,11 @@ class DatetimeParts(JsonStage):
 
     def _transform(self, df: DataFrame) -> DataFrame:
         c = self.known["column"]
-        at = F.to_timestamp(quoted(c)) if isinstance(df.schema[c].dataType, T.StringType) else quoted(c)
+        kind = df.schema[c].dataType
+        at = F.to_timestamp(quoted(c)) if isinstance(kind, T.StringType) else quoted(c)
         day = F.weekday(at)
         parts = {
-            "hour": F.hour(at.cast("timestamp")),
+            "hour": F.hour(at.cast("timestamp_ntz") if isinstance(kind, T.DateType) else at),
             "day": F.dayofmonth(at),
             "month": F.month(at),
             "dayofweek": day,

@@ -18,7 +18,7 @@ TYPE_ALIASES = {"bigint": "int64", "int": "int32", "smallint": "int16", "tinyint
                 "float": "float32", "string": "object", "boolean": "bool", "timestamp": "datetime64",
                 "timestamp_ntz": "datetime64"}
 
-# The limits that decide a column's role.
+# The limits that decide a column's role. The issue texts below are fixed too.
 FEW_NUMBERS = 15
 FEW_NUMBERS_SHARE = 0.05
 MANY_STRINGS = 50

@@ -6,6 +6,7 @@ import logging
 import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.ml import Estimator, Model, PipelineModel
@@ -246,38 +247,45 @@ def fold_scores(
     target: str,
     columns: Sequence[str],
     task: str,
-    candidate: Candidate,
+    candidates: Sequence[Candidate],
     n_folds: int = 5,
     seed: int = 42,
     keys: Sequence[str] | None = None,
     classes: Sequence | None = None,
-) -> list[float]:
-    """Score of a refit per fold: weighted F1 for classes, r2 for numbers.
+) -> dict[str, list[float]]:
+    """Score of a refit per candidate and fold: weighted F1 for classes, r2 for numbers.
 
-    The predictions of all folds are stacked and measured in one pass.
+    All candidates share the folds and the assembled vectors, and the
+    predictions of all refits are stacked and measured in one pass.
     """
-    n = df.count()
-    folds = min(n_folds, n)
-    if folds < 2:
-        return []
+    folds = min(n_folds, df.count())
+    if folds < 2 or not candidates:
+        return {c.name: [] for c in candidates}
     if task == "classification" and classes is None:
         classes = class_list(df, target)
     identity = list(keys) if keys else [*columns, target]
     parts = k_folds(df, target, folds, task == "classification", seed, identity, FOLD)
-    ready = assemble(parts, columns, target, task, classes).select(FEATURES, LABEL, FOLD, quoted(target).alias(target))
+    ready = assemble(parts, columns, target, task, classes).select(FEATURES, LABEL, FOLD)
     ready = ready.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        stacked = None
+        sizes = {r[FOLD]: r["count"] for r in ready.groupBy(FOLD).count().collect()}
+        scored = []
         for i in range(folds):
-            rest = ready.where(F.col(FOLD) != i)
-            shape = Shape(task, rest.count(), len(classes or ()), seed)
-            model = estimator(task, candidate.name, candidate.params, shape).fit(rest)
-            scored = model.transform(ready.where(F.col(FOLD) == i)).select(FOLD, LABEL, "prediction")
-            stacked = scored if stacked is None else stacked.unionByName(scored)
+            rest, held = ready.where(F.col(FOLD) != i), ready.where(F.col(FOLD) == i)
+            shape = Shape(task, sum(sizes.values()) - sizes.get(i, 0), len(classes or ()), seed)
+            for c in candidates:
+                model = estimator(task, c.name, c.params, shape).fit(rest)
+                scored.append(model.transform(held).select(F.lit(c.name).alias("model"), FOLD, LABEL, "prediction"))
+        stacked = reduce(DataFrame.unionByName, scored)
         if task == "classification":
-            wide = metrics.classification_wide(stacked, LABEL, "prediction", [FOLD]).select(FOLD, F.col("f1").alias("s"))
+            wide = metrics.classification_wide(stacked, LABEL, "prediction", ["model", FOLD])
+            wide = wide.select("model", FOLD, F.col("f1").alias("score"))
         else:
-            wide = metrics.regression_wide(stacked, LABEL, "prediction", [FOLD]).select(FOLD, F.col("r2").alias("s"))
-        return [r["s"] for r in wide.orderBy(FOLD).collect()]
+            wide = metrics.regression_wide(stacked, LABEL, "prediction", ["model", FOLD])
+            wide = wide.select("model", FOLD, F.col("r2").alias("score"))
+        out: dict[str, list[float]] = {c.name: [] for c in candidates}
+        for r in wide.orderBy("model", FOLD).collect():
+            out[r["model"]].append(r["score"])
+        return out
     finally:
         ready.unpersist()

@@ -8,6 +8,17 @@ from typing import Any
 
 TASKS = ("classification", "regression")
 
+# What is said about settings that cannot run.
+NO_NAME = "Pipeline name is required"
+NO_SOURCE = "Data source is required"
+NO_TARGET = "Target column is required"
+BAD_TEST_SIZE = "test_size must be between 0 and 1"
+BAD_VAL_SIZE = "val_size must be between 0 and 1"
+NOTHING_LEFT = "test_size and val_size must leave rows to train on"
+BAD_TASK = "task_type must be 'classification' or 'regression'"
+BAD_TRIALS = "n_trials must be >= 1"
+INVALID = "Invalid pipeline config: "
+
 
 @dataclass(frozen=True)
 class FeatureSpec:
@@ -69,25 +80,18 @@ class JobSpec:
 
     def problems(self) -> list[str]:
         """Everything wrong with the spec; empty if it can run."""
-        found = []
-        for value, what in (
-            (self.name, "Pipeline name"),
-            (self.data_source, "Data source"),
-            (self.target_column, "Target column"),
-        ):
-            if not value:
-                found.append(f"{what} is required")
-        if not 0 < self.test_size < 1:
-            found.append("test_size must be between 0 and 1")
-        if not 0 <= self.val_size < 1:
-            found.append("val_size must be between 0 and 1")
-        if not found and self.test_size + self.val_size >= 1:
-            found.append("test_size and val_size must leave rows to train on")
-        if self.training.task_type not in TASKS:
-            found.append("task_type must be 'classification' or 'regression'")
-        if self.training.n_trials < 1:
-            found.append("n_trials must be >= 1")
-        return found
+        sizes_fit = 0 < self.test_size < 1 and 0 <= self.val_size < 1
+        checks = [
+            (bool(self.name), NO_NAME),
+            (bool(self.data_source), NO_SOURCE),
+            (bool(self.target_column), NO_TARGET),
+            (0 < self.test_size < 1, BAD_TEST_SIZE),
+            (0 <= self.val_size < 1, BAD_VAL_SIZE),
+            (not sizes_fit or self.test_size + self.val_size < 1, NOTHING_LEFT),
+            (self.training.task_type in TASKS, BAD_TASK),
+            (self.training.n_trials >= 1, BAD_TRIALS),
+        ]
+        return [message for passed, message in checks if not passed]
 
     @classmethod
     def from_mapping(cls, raw: Mapping[str, Any]) -> JobSpec:
@@ -109,5 +113,5 @@ class JobSpec:
         spec = cls(**values)
         problems = spec.problems()
         if problems:
-            raise ValueError(f"Invalid pipeline config: {'; '.join(problems)}")
+            raise ValueError(INVALID + "; ".join(problems))
         return spec

@@ -278,6 +278,6 @@ def refit_fold_scores(spark, folder):
     """r2 of a linear model refitted without each fold in turn."""
     df = store(documents_measured(spark, folder).select("doc_id", "n_chars", "words"))
     candidate = Candidate("linear_regression", None, {}, {}, 0.0)
-    scores = fold_scores(df, "n_chars", ["words"], "regression", candidate, 3, keys=["doc_id"])
+    scores = fold_scores(df, "n_chars", ["words"], "regression", [candidate], 3, keys=["doc_id"])[candidate.name]
     rows = [(i, round(float(v), 6)) for i, v in enumerate(scores)]
     return spark.createDataFrame(rows, "fold int, score double")
