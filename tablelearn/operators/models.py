@@ -135,6 +135,7 @@ def logistic(params: Mapping[str, Any], shape: Shape) -> Estimator:
         elasticNetParam=0.0,
         standardization=False,
         maxIter=params.get("max_iter", 100),
+        tol=params.get("tol", 1e-6),
     )
 
 
@@ -154,6 +155,9 @@ def forest(params: Mapping[str, Any], shape: Shape) -> Estimator:
         numTrees=params.get("n_estimators", 100),
         maxDepth=params.get("max_depth") or 30,
         minInstancesPerNode=params.get("min_samples_leaf", 1),
+        bootstrap=params.get("bootstrap", True),
+        # Splits of a regression tree may use any column, of a class tree a few.
+        featureSubsetStrategy="sqrt" if shape.task == "classification" else "all",
     )
 
 

@@ -74,8 +74,10 @@ def variance_filter(df: DataFrame, threshold: float = 0.01, exclude: Sequence[st
 
 
 def _forest(task: str) -> Estimator:
-    kind = RandomForestClassifier if task == "classification" else RandomForestRegressor
-    return kind(numTrees=IMPORTANCE_TREES, seed=IMPORTANCE_SEED, featuresCol="features", labelCol="__label")
+    settings = {"numTrees": IMPORTANCE_TREES, "seed": IMPORTANCE_SEED, "featuresCol": "features", "labelCol": "__label"}
+    if task == "classification":
+        return RandomForestClassifier(**settings)
+    return RandomForestRegressor(**settings, featureSubsetStrategy="all")
 
 
 def _assembled(df: DataFrame, numeric: Sequence[str], target: str, task: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
+from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import functions as F
 
 from tablelearn.functions import stats
@@ -98,6 +99,49 @@ def selected_columns(spark, folder):
     return spark.createDataFrame([(c,) for c in chosen], "feature string")
 
 
+_FLAGS = {"many": "l_quantity > 25", "cheap": "l_discount > 0.05", "late": "l_linenumber > 3", "taxed": "l_tax > 0.04"}
+
+# What one split on a flag explains: the variance between its two groups.
+_GAINS = f"""flags AS (SELECT l_extendedprice AS y, {", ".join(f"({rule})::INTEGER AS {c}" for c, rule in _FLAGS.items())}
+  FROM lineitem),
+gains AS ({" UNION ALL ".join(
+    f"SELECT {i} AS position, '{c}' AS feature, corr(y, {c}) ** 2 AS gain FROM flags" for i, c in enumerate(_FLAGS)
+)}),
+ranked AS (SELECT feature, position, row_number() OVER (ORDER BY gain DESC) AS place FROM gains),
+order_of AS (SELECT feature, place, row_number() OVER (ORDER BY (place > 1)::INTEGER, position) AS rank FROM ranked)"""
+
+
+def _flags(spark, folder):
+    li = table(spark, folder, "lineitem")
+    return li.select(F.col("l_extendedprice").alias("y"), *[F.expr(rule).cast("int").alias(c) for c, rule in _FLAGS.items()])
+
+
+def _stump():
+    """A tree of one split: only its column has any importance."""
+    return DecisionTreeRegressor(featuresCol="features", labelCol="__label", maxDepth=1)
+
+
+@query(
+    f"""WITH {_GAINS}
+SELECT feature, rank <= 2 AS selected, CASE WHEN rank > 2 THEN 'Importance rank ' || rank || '/4' END AS reason FROM order_of"""
+)
+def columns_by_one_split(spark, folder):
+    """The best single split decides; columns of no importance rank by position."""
+    df = _flags(spark, folder)
+    return importance_filter(df, "y", model=_stump(), top_k=2, task="regression").rows(df)
+
+
+@query(
+    f"""WITH {_GAINS}, others AS (
+  SELECT feature, row_number() OVER (ORDER BY position) AS gone FROM ranked WHERE place > 1)
+SELECT feature, gone IS NULL AS selected, 'RFE ranking ' || (5 - gone) AS reason FROM ranked LEFT JOIN others USING (feature)"""
+)
+def elimination_by_one_split(spark, folder):
+    """Every round drops the first column without importance, until the best is left."""
+    df = _flags(spark, folder)
+    return recursive_elimination(df, "y", model=_stump(), min_features=1, task="regression").rows(df)
+
+
 @query()
 def important_columns(spark, folder):
     df = store(labelled_documents(spark, folder).select(*DOCUMENT_FEATURES, "quality"))

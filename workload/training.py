@@ -119,7 +119,84 @@ def search_regressors(spark, folder):
     return rounded(results_table(result, split).drop("training_time"))
 
 
-# ---------------------------------------------------------------- least squares, exact in SQL
+# ---------------------------------------------------------------- fits with an exact answer in SQL
+
+
+def _flagged(spark, folder):
+    """Orders with one yes/no feature: models of it can only learn group frequencies and means."""
+    return table(spark, folder, "orders").select(
+        (F.col("o_totalprice") > 250000).cast("double").alias("dear"),
+        F.col("o_orderstatus").alias("status"),
+        (F.col("o_orderstatus") == "F").cast("int").alias("done"),
+        F.col("o_custkey").cast("double").alias("customer"),
+    )
+
+
+_FLAGGED = """flagged AS (SELECT (o_totalprice > 250000)::INTEGER::DOUBLE AS dear, o_orderstatus AS status,
+  (o_orderstatus = 'F')::INTEGER AS done, o_custkey::DOUBLE AS customer FROM orders)"""
+
+
+def _per_flag(model, df, extra):
+    return rounded(predict(model, df).groupBy("dear").agg(extra.alias("value")), 5)
+
+
+_ALL_ROWS = {"n_estimators": 3, "max_depth": 2, "bootstrap": False}
+_DONE_SHARE = f"WITH {_FLAGGED} SELECT dear, round(avg(done), 5) AS value FROM flagged GROUP BY dear"
+
+
+@query(_DONE_SHARE)
+def logistic_on_a_flag(spark, folder):
+    """Almost unpenalised, so the probability is the group's share."""
+    df = _flagged(spark, folder)
+    params = {"C": 1e9, "tol": 1e-14}
+    model, _ = _fit(df, "logistic_regression", params, "done", ["dear"], "classification")
+    return _per_flag(model, df, F.max(F.element_at("probabilities", 2)))
+
+
+@query(
+    f"""WITH {_FLAGGED}, sizes AS (SELECT dear, count(*) AS n FROM flagged GROUP BY dear)
+SELECT dear, status, round(count(*) / any_value(n), 4) AS share FROM flagged JOIN sizes USING (dear) GROUP BY dear, status"""
+)
+def logistic_with_three_classes(spark, folder):
+    df = _flagged(spark, folder)
+    params = {"C": 1e9, "tol": 1e-14}
+    model, classes = _fit(df, "logistic_regression", params, "status", ["dear"], "classification")
+    names = F.array(*[F.lit(c) for c in classes])
+    shares = predict(model, df).groupBy("dear").agg(F.max_by("probabilities", F.lit(1)).alias("p"))
+    return rounded(shares.select("dear", F.inline(F.arrays_zip(names.alias("status"), F.col("p").alias("share")))), 4)
+
+
+@query(_DONE_SHARE)
+def forest_on_a_flag(spark, folder):
+    """Without resampling every tree sees all rows, so a leaf holds its group's share."""
+    df = _flagged(spark, folder)
+    model, _ = _fit(df, "random_forest", _ALL_ROWS, "done", ["dear"], "classification")
+    return _per_flag(model, df, F.max(F.element_at("probabilities", 2)))
+
+
+_CUSTOMER_MEAN = f"WITH {_FLAGGED} SELECT dear, round(avg(customer), 5) AS value FROM flagged GROUP BY dear"
+
+
+@query(_CUSTOMER_MEAN)
+def regression_forest_on_a_flag(spark, folder):
+    df = _flagged(spark, folder)
+    model, _ = _fit(df, "random_forest", _ALL_ROWS, "customer", ["dear"], "regression")
+    return _per_flag(model, df, F.max("prediction"))
+
+
+@query(_CUSTOMER_MEAN)
+def boosting_on_a_flag(spark, folder):
+    df = _flagged(spark, folder)
+    model, _ = _fit(df, "xgboost", {"n_estimators": 1, "max_depth": 2}, "customer", ["dear"], "regression")
+    return _per_flag(model, df, F.max("prediction"))
+
+
+@query(_CUSTOMER_MEAN)
+def leaf_boosting_on_a_flag(spark, folder):
+    df = _flagged(spark, folder)
+    model, _ = _fit(df, "lightgbm", {"n_estimators": 1, "num_leaves": 2}, "customer", ["dear"], "regression")
+    return _per_flag(model, df, F.max("prediction"))
+
 
 
 @query(
