@@ -166,11 +166,20 @@ def logistic_with_three_classes(spark, folder):
     return rounded(shares.select("dear", F.inline(F.arrays_zip(names.alias("status"), F.col("p").alias("share")))), 4)
 
 
-@query(_DONE_SHARE)
+@query(
+    """SELECT (o_totalprice > 250000)::INTEGER::DOUBLE AS dear, round(avg((o_totalprice > 200000)::INTEGER), 5) AS value
+FROM orders GROUP BY 1"""
+)
 def forest_on_a_flag(spark, folder):
-    """Without resampling every tree sees all rows, so a leaf holds its group's share."""
-    df = _flagged(spark, folder)
-    model, _ = _fit(df, "random_forest", _ALL_ROWS, "done", ["dear"], "classification")
+    """Without resampling every tree sees all rows, so a leaf holds its group's share.
+
+    The groups differ in their majority: leaves that agree in it would be merged.
+    """
+    price = F.col("o_totalprice")
+    df = table(spark, folder, "orders").select(
+        (price > 250000).cast("double").alias("dear"), (price > 200000).cast("int").alias("pricey")
+    )
+    model, _ = _fit(df, "random_forest", _ALL_ROWS, "pricey", ["dear"], "classification")
     return _per_flag(model, df, F.max(F.element_at("probabilities", 2)))
 
 
