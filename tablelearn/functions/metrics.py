@@ -117,9 +117,8 @@ def regression_wide(df: DataFrame, label: str, prediction: str, by: Sequence[str
         F.var_pop(y).alias("spread"),
         F.avg(F.abs(e) / F.greatest(F.abs(y), F.lit(EPSILON))).alias("mape"),
     )
-    r2 = F.coalesce(
-        1 - divide(F.col("mse"), F.col("spread")), F.when(F.col("mse") == 0, 1.0).otherwise(0.0)
-    )
+    flat = F.when(F.col("mse") == 0, 1.0).when(F.col("mse").isNotNull(), 0.0)
+    r2 = F.coalesce(1 - divide(F.col("mse"), F.col("spread")), flat)
     return sums.select(*by, "mae", "mse", F.sqrt("mse").alias("rmse"), r2.alias("r2"), "mape")
 
 

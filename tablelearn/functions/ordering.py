@@ -161,11 +161,8 @@ def order_statistics(
     needs = F.element_at(
         F.array(*[F.array(*[F.lit(r - b.below).cast("long") for r in b.ranks]) for b in searches]), F.col("q") + 1
     )
-    found = (
-        values.withColumn("upto", F.sum("n").over(upto))
-        .select("*", F.explode(F.filter(needs, lambda r: (r <= F.col("upto")) & (r > F.col("upto") - F.col("n")))).alias("need"))
-        .collect()
-    )
+    here = F.filter(needs, lambda r: (r <= F.col("upto")) & (r > F.col("upto") - F.col("n")))
+    found = values.withColumn("upto", F.sum("n").over(upto)).select("*", F.explode(here).alias("need")).collect()
     return {
         (searches[r["q"]].column, searches[r["q"]].below + r["need"]): OrderStatistic(
             r["v"], searches[r["q"]].below + r["upto"] - r["n"], r["n"]

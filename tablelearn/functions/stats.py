@@ -123,26 +123,29 @@ def _is_long(name: str) -> Column:
     return F.octet_length(quoted(name).cast("string")) > LONG_TEXT
 
 
+def _short(name: str) -> Column:
+    text = quoted(name).cast("string")
+    return F.when(_is_long(name), F.md5(text)).otherwise(text)
+
+
 def _countable(df: DataFrame, i: int, name: str) -> Column:
     """One column's value in the slot of its kind; texts beyond LONG_TEXT as digest."""
     kind = df.schema[name].dataType
     whole = isinstance(kind, (T.IntegralType, T.BooleanType))
     real = is_number(kind) and not whole
-    text = quoted(name).cast("string")
     return F.struct(
         F.lit(i).alias("col"),
         (quoted(name).cast("long") if whole else F.lit(None).cast("long")).alias("whole"),
         (as_double(name) if real else F.lit(None).cast("double")).alias("real"),
-        (F.lit(None).cast("string") if whole or real else F.when(_is_long(name), F.md5(text)).otherwise(text)).alias("text"),
+        (F.lit(None).cast("string") if whole or real else _short(name)).alias("text"),
         (F.lit(False) if whole or real else F.coalesce(_is_long(name), F.lit(False))).alias("digest"),
     )
 
 
 def _long_mode(df: DataFrame, name: str, counted: DataFrame, most: int) -> str:
     """Smallest text among the most frequent ones, some of which were digested."""
-    text = quoted(name).cast("string")
     rows = df.where(quoted(name).isNotNull()).select(
-        text.alias("value"), F.when(_is_long(name), F.md5(text)).otherwise(text).alias("text"), _is_long(name).alias("digest")
+        quoted(name).cast("string").alias("value"), _short(name).alias("text"), _is_long(name).alias("digest")
     )
     if most > 1:  # else every value is among the most frequent
         ties = fit_table(counted.where(F.col("n") == most).select("text", "digest"))

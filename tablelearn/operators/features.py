@@ -213,16 +213,26 @@ def _lookup(df: DataFrame, entries: DataFrame, small: bool, rows: int) -> DataFr
     """Left join on ``__key`` that no frequent key can slow down.
 
     A small dictionary is broadcast. Of a large one only the keys that hold
-    more than a thousandth of the rows are (at most 1,000 such keys exist);
-    the other keys are joined by shuffle.
+    more than a thousandth of the rows are (at most 1,000 such keys exist); the
+    other keys are joined by shuffle. Rows that need no shuffle join take part
+    under a hash of the whole row, which spreads them and matches nothing.
     """
     if small:
         return df.join(F.broadcast(entries.drop("__n")), "__key", "left")
-    frequent = entries.where(F.col("__n") * 1000 > rows).drop("__n")
-    marked = df.join(F.broadcast(frequent), "__key", "left")
-    done = marked.where(F.col("__value").isNotNull() | F.col("__key").isNull())
-    rest = marked.where(F.col("__value").isNull() & F.col("__key").isNotNull()).drop("__value")
-    return done.unionByName(rest.join(entries.drop("__n"), "__key", "left"))
+    frequent = entries.where(F.col("__n") * 1000 > rows).select("__key", F.col("__value").alias("__hot"))
+    open_one = F.col("__hot").isNull() & F.col("__key").isNotNull()
+    spread = F.xxhash64(*[quoted(c) for c in df.columns]).cast("string")
+    marked = (
+        df.join(F.broadcast(frequent), "__key", "left")
+        .withColumn("__open", open_one)
+        .withColumn("__probe", F.when(open_one, F.col("__key")).otherwise(spread))
+    )
+    rest = entries.select(F.col("__key").alias("__probe"), "__value", F.lit(True).alias("__open"))
+    return (
+        marked.join(rest, ["__probe", "__open"], "left")
+        .withColumn("__value", F.coalesce("__hot", "__value"))
+        .drop("__probe", "__open", "__hot")
+    )
 
 
 class LabelCodes(_Learner):

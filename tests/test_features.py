@@ -112,6 +112,20 @@ def test_large_dictionary_with_a_hot_key(spark, monkeypatch):
     assert model.transform(df).columns == df.columns
 
 
+def test_several_large_dictionaries_read_the_table_once(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(session, "SMALL_ROWS", 10)
+    spark.range(3000).select(
+        *[F.when(F.col("id") % 3 == i, "hot").otherwise(F.concat(F.lit("k"), F.col("id"))).alias(f"s{i}") for i in range(3)]
+    ).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    model = fe.LabelCodes().fit(df)
+    out = model.transform(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(f"file:{tmp_path}/t") == 1
+    for i in range(3):
+        assert out.agg(F.min(f"s{i}"), F.max(f"s{i}"), F.count_distinct(f"s{i}")).first()[:] == (0, 2000, 2001)
+
+
 def test_target_means(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0), (None, 7.0)], "s string, y double")
     model = fe.TargetMeans("y", ["s"]).fit(df)

@@ -93,6 +93,12 @@ def test_r2_of_constant_label(spark, prediction, r2):
     assert metrics.regression_wide(df, "y", "p").first()["r2"] == r2
 
 
+def test_metrics_of_nothing(spark):
+    empty = spark.createDataFrame([], "y double, p double")
+    assert set(metrics.regression_wide(empty, "y", "p").first()) == {None}
+    assert set(metrics.classification_wide(empty, "y", "p").first()) == {None}
+
+
 def test_custom_metric(spark):
     metrics.add_metric("worst", lambda y, p: F.max(F.abs(y - p)))
     try:
