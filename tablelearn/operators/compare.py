@@ -20,6 +20,14 @@ LOW_AUC = "AUC-ROC is low — model has weak discriminative ability"
 LOW_R2 = "R2 is low — model explains little variance; try non-linear models"
 HIGH_MAPE = "MAPE > 30% — predictions have large relative error"
 
+# The sentence on the winner and the reasons for a promotion.
+WINNER = "Best model: {model} ({metric}={value:.4f}, CV mean={mean:.4f} +/- {std:.4f})"
+BETTER = ". Statistically significantly better than {other} (p={p:.4f})."
+NOT_BETTER = ". NOT statistically significantly better than {other} (p={p:.4f}); consider the simpler model."
+IMPROVES = "New model improves by %.4f ({direction})"
+TOO_LITTLE = "New model does not improve sufficiently (delta=%.4f, threshold={limit})"
+HIGHER, LOWER = "higher is better", "lower is better"
+
 
 def rank_models(scores: DataFrame, primary: str) -> DataFrame:
     """``model, position, score, rank`` by the primary metric; ties keep input order.
@@ -114,17 +122,14 @@ def recommendations(scores: DataFrame, task: str) -> DataFrame:
 
 
 def summary_text(
-    model: str, primary: str, value: float, cv_mean: float, cv_std: float, test: dict | None, other: str | None = None
+    model: str, primary: str, value: float, cv_mean: float, cv_std: float, test: dict | None
 ) -> str:
     """The sentence that names the winner and says how sure the choice is."""
-    text = f"Best model: {model} ({primary}={value:.4f}, CV mean={cv_mean:.4f} +/- {cv_std:.4f})"
+    text = WINNER.format(model=model, metric=primary, value=value, mean=cv_mean, std=cv_std)
     if not test or test.get("test") != "paired_t_test":
         return text
     p = test["p_value"] if test["p_value"] is not None else float("nan")
-    rival = other or test["model_b"]
-    if test["significant"]:
-        return f"{text}. Statistically significantly better than {rival} (p={p:.4f})."
-    return f"{text}. NOT statistically significantly better than {rival} (p={p:.4f}); consider the simpler model."
+    return text + (BETTER if test["significant"] else NOT_BETTER).format(other=test["model_b"], p=p)
 
 
 SIDES = ("new", "current")
@@ -147,17 +152,17 @@ def decide_promotion(stacked: DataFrame, task: str = "classification", min_impro
     """
     if task == "classification":
         scores = metrics.classification_wide(stacked, "label", "prediction", ["side"]).withColumnRenamed("f1", "s")
-        sign, direction = 1, "higher is better"
+        sign, direction = 1, HIGHER
     else:
         scores = metrics.regression_wide(stacked, "label", "prediction", ["side"]).withColumnRenamed("mse", "s")
-        sign, direction = -1, "lower is better"
+        sign, direction = -1, LOWER
     row = scores.agg(
         F.max(F.when(F.col("side") == "new", F.col("s"))).alias("new_score"),
         F.max(F.when(F.col("side") == "current", F.col("s"))).alias("current_score"),
     ).withColumn("improvement", sign * (F.col("new_score") - F.col("current_score")))
     gain = F.col("improvement")
     better = gain >= F.lit(min_improvement)
-    said = F.when(better, F.format_string(f"New model improves by %.4f ({direction})", gain)).otherwise(
-        F.format_string(f"New model does not improve sufficiently (delta=%.4f, threshold={min_improvement})", gain)
+    said = F.when(better, F.format_string(IMPROVES.format(direction=direction), gain)).otherwise(
+        F.format_string(TOO_LITTLE.format(limit=min_improvement), gain)
     )
     return row.select(better.alias("should_promote"), "improvement", "current_score", "new_score", said.alias("reason"))

@@ -18,12 +18,20 @@ TYPE_ALIASES = {"bigint": "int64", "int": "int32", "smallint": "int16", "tinyint
                 "float": "float32", "string": "object", "boolean": "bool", "timestamp": "datetime64",
                 "timestamp_ntz": "datetime64"}
 
-# The limits that decide a column's role. The issue texts below are fixed too.
+# The limits that decide a column's role.
 FEW_NUMBERS = 15
 FEW_NUMBERS_SHARE = 0.05
 MANY_STRINGS = 50
 MANY_CLASSES = 50
 
+# The texts of issues.
+NO_COLUMN = "Missing expected column: {column}"
+WRONG_TYPE = "Column {column}: expected dtype {wanted}, got {seen}"
+EMPTY = "DataFrame is empty"
+NULLS = "Column {column}: %.1f%% null (max {limit}%)"
+NO_RANGE_COLUMN = "Column {column} not found for range check"
+NOT_NUMERIC = "Column {column} is not numeric"
+
 
 def _issue(check: str, column: str | None, message: Column, severity: str = "error") -> Column:
     return F.struct(
@@ -64,32 +72,32 @@ class _Plan:
         present = dict(self.df.dtypes)
         for c in expected:
             if c not in present:
-                self.rules.append((F.lit(True), _issue("schema", c, F.lit(f"Missing expected column: {c}"))))
+                self.rules.append((F.lit(True), _issue("schema", c, F.lit(NO_COLUMN.format(column=c)))))
         for c, wanted in (dtypes or {}).items():
             if c not in present:
                 continue
             names = {present[c], TYPE_ALIASES.get(present[c], present[c])}
             if not any(wanted in name for name in names):
-                text = f"Column {c}: expected dtype {wanted}, got {present[c]}"
+                text = WRONG_TYPE.format(column=c, wanted=wanted, seen=present[c])
                 self.rules.append((F.lit(True), _issue("schema", c, F.lit(text), "warning")))
 
     def completeness(self, max_null_pct: float) -> None:
         n = F.col("n")
-        self.rules.append((n == 0, _issue("completeness", None, F.lit("DataFrame is empty"))))
+        self.rules.append((n == 0, _issue("completeness", None, F.lit(EMPTY))))
         for i, c in enumerate(self.df.columns):
             absent = self.stat(f"null_{i}", F.count_if(missing(self.df, c)))
             share = absent / F.when(n > 0, n)
-            text = F.format_string(f"Column {_escaped(c)}: %.1f%% null (max {max_null_pct:.1%}%)", share * 100)
+            text = F.format_string(NULLS.format(column=_escaped(c), limit=f"{max_null_pct:.1%}"), share * 100)
             self.rules.append((share > max_null_pct, _issue("completeness", c, text)))
 
     def ranges(self, limits: Mapping[str, tuple[float, float]]) -> None:
         fields = {f.name: f.dataType for f in self.df.schema}
         for i, (c, (low, high)) in enumerate(limits.items()):
             if c not in fields:
-                self.rules.append((F.lit(True), _issue("range", c, F.lit(f"Column {c} not found for range check"))))
+                self.rules.append((F.lit(True), _issue("range", c, F.lit(NO_RANGE_COLUMN.format(column=c)))))
                 continue
             if not is_number(fields[c]) and not isinstance(fields[c], T.BooleanType):
-                text = F.lit(f"Column {c} is not numeric")
+                text = F.lit(NOT_NUMERIC.format(column=c))
                 self.rules.append((F.lit(True), _issue("range", c, text, "warning")))
                 continue
             x = quoted(c) if is_number(fields[c]) else quoted(c).cast("int")

@@ -19,6 +19,12 @@ from tablelearn.operators.labels import index_label
 IMPORTANCE_TREES = 50
 IMPORTANCE_SEED = 42
 
+# Why a column was dropped.
+CORRELATED = "Correlated (>{limit}) with {other}"
+LOW_VARIANCE = "Variance {value:.6f} < {limit}"
+LOW_IMPORTANCE = "Importance rank {rank}/{total}"
+ELIMINATED = "RFE ranking {rank}"
+
 
 @dataclass(frozen=True)
 class FeatureReport:
@@ -60,7 +66,7 @@ def correlation_filter(df: DataFrame, threshold: float = 0.95, exclude: Sequence
     high = stats.correlations(df, numeric).where(F.abs("r") > threshold)
     first = {r["j"]: numeric[r["i"]] for r in high.groupBy("j").agg(F.min("i").alias("i")).collect()}
     dropped = [numeric[j] for j in sorted(first)]
-    reasons = {numeric[j]: f"Correlated (>{threshold}) with {name}" for j, name in first.items()}
+    reasons = {numeric[j]: CORRELATED.format(limit=threshold, other=name) for j, name in first.items()}
     return FeatureReport([c for c in columns if c not in reasons], dropped, reasons)
 
 
@@ -69,7 +75,7 @@ def variance_filter(df: DataFrame, threshold: float = 0.01, exclude: Sequence[st
     columns, numeric = _features(df, exclude)
     found = stats.variances(df, numeric)
     dropped = [c for c in numeric if found[c] is not None and found[c] < threshold]
-    reasons = {c: f"Variance {found[c]:.6f} < {threshold}" for c in dropped}
+    reasons = {c: LOW_VARIANCE.format(value=found[c], limit=threshold) for c in dropped}
     return FeatureReport([c for c in columns if c not in reasons], dropped, reasons)
 
 
@@ -109,7 +115,7 @@ def importance_filter(
     weights = fitted.featureImportances.toArray()
     ranked = [numeric[i] for i in sorted(range(len(numeric)), key=lambda i: (-weights[i], i))]
     k = len(ranked) if top_k is None else min(top_k, len(ranked))
-    reasons = {c: f"Importance rank {k + i}/{len(ranked)}" for i, c in enumerate(ranked[k:], 1)}
+    reasons = {c: LOW_IMPORTANCE.format(rank=k + i, total=len(ranked)) for i, c in enumerate(ranked[k:], 1)}
     others = [c for c in columns if c not in set(numeric)]
     return FeatureReport(others + ranked[:k], ranked[k:], reasons)
 
@@ -147,7 +153,7 @@ def recursive_elimination(
         data.unpersist()
     rank = {i: len(rounds) - r + 1 for r, gone in enumerate(rounds) for i in gone}
     dropped = [c for i, c in enumerate(numeric) if i in rank]
-    reasons = {numeric[i]: f"RFE ranking {r}" for i, r in sorted(rank.items())}
+    reasons = {numeric[i]: ELIMINATED.format(rank=r) for i, r in sorted(rank.items())}
     others = [c for c in columns if c not in set(numeric)]
     return FeatureReport(others + [numeric[i] for i in kept], dropped, reasons)
 
