@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tablelearn.llm import bpe, language, mixing, quality, secrets, token_counts
+from tablelearn.llm import bpe, embeddings, jaccard, language, mixing, quality, secrets, token_counts
 from tablelearn.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,6 +154,74 @@ def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_JACCARD_SQL = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS k, len(w) AS n
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents)
+),
+shingles AS (
+  SELECT DISTINCT doc_id, shingle FROM (
+    SELECT doc_id, n, k, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS shingle
+    FROM words)
+  WHERE k <= greatest(n - 4, 1)
+),
+sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2
+),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 5 * common.n >= 4 * (x.n + y.n - common.n)
+),
+reach AS (
+  SELECT doc_id, doc_id AS class_id FROM documents
+  UNION
+  SELECT links.a, reach.class_id FROM reach JOIN links ON links.b = reach.doc_id
+),
+classes AS (
+  SELECT doc_id, min(class_id) AS class_id FROM reach GROUP BY doc_id
+)
+SELECT c.doc_id, c.class_id, (SELECT count(*) FROM links WHERE links.a = c.doc_id) AS n_links, c.doc_id = c.class_id AS kept
+FROM classes c
+"""
+
+
+@query(_JACCARD_SQL)
+def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.near_duplicates(read_table(spark, folder, "documents"))
+
+
+_EMBEDDING_SQL = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+),
+reach AS (
+  SELECT vec_id, vec_id AS component_id FROM embeddings
+  UNION
+  SELECT links.a, reach.component_id FROM reach JOIN links ON links.b = reach.vec_id
+),
+classes AS (
+  SELECT vec_id, min(component_id) AS component_id FROM reach GROUP BY vec_id
+)
+SELECT c.vec_id, (SELECT count(*) FROM links WHERE links.a = c.vec_id) AS n_links, c.component_id,
+       c.vec_id = c.component_id AS kept
+FROM classes c
+"""
+
+
+@query(_EMBEDDING_SQL)
+def op9_embedding_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.near_vectors(read_table(spark, folder, "embeddings"))
+
+
 _MIXING_SQL = """
 WITH counts AS (
   SELECT coalesce(source, '') AS source, count(*) AS n FROM documents GROUP BY 1
