@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tablelearn.llm import bpe, embeddings, jaccard, language, mixing, quality, secrets, token_counts
+from tablelearn.llm import bpe, embeddings, jaccard, language, mixing, quality, secrets, substrings, token_counts
 from tablelearn.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,6 +154,41 @@ def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_SUBSTRING_SQL = """
+WITH words AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS k, len(w) AS n
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents)
+),
+windows AS (
+  SELECT doc_id, k, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS content
+  FROM words QUALIFY k <= n - 19
+),
+later AS (
+  SELECT doc_id, k FROM windows QUALIFY row_number() OVER (PARTITION BY content ORDER BY doc_id, k) > 1
+),
+gone AS (
+  SELECT DISTINCT doc_id, k + i AS k FROM later, range(20) AS r(i)
+),
+marked AS (
+  SELECT w.doc_id, w.k, w.word, g.k IS NOT NULL AS removed
+  FROM words w LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.k = w.k
+),
+counted AS (
+  SELECT doc_id, count(*) AS n_words, sum(removed::INTEGER)::BIGINT AS n_removed,
+         coalesce(string_agg(word, ' ' ORDER BY k) FILTER (WHERE NOT removed), '') AS kept
+  FROM marked GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN counted USING (doc_id)
+"""
+
+
+@query(_SUBSTRING_SQL)
+def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = substrings.remove_repeats(read_table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", _hex_digest("kept").alias("kept_sha256"))
+
+
 _JACCARD_SQL = """
 WITH RECURSIVE words AS (
   SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS k, len(w) AS n
