@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tablelearn.llm import bpe, embeddings, jaccard, language, mixing, quality, secrets, substrings, token_counts
+from tablelearn.llm import bpe, embeddings, jaccard, language, mixing, quality, quotes, secrets, substrings, token_counts
 from tablelearn.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,6 +143,78 @@ def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def as_mail(conversations: DataFrame) -> DataFrame:
+    """Conversations as mail: every message quotes the one before it in full, and of
+    the one before that, a level deeper, its last line.
+
+    The given conversations hold no quotations. Rows that share conv_id and turn are
+    quoted as one, the smallest text.
+    """
+    said = conversations.groupBy("conv_id", "turn").agg(F.min("text").alias("said"))
+    before, earlier = (
+        said.select("conv_id", (F.col("turn") + k).alias("turn"), F.col("said").alias(name))
+        for k, name in ((1, "before"), (2, "earlier"))
+    )
+    quote = lambda text, mark: F.concat(F.lit(mark), F.regexp_replace(text, "\n", "\n" + mark))
+    last_line = F.element_at(F.split("earlier", "\n", -1), -1)
+    return (
+        conversations.join(before, ["conv_id", "turn"], "left")
+        .join(earlier, ["conv_id", "turn"], "left")
+        .select(
+            "conv_id",
+            "turn",
+            "role",
+            F.when(F.col("text").isNotNull(), F.concat_ws("\n", quote(last_line, "> > "), quote(F.col("before"), "> "), "text")).alias("text"),
+        )
+    )
+
+
+# What quoting and linking must give back: texts, and the first message that says the same.
+_QUOTES_SQL = """
+WITH RECURSIVE messages AS (
+  SELECT DISTINCT conv_id, turn, role, text FROM conversations
+),
+clean AS (
+  SELECT *, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS said,
+         lower(trim(string_split(text, chr(10))[-1])) AS last_line
+  FROM messages
+),
+units AS (
+  SELECT conv_id, turn, said AS unit FROM clean
+  UNION ALL
+  SELECT conv_id, turn, lower(trim(unnest(string_split(text, chr(10))))) FROM messages
+),
+origins AS (
+  SELECT conv_id, unit, min(turn) AS origin FROM units WHERE unit <> '' GROUP BY 1, 2
+),
+linked AS (
+  SELECT m.conv_id, m.turn, m.role, m.text, o.origin AS parent, o2.origin AS other,
+         (b.said IS NOT NULL AND b.said <> '')::BIGINT + (e.last_line IS NOT NULL AND e.last_line <> '')::BIGINT AS n_quotes
+  FROM messages m
+  LEFT JOIN clean b ON b.conv_id = m.conv_id AND b.turn = m.turn - 1
+  LEFT JOIN clean e ON e.conv_id = m.conv_id AND e.turn = m.turn - 2
+  LEFT JOIN origins o ON o.conv_id = m.conv_id AND o.unit = b.said AND o.origin < m.turn
+  LEFT JOIN origins o2 ON o2.conv_id = m.conv_id AND o2.unit = e.last_line AND o2.origin < m.turn
+),
+answered AS (
+  SELECT conv_id, turn, role, trim(text) AS text, n_quotes, (parent IS NOT NULL)::BIGINT + (other IS NOT NULL)::BIGINT AS n_linked,
+         coalesce(parent, other) AS parent
+  FROM linked
+),
+chain AS (
+  SELECT conv_id, turn, turn AS thread, 0::BIGINT AS depth FROM answered WHERE parent IS NULL
+  UNION ALL
+  SELECT a.conv_id, a.turn, c.thread, c.depth + 1 FROM answered a JOIN chain c ON a.conv_id = c.conv_id AND a.parent = c.turn
+)
+SELECT a.*, c.thread, c.depth FROM answered a JOIN chain c ON a.conv_id = c.conv_id AND a.turn = c.turn
+"""
+
+
+@query(_QUOTES_SQL)
+def op5_quote_links(spark: SparkSession, folder: str) -> DataFrame:
+    return quotes.reply_order(as_mail(read_table(spark, folder, "conversations")))
+
+
 @query()
 def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     decoded = bpe.decode(bpe.encode(read_table(spark, folder, "documents")))
