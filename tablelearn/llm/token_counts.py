@@ -131,12 +131,12 @@ class TokenTree:
     def apply(self, text: str, edits: Sequence[Edit], bpe: ByteBpe) -> tuple[str, int, int]:
         """(edited text, edits done, pieces encoded). Offsets refer to the text as given.
 
-        Edits are taken by start; one that begins before the end of the one before
+        Edits are taken by start, insertions at one place as given; one that begins before the end of the one before
         it, or that lies outside of the text, is left out.
         """
         groups: list[list[Edit]] = []
         at = done = 0
-        for start, end, new in sorted(edits):
+        for start, end, new in sorted(edits, key=lambda e: e[:2]):
             if start < at or end < start or end > len(text):
                 continue
             if groups and start - at < NEAR:

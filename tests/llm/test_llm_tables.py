@@ -416,17 +416,21 @@ def test_no_vectors(spark):
 
 def test_forest_finds_the_links(spark):
     """Recall of the leaves alone, before clusters are completed."""
-    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rng, size = np.random.default_rng(9), 64
+    centres = rng.normal(size=(150, size))
+    noisy = [centres[i % 150] + rng.normal(size=size) * 0.13 for i in range(1500)]
+    table = spark.createDataFrame([(i, [float(np.float32(x)) for x in v], i % 3) for i, v in enumerate(noisy)], VECTORS)
     nodes = embeddings.vector_nodes(table)
     leaf = defaultdict(set)
-    for r in embeddings.route(nodes, embeddings.fit_forest(nodes, fit_rows=1000)).collect():
+    for r in embeddings.route(nodes, embeddings.fit_forest(nodes, fit_rows=800)).collect():
         leaf[r["node"]].add(r["group"])
     held = [(r["node"], r["label"], np.array(r["vector"])) for r in nodes.collect()]
     unit = np.array([v / np.linalg.norm(v) for _, _, v in held])
     close = np.argwhere(np.triu(unit @ unit.T >= 0.98, 1))
     pairs = [(i, j) for i, j in close if held[i][1] == held[j][1]]
     found = sum(bool(leaf[held[i][0]] & leaf[held[j][0]]) for i, j in pairs)
-    assert len(pairs) > 100 and found >= 0.95 * len(pairs)
+    assert len(pairs) > 1000 and found >= 0.99 * len(pairs)
+    assert len({g for x in leaf.values() for g in x}) > 100
 
 
 # --- mixing -----------------------------------------------------------------
