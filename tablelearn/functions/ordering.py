@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablelearn.functions.columns import as_double, quoted
-from tablelearn.session import cut_lineage, fit_table
+from tablelearn.session import FittedTable, cut_lineage, fit_table
 
 # ``hash_cuts`` first counts by leading hex digits, as many as bring a bucket
 # to this many rows, but at most 16^5 buckets: a million of 10^12 rows each.
@@ -35,10 +35,18 @@ SKETCHES_PER_SCAN = 64
 def order_hash(df: DataFrame, keys: Sequence[str] | None, seed: int) -> Column:
     """Seeded md5 of the row key: a shuffled order that any engine can repeat.
 
-    Rows with equal keys get equal hashes, so copies always stay together.
+    Rows with equal keys get equal hashes.
     """
-    parts = [F.coalesce(quoted(c).cast("string"), F.lit("")) for c in (keys or df.columns)]
-    return F.md5(F.concat_ws("-", F.lit(str(seed)), *parts))
+    return F.md5(F.concat(F.lit(f"{seed}-"), key_text(keys or df.columns)))
+
+
+def key_text(columns: Sequence[str]) -> Column:
+    """The values joined by "-", so that different rows give different texts.
+
+    A "-" or "\\" inside a value is escaped, and a null is the escape "\\0".
+    """
+    escaped = [F.regexp_replace(quoted(c).cast("string"), r"([\\-])", r"\\$1") for c in columns]
+    return F.concat_ws("-", *[F.coalesce(x, F.lit("\\0")) for x in escaped])
 
 
 @dataclass(frozen=True)
@@ -131,8 +139,9 @@ def order_statistics(
         if counts[c] > 0 and ranks:
             runs = [tuple(sorted(set(ranks)))] if counts[c] <= limit else _neighbours(ranks)
             searches += [Bracket(c, run, 0, counts[c]) for run in runs]
+    stuck: set[Bracket] = set()
     while True:
-        open_ones = [b for b in searches if not b.settled(limit)]
+        open_ones = [b for b in searches if not b.settled(limit) and b not in stuck]
         if not open_ones:
             break
         narrowed: dict[Bracket, Bracket] = {}
@@ -140,8 +149,8 @@ def order_statistics(
             some = open_ones[i : i + SKETCHES_PER_SCAN]
             narrowed.update(zip(some, _narrow(df, some)))
         searches = [narrowed.get(b, b) for b in searches]
-        if any(n.inside >= b.inside for b, n in narrowed.items()):
-            break  # no progress: the exact count below settles it
+        # Where a round brings nothing, a few hot values fill the interval: the count below settles it.
+        stuck |= {n for b, n in narrowed.items() if n.inside >= b.inside}
 
     if not searches:
         return {}
@@ -179,7 +188,8 @@ def hash_cuts(df: DataFrame, stratum: Column, hashed: Column, targets: DataFrame
     """Per stratum and cut, the hash of the row at the wanted rank.
 
     ``targets`` has columns ``stratum, cut, rank``; the result has ``stratum,
-    cut, threshold``. Ranks of zero give the empty string, which no hash
+    cut, threshold, need, equal``: of the ``equal`` rows with this hash the rank
+    takes in ``need``. Ranks of zero give the empty string, which no hash
     reaches. ``digits`` comes from ``prefix_digits``. Only counts are shuffled: first per hash prefix, then per hash
     inside the few prefixes that hold a cut.
     """
@@ -210,12 +220,52 @@ def hash_cuts(df: DataFrame, stratum: Column, hashed: Column, targets: DataFrame
     found = (
         inside.join(edges.hinted(), ["stratum", "prefix"])
         .where((F.col("need") <= F.col("upto")) & (F.col("need") > F.col("upto") - F.col("n")))
-        .select("stratum", "cut", F.col("hash").alias("threshold"))
+        .select(
+            "stratum",
+            "cut",
+            F.col("hash").alias("threshold"),
+            (F.col("need") - F.col("upto") + F.col("n")).alias("need"),
+            F.col("n").alias("equal"),
+        )
+    )
+    zero = F.lit(0).cast("long")
+    none = targets.where("rank <= 0").select(
+        "stratum", "cut", F.lit("").alias("threshold"), zero.alias("need"), zero.alias("equal")
     )
-    none = targets.where("rank <= 0").select("stratum", "cut", F.lit("").alias("threshold"))
     return found.unionByName(none)
 
 
+def tie_cuts(rows: DataFrame, cuts: FittedTable) -> DataFrame:
+    """``stratum, cut, last``: the row number up to which rows with the threshold's hash are taken in.
+
+    ``rows`` has ``stratum, hash, row``; row numbers are unique and come from
+    ``monotonically_increasing_id``, whose upper bits number the partitions. Rows are
+    counted per partition, then numbered only in the partition that holds the cut,
+    so a hash that a third of all rows share is no group in a task.
+    """
+    keys = ["stratum", "hash"]
+    open_cuts = cuts.df.withColumnRenamed("threshold", "hash").where("need > 0 and need < equal")
+    wanted = open_cuts.select(*keys).distinct()
+    ties = rows.join(F.broadcast(wanted) if cuts.small else wanted, keys, "left_semi").withColumn(
+        "block", F.shiftright("row", 33)
+    )
+    order = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    blocks = ties.groupBy(*keys, "block").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(order))
+    holding = fit_table(
+        blocks.join(open_cuts, keys)
+        .where((F.col("need") <= F.col("upto")) & (F.col("need") > F.col("upto") - F.col("n")))
+        .select(*keys, "cut", "block", (F.col("need") - F.col("upto") + F.col("n")).alias("place"))
+    )
+    inside = Window.partitionBy(*keys, "block").orderBy("row")
+    some = holding.df.select(*keys, "block").distinct()
+    numbered = ties.join(F.broadcast(some) if holding.small else some, [*keys, "block"], "left_semi").withColumn(
+        "place", F.row_number().over(inside)
+    )
+    return numbered.join(holding.hinted(), [*keys, "block", "place"]).select(
+        "stratum", "cut", F.col("row").alias("last")
+    )
+
+
 def running_totals(df: DataFrame, order: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Add ``before_<value>``: the sum of ``value`` over all rows sorted earlier.
 

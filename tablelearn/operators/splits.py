@@ -1,13 +1,17 @@
 """Splits and folds as a column: one comparison per row against learned cut points.
 
 Membership follows the seeded md5 of the row key, so it is random-like but
-repeatable. Fitting a split counts hashes; applying it moves no rows.
+repeatable. Fitting a split counts hashes; applying it moves no rows. Only where a
+cut falls between rows of one hash (copies of a row) are the rows numbered, and
+for that stored once; then as many of them as needed fall on each side.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +27,11 @@ from tablelearn.functions.ordering import (
     order_statistics,
     prefix_digits,
     running_totals,
+    tie_cuts,
 )
 from tablelearn.functions.stats import distinct_counts
 from tablelearn.operators.profile import MANY_CLASSES, is_stratifiable
-from tablelearn.session import FittedTable, fit_table, local_table
+from tablelearn.session import FittedTable, fit_table, local_table, store
 
 TRAIN, VAL, TEST = "train", "val", "test"
 _AFTER_ALL = float(2**63)
@@ -78,32 +83,55 @@ def _check_classes(counts: FittedTable, size: str, held: int) -> None:
         raise ValueError(f"each part must hold at least as many rows as there are classes ({classes})")
 
 
+# A stored copy of a table with rows that had to be numbered.
+Keep = Callable[[DataFrame, str], DataFrame]
+_ROW = "__row_number"
+
+
+def _numbered(df: DataFrame, keep: Keep) -> DataFrame:
+    return keep(df.withColumn(_ROW, F.monotonically_increasing_id()), f"numbered-{uuid.uuid4().hex}")
+
+
+def _within(hashed: Column, threshold: Column, last: Column | None) -> Column:
+    """Whether a row is taken in by a cut; ``last`` is the last row number of a divided hash, else null."""
+    if last is None:
+        return hashed <= threshold
+    return (hashed < threshold) | ((hashed == threshold) & (last.isNull() | (F.col(_ROW) <= last)))
+
+
 def _apply(
-    df: DataFrame, by: str | None, hashed: Column, cuts: DataFrame, names: Sequence, out: str, kind: str
+    df: DataFrame, by: str | None, hashed: Column, cuts: DataFrame, names: Sequence, out: str, kind: str, divided: bool
 ) -> DataFrame:
-    """Label each row by the first cut whose threshold its hash does not exceed.
+    """Label each row by the first cut that takes it in.
 
-    ``names[i]`` labels rows up to cut ``i``; the last name takes the rest.
+    ``names[i]`` labels rows up to cut ``i``; the last name takes the rest. ``cuts``
+    has ``stratum, cut, threshold`` and ``last``, which matters only if ``divided``.
     """
+    columns = [quoted(c) for c in df.columns if c != _ROW]
     if by is None:
-        found = {r["cut"]: r["threshold"] for r in cuts.collect()}
+        found = {r["cut"]: r for r in cuts.collect()}
         labels = F.lit(names[-1])
         for i in reversed(range(len(names) - 1)):
-            labels = F.when(hashed <= F.lit(found[i]), F.lit(names[i])).otherwise(labels)
-        return df.withColumn(out, labels.cast(kind))
+            last = F.lit(found[i]["last"]).cast("long") if divided else None
+            labels = F.when(_within(hashed, F.lit(found[i]["threshold"]), last), F.lit(names[i])).otherwise(labels)
+        return df.select(*columns, labels.cast(kind).alias(out))
     wide = cuts.groupBy("stratum").agg(
-        *[F.max(F.when(F.col("cut") == i, F.col("threshold"))).alias(str(i)) for i in range(len(names) - 1)]
+        *[
+            F.max(F.when(F.col("cut") == i, F.col(c))).alias(f"{c}{i}")
+            for i in range(len(names) - 1)
+            for c in ("threshold", "last")
+        ]
     )
     table = fit_table(wide.withColumnRenamed("stratum", "__stratum"))
     labels = F.lit(names[-1])
     for i in reversed(range(len(names) - 1)):
-        labels = F.when(F.col("__hash") <= F.col(str(i)), F.lit(names[i])).otherwise(labels)
+        last = F.col(f"last{i}") if divided else None
+        taken = _within(F.col("__hash"), F.col(f"threshold{i}"), last)
+        labels = F.when(taken, F.lit(names[i])).otherwise(labels)
     marked = df.withColumn("__stratum", _stratum(by)).withColumn("__hash", hashed)
     # Joined by broadcast when small, else by shuffle; a very large class is
     # then split by adaptive execution, since each stratum has one cut row.
-    return marked.join(table.hinted(), "__stratum", "left").select(
-        *[quoted(c) for c in df.columns], labels.cast(kind).alias(out)
-    )
+    return marked.join(table.hinted(), "__stratum", "left").select(*columns, labels.cast(kind).alias(out))
 
 
 def random_split(
@@ -115,10 +143,11 @@ def random_split(
     seed: int = 42,
     keys: Sequence[str] | None = None,
     out: str = "split",
+    keep: Keep = store,
 ) -> DataFrame:
     """Add ``split`` in {train, val, test}, stratified when the target has classes.
 
-    ``keys`` must identify a row; without them all columns are hashed. The test
+    ``keys`` name a row; without them all columns are hashed. The test
     part has ceil(test_size * n) rows, the validation part its share of the rest.
     """
     by = target if stratify and is_stratifiable(df, target) else None
@@ -133,10 +162,10 @@ def random_split(
     kept = _allocate(counts, "n", n - n_test, "kept")
     if val_size > 0 and by is None and stratify and _may_lose_values(df, target, n_test):
         # With fewer rows left, a numeric target may now count as classes.
-        part = _cut(df, None, hashed, kept, {"0": F.col("n") - F.col("kept")}, [TEST, TRAIN], out, "string")
+        part = _cut(df, None, hashed, kept, {"0": F.col("n") - F.col("kept")}, [TEST, TRAIN], out, "string", keep)
         rest = part.where(F.col(out) == TRAIN).drop(out)
         if is_stratifiable(rest, target):
-            inner = random_split(rest, target, val_size / (1 - test_size), 0.0, True, seed, keys, out)
+            inner = random_split(rest, target, val_size / (1 - test_size), 0.0, True, seed, keys, out, keep)
             renamed = inner.withColumn(out, F.when(F.col(out) == TEST, VAL).otherwise(TRAIN))
             return part.where(F.col(out) == TEST).unionByName(renamed)
     n_val = math.ceil(val_size / (1 - test_size) * (n - n_test)) if val_size > 0 else 0
@@ -144,7 +173,7 @@ def random_split(
         _check_classes(kept, "kept", n_val)
     shares = _allocate(kept, "kept", n - n_test - n_val, "trained")
     ranks = {"0": F.col("n") - F.col("kept"), "1": F.col("n") - F.col("trained")}
-    return _cut(df, by, hashed, shares, ranks, [TEST, VAL, TRAIN], out, "string")
+    return _cut(df, by, hashed, shares, ranks, [TEST, VAL, TRAIN], out, "string", keep)
 
 
 def _may_lose_values(df: DataFrame, target: str, removed: int) -> bool:
@@ -164,13 +193,20 @@ def _cut(
     names: Sequence,
     out: str,
     kind: str,
+    keep: Keep,
 ) -> DataFrame:
     """Turn per-stratum ranks into thresholds and label the rows with them."""
     digits = prefix_digits(shares.total("n"))
     cells = [F.struct(F.lit(int(k)).alias("cut"), r.cast("long").alias("rank")) for k, r in ranks.items()]
     targets = shares.df.select("stratum", F.inline(F.array(*cells)))
-    cuts = hash_cuts(df, _stratum(by), hashed, F.broadcast(targets) if shares.small else targets, digits)
-    return _apply(df, by, hashed, cuts, names, out, kind)
+    cuts = fit_table(hash_cuts(df, _stratum(by), hashed, F.broadcast(targets) if shares.small else targets, digits))
+    if cuts.df.where("need < equal").isEmpty():
+        whole = cuts.df.withColumn("last", F.lit(None).cast("long"))
+        return _apply(df, by, hashed, whole, names, out, kind, False)
+    numbered = _numbered(df, keep)
+    rows = numbered.select(_stratum(by).alias("stratum"), hashed.alias("hash"), F.col(_ROW).alias("row"))
+    divided = cuts.df.join(tie_cuts(rows, cuts), ["stratum", "cut"], "left")
+    return _apply(numbered, by, hashed, divided, names, out, kind, True)
 
 
 def k_folds(
@@ -181,6 +217,7 @@ def k_folds(
     seed: int = 42,
     keys: Sequence[str] | None = None,
     out: str = "fold",
+    keep: Keep = store,
 ) -> DataFrame:
     """Add ``fold`` in 0..n_folds-1; sizes, and class counts per fold, differ by at most 1.
 
@@ -205,7 +242,7 @@ def k_folds(
         total = total + upto(F.col("start") + F.col("n"), fold) - upto(F.col("start"), fold)
         ranks[str(fold)] = total
     shares = fit_table(placed)
-    return _cut(df, by, hashed, shares, ranks, list(range(n_folds)), out, "int")
+    return _cut(df, by, hashed, shares, ranks, list(range(n_folds)), out, "int", keep)
 
 
 def fold_parts(df: DataFrame, n_folds: int, fold: str = "fold"):
@@ -214,6 +251,45 @@ def fold_parts(df: DataFrame, n_folds: int, fold: str = "fold"):
         yield df.where(F.col(fold) != i), df.where(F.col(fold) == i)
 
 
+@dataclass(frozen=True)
+class _Spot:
+    """The time at a rank as two numbers, with how many rows are earlier and how many at that time."""
+
+    high: float
+    low: float
+    below: int
+    equal: int
+
+    def earlier(self) -> Column:
+        return (F.col("__high") < self.high) | ((F.col("__high") == self.high) & (F.col("__low") < self.low))
+
+    def here(self) -> Column:
+        return (F.col("__high") == self.high) & (F.col("__low") == self.low)
+
+
+def _time_halves(df: DataFrame, time: str) -> tuple[Column, Column]:
+    """A time as two doubles in its order, both exact: upper and lower half of a whole number, missing last."""
+    kind = df.schema[time].dataType
+    if is_moment(kind):
+        moment = F.unix_micros(quoted(time).cast("timestamp"))
+    elif isinstance(kind, T.StringType):
+        moment = F.unix_micros(F.to_timestamp(quoted(time)))
+    elif isinstance(kind, T.IntegralType):
+        moment = quoted(time).cast("long")
+    else:
+        return F.coalesce(quoted(time).cast("double"), F.lit(_AFTER_ALL)), F.lit(0.0)
+    high = F.coalesce(F.shiftright(moment, 32).cast("double"), F.lit(2.0**31))
+    return high, F.coalesce(moment.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double"), F.lit(0.0))
+
+
+def _spot(timed: DataFrame, rank: int, n: int, limit: int) -> _Spot:
+    upper = order_statistics(timed.select("__high"), {"__high": [rank]}, {"__high": n}, limit)["__high", rank]
+    inside = timed.where(F.col("__high") == F.lit(upper.value)).select("__low")
+    place = rank - upper.below
+    lower = order_statistics(inside, {"__low": [place]}, {"__low": upper.equal}, limit)["__low", place]
+    return _Spot(upper.value, lower.value, upper.below + lower.below, lower.equal)
+
+
 def time_split(
     df: DataFrame,
     time: str,
@@ -222,40 +298,45 @@ def time_split(
     keys: Sequence[str] | None = None,
     out: str = "split",
     limit: int = EXACT_ROWS,
+    keep: Keep = store,
 ) -> DataFrame:
     """Add ``split`` by position in time order: oldest rows train, newest test.
 
-    Ties are ordered by the md5 of the row key; missing times come last. Two
-    exact order statistics give the cut points, so the table is never sorted.
+    Ties are ordered by the md5 of the row key; missing times come last. Exact
+    order statistics give the cut points, so the table is never sorted. Whole
+    numbers and times are compared exactly, whatever their size.
     """
-    kind = df.schema[time].dataType
-    moment = F.unix_micros(quoted(time).cast("timestamp")) if is_moment(kind) else quoted(time)
-    if isinstance(kind, T.StringType):
-        moment = F.unix_micros(F.to_timestamp(quoted(time)))
-    at = F.coalesce(moment.cast("double"), F.lit(_AFTER_ALL))
-    hashed = order_hash(df, keys, 0)
-    timed = df.select(at.alias("at"), hashed.alias("hash"))
+    high, low = _time_halves(df, time)
+    columns = [quoted(c) for c in df.columns]
+    marked = df.select(*columns, high.alias("__high"), low.alias("__low"), order_hash(df, keys, 0).alias("__hash"))
     n = df.count()
-    ends = [int(n * (1 - test_size - val_size)), int(n * (1 - test_size))]
-    labels = F.lit(TEST)
-    found = order_statistics(timed.select("at"), {"at": [r for r in ends if r > 0]}, {"at": n}, limit)
-    marked = df.withColumn("__at", at).withColumn("__hash", hashed)
-    for name, rank in ((VAL, ends[1]), (TRAIN, ends[0])):
-        if rank <= 0:
-            continue
-        spot = found["at", rank]
-        here = timed.where(F.col("at") == F.lit(spot.value))
-        need = rank - spot.below
-        inside = F.col("__at") < F.lit(spot.value)
-        if need >= spot.equal:
-            inside = F.col("__at") <= F.lit(spot.value)
-        else:
+    ends = {VAL: int(n * (1 - test_size)), TRAIN: int(n * (1 - test_size - val_size))}
+    spots = {name: _spot(marked, rank, n, limit) for name, rank in ends.items() if rank > 0}
+    edges, divided = {}, False
+    for name, spot in spots.items():
+        need = ends[name] - spot.below
+        if need < spot.equal:
             targets = df.sparkSession.createDataFrame([("", 0, need)], "stratum string, cut int, rank long")
             digits = prefix_digits(spot.equal)
-            edge = hash_cuts(here, F.lit(""), F.col("hash"), targets, digits).first()["threshold"]
-            inside = inside | ((F.col("__at") == F.lit(spot.value)) & (F.col("__hash") <= F.lit(edge)))
+            cut = fit_table(hash_cuts(marked.where(spot.here()), F.lit(""), F.col("__hash"), targets, digits))
+            edges[name] = (cut, cut.df.first())
+            divided = divided or edges[name][1]["need"] < edges[name][1]["equal"]
+    if divided:
+        marked = _numbered(marked, keep)
+    labels = F.lit(TEST)
+    for name, spot in spots.items():
+        inside = spot.earlier() | spot.here()
+        if name in edges:
+            cut, edge = edges[name]
+            last = None
+            if edge["need"] < edge["equal"]:
+                rows = marked.where(spot.here()).select(
+                    F.lit("").alias("stratum"), F.col("__hash").alias("hash"), F.col(_ROW).alias("row")
+                )
+                last = F.lit(tie_cuts(rows, cut).first()["last"])
+            inside = spot.earlier() | (spot.here() & _within(F.col("__hash"), F.lit(edge["threshold"]), last))
         labels = F.when(inside, F.lit(name)).otherwise(labels)
-    return marked.select(*[quoted(c) for c in df.columns], labels.alias(out))
+    return marked.select(*columns, labels.alias(out))
 
 
 def split_shapes(df: DataFrame, split: str = "split") -> DataFrame:

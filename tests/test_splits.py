@@ -89,10 +89,42 @@ def test_target_that_becomes_classes(spark):
     assert counts(split, "split")["test"] == 72
 
 
-def test_copies_stay_together(spark):
-    df = spark.range(1000).select((F.col("id") % 100).alias("k"), (F.col("id") % 2).alias("y"))
-    split = splits.random_split(df, "y", keys=["k"])
-    assert split.groupBy("k").agg(F.count_distinct("split").alias("n")).where("n > 1").count() == 0
+@pytest.fixture(scope="module")
+def repeated(spark):
+    """1,000 rows of which 400 are equal."""
+    return spark.range(1000).select(
+        F.greatest(F.col("id"), F.lit(400)).alias("k"), F.when(F.col("id") < 500, "a").otherwise("b").alias("y")
+    ).repartition(5).cache()
+
+
+@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("target", ["k", "y"])
+def test_sizes_are_exact_where_rows_repeat(repeated, seed, target):
+    split = splits.random_split(repeated, target, 0.2, 0.1, seed=seed).cache()
+    assert counts(split, "split") == {"test": 200, "val": 100, "train": 700}
+    assert split.drop("split").exceptAll(repeated).count() == 0
+    if target == "y":
+        assert counts(split, "y", "split")[("a", "test")] == 100
+
+
+@pytest.mark.parametrize("target", ["k", "y"])
+def test_folds_are_even_where_rows_repeat(repeated, monkeypatch, target):
+    assert set(counts(splits.k_folds(repeated, target, 5), "fold").values()) == {200}
+    monkeypatch.setattr(session, "SMALL_ROWS", 0)
+    assert set(counts(splits.k_folds(repeated, target, 5), "fold").values()) == {200}
+
+
+def test_time_order_of_large_whole_numbers(spark):
+    df = spark.range(1000).select("id", (F.lit(1_700_000_000_000_000_000) + F.col("id")).alias("t")).repartition(4)
+    rows = splits.time_split(df, "t", 0.2, 0.1, keys=["id"]).collect()
+    assert {r["id"]: r["split"] for r in rows} == {
+        i: "train" if i < 700 else "val" if i < 800 else "test" for i in range(1000)
+    }
+
+
+def test_time_split_of_repeated_rows(spark):
+    df = spark.range(1000).select(F.when(F.col("id") >= 900, F.lit(None)).otherwise(F.col("id") % 2).alias("t"))
+    assert counts(splits.time_split(df, "t", 0.2, 0.1), "split") == {"train": 700, "val": 100, "test": 200}
 
 
 def test_empty(spark):
