@@ -37,7 +37,8 @@ def string_columns(df: DataFrame, exclude: Iterable[str] = ()) -> list[str]:
 
 
 def as_double(name: str) -> Column:
-    return quoted(name).cast("double")
+    """The column as a double; NaN counts as missing."""
+    return F.nanvl(quoted(name).cast("double"), F.lit(None).cast("double"))
 
 
 def missing(df: DataFrame, name: str) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -13,9 +12,8 @@ from tablelearn.functions.columns import as_double, divide, is_number, quoted
 from tablelearn.functions.ordering import EXACT_ROWS, order_statistics
 from tablelearn.session import fit_table
 
-# Above this many columns the pairwise sums move from SQL aggregates, whose
-# number grows with the square, to matrix products inside the tasks.
-SQL_PAIR_COLUMNS = 4
+# A variance this small beside the sum of squares may be rounding; such pairs are looked at again.
+SUSPECT = 1e-6
 SKETCH_ERROR = 0.05
 # Texts longer than this many bytes are counted by digest.
 LONG_TEXT = 256
@@ -185,13 +183,6 @@ def variances(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
     return {c: row[f"v{i}"] for i, c in enumerate(columns)}
 
 
-def safe_corr(a: Column, b: Column) -> Column:
-    """Pearson r over rows where both are present; NULL if either is constant."""
-    both = a.isNotNull() & b.isNotNull()
-    x, y = F.when(both, a), F.when(both, b)
-    return divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-
-
 def _pair_sums(centres: list[float], names: list[str]):
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         d = len(names)
@@ -215,49 +206,72 @@ def _pair_sums(centres: list[float], names: list[str]):
     return sums
 
 
+def _pair_ranges(names: list[str], pairs: list[tuple[int, int]]):
+    """Least and largest value of both columns of each pair where both are present, per partition."""
+
+    def ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ends = np.tile([np.inf, -np.inf, np.inf, -np.inf], (len(pairs), 1))
+        for batch in batches:
+            raw = batch[names].to_numpy(dtype="float64", na_value=np.nan)
+            there = ~np.isnan(raw)
+            for k, (i, j) in enumerate(pairs):
+                both = there[:, i] & there[:, j]
+                if both.any():
+                    x, y = raw[both, i], raw[both, j]
+                    ends[k, ::2] = np.minimum(ends[k, ::2], [x.min(), y.min()])
+                    ends[k, 1::2] = np.maximum(ends[k, 1::2], [x.max(), y.max()])
+        left, right = np.array(pairs, dtype="int32").T
+        yield pd.DataFrame({"i": left, "j": right, **{c: ends[:, k] for k, c in enumerate(("x0", "x1", "y0", "y1"))}})
+
+    return ranges
+
+
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson r of every column pair: ``i, j, left, right, r`` with i < j.
 
-    Nulls are dropped pair by pair and a constant column gives NULL. Few columns
-    use SQL aggregates; many use one matrix product per partition.
+    Nulls and NaN are dropped pair by pair. A column that is constant where both are
+    present gives NULL: pairs whose variance could be rounding are compared by least
+    and largest value. Sums come from one matrix product per batch, whatever the
+    number of columns.
     """
     names = list(columns)
     spark = df.sparkSession
-    pairs = list(itertools.combinations(range(len(names)), 2))
-    if not pairs:
+    if len(names) < 2:
         return spark.createDataFrame([], "i int, j int, left string, right string, r double")
-    if len(names) <= SQL_PAIR_COLUMNS:
-        row = df.agg(
-            *[safe_corr(as_double(names[i]), as_double(names[j])).alias(f"r_{i}_{j}") for i, j in pairs]
-        )
-        cells = [
-            F.struct(
-                F.lit(i).alias("i"),
-                F.lit(j).alias("j"),
-                F.lit(names[i]).alias("left"),
-                F.lit(names[j]).alias("right"),
-                F.col(f"r_{i}_{j}").alias("r"),
-            )
-            for i, j in pairs
-        ]
-        return row.select(F.inline(F.array(*cells)))
     # Centre first: sums of raw squares would lose the digits r depends on.
     centre = means(df, names)
-    parts = df.select(*[as_double(c).alias(c) for c in names]).mapInPandas(
+    values = df.select(*[as_double(c).alias(c) for c in names])
+    parts = values.mapInPandas(
         _pair_sums([centre[c] or 0.0 for c in names], names),
         "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double",
     )
-    total = parts.groupBy("i", "j").agg(*[F.sum(k).alias(k) for k in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    total = fit_table(
+        parts.groupBy("i", "j").agg(*[F.sum(k).alias(k) for k in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    )
     cov = F.col("sxy") - divide(F.col("sx") * F.col("sy"), F.col("n"))
     vx = F.col("sxx") - divide(F.col("sx") * F.col("sx"), F.col("n"))
     vy = F.col("syy") - divide(F.col("sy") * F.col("sy"), F.col("n"))
-    # Rounding can leave a constant column with a variance just above zero.
-    flat = (vx <= 1e-14 * F.col("sxx")) | (vy <= 1e-14 * F.col("syy"))
+    suspect = total.df.where((vx <= SUSPECT * F.col("sxx")) | (vy <= SUSPECT * F.col("syy"))).where("n > 0")
+    doubtful = [(r["i"], r["j"]) for r in suspect.select("i", "j").collect()]
+    found = total.df.withColumn("flat", F.col("n") <= 0)
+    if doubtful:
+        ends = (
+            values.mapInPandas(
+                _pair_ranges(names, doubtful), "i int, j int, x0 double, x1 double, y0 double, y1 double"
+            )
+            .groupBy("i", "j")
+            .agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
+        )
+        constant = fit_table(ends.where("x0 >= x1 or y0 >= y1").select("i", "j", F.lit(True).alias("constant")))
+        found = found.join(constant.hinted(), ["i", "j"], "left").withColumn(
+            "flat", F.col("flat") | F.coalesce("constant", F.lit(False))
+        )
     label = F.array(*[F.lit(c) for c in names])
-    return total.select(
+    spread = F.sqrt(F.greatest(vx, F.lit(0.0)) * F.greatest(vy, F.lit(0.0)))
+    return found.select(
         "i",
         "j",
         F.element_at(label, F.col("i") + 1).alias("left"),
         F.element_at(label, F.col("j") + 1).alias("right"),
-        F.when(~flat, divide(cov, F.sqrt(F.greatest(vx, F.lit(0.0)) * F.greatest(vy, F.lit(0.0))))).alias("r"),
+        F.when(~F.col("flat"), divide(cov, spread)).alias("r"),
     )

@@ -130,9 +130,7 @@ def test_distinct_counts(spark):
     assert counts["a"] == 14 and counts["n"] == 0 and counts["id"] > 3000
 
 
-@pytest.mark.parametrize("sql_columns", [1, 99])
-def test_correlations(spark, monkeypatch, sql_columns):
-    monkeypatch.setattr(stats, "SQL_PAIR_COLUMNS", sql_columns)
+def test_correlations(spark):
     df = spark.range(500).select(
         (F.sin(F.col("id") * 1.0) + 1e6).alias("a"),
         F.when(F.col("id") % 7 != 0, F.cos(F.col("id") * 0.3)).alias("b"),
@@ -147,6 +145,45 @@ def test_correlations(spark, monkeypatch, sql_columns):
             assert r["r"] == pytest.approx(expected.loc[r["left"], r["right"]], abs=1e-9)
 
 
+@pytest.mark.parametrize("width", [2, 3, 4, 5, 12])
+def test_gaps_give_one_answer_for_any_width(spark, width):
+    columns = [F.when(F.col("id") % 97 == 0, F.lit(float("nan"))).otherwise(F.sin(F.col("id") * 1.0)).alias("c0")]
+    columns += [F.when(F.col("id") % (20 + k) != 0, F.cos(F.col("id") * (k + 0.5))).alias(f"c{k}") for k in range(1, width)]
+    df = spark.range(4000).select(*columns)
+    expected = df.toPandas().corr()
+    found = stats.correlations(df, df.columns).collect()
+    assert len(found) == width * (width - 1) // 2
+    for r in found:
+        assert r["r"] == pytest.approx(expected.loc[r["left"], r["right"]], abs=1e-9)
+
+
+@pytest.mark.parametrize("n", [1000, 2_000_000])
+def test_constant_where_the_partner_is_present(spark, n):
+    df = spark.range(n).select(
+        F.when(F.col("id") % 2 == 0, F.lit(0.1)).otherwise(F.col("id") / n).alias("a"),
+        F.when(F.col("id") % 2 == 0, F.sin(F.col("id") * 1.0)).alias("b"),
+        (F.lit(1e9) + F.cos(F.col("id") * 0.7)).alias("c"),
+        (F.lit(-1e9) + F.cos(F.col("id") * 0.7)).alias("d"),
+    )
+    found = {(r["left"], r["right"]): r["r"] for r in stats.correlations(df, df.columns).collect()}
+    assert found["a", "b"] is None and found["c", "d"] == pytest.approx(1, abs=1e-6)
+
+
+def test_a_stuck_search_does_not_stop_the_others(spark):
+    df = spark.range(200_000).select((F.col("id") % 2).cast("double").alias("half"), F.rand(3).alias("price")).cache()
+    prices = np.sort(df.select("price").toPandas()["price"])
+    wanted = {"half": [100_000, 100_001], "price": [50_000, 100_000]}
+    found = ordering.order_statistics(df, wanted, {"half": 200_000, "price": 200_000}, limit=10)
+    assert (found["half", 100_000].value, found["half", 100_001].value) == (0.0, 1.0)
+    assert found["price", 50_000].value == prices[49_999] and found["price", 100_000].value == prices[99_999]
+
+
+def test_different_keys_have_different_hashes(spark):
+    rows = [("1-2", "3"), ("1", "2-3"), (None, "x"), ("", "x"), ("\\0", "x"), ("\\", "-x"), ("\\-", "x")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    assert df.select(ordering.order_hash(df, None, 1)).distinct().count() == len(rows)
+
+
 def test_variances_and_moments(spark):
     df = spark.createDataFrame([(2.0, 5.0), (1.0, None), (7.0, None), (9.0, None)], "a double, b double")
     v = stats.variances(df, ["a", "b"])
