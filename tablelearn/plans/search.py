@@ -5,10 +5,12 @@ from __future__ import annotations
 import logging
 import time
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.evaluation import (
     Evaluator,
@@ -16,8 +18,7 @@ from pyspark.ml.evaluation import (
     RegressionEvaluator,
 )
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.storagelevel import StorageLevel
 
 from tablelearn.functions import metrics
@@ -206,28 +207,32 @@ class Trainer:
         return Candidate(name, model, params, scores, time.time() - start)
 
     def _search(self, name: str, space, ready: DataFrame, shape: Shape) -> tuple[dict[str, Any], Model]:
+        """Best draw by its mean score over the folds, and a fit of it on all rows.
+
+        Every fit knows its own number of rows, which the penalty of a family may depend on.
+        """
         draws = sample_params(space, self.n_trials, self.seed)
-        trials = [estimator(self.task, name, p, shape) for p in draws]
-        search = CrossValidator(
-            estimator=trials[0],
-            estimatorParamMaps=[_param_map(trials[0], t) for t in trials],
-            evaluator=scorer(self.task, self.metric),
-            numFolds=self.cv_folds,
-            foldCol=FOLD,
-            parallelism=self.parallelism,
-            seed=self.seed,
-        )
-        result = search.fit(ready)
-        means = result.avgMetrics
-        better = max if search.getEvaluator().isLargerBetter() else min
-        return draws[means.index(better(means))], result.bestModel
-
-
-def _param_map(base: Estimator, trial: Estimator) -> dict:
-    """What sets ``trial`` apart, as parameters that can be applied to ``base``."""
-    if base.hasParam("classifier"):
-        return {base.getParam("classifier"): trial.getClassifier()}
-    return {base.getParam(p.name): v for p, v in trial.extractParamMap().items() if trial.isSet(p)}
+        judge = scorer(self.task, self.metric)
+        sizes = {r[FOLD]: r["count"] for r in ready.groupBy(FOLD).count().collect()}
+
+        def score(job: tuple[dict[str, Any], int]) -> float:
+            params, fold = job
+            fitted = estimator(self.task, name, params, replace(shape, rows=shape.rows - sizes[fold]))
+            model = fitted.fit(ready.where(F.col(FOLD) != fold))
+            return judge.evaluate(model.transform(ready.where(F.col(FOLD) == fold)))
+
+        folds = sorted(sizes)
+        scores = in_parallel(score, [(p, f) for p in draws for f in folds], self.parallelism, ready.sparkSession)
+        means = [sum(scores[i : i + len(folds)]) / len(folds) for i in range(0, len(scores), len(folds))]
+        better = max if judge.isLargerBetter() else min
+        best = draws[means.index(better(means))]
+        return best, estimator(self.task, name, best, shape).fit(ready)
+
+
+def in_parallel(work: Callable, jobs: Sequence, parallelism: int, spark: SparkSession) -> list:
+    """Results in the order of the jobs, of which so many run at a time."""
+    with ThreadPool(max(1, min(parallelism, len(jobs)))) as pool:
+        return pool.map(inheritable_thread_target(spark)(work), jobs)
 
 
 def results_table(result: TrainResult, df: DataFrame) -> DataFrame:
@@ -252,6 +257,7 @@ def fold_scores(
     seed: int = 42,
     keys: Sequence[str] | None = None,
     classes: Sequence | None = None,
+    parallelism: int = 2,
 ) -> dict[str, list[float]]:
     """Score of a refit per candidate and fold: weighted F1 for classes, r2 for numbers.
 
@@ -269,13 +275,16 @@ def fold_scores(
     ready = ready.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         sizes = {r[FOLD]: r["count"] for r in ready.groupBy(FOLD).count().collect()}
-        scored = []
-        for i in range(folds):
-            rest, held = ready.where(F.col(FOLD) != i), ready.where(F.col(FOLD) == i)
+
+        def refit(job: tuple[int, Candidate]) -> DataFrame:
+            i, c = job
             shape = Shape(task, sum(sizes.values()) - sizes.get(i, 0), len(classes or ()), seed)
-            for c in candidates:
-                model = estimator(task, c.name, c.params, shape).fit(rest)
-                scored.append(model.transform(held).select(F.lit(c.name).alias("model"), FOLD, LABEL, "prediction"))
+            model = estimator(task, c.name, c.params, shape).fit(ready.where(F.col(FOLD) != i))
+            held = model.transform(ready.where(F.col(FOLD) == i))
+            return held.select(F.lit(c.name).alias("model"), FOLD, LABEL, "prediction")
+
+        jobs = [(i, c) for i in range(folds) for c in candidates]
+        scored = in_parallel(refit, jobs, parallelism, df.sparkSession)
         stacked = reduce(DataFrame.unionByName, scored)
         if task == "classification":
             wide = metrics.classification_wide(stacked, LABEL, "prediction", ["model", FOLD])
