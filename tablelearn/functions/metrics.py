@@ -19,15 +19,16 @@ EPSILON = 2.220446049250313e-16
 
 CLASSIFICATION = ("accuracy", "precision", "recall", "f1")
 REGRESSION = ("mae", "mse", "rmse", "r2", "mape")
-LOWER_IS_BETTER = ("mae", "mse", "rmse", "mape")
+LOWER_IS_BETTER = {"mae", "mse", "rmse", "mape"}
 
 # Metrics a user adds: name -> function of (label, prediction) columns giving an aggregate.
 CUSTOM: dict[str, Callable[[Column, Column], Column]] = {}
 
 
-def add_metric(name: str, aggregate: Callable[[Column, Column], Column]) -> None:
-    """Make an extra aggregate part of ``regression`` and ``classification`` tables."""
+def add_metric(name: str, aggregate: Callable[[Column, Column], Column], lower_is_better: bool = False) -> None:
+    """Make an extra aggregate part of ``regression`` and ``classification`` tables, ranked by its direction."""
     CUSTOM[name] = aggregate
+    (LOWER_IS_BETTER.add if lower_is_better else LOWER_IS_BETTER.discard)(name)
 
 
 def pair_counts(df: DataFrame, label: str, prediction: str, by: Sequence[str] = ()) -> DataFrame:

@@ -30,12 +30,10 @@ from tablelearn.functions.columns import (
     string_columns,
 )
 from tablelearn.functions.ordering import global_rank
-from tablelearn.session import FittedTable, fit_table
+from tablelearn.session import SMALL_ROWS, FittedTable, fit_table
 
 # Text that stands for a missing value in label encoding and one-hot names.
 MISSING_TEXT = "nan"
-# A table with more columns than this is no longer workable; use codes instead.
-MAX_CATEGORIES = 10_000
 
 
 class JsonStage(Transformer, DefaultParamsReadable, DefaultParamsWritable):
@@ -120,19 +118,16 @@ class DropMissing(JsonStage):
 
 
 class OneHot(_Learner):
-    """One 0/1 column per category, sorted, after the other columns; unseen is all 0."""
+    """One 0/1 column per category, sorted, after the other columns; unseen is all 0.
 
-    def __init__(self, columns=None, exclude=(), max_categories: int = MAX_CATEGORIES):
-        super().__init__(columns, exclude)
-        self.max_categories = max_categories
+    Every category becomes a column of the table, so all of them reach the driver.
+    """
 
     def _fit(self, df: DataFrame) -> OneHotApplied:
         columns = self.columns if self.columns is not None else string_columns(df, self.exclude)
         if not columns:
             return OneHotApplied(categories={})
-        found = _key_counts(df, columns).limit(self.max_categories + 1).collect()
-        if len(found) > self.max_categories:
-            raise ValueError(f"more than {self.max_categories} categories; use label or target encoding")
+        found = _key_counts(df, columns).collect()
         categories: dict[str, list] = {c: [] for c in columns}
         for row in found:
             categories[columns[row["feature"]]].append(row["key"])
@@ -197,14 +192,27 @@ class _Dictionary(JsonStage):
     def read(cls):
         return _DictionaryReader(cls)
 
+    def _tables(self) -> list[FittedTable]:
+        """The dictionary of each column: a small one stays small beside a large one."""
+        if self.table.small:
+            return [self.table] * len(self.known["columns"])
+        if not hasattr(self, "_own"):
+            counted = self.table.df.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
+            sizes = {r["feature"]: r["n"] for r in counted.collect()}
+            self._own = [
+                fit_table(self.table.df.where(F.col("feature") == i)) if sizes.get(i, 0) <= SMALL_ROWS else self.table
+                for i in range(len(self.known["columns"]))
+            ]
+        return self._own
+
     def _replace(self, df: DataFrame, key: Callable[[Column], Column], default: Column) -> DataFrame:
         known = self.known
         order = df.columns
-        for i, c in enumerate(known["columns"]):
-            entries = self.table.df.where(F.col("feature") == i).select(
+        for i, (c, own) in enumerate(zip(known["columns"], self._tables())):
+            entries = own.df.where(F.col("feature") == i).select(
                 F.col("key").alias("__key"), F.col("n").alias("__n"), F.col("value").alias("__value")
             )
-            df = _lookup(df.withColumn("__key", key(quoted(c).cast("string"))), entries, self.table.small, known["rows"])
+            df = _lookup(df.withColumn("__key", key(quoted(c).cast("string"))), entries, own.small, known["rows"])
             df = df.withColumn(c, F.coalesce("__value", default)).drop("__key", "__value")
         return df.select(*[quoted(c) for c in order])
 

@@ -9,15 +9,10 @@ from pyspark.sql import DataFrame, functions as F
 from tablelearn.functions.columns import quoted
 from tablelearn.operators.features import JsonStage
 
-# Spark's classifiers keep per-class state on the driver; far fewer classes are usual.
-MAX_CLASSES = 10_000
-
 
 def class_list(df: DataFrame, target: str) -> list:
-    """Distinct labels in natural order."""
-    found = df.select(quoted(target).alias("c")).where("c is not null").distinct().limit(MAX_CLASSES + 1).collect()
-    if len(found) > MAX_CLASSES:
-        raise ValueError(f"{target} has more than {MAX_CLASSES} distinct values; is this a regression?")
+    """Distinct labels in natural order. They reach the driver, as every classifier keeps its classes there."""
+    found = df.select(quoted(target).alias("c")).where("c is not null").distinct().collect()
     return sorted(r["c"] for r in found)
 
 

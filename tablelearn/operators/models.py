@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tablelearn.operators.features import JsonStage
 
 FEATURES, LABEL = "features", "__label"
+# Values of a column that trees may split at, unless ``max_bins`` says otherwise.
+BINS = 256
 
 
 # ---------------------------------------------------------------- search spaces
@@ -140,8 +142,11 @@ def logistic(params: Mapping[str, Any], shape: Shape) -> Estimator:
 
 
 def linear(params: Mapping[str, Any], shape: Shape) -> Estimator:
-    # The normal equations fit in one pass but take at most 4,096 columns.
-    return LinearRegression(featuresCol=FEATURES, labelCol=LABEL, solver="auto", regParam=0.0, **params)
+    # The normal equations fit in one pass but take at most 4,096 columns; beyond, the
+    # steps go on until the fit is the same to many digits.
+    return LinearRegression(
+        featuresCol=FEATURES, labelCol=LABEL, **{"solver": "auto", "regParam": 0.0, "tol": 1e-12, "maxIter": 1000, **params}
+    )
 
 
 def forest(params: Mapping[str, Any], shape: Shape) -> Estimator:
@@ -154,6 +159,7 @@ def forest(params: Mapping[str, Any], shape: Shape) -> Estimator:
         seed=shape.seed,
         numTrees=params.get("n_estimators", 100),
         maxDepth=params.get("max_depth") or 30,
+        maxBins=params.get("max_bins", BINS),
         minInstancesPerNode=params.get("min_samples_leaf", 1),
         bootstrap=params.get("bootstrap", True),
         # Splits of a regression tree may use any column, of a class tree a few.
@@ -176,6 +182,7 @@ def boosted_by_depth(params: Mapping[str, Any], shape: Shape) -> Estimator:
     return _boosted(
         shape,
         maxIter=params.get("n_estimators", 100),
+        maxBins=params.get("max_bins", BINS),
         maxDepth=params.get("max_depth", 6),
         stepSize=params.get("learning_rate", 0.3),
         subsamplingRate=params.get("subsample", 1.0),
@@ -189,6 +196,7 @@ def boosted_by_leaves(params: Mapping[str, Any], shape: Shape) -> Estimator:
     return _boosted(
         shape,
         maxIter=params.get("n_estimators", 100),
+        maxBins=params.get("max_bins", BINS),
         maxDepth=min(params.get("max_depth") or by_leaves, by_leaves),
         stepSize=params.get("learning_rate", 0.1),
         subsamplingRate=params.get("subsample", 1.0),

@@ -17,6 +17,8 @@ from tablelearn.functions.columns import numeric_columns, quoted
 from tablelearn.operators.labels import index_label
 
 IMPORTANCE_TREES = 50
+# Trees grow until their leaves are pure; this is the deepest that Spark allows.
+IMPORTANCE_DEPTH = 30
 IMPORTANCE_SEED = 42
 
 # Why a column was dropped.
@@ -80,7 +82,7 @@ def variance_filter(df: DataFrame, threshold: float = 0.01, exclude: Sequence[st
 
 
 def _forest(task: str) -> Estimator:
-    settings = {"numTrees": IMPORTANCE_TREES, "seed": IMPORTANCE_SEED, "featuresCol": "features", "labelCol": "__label"}
+    settings = {"numTrees": IMPORTANCE_TREES, "maxDepth": IMPORTANCE_DEPTH, "seed": IMPORTANCE_SEED, "featuresCol": "features", "labelCol": "__label"}
     if task == "classification":
         return RandomForestClassifier(**settings)
     return RandomForestRegressor(**settings, featureSubsetStrategy="all")

@@ -12,7 +12,7 @@ from tablelearn.functions.columns import nan_to_null
 
 def _found(load, path: str, kind: str) -> DataFrame:
     try:
-        return nan_to_null(load())
+        return load()
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error):
             raise FileNotFoundError(f"{kind} file not found: {path}") from error
@@ -23,10 +23,11 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     """CSV with a header. Pass ``schema`` on large inputs: inferring reads the file twice."""
     reader = spark.read.options(**{"header": True, **options})
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    return _found(lambda: reader.csv(str(path)), path, "CSV")
+    return nan_to_null(_found(lambda: reader.csv(str(path)), path, "CSV"))
 
 
 def read_parquet(spark: SparkSession, path: str, **options) -> DataFrame:
+    """Parquet as it is, so that filters on every column reach the files; operators read NaN as missing."""
     return _found(lambda: spark.read.options(**options).parquet(str(path)), path, "Parquet")
 
 
@@ -36,11 +37,14 @@ def read_json_payload(
     """Landed API responses: a list of objects, an object with ``data``, or one object.
 
     One response per file, or with ``lines`` one per line, which splits large files.
+    The shape is that of the top level: rows of a list keep their columns, also one
+    named ``data``; only a response that is one object is replaced by its ``data``.
+    All files of a path have one shape. With ``lines`` a line is one object.
     """
     reader = spark.read.option("multiLine", not lines)
     raw = _found(lambda: (reader.schema(schema) if schema is not None else reader).json(str(path)), path, "JSON")
-    if "data" not in raw.columns:
-        return raw
+    if "data" not in raw.columns or (not lines and _is_list(spark, path)):
+        return nan_to_null(raw)
     kind = raw.schema["data"].dataType
     if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
         return nan_to_null(raw.select(F.inline("data")))
@@ -49,6 +53,12 @@ def read_json_payload(
     return raw
 
 
+def _is_list(spark: SparkSession, path: str) -> bool:
+    """Whether the responses begin with a bracket; looks at the first line with text of one file."""
+    first = spark.read.text(str(path)).where(F.col("value").rlike(r"\S")).take(1)
+    return bool(first) and first[0]["value"].lstrip("\ufeff \t").startswith("[")
+
+
 def jdbc_options(
     url: str,
     query: str,
