@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 from typing import Any
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import (
     DefaultParamsReadable,
@@ -276,6 +277,48 @@ class LabelCoded(_Dictionary):
         return self._replace(df, lambda k: F.coalesce(k, F.lit(MISSING_TEXT)), F.lit(-1).cast("long"))
 
 
+class OneHotVector(_Learner):
+    """All categories of all columns as one sparse 0/1 vector, for models; unseen is all 0.
+
+    The columns are replaced by the vector ``out``, whose places follow the columns
+    and in each the code-point order of its categories, a missing value being one.
+    The categories stay a distributed table, so their number has no limit but the
+    size of a vector.
+    """
+
+    def __init__(self, columns=None, exclude=(), out: str = "categories"):
+        super().__init__(columns, exclude)
+        self.out = out
+
+    def _fit(self, df: DataFrame) -> PipelineModel:
+        columns = self.columns if self.columns is not None else string_columns(df, self.exclude)
+        if not columns:
+            return PipelineModel(stages=[])
+        coded = LabelCodes(columns).fit(df)
+        counted = coded.table.df.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()
+        sizes = {columns[r["feature"]]: r["n"] for r in counted}
+        parts = [f"{c}_flags" for c in columns]
+        # The encoder learns sizes only, which are known: one row holds them.
+        last = df.sparkSession.createDataFrame([tuple(float(max(sizes.get(c, 0) - 1, 0)) for c in columns)], list(columns))
+        flags = OneHotEncoder(inputCols=list(columns), outputCols=parts, handleInvalid="keep").fit(last)
+        vector = VectorAssembler(inputCols=parts, outputCol=self.out)
+        return PipelineModel(stages=[coded, UnseenLast(sizes=sizes), flags, vector, Dropped(columns=[*columns, *parts])])
+
+
+class UnseenLast(JsonStage):
+    """Codes of unseen categories become the number of categories, which the encoder leaves out."""
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        sizes = self.known["sizes"]
+        return df.withColumns({c: F.when(quoted(c) < 0, F.lit(n)).otherwise(quoted(c)).cast("double") for c, n in sizes.items()})
+
+
+class Dropped(JsonStage):
+    def _transform(self, df: DataFrame) -> DataFrame:
+        gone = set(self.known["columns"])
+        return df.select(*[quoted(c) for c in df.columns if c not in gone])
+
+
 class TargetMeans(_Learner):
     """Replace categories by the mean target; unseen and null take the global mean."""
 
@@ -298,13 +341,15 @@ class TargetMeansApplied(_Dictionary):
         return self._replace(df, lambda k: k, F.lit(self.known["mean"]).cast("double"))
 
 
-ENCODERS = ("onehot", "label", "target")
+ENCODERS = ("onehot", "onehot_vector", "label", "target")
 
 
 def encoder(strategy: str = "onehot", target: str | None = None, columns=None, exclude=()) -> Estimator:
     """The encoding stage for a strategy name."""
     if strategy == "onehot":
         return OneHot(columns, exclude)
+    if strategy == "onehot_vector":
+        return OneHotVector(columns, exclude)
     if strategy == "label":
         return LabelCodes(columns, exclude)
     if strategy == "target":

@@ -101,6 +101,8 @@ class _Plan:
                 self.rules.append((F.lit(True), _issue("range", c, text, "warning")))
                 continue
             x = quoted(c) if is_number(fields[c]) else quoted(c).cast("int")
+            if isinstance(fields[c], (T.DoubleType, T.FloatType)):
+                x = F.when(~F.isnan(x), x)
             least, most = self.stat(f"min_{i}", F.min(x)), self.stat(f"max_{i}", F.max(x))
             for seen, bad, word, sign, limit in (
                 (least, least < low, "min", "<", low),

@@ -225,3 +225,42 @@ def test_stages_survive_storage(spark, tmp_path, mixed):
     model.write().save(str(tmp_path / "m"))
     back = PipelineModel.load(str(tmp_path / "m"))
     assert back.transform(mixed).exceptAll(model.transform(mixed)).count() == 0
+
+
+def test_one_hot_vector_says_the_same_as_columns(spark, tmp_path):
+    rows = [("b", "x", 1.0), ("a", None, 2.0), ("c", "y", 3.0), (None, "x", 4.0)]
+    df = spark.createDataFrame(rows, "s string, t string, n double")
+    later = spark.createDataFrame([("zzz", "y", 5.0), ("a", "zzz", 6.0), (None, None, 7.0)], "s string, t string, n double")
+    dense, sparse = fe.OneHot().fit(df), fe.OneHotVector().fit(df)
+    sparse.write().save(str(tmp_path / "m"))
+    for frame in (df, later):
+        flags = {r["n"]: sum(v for k, v in r.asDict().items() if k != "n") for r in dense.transform(frame).collect()}
+        for model in (sparse, PipelineModel.load(str(tmp_path / "m"))):
+            out = model.transform(frame)
+            assert out.columns == ["n", "categories"]
+            for r in out.collect():
+                assert r["categories"].size == 7 and r["categories"].toArray().sum() == flags[r["n"]]
+
+
+def test_one_hot_vector_of_very_many_categories(spark):
+    df = spark.range(12_000).select(F.concat(F.lit("k"), "id").alias("s"), "id")
+    out = fe.OneHotVector(["s"]).fit(df).transform(df)
+    places = {int(r["categories"].indices[0]) for r in out.select("categories").collect()}
+    assert places == set(range(12_000)) and out.columns == ["id", "categories"]
+
+
+@pytest.mark.parametrize("strategy", fe.SCALERS)
+def test_nan_is_no_value_to_a_scaler(spark, strategy):
+    df = spark.createDataFrame([(1.0,), (2.0,), (4.0,), (float("nan"),)], "x double")
+    got = [r["x"] for r in fe.Scale(strategy).fit(df).transform(df).collect()]
+    clean = df.where("not isnan(x)")
+    assert got[:3] == [r["x"] for r in fe.Scale(strategy).fit(clean).transform(clean).collect()] and got[3] is None
+
+
+def test_a_small_dictionary_is_broadcast_beside_a_large_one(spark, monkeypatch):
+    df = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("large"), (F.col("id") % 5).cast("string").alias("small"))
+    monkeypatch.setattr(session, "SMALL_ROWS", 100)
+    monkeypatch.setattr(fe, "SMALL_ROWS", 100)
+    model = fe.LabelCodes(["large", "small"]).fit(df)
+    assert [t.small for t in model._tables()] == [False, True]
+    assert model.transform(df).agg(F.max("large"), F.max("small")).first() == (2999, 4)

@@ -2,8 +2,10 @@ import dataclasses
 
 import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
+from tablelearn.operators.features import DropMissing
 from tablelearn.plans import job as jobs
 from tablelearn.plans.registry import Registry, RunLog
 from tablelearn.plans.spec import EvaluationSpec, FeatureSpec, JobSpec, TrainingSpec
@@ -131,3 +133,21 @@ def test_spec_from_mapping():
     for bad in ({"name": "n"}, ["x"], {"name": "n", "data_source": "d", "target_column": "t", "colour": 1}):
         with pytest.raises(ValueError):
             JobSpec.from_mapping(bad)
+
+
+def test_a_champion_that_cannot_be_loaded_stays(spark, tmp_path, flowers, monkeypatch):
+    registry = Registry(spark, str(tmp_path))
+    stage = DropMissing(["id"])
+    for _ in range(2):
+        run_id = registry.register(PipelineModel(stages=[stage]), "m")
+    registry.set_stage("m", 1)
+
+    def broken(name):
+        raise OSError("storage is away")
+
+    monkeypatch.setattr(registry, "load_production", broken)
+    with pytest.raises(OSError):
+        jobs.promote(registry, "m", run_id, None, flowers, flower_spec())
+    assert registry.production("m")["version"] == 1
+    told = jobs.tolerated("promotion", lambda: broken("m"), lambda error: f"error: {error}")
+    assert told == "error: storage is away"

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablelearn.functions import metrics
+from tablelearn.operators import compare
 
 
 def as_dict(long):
@@ -118,3 +119,14 @@ def test_evaluate_by_task(spark):
     df = spark.createDataFrame([(1, 1), (0, 1)], "y int, p int")
     assert set(as_dict(metrics.evaluate(df, "classification", "y", "p"))) == set(metrics.CLASSIFICATION)
     assert set(as_dict(metrics.evaluate(df, "anything", "y", "p"))) == set(metrics.REGRESSION)
+
+
+def test_an_added_loss_ranks_the_smaller_first(spark):
+    metrics.add_metric("loss", lambda y, p: F.avg(F.abs(y - p)), lower_is_better=True)
+    try:
+        scores = spark.createDataFrame([("a", 0, "loss", 0.9), ("b", 1, "loss", 0.1)], "model string, position int, metric string, value double")
+        ranked = compare.rank_models(scores, "loss").orderBy("rank").collect()
+        assert [r["model"] for r in ranked] == ["b", "a"]
+    finally:
+        metrics.CUSTOM.pop("loss")
+        metrics.LOWER_IS_BETTER.discard("loss")

@@ -77,3 +77,24 @@ def test_projections(spark):
     assert keep_columns(df, ["d d", "a"]).columns == ["d d", "a"]
     with pytest.raises(ValueError):
         keep_columns(df, ["z"])
+
+
+@pytest.mark.parametrize(
+    "text, rows",
+    [
+        ('[{"id": 1, "data": [{"x": 1}, {"x": 2}]}, {"id": 2, "data": []}]', [(1, 2), (2, 0)]),
+        ('\n  [{"id": 3, "data": [{"x": 1}]}]', [(3, 1)]),
+    ],
+)
+def test_a_list_keeps_a_column_called_data(spark, tmp_path, text, rows):
+    (tmp_path / "a.json").write_text(text)
+    found = read_json_payload(spark, str(tmp_path / "a.json"))
+    assert sorted((r["id"], len(r["data"])) for r in found.collect()) == rows
+
+
+def test_filters_on_doubles_reach_the_files(spark, sf):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    df = read_source(spark, f"{sf}/lineitem.parquet").where("l_extendedprice > 100000 AND l_orderkey > 5")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "GreaterThan(l_extendedprice" in plan and "GreaterThan(l_orderkey" in plan
