@@ -1,9 +1,10 @@
 """Near-duplicate vectors, found with a forest of random-projection trees.
 
 1. Equal vectors of a label are one node, known by a 64-bit digest.
-2. Trees are fitted on a bounded sample: each inner node splits at the median of the
-   projections on a random direction. Every vector is routed through all trees; near
-   a split it goes to both sides (spill overlap), so that close vectors seldom part.
+2. Trees are fitted on a bounded sample: each inner node splits the projections on a
+   random direction between their quarter points, where they are sparsest. Every vector
+   is routed through all trees; near a split it goes to both sides (spill overlap), so
+   that close vectors seldom part.
 3. In each leaf, for each label, in cells of bounded size, all cosines are computed;
    the links found connect nodes to clusters, and all pairs of a cluster are then
    compared once, which gives the numbers of links.
@@ -27,6 +28,9 @@ TREES = 8
 # Vectors the trees are fitted on, about; a documented bound, all vectors are routed and compared.
 FIT_ROWS = 20_000
 LEAF = 40
+# A node whose best cut would send more than this share of it to both sides stays a leaf: a dense
+# group is compared in cells instead of being copied at every level.
+MOST_DOUBLED = 0.25
 # Half width of the overlap, in standard deviations of the difference of two vectors at the threshold.
 OVERLAP = 0.75
 SEED = 5
@@ -69,8 +73,8 @@ def fit_tree(sample: np.ndarray, seed: int, leaf: int = LEAF) -> Tree:
         direction = rng.normal(size=sample.shape[1])
         direction /= np.linalg.norm(direction)
         side = sample[held] @ direction
-        cut = float(np.median(side))
-        if not (side <= cut).any() or not (side > cut).any():
+        cut, doubled = _best_cut(side, overlap_width(sample.shape[1]))
+        if doubled > MOST_DOUBLED * len(held):
             continue
         directions[node], cuts[node] = direction, cut
         open_nodes.append((2 * node + 1, held[side <= cut]))
@@ -78,6 +82,17 @@ def fit_tree(sample: np.ndarray, seed: int, leaf: int = LEAF) -> Tree:
     return Tree(sample.shape[1], directions, cuts)
 
 
+def _best_cut(side: np.ndarray, overlap: float) -> tuple[float, int]:
+    """(the cut between the quarter points with the fewest vectors in its overlap, their number)."""
+    order = np.sort(side)
+    low, high = len(order) // 4, max(len(order) // 4 + 1, 3 * len(order) // 4)
+    cuts = (order[low:high] + order[low + 1 : high + 1]) / 2
+    doubled = np.searchsorted(order, cuts + overlap, side="right") - np.searchsorted(order, cuts - overlap)
+    # The most even one of the best.
+    best = min(range(len(cuts)), key=lambda i: (doubled[i], abs(i + low - len(order) // 2)))
+    return float(cuts[best]), int(doubled[best])
+
+
 def overlap_width(size: int) -> float:
     """Unit vectors at the threshold are this far apart on a random direction, times OVERLAP."""
     return OVERLAP * float(np.sqrt(2 - 2 * COSINE) / np.sqrt(size))
