@@ -294,8 +294,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), "text")
     found = find_segments(named)
-    repeated = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    occurrences = store(found.join(repeated.select("anchor"), "anchor", "left_semi"), "occurrences")
+    # Written, so that the join that follows has two plain shuffles, of which Spark splits large partitions.
+    repeated = store(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
+    occurrences = store(found.join(repeated, "anchor", "left_semi"), "occurrences")
     firsts = store(
         occurrences.groupBy("anchor", "content")
         .agg(F.min(F.struct("did", "place")).alias("first"))
