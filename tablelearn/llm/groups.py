@@ -23,7 +23,8 @@ def cells(members: DataFrame, block: int = BLOCK, distinct: bool = True) -> Data
     no task gets more than two blocks however large the group is. With ``distinct``,
     of the cells that have the same members only one stays.
     """
-    sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Written, so that the join that follows has two plain shuffles, of which Spark splits large partitions.
+    sizes = store(members.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
     blocks = F.ceil(F.col("n") / block).cast("int")
     dealt = members.join(sizes, "group").select(
         "group", "node", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own")
@@ -115,9 +116,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (smallest node) of every node that has an edge.
 
     Alternates two steps until nothing changes: every node hands its larger
-    neighbours to the smallest one, then its smaller ones. The minima are aggregates,
-    so a node with very many edges is no group in a task. Each round is a written
-    table; the number of rounds grows with the logarithm of the nodes.
+    neighbours to the smallest one, then its smaller ones. The minima are aggregates
+    and written, so a node with very many edges is no group in a task: the joins with
+    them have plain shuffles, whose large partitions Spark splits. Each round is a
+    written table; the number of rounds grows with the logarithm of the nodes.
     """
     u, v = F.col("u"), F.col("v")
     links = store(
@@ -128,11 +130,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         # Larger neighbours go to the smallest neighbour (or the node itself).
         both = links.union(links.select(v.alias("u"), u.alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), u).alias("m"))
+        least = store(both.groupBy("u").agg(F.least(F.min("v"), u).alias("m")), "least")
         large = both.where(v > u).join(least, "u").select(v.alias("u"), F.col("m").alias("v"))
-        kept = large.where(u != v).distinct()
+        kept = store(large.where(u != v).distinct(), "edges")
         # Smaller neighbours and the node itself go to the smallest one.
-        least = kept.groupBy("u").agg(F.min("v").alias("m"))
+        least = store(kept.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = kept.join(least, "u").select(v.alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m")))
         links = store(small.where(F.col("u") != F.col("v")).distinct(), "edges")
         after = _mark(links)
