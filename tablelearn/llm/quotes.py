@@ -107,12 +107,14 @@ def link_quotes(messages: DataFrame) -> DataFrame:
         ),
         "messages",
     )
-    # One row per passage of a conversation, however often it is said.
-    origins = (
+    # One row per passage of a conversation, however often it is said; written, so that
+    # Spark can split large partitions of the join with it.
+    origins = store(
         parsed.where("conv_id is not null and turn is not null")
         .select("conv_id", "turn", F.explode("keys").alias("key"))
         .groupBy("conv_id", "key")
-        .agg(F.min("turn").alias("origin"))
+        .agg(F.min("turn").alias("origin")),
+        "origins",
     )
     asked = parsed.select("conv_id", "turn", "row", F.posexplode("quotes").alias("k", "quote")).select(
         "conv_id",
