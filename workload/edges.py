@@ -93,11 +93,11 @@ def hashes_of_awkward_keys(spark, folder):
 _WIDTHS = (3, 4, 5, 64)
 
 
-def _gappy(k: int) -> tuple[Column, str]:
+def _gappy(k: int) -> tuple[str, str]:
     """Column k: missing in every (7 + k)-th part, as NULL where k is even, else as NaN."""
     value = f"p_size * {k % 5 + 1} + p_retailprice * {k % 7} - p_partkey % {k + 11} * {50 * (k % 3)}"
     gap = "NULL" if k % 2 == 0 else "double('NaN')"
-    shown = F.expr(f"CASE WHEN p_partkey % {7 + k} = 0 THEN {gap} ELSE double({value}) END").alias(f"c{k}")
+    shown = f"CASE WHEN p_partkey % {7 + k} = 0 THEN {gap} ELSE double({value}) END AS c{k}"
     return shown, f"CASE WHEN p_partkey % {7 + k} <> 0 THEN ({value})::DOUBLE END"
 
 
@@ -113,7 +113,7 @@ SELECT w.width AS width, i::INTEGER AS i, j::INTEGER AS j, r FROM r, (VALUES {wi
 @query(_gaps_sql())
 def correlations_with_gaps(spark, folder):
     """The same answer for a pair whatever the number of columns beside it."""
-    df = table(spark, folder, "part").select(*[_gappy(k)[0] for k in range(max(_WIDTHS))])
+    df = table(spark, folder, "part").selectExpr(*[_gappy(k)[0] for k in range(max(_WIDTHS))])
     parts = [
         stats.correlations(df, df.columns[:w]).select(F.lit(w).alias("width"), "i", "j", "r") for w in _WIDTHS
     ]
@@ -204,19 +204,20 @@ def _as_text(spark, rows: DataFrame, shape: Column) -> str:
     return path
 
 
-_NATION = F.struct("n_nationkey", "n_name", F.array(F.struct("n_regionkey")).alias("data"))
+def _nations() -> Column:
+    return F.collect_list(F.struct("n_nationkey", "n_name", F.array(F.struct("n_regionkey")).alias("data")))
 
 
 @query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name, 1 AS n_data FROM nation")
 def json_list_with_data(spark, folder):
     """A list keeps its columns, also one that is called data."""
-    path = _as_text(spark, table(spark, folder, "nation"), F.collect_list(_NATION))
+    path = _as_text(spark, table(spark, folder, "nation"), _nations())
     return read_json_payload(spark, path).select("n_nationkey", "n_name", F.size("data").alias("n_data"))
 
 
 @query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation")
 def json_data_object(spark, folder):
-    path = _as_text(spark, table(spark, folder, "nation"), F.struct(F.collect_list(_NATION).alias("data")))
+    path = _as_text(spark, table(spark, folder, "nation"), F.struct(_nations().alias("data")))
     return read_json_payload(spark, path).select("n_nationkey", "n_name")
 
 
