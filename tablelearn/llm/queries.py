@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -27,22 +28,47 @@ def _hex_digest(column: Column | str) -> Column:
     return F.sha2(F.col(column).cast("binary") if isinstance(column, str) else column.cast("binary"), 256)
 
 
-# Pieces between the matches give their places: pieces and matches alternate.
-def _spans_sql(kind: str, pattern: str, least: int, size: str) -> str:
+def _either_case(pattern: str) -> str:
+    """ASCII letters in either case spelled out: SQL's own folding would reach beyond ASCII."""
+    words = re.compile(r"\(\?i:(.*?)\)(?=\[|$)")
+    spelled = lambda m: re.sub("[a-z]", lambda c: f"[{c[0]}{c[0].upper()}]", m[1])
+    return words.sub(spelled, pattern)
+
+
+def _rule_sql(k: int, rule: secrets.Rule) -> str:
+    """The spans of one rule: pieces of text and matches alternate, so their lengths give the places."""
+    pattern = _either_case(rule.pattern).replace("'", "''")
     return f"""
-  SELECT doc_id, '{kind}' AS kind, start, start + length(found) AS stop
+  SELECT doc_id, {k} AS k, '{rule.kind}' AS kind, stop - length(found) AS start, stop, measured
   FROM (
-    SELECT doc_id, found,
-           sum(length(piece)) OVER w + coalesce(sum(length(found)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+    SELECT *, sum(length(piece) + length(found)) OVER (PARTITION BY doc_id ORDER BY i) AS stop
     FROM (
-      SELECT doc_id, unnest(found) AS found, unnest(pieces[1:len(found)]) AS piece, generate_subscripts(found, 1) AS k
-      FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS found, regexp_split_to_array(text, '{pattern}') AS pieces
-            FROM documents))
-    WINDOW w AS (PARTITION BY doc_id ORDER BY k))
-  WHERE {size} >= {least}"""
+      SELECT doc_id, unnest(found) AS found, unnest(measured) AS measured, unnest(pieces[1:len(found)]) AS piece,
+             generate_subscripts(found, 1) AS i
+      FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS found,
+                   regexp_extract_all(text, '{pattern}', {rule.group}) AS measured,
+                   regexp_split_to_array(text, '{pattern}') AS pieces
+            FROM documents)))
+  WHERE length(measured) >= {rule.least}"""
+
+
+_SECRETS_SQL = f"""
+WITH found AS ({" UNION ALL ".join(_rule_sql(k, r) for k, r in enumerate(secrets.RULES))}
+),
+joined AS (
+  SELECT doc_id,
+         {", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in secrets.BASE_RULES)},
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) FILTER (k < {len(secrets.BASE_RULES)}) AS base,
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) AS spans
+  FROM found GROUP BY doc_id
+)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secrets.BASE_RULES)},
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN joined USING (doc_id)
+"""
 
 
-@query()
+@query(_SECRETS_SQL)
 def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     kinds = [rule.kind for rule in secrets.BASE_RULES]
     found = secrets.scan_secrets(read_table(spark, folder, "documents"))
