@@ -27,7 +27,7 @@ from tablelearn.functions.columns import quoted
 from tablelearn.llm.common import chunks
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
 # Longer pieces are merged each time, so that the cache stays small.
 CACHED_LENGTH = 64
 # Texts made of code points below this are split with classes that were asked from the library itself.
@@ -99,6 +99,16 @@ def _ranges(codes: list[int]) -> str:
     return "".join(out)
 
 
+def token_bytes(definition: str) -> list[bytes]:
+    """The bytes of each id."""
+    back = {c: b for b, c in enumerate(byte_characters())}
+    tokens = json.loads(definition)["model"]["vocab"]
+    out = [b""] * (max(tokens.values(), default=-1) + 1)
+    for token, i in tokens.items():
+        out[i] = bytes(back[c] for c in token)
+    return out
+
+
 class _Cache(dict):
     """Ids of pieces, made by the library when first asked for."""
 
@@ -126,11 +136,7 @@ class ByteBpe:
         self.beyond = re.compile(f"[^\\u0000-\\u{PLAIN_LIMIT - 1:04x}]")
         shown = byte_characters()
         self.table = str.maketrans({chr(b): c for b, c in enumerate(shown)})
-        back = {c: b for b, c in enumerate(shown)}
-        tokens = json.loads(definition)["model"]["vocab"]
-        self.bytes = [b""] * (max(tokens.values(), default=-1) + 1)
-        for token, i in tokens.items():
-            self.bytes[i] = bytes(back[c] for c in token)
+        self.bytes = token_bytes(definition)
         self.lengths = np.array([len(b) for b in self.bytes], dtype=np.int64)
         self.ids = _Cache(self._merge)
         self.counts = _Cache(lambda piece: len(self._merge(piece)))
@@ -170,10 +176,12 @@ class ByteBpe:
         return [decoder.decode(self.bytes[i]) for i in ids]
 
 
-def encode(docs: DataFrame, path: str = RANKS, offsets: bool = False, key: str = "doc_id") -> DataFrame:
-    """Ids of every whole text: key, ids array<int>, and on request starts and ends (code points).
+def encode(
+    docs: DataFrame, path: str = RANKS, offsets: bool = False, decoded: bool = False, key: str = "doc_id"
+) -> DataFrame:
+    """Ids of every whole text: key, ids array<int>; on request starts and ends (code points) and decoded (binary).
 
-    No special tokens are added or recognised. A null text counts as empty and
+    ``decoded`` are the bytes of the ids, as ``decode`` gives them, in the same pass. No special tokens are added or recognised. A null text counts as empty and
     gives no ids. Repeated rows are encoded each; other columns are not read.
     """
     definition, pattern = vocabulary(path)
@@ -190,23 +198,25 @@ def encode(docs: DataFrame, path: str = RANKS, offsets: bool = False, key: str =
                     places = [bpe.offsets(t, i) for t, i in zip(texts, ids)]
                     columns += [int_lists([p[0] for p in places]), int_lists([p[1] for p in places])]
                     names += ["starts", "ends"]
+                if decoded:
+                    columns.append(pa.array([bpe.decode(i) for i in ids], pa.binary()))
+                    names.append("decoded")
                 yield pa.record_batch(columns, names=names)
 
-    schema = fields + (", starts array<int>, ends array<int>" if offsets else "")
+    schema = fields + ", starts array<int>, ends array<int>" * offsets + ", decoded binary" * decoded
     return docs.select(quoted(key), quoted("text")).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str = RANKS, key: str = "doc_id") -> DataFrame:
     """Bytes of every list of ids: key, ids, decoded binary. Null ids decode to nothing."""
-    definition, pattern = vocabulary(path)
+    table = token_bytes(vocabulary(path)[0])
     fields = f"`{key}` {encoded.schema[key].dataType.simpleString()}, ids array<int>, decoded binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe(definition, pattern)
         for batch in batches:
             for part in chunks(batch):
                 lists = part.column("ids")
-                out = pa.array([bpe.decode(x or ()) for x in lists.to_pylist()], pa.binary())
+                out = pa.array([b"".join(map(table.__getitem__, x or ())) for x in lists.to_pylist()], pa.binary())
                 yield pa.record_batch([part.column(key), lists, out], names=[key, "ids", "decoded"])
 
     return encoded.select(quoted(key), quoted("ids")).mapInArrow(run, fields)

@@ -243,8 +243,7 @@ def op5_quote_links(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    decoded = bpe.decode(bpe.encode(read_table(spark, folder, "documents")))
-    return decoded.select(
+    return bpe.encode(read_table(spark, folder, "documents"), decoded=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         _hex_digest(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"),

@@ -28,7 +28,7 @@ from tablelearn.llm.common import chunks
 
 SEGMENT_ROWS = 512
 # Codes looked up at a time, which bounds the index's working memory.
-INDEX_BYTES = 1 << 22
+INDEX_BYTES = 1 << 20
 # Sets of alternative strings grow by products; larger ones are turned into queries.
 MOST_STRINGS = 64
 

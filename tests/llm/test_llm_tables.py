@@ -52,6 +52,7 @@ OPERATORS = {
     "quality": quality.judge,
     "language": lambda d: language.identify(d, language.fit_languages(d)),
     "bpe": lambda d: bpe.decode(bpe.encode(d, offsets=True)),
+    "bpe in one pass": lambda d: bpe.encode(d, decoded=True),
     "substrings": substrings.remove_repeats,
     "jaccard": jaccard.near_duplicates,
     "mixing": mixing.replicate,
@@ -97,6 +98,13 @@ def test_trees_can_be_edited_again(spark):
         assert r["n_tokens"] == len(coder.encode(r["text"]))
 
 
+def test_both_ways_of_decoding_give_the_texts(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r["doc_id"]: r["text"].encode() for r in docs.collect()}
+    for decoded in (bpe.decode(bpe.encode(docs)), bpe.encode(docs, decoded=True)):
+        assert {r["doc_id"]: bytes(r["decoded"]) for r in decoded.collect()} == texts
+
+
 def test_counts_of_the_query(spark, sf):
     coder = bpe.ByteBpe(*bpe.vocabulary())
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
