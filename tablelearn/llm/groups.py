@@ -116,10 +116,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (smallest node) of every node that has an edge.
 
     Alternates two steps until nothing changes: every node hands its larger
-    neighbours to the smallest one, then its smaller ones. The minima are aggregates
-    and written, so a node with very many edges is no group in a task: the joins with
-    them have plain shuffles, whose large partitions Spark splits. Each round is a
-    written table; the number of rounds grows with the logarithm of the nodes.
+    neighbours to the smallest one, then its smaller ones. The minima are aggregates,
+    so no task gathers the edges of a node, though the join with the minima reads them
+    in one. Each round is a written table; the number of rounds grows with the
+    logarithm of the nodes.
     """
     u, v = F.col("u"), F.col("v")
     links = store(
@@ -130,11 +130,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         # Larger neighbours go to the smallest neighbour (or the node itself).
         both = links.union(links.select(v.alias("u"), u.alias("v")))
-        least = store(both.groupBy("u").agg(F.least(F.min("v"), u).alias("m")), "least")
+        least = both.groupBy("u").agg(F.least(F.min("v"), u).alias("m"))
         large = both.where(v > u).join(least, "u").select(v.alias("u"), F.col("m").alias("v"))
-        kept = store(large.where(u != v).distinct(), "edges")
+        kept = large.where(u != v).distinct()
         # Smaller neighbours and the node itself go to the smallest one.
-        least = store(kept.groupBy("u").agg(F.min("v").alias("m")), "least")
+        least = kept.groupBy("u").agg(F.min("v").alias("m"))
         small = kept.join(least, "u").select(v.alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m")))
         links = store(small.where(F.col("u") != F.col("v")).distinct(), "edges")
         after = _mark(links)
