@@ -18,6 +18,10 @@ ORDERS = (1, 2, 3)
 # Texts a language's counts are learned from, about; a documented bound, the classes' shares come from all rows.
 FIT_ROWS = 4_000
 SMOOTHING = 0.5
+# A text is of no learned language if its mean log probability of an n-gram is further below the median of
+# the language's fit texts than RANGES times their lowest hundredth is, and than the deviation of one n-gram;
+# by chance, a text of n n-grams may fall short by DEVIATIONS of their mean besides.
+LOW, RANGES, DEVIATIONS = 0.01, 4.0, 6.0
 # Characters handled at a time, which bounds a task's memory for very long texts.
 PIECE = 1 << 18
 
@@ -79,19 +83,50 @@ class LanguageModel:
     prior: np.ndarray
     weights: np.ndarray
     orders: tuple[int, ...] = ORDERS
+    # Per language: rows it was learned from by shares, and n-grams counted.
+    sizes: tuple[int, ...] = ()
+    totals: np.ndarray | None = None
 
-    def predict(self, grams: Grams, text: str | None) -> tuple[str, float]:
+    def judge(self, grams: Grams, text: str | None) -> tuple[int, float, float, int] | None:
+        """(number of the best language, its probability, mean log probability of an n-gram under it, n-grams)."""
         if not self.languages:
-            return UNDETERMINED, 0.0
-        scores, seen = self.prior.copy(), False
+            return None
+        scores, seen = self.prior.copy(), 0
         for found in grams.pieces(text):
             scores += self.weights[found].sum(axis=0)
-            seen = True
+            seen += len(found)
         if not seen:
-            return UNDETERMINED, 0.0
+            return None
         shares = np.exp(scores - scores.max())
         best = int(scores.argmax())
-        return self.languages[best], float(shares[best] / shares.sum())
+        return best, float(shares[best] / shares.sum()), float(scores[best] - self.prior[best]) / seen, seen
+
+    def predict(self, grams: Grams, text: str | None) -> tuple[str, float]:
+        found = self.judge(grams, text)
+        return (UNDETERMINED, 0.0) if found is None else (self.languages[found[0]], found[1])
+
+
+@dataclass(frozen=True)
+class Ranges:
+    """Per language the least mean log probability of an n-gram of long texts, and the deviation of one n-gram."""
+
+    floor: np.ndarray
+    deviation: np.ndarray
+
+    def hold(self, language: int, mean: float, n: int) -> bool:
+        return mean >= self.floor[language] - DEVIATIONS * self.deviation[language] / np.sqrt(n)
+
+
+def _fit_texts(docs: DataFrame, sizes: dict[str, int], fit_rows: int, seed: int) -> DataFrame:
+    """lang, text of about ``fit_rows`` rows of each language, chosen by a hash of the key."""
+    share = F.create_map(*[F.lit(x) for lang in sizes for x in (lang, min(1.0, fit_rows / sizes[lang]))])
+    # A hash in [0, 1) for each key.
+    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    return _known(docs).where(draw < share[F.col("lang")]).select("lang", "text")
+
+
+def _known(docs: DataFrame) -> DataFrame:
+    return docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
 
 
 def fit_languages(docs: DataFrame, fit_rows: int = FIT_ROWS, buckets: int = BUCKETS, seed: int = 7) -> LanguageModel:
@@ -102,15 +137,11 @@ def fit_languages(docs: DataFrame, fit_rows: int = FIT_ROWS, buckets: int = BUCK
     whose language or text is null teach nothing. A table without such rows gives
     a model that determines nothing.
     """
-    known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in _known(docs).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = tuple(sorted(sizes))
     if not languages:
         return LanguageModel((), np.zeros(0), np.zeros((buckets, 0)))
-    share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, fit_rows / sizes[lang]))])
-    # A hash in [0, 1) for each key.
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    chosen = known.where(draw < share[F.col("lang")]).select("lang", "text")
+    chosen = _fit_texts(docs, sizes, fit_rows, seed)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, totals = Grams(buckets), {}
@@ -140,7 +171,79 @@ def fit_languages(docs: DataFrame, fit_rows: int = FIT_ROWS, buckets: int = BUCK
     counts[summed["bucket"].to_numpy(), columns] = summed["n"].to_numpy()
     weights = np.log(counts + SMOOTHING) - np.log(counts.sum(axis=0) + SMOOTHING * buckets)
     prior = np.log(np.array([sizes[x] for x in languages], dtype=float)) - np.log(sum(sizes.values()))
-    return LanguageModel(languages, prior, weights)
+    return LanguageModel(
+        languages, prior, weights, sizes=tuple(sizes[x] for x in languages), totals=counts.sum(axis=0)
+    )
+
+
+def fit_ranges(docs: DataFrame, model: LanguageModel, fit_rows: int = FIT_ROWS, seed: int = 7) -> Ranges:
+    """What is usual for the texts that ``fit_languages`` learned from, with the same arguments.
+
+    Every text is measured by the counts of the others, since a model knows the texts
+    it was made of too well. Fewer than a hundredth of wrongly labelled texts do not
+    move the ranges. A language with a single text has no range and holds everything.
+    """
+    shape = len(model.languages)
+    ranges = Ranges(np.full(shape, -np.inf), np.zeros(shape))
+    if not shape:
+        return ranges
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        grams = Grams(len(known.weights), known.orders)
+        place = {lang: i for i, lang in enumerate(known.languages)}
+        extra = SMOOTHING * len(known.weights)
+        for batch in batches:
+            for part in chunks(batch):
+                rows = []
+                for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
+                    own = grams.counts([text])
+                    used, k = np.flatnonzero(own), place[lang]
+                    own, n = own[used], int(own.sum())
+                    if not n:
+                        continue
+                    all_counts = np.exp(known.weights[used, k]) * (known.totals[k] + extra)
+                    logs = np.log(np.maximum(all_counts - own, SMOOTHING)) - np.log(known.totals[k] - n + extra)
+                    mean = float((own * logs).sum() / n)
+                    rows.append((k, mean, float((own * (logs - mean) ** 2).sum() / n)))
+                which, means, variances = zip(*rows) if rows else ((), (), ())
+                yield pa.record_batch(
+                    [pa.array(which, pa.int32()), pa.array(means, pa.float64()), pa.array(variances, pa.float64())],
+                    names=["k", "mean", "variance"],
+                )
+
+    chosen = _fit_texts(docs, dict(zip(model.languages, model.sizes)), fit_rows, seed)
+    # About fit_rows rows of three numbers for each language reach the driver.
+    found = chosen.mapInArrow(measure, "k int, mean double, variance double").toArrow()
+    which, means, variances = (found[c].to_numpy() for c in ("k", "mean", "variance"))
+    for k in range(shape):
+        own = means[which == k]
+        if len(own) > 1:
+            middle, low = np.quantile(own, 0.5), np.quantile(own, LOW, method="lower")
+            ranges.deviation[k] = np.sqrt(variances[which == k].mean())
+            ranges.floor[k] = middle - max(RANGES * (middle - low), ranges.deviation[k])
+    return ranges
+
+
+def of_known_language(docs: DataFrame, model: LanguageModel, ranges: Ranges, least: float) -> DataFrame:
+    """The rows, with all their columns, whose text is of a language of the model.
+
+    The best language must have a probability of at least ``least`` and the text must
+    be in the range of that language. A text that is null or without a letter goes.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((model, ranges))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, usual = shared.value
+        grams = Grams(len(known.weights), known.orders)
+        for batch in batches:
+            for part in chunks(batch):
+                found = [known.judge(grams, text) for text in part.column("text").to_pylist()]
+                stay = [f is not None and f[1] >= least and bool(usual.hold(f[0], *f[2:])) for f in found]
+                yield part.filter(pa.array(stay, pa.bool_()))
+
+    return docs.mapInArrow(choose, docs.schema)
 
 
 def identify(docs: DataFrame, model: LanguageModel, keep: bool = False) -> DataFrame:

@@ -1,8 +1,12 @@
 """The pipeline, stage by stage, each held against its own input."""
 
+import base64
+import random
+import string
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tablelearn.llm import bpe, jaccard, secrets
@@ -66,3 +70,18 @@ def test_odd_rows_pass(spark, tmp_path):
     spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} <= {None, 2, 5}
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_texts_of_no_learned_language_go(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rng = random.Random(4)
+    noise = [" ".join("".join(rng.choices(string.ascii_lowercase, k=rng.randint(2, 9))) for _ in range(80)) for _ in range(5)]
+    foreign = ["日本語の文章はここにあります。" * 20, "Это русский текст, который никто не учил. " * 8, "Это русский текст", "日本語の文章"]
+    foreign += noise + [base64.b64encode(rng.randbytes(600)).decode()]
+    first = docs.first().asDict()
+    planted = [{**first, "doc_id": 10**9 + i, "lang": None, "text": text} for i, text in enumerate(foreign)]
+    both = docs.union(spark.createDataFrame(planted, docs.schema)).withColumn("score", F.lit(1)).withColumn("lang_pred", F.lit(2))
+    kept = corpus_pipeline.identify_languages(spark, both, sf)
+    assert kept.columns == both.columns
+    ids = Counter(r["doc_id"] for r in kept.collect())
+    assert ids == Counter(r["doc_id"] for r in docs.collect() if any(c.isalpha() for c in r["text"] or ""))
