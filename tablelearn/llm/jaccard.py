@@ -19,8 +19,9 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from tablelearn.functions.columns import quoted
 from tablelearn.llm.common import chunks, mixed, window_hashes, word_hashes, word_spans
 from tablelearn.llm.groups import by_cell, cells, components, pairs, star_edges
 from tablelearn.session import store
@@ -100,8 +101,13 @@ def least_matches(step: int = STEP, tolerance: float = TOLERANCE) -> dict[int, i
     return out
 
 
+def row_key() -> Column:
+    """Two hashes of doc_id and text, the same only for rows that repeat both."""
+    return F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64(F.lit(7), "text", "doc_id").alias("b"))
+
+
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, node, bands, values of every document (values: the low halves of its MinHash values).
+    """doc_id, key, node, bands, values of every document (values: the low halves of its MinHash values).
 
     Without a word the last three are null.
     """
@@ -120,15 +126,18 @@ def sketch(docs: DataFrame) -> DataFrame:
                 yield pa.record_batch(
                     [
                         part.column("doc_id"),
+                        part.column("key"),
                         pa.array(nodes, pa.int64()),
                         pa.array(bands, pa.list_(pa.int64())),
                         pa.array(values, pa.binary()),
                     ],
-                    names=["doc_id", "node", "bands", "values"],
+                    names=["doc_id", "key", "node", "bands", "values"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, bands array<long>, values binary")
+    return docs.select("doc_id", "text", row_key().alias("key")).mapInArrow(
+        run, f"doc_id {kind}, key struct<a:long,b:long>, node long, bands array<long>, values binary"
+    )
 
 
 def _candidate_edges(rows: DataFrame) -> DataFrame:
@@ -164,8 +173,7 @@ def _exact_links(rows: DataFrame) -> DataFrame:
         for node, side, n_docs, text in zip(*columns):
             if (node, side) not in found:
                 own = shingles(text)
-                # A document number may have more than one text; only the node's own counts.
-                if len(own) and digest(own) == node:
+                if len(own):
                     found[node, side] = (own, n_docs)
         if len(found) < 2:
             return None
@@ -207,45 +215,72 @@ def _exact_links(rows: DataFrame) -> DataFrame:
     return by_cell(rows, work, "a long, b long, links long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Class and number of links of every document: doc_id, class_id, n_links, kept.
-
-    Two documents link if the sets of their five-word shingles have a Jaccard
-    similarity of 0.8 or more; a document with fewer words has one shingle, all its
-    words. class_id is the smallest doc_id that links lead to, itself included;
-    n_links counts the other rows that link directly, copies included. kept: the
-    document gives the class its id. A document without words (null, empty, blanks)
-    links with nothing. A row with a null doc_id belongs to the class of its copies
-    but gives no class its id; a text that has no other row links with copies only.
-    Repeated rows are copies.
-    """
-    rows = store(sketch(docs), "sketches")
+def _linked_nodes(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """node, doc_id (the smallest), key (of its row), n_docs, component, links of every node of the sketches."""
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")
     nodes = store(
         rows.where("node is not null")
         .groupBy("node")
         .agg(
-            F.min("doc_id").alias("doc_id"),
+            F.min(first).alias("first"),
             F.count(F.lit(1)).alias("n_docs"),
             F.first("bands").alias("bands"),
             F.first("values").alias("values"),
-        ),
+        )
+        .select("node", "first.doc_id", "first.key", "n_docs", "bands", "values"),
         "nodes",
     )
     members = nodes.select("node", F.explode("bands").alias("group"))
     candidates = cells(members).join(nodes.select("node", "values"), "node")
     clusters = components(_candidate_edges(candidates))
-    texts = docs.where("doc_id is not null").select("doc_id", "text")
+    texts = docs.select(row_key().alias("key"), "text")
     placed = cells(clusters.select("node", F.col("component").alias("group")), EXACT_BLOCK, distinct=False)
-    with_texts = placed.join(nodes.select("node", "doc_id", "n_docs"), "node").join(texts, "doc_id")
+    with_texts = placed.join(nodes.select("node", "key", "n_docs"), "node").join(texts, "key")
     found = store(_exact_links(with_texts.select("cell", "node", "side", "n_docs", "text")), "links")
     classes = components(found.where("b is not null"))
     links = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))
-    known = (
-        nodes.select("node", "doc_id", "n_docs")
+    return (
+        nodes.select("node", "doc_id", "key", "n_docs")
         .join(classes, "node", "left")
         .join(links.withColumnRenamed("a", "node"), "node", "left")
         .withColumn("component", F.coalesce("component", "node"))
     )
+
+
+def one_of_each_class(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, without near duplicates: one row of each class stays.
+
+    Classes are those of ``near_duplicates``, by text and not by doc_id: rows that
+    share a doc_id or have none are documents like others. The row with the smallest
+    doc_id stays, one without a doc_id only if the class has no other; of rows that
+    repeat doc_id and text any one. Rows without words are in no class and all stay.
+    """
+    known = _linked_nodes(docs, store(sketch(docs), "sketches"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("first")
+    name = "row_key"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    kept = known.groupBy("component").agg(first).select(F.col("first.key").alias(name))
+    has_words = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    columns = [quoted(c) for c in docs.columns]
+    # Both sides of the join are dealt by the key, as is the choice of one row.
+    chosen = docs.where(has_words).withColumn(name, row_key()).join(kept, name).dropDuplicates([name])
+    return chosen.select(*columns).union(docs.where(~has_words))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Class and number of links of every document: doc_id, class_id, n_links, kept.
+
+    Two documents link if the sets of their five-word shingles have a Jaccard
+    similarity of 0.8 or more; a document with fewer words has one shingle, all its
+    words. class_id is the smallest doc_id that links lead to, itself included;
+    n_links counts the other rows that link directly, copies included. kept: the
+    document gives the class its id. A document without words (null, empty, blanks)
+    links with nothing. A row with a null doc_id links like any other but gives no
+    class its id. Repeated rows are copies.
+    """
+    rows = store(sketch(docs), "sketches")
+    known = _linked_nodes(docs, rows)
     first = known.groupBy("component").agg(F.min("doc_id").alias("class_id"))
     # Only nodes with a copy or a link differ from the default.
     known = (

@@ -85,3 +85,26 @@ def test_texts_of_no_learned_language_go(spark, sf):
     assert kept.columns == both.columns
     ids = Counter(r["doc_id"] for r in kept.collect())
     assert ids == Counter(r["doc_id"] for r in docs.collect() if any(c.isalpha() for c in r["text"] or ""))
+
+
+def test_rows_of_one_id_or_none_are_documents(spark, sf):
+    rng = random.Random(9)
+    prose = [" ".join(rng.choices([f"w{k}" for k in range(300)], k=120)) for _ in range(7)]
+    near = [" ".join([*p.split()[:-1], "other"]) for p in prose]
+    rows = [
+        # Unrelated texts under one id, one of them near a smaller id.
+        (5, prose[0]), (5, prose[1]), (5, near[2]), (1, prose[2]),
+        # Without an id: unrelated texts, a copy, near copies of each other and of a row with an id.
+        (None, prose[3]), (None, prose[3]), (None, prose[4]), (None, near[4]), (None, near[5]), (8, prose[5]),
+        # A row twice, and rows without words.
+        (9, prose[6]), (9, prose[6]), (None, ""), (3, None), (3, " "),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row_key", F.lit("x"))
+    found = corpus_pipeline.drop_near_duplicates(spark, docs, sf)
+    assert found.columns == docs.columns
+    kept = Counter((r["doc_id"], r["text"]) for r in found.collect())
+    one = (None, prose[4]) if (None, prose[4]) in kept else (None, near[4])
+    assert kept == Counter(
+        [(5, prose[0]), (5, prose[1]), (1, prose[2]), (None, prose[3]), one, (8, prose[5]), (9, prose[6])]
+        + [(None, ""), (3, None), (3, " ")]
+    )
