@@ -79,7 +79,7 @@ def segments(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def find_segments(docs: DataFrame) -> DataFrame:
-    """anchor, content, did, place of every segment of every whole text."""
+    """anchor, content, did, tid, place of every segment of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,14 +90,15 @@ def find_segments(docs: DataFrame) -> DataFrame:
                     hashes.append(word_hashes(data, *word_spans(data)))
                     sizes.append(len(hashes[-1]))
                 anchor, content, doc, start, count = segments(np.concatenate(hashes), np.array(sizes))
-                did = part.column("did").to_numpy()[doc]
+                did, tid = (part.column(c).to_numpy()[doc] for c in ("did", "tid"))
                 place = (start << _WINDOWS_BITS) | count
                 yield pa.record_batch(
-                    [pa.array(x.astype(np.int64)) for x in (anchor, content, did, place)],
-                    names=["anchor", "content", "did", "place"],
+                    [pa.array(x.astype(np.int64)) for x in (anchor, content, did, tid, place)],
+                    names=["anchor", "content", "did", "tid", "place"],
                 )
 
-    return docs.select("did", "text").mapInArrow(run, "anchor long, content long, did long, place long")
+    schema = "anchor long, content long, did long, tid long, place long"
+    return docs.select("did", "tid", "text").mapInArrow(run, schema)
 
 
 class SuffixAutomaton:
@@ -111,9 +112,9 @@ class SuffixAutomaton:
         self.link = [-1]
         self.length = [0]
         self.first = [-1]
-        self.places: list[tuple[int, int]] = []
+        self.places: list[tuple] = []
 
-    def add(self, words: list[bytes], did: int, start: int) -> None:
+    def add(self, words: list[bytes], did, start: int) -> None:
         last = 0
         for i, word in enumerate(words):
             self.places.append((did, start + i))
@@ -150,7 +151,7 @@ class SuffixAutomaton:
             p = self.link[p]
         return copy
 
-    def matches(self, words: list[bytes], least: int) -> Iterator[tuple[int, tuple[int, int] | None]]:
+    def matches(self, words: list[bytes], least: int) -> Iterator[tuple[int, tuple | None]]:
         """Matching statistics, word by word: the length up to ``least`` of the longest suffix read that
         occurs in the references, and, if it has that length, the place where it first ended."""
         state = length = 0
@@ -166,8 +167,11 @@ class SuffixAutomaton:
             yield length, self.places[self.first[state]] if length == least else None
 
 
-def earlier_windows(rows: list[tuple[int, int, list[bytes]]]) -> list[tuple[int, int]]:
-    """(did, start) of the windows of these (did, start, words) that occur earlier among them."""
+def earlier_windows(rows: list[tuple]) -> list[tuple]:
+    """(did, start) of the windows of these (did, start, words) that occur earlier among them.
+
+    Documents may be named by anything that has an order.
+    """
     automaton = SuffixAutomaton()
     rows = sorted(rows, key=lambda r: r[:2])
     for did, start, words in rows:
@@ -182,56 +186,57 @@ def earlier_windows(rows: list[tuple[int, int, list[bytes]]]) -> list[tuple[int,
 
 def _stream_shard(shard: pa.Table) -> pa.RecordBatch | None:
     rows = [
-        (did, place >> _WINDOWS_BITS, words_of(words))
-        for did, place, words in zip(*(shard[c].to_pylist() for c in ("did", "place", "words")))
+        ((did, tid), place >> _WINDOWS_BITS, words_of(words))
+        for did, tid, place, words in zip(*(shard[c].to_pylist() for c in ("did", "tid", "place", "words")))
     ]
     found = earlier_windows(rows)
     if not found:
         return None
-    did, start = zip(*found)
-    return pa.record_batch(
-        [pa.array(did, pa.int64()), pa.array([s << _WINDOWS_BITS | 1 for s in start], pa.int64())], names=["did", "place"]
-    )
+    did, tid, place = zip(*((*doc, start << _WINDOWS_BITS | 1) for doc, start in found))
+    return pa.record_batch([pa.array(x, pa.int64()) for x in (did, tid, place)], names=["did", "tid", "place"])
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """did, packed: texts compressed before they are shuffled."""
+    """did, tid, packed: texts compressed before they are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for part in chunks(batch):
                 out = [press.compress((t or "").encode()) for t in part.column("text").to_pylist()]
-                yield pa.record_batch([part.column("did"), pa.array(out, pa.binary())], names=["did", "packed"])
+                columns = [part.column("did"), part.column("tid"), pa.array(out, pa.binary())]
+                yield pa.record_batch(columns, names=["did", "tid", "packed"])
 
-    return docs.select("did", "text").mapInArrow(run, "did long, packed binary")
+    return docs.select("did", "tid", "text").mapInArrow(run, "did long, tid long, packed binary")
 
 
 def _references(packed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cell, did, place, words of the wanted segments; those of crowded anchors as windows without a cell."""
+    """cell, did, tid, place, words of the wanted segments; those of crowded anchors as windows without a cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor()
         for batch in batches:
             for part in chunks(batch):
                 rows: list[tuple] = []
-                for did, packed, wants in zip(*(part.column(c).to_pylist() for c in ("did", "packed", "wants"))):
+                columns = (part.column(c).to_pylist() for c in ("did", "tid", "packed", "wants"))
+                for did, tid, packed, wants in zip(*columns):
                     words = words_of(unpress.decompress(packed))
                     for want in wants:
                         start, count = want["place"] >> _WINDOWS_BITS, want["place"] & ((1 << _WINDOWS_BITS) - 1)
                         if want["cell"] is not None:
-                            rows.append((want["cell"], did, want["place"], b" ".join(words[start : start + count + WINDOW - 1])))
+                            passage = b" ".join(words[start : start + count + WINDOW - 1])
+                            rows.append((want["cell"], did, tid, want["place"], passage))
                             continue
                         for at in range(start, start + count):
-                            rows.append((None, did, at << _WINDOWS_BITS | 1, b" ".join(words[at : at + WINDOW])))
-                cell, did, place, words = zip(*rows) if rows else ((), (), (), ())
+                            rows.append((None, did, tid, at << _WINDOWS_BITS | 1, b" ".join(words[at : at + WINDOW])))
+                cell, did, tid, place, words = zip(*rows) if rows else ((), (), (), (), ())
                 yield pa.record_batch(
-                    [*(pa.array(x, pa.int64()) for x in (cell, did, place)), pa.array(words, pa.binary())],
-                    names=["cell", "did", "place", "words"],
+                    [*(pa.array(x, pa.int64()) for x in (cell, did, tid, place)), pa.array(words, pa.binary())],
+                    names=["cell", "did", "tid", "place", "words"],
                 )
 
-    wants = wanted.groupBy("did").agg(F.collect_list(F.struct("place", "cell")).alias("wants"))
-    return packed.join(wants, "did").mapInArrow(run, "cell long, did long, place long, words binary")
+    wants = wanted.groupBy("did", "tid").agg(F.collect_list(F.struct("place", "cell")).alias("wants"))
+    return packed.join(wants, ["did", "tid"]).mapInArrow(run, "cell long, did long, tid long, place long, words binary")
 
 
 def _remove(packed: DataFrame, marks: DataFrame) -> DataFrame:
@@ -258,7 +263,7 @@ def _remove(packed: DataFrame, marks: DataFrame) -> DataFrame:
                     names=["did", "n_words", "n_removed", "kept"],
                 )
 
-    joined = packed.join(marks, "did", "left")
+    joined = packed.join(marks, ["did", "tid"], "left")
     return joined.mapInArrow(run, "did long, n_words long, n_removed long, kept string")
 
 
@@ -288,42 +293,41 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     A word goes if a run of WINDOW words that covers it also starts earlier: in a
     document with a smaller doc_id, or before in the same one. Runs are judged on
     the input. ``kept`` holds the other words, unchanged, joined by one space.
-    A null or empty text has no words. Null ids come before all others. Rows that
-    share a doc_id (of type long or int) are one document that has each of its
-    places more than once; a run at the same place in all of them is no repeat.
+    A null or empty text has no words. Null ids come before all others. Rows with
+    different texts are different documents also if they share a doc_id (of type long
+    or int) or have none; they are ordered by a hash of the text. Rows that repeat
+    doc_id and text are one document that has each of its places more than once; a run
+    at the same place in all of them is no repeat.
     """
-    named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), "text")
+    named = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64("text").alias("tid"), "text"
+    )
     found = find_segments(named)
     # Written, so that the join that follows has two plain shuffles, of which Spark splits large partitions.
     repeated = store(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
     occurrences = store(found.join(repeated, "anchor", "left_semi"), "occurrences")
     firsts = store(
         occurrences.groupBy("anchor", "content")
-        .agg(F.min(F.struct("did", "place")).alias("first"))
-        .select("anchor", "first.did", "first.place"),
+        .agg(F.min(F.struct("did", "tid", "place")).alias("first"))
+        .select("anchor", "first.did", "first.tid", "first.place"),
         "firsts",
     )
     shared = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1")
     shards = max(1, -(-firsts.count() // SHARD_SEGMENTS))
     cell = F.when(F.col("contents") < MANY_CONTENTS, F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    wanted = firsts.join(shared, "anchor").select("did", "place", cell.alias("cell"))
+    wanted = firsts.join(shared, "anchor").select("did", "tid", "place", cell.alias("cell"))
     packed = _packed(named)
     references = store(_references(packed, wanted), "references")
-    earlier = by_cell(references.where("cell is not null"), _stream_shard, "did long, place long")
+    earlier = by_cell(references.where("cell is not null"), _stream_shard, "did long, tid long, place long")
     windows = references.where("cell is null")
-    sources = windows.groupBy("words").agg(F.min(F.struct("did", "place")).alias("first"))
-    marks = [
-        (occurrences, _PLUS, "did", "place"),
-        (firsts, _FIRST, "did", "place"),
-        (earlier, _EARLIER, "did", "place"),
-        (windows, _EARLIER, "did", "place"),
-        (sources, _SOURCE, "first.did", "first.place"),
-    ]
+    sources = windows.groupBy("words").agg(F.min(F.struct("did", "tid", "place")).alias("first")).select("first.*")
+    marks = [(occurrences, _PLUS), (firsts, _FIRST), (earlier, _EARLIER), (windows, _EARLIER), (sources, _SOURCE)]
     marked = None
-    for rows, kind, did, place in marks:
-        part = rows.select(F.col(did).alias("did"), (F.shiftleft(place, 2) + kind).alias("mark"))
+    for rows, kind in marks:
+        part = rows.select("did", "tid", (F.shiftleft("place", 2) + kind).alias("mark"))
         marked = part if marked is None else marked.union(part)
-    removed = _remove(packed, marked.groupBy("did").agg(F.collect_list("mark").alias("marks")))
+    # A set, since rows that repeat a document bring the same marks.
+    removed = _remove(packed, marked.groupBy("did", "tid").agg(F.collect_set("mark").alias("marks")))
     return removed.select(
         F.when(F.col("did") != NO_ID, F.col("did")).cast(docs.schema["doc_id"].dataType).alias("doc_id"),
         "n_words",

@@ -270,6 +270,28 @@ def test_repeated_rows_share_their_places(spark):
     assert sorted((r["doc_id"], r["n_removed"]) for r in found) == [(5, 0), (5, 0), (6, 30)]
 
 
+@pytest.mark.parametrize("crowded", [2, 2_000])
+def test_texts_without_or_of_one_id_are_apart(spark, monkeypatch, crowded):
+    monkeypatch.setattr(substrings, "MANY_CONTENTS", crowded)
+    rng = random.Random(12)
+    repeat, first, second, third = (prose(rng, n, 5_000) for n in (30, 50, 50, 60))
+    # A repeated passage at word 0 of one text, the others are clean; the same again under id 4.
+    texts = [repeat, f"{repeat} {first}", second, third, f"{repeat} {second[::-1]}", first[::-1], None]
+    ids = [-7, None, None, None, 4, 4, None]
+    found = substrings.remove_repeats(documents(spark, texts, ids=ids).repartition(3)).collect()
+    kept = {(r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in found}
+    assert len(found) == len(texts)
+    # Null ids come first, so the text of id -7 and the one of id 4 lose the passage.
+    assert kept == {
+        (-7, 30, 30, ""), (None, 80, 0, texts[1]), (None, 50, 0, second), (None, 60, 0, third),
+        (4, 80, 30, second[::-1]), (4, 50, 0, first[::-1]), (None, 0, 0, ""),
+    }
+    texts = [f"{third} {repeat}", f"{repeat} {first}", second]
+    found = substrings.remove_repeats(documents(spark, texts, ids=[None] * 3)).collect()
+    assert sum(r["n_removed"] for r in found) == 30
+    assert second in {r["kept"] for r in found}
+
+
 def test_automaton_knows_first_places():
     a, b = [b"x", b"y", b"z"] * 8, [b"q"] + [b"x", b"y", b"z"] * 7
     automaton = substrings.SuffixAutomaton()
