@@ -71,6 +71,23 @@ MORE_RULES = (
 )
 RULES = BASE_RULES + MORE_RULES
 
+# Masking has to cover the whole secret, where a scan needs only its place: a key with its body up to the
+# footer, or the base64 lines that follow if it has none, and logins of any length.
+_HEADER, _FOOTER = r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----", r"-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+_BREAK = r"""(?:[\s>"',+]|\\[nrt])*"""
+_KEY_LINE = rf"(?:(?:Proc-Type|DEK-Info|Version|Comment):[^\n\\]*|[A-Za-z0-9/][A-Za-z0-9+/]{{19,}}={{0,2}})"
+_LAST_LINE = r"(?:(?:\s*\n[\x20\t>]*|\\n)[A-Za-z0-9+/]+={0,2}(?=\s|\\|[\"']|$))?"
+MASK_RULES = BASE_RULES + tuple(
+    {
+        "private": Rule(
+            "private",
+            rf"{_HEADER}(?:(?:(?!-----BEGIN )[\s\S])*?{_FOOTER}|(?:{_BREAK}{_KEY_LINE})+{_LAST_LINE})?",
+        ),
+        "url_login": Rule("url_login", r"[a-z]{2,10}://[A-Za-z0-9._-]+:[^\s:@/]{6,}@[A-Za-z0-9.-]{3,}"),
+    }.get(rule.kind, rule)
+    for rule in MORE_RULES
+)
+
 
 # --- Boolean queries over trigrams ---------------------------------------------------------
 
@@ -284,7 +301,7 @@ def mask(text: str, spans: Sequence[tuple[int, int]], by: str = "[secret]") -> s
     return "".join([*out, text[at:]])
 
 
-def mask_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+def mask_secrets(docs: DataFrame, rules: Sequence[Rule] = MASK_RULES) -> DataFrame:
     """The same rows and columns with every secret in ``text`` replaced; a null text stays null."""
     return docs.mapInArrow(_scan(tuple(rules), "text", masked=True), docs.schema)
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import string
 from collections import Counter
 
 import pytest
@@ -77,6 +78,31 @@ def test_no_match_escapes_its_query(rule):
     assert rule.kind in {names[k] for _, _, k in found[2]}
 
 
+def test_whole_keys_and_logins_are_masked():
+    rng = random.Random(8)
+    lines = ["".join(rng.choices(string.ascii_letters + string.digits + "+/", k=64)) for _ in range(25)] + ["aB3/x9Q="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    bodies = ["\n".join(lines), "\r\n".join(lines), "\\n".join(lines), "\n".join(f"> {x}" for x in lines)]
+    bodies += ["Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n" + "\n".join(lines)]
+    scanner = secrets.Scanner(secrets.MASK_RULES)
+
+    def masked(text):
+        return secrets.mask(text, [s[:2] for s in scanner.find([text])[0]])
+
+    for body in bodies:
+        gap = "\\n" if "\\n" in body else "\n"
+        for footer in (end, ""):
+            out = masked(f"Before it.{gap}{begin}{gap}{body}{gap}{footer}{gap}And words after it.")
+            assert not any(x in out for x in lines)
+            assert out.startswith("Before it.") and out.endswith("And words after it.")
+    # Words between two keys stay, also after a header without a body.
+    between = f"{begin}\n{lines[0]}\n{end}\nwords between\n{begin}\n{lines[1]}\n{end}"
+    assert masked(between) == "[secret]\nwords between\n[secret]"
+    assert masked(f"{begin}\nis a header.") == "[secret]\nis a header."
+    for user, password in (("u" * 80, "p" * 9), ("u", "p" * 200)):
+        assert password not in masked(f"see ftp://{user}:{password}@host.org for it")
+
+
 def test_mask_joins_overlaps():
     assert secrets.mask("abcdef", [(1, 3), (2, 4)]) == "a[secret]ef"
     assert secrets.mask("", []) == ""
