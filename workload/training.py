@@ -33,6 +33,10 @@ from tablelearn.streaming.scoring import (
 from workload import query
 from workload.inputs import DOCUMENT_FEATURES, documents_measured, labelled_documents, rounded, table
 
+# The shipped searches: these families, their whole spaces, 10 trials and 5 folds.
+CLASSIFIERS = ["logistic_regression", "random_forest", "xgboost", "lightgbm"]
+REGRESSORS = ["linear_regression", "random_forest", "xgboost", "lightgbm"]
+
 
 def _split_documents(spark, folder):
     """Labelled documents, filled and scaled, with a stratified split.
@@ -66,18 +70,18 @@ def train_logistic(spark, folder):
 
 @query()
 def train_forest(spark, folder):
-    return _classified(spark, folder, "random_forest", {"n_estimators": 20, "max_depth": 5})
+    return _classified(spark, folder, "random_forest", {"n_estimators": 50, "max_depth": 5})
 
 
 @query()
 def train_boosted_by_depth(spark, folder):
-    params = {"n_estimators": 10, "max_depth": 3, "learning_rate": 0.2, "subsample": 0.8, "colsample_bytree": 0.8}
+    params = {"n_estimators": 50, "max_depth": 3, "learning_rate": 0.2, "subsample": 0.8, "colsample_bytree": 0.8}
     return _classified(spark, folder, "xgboost", params)
 
 
 @query()
 def train_boosted_by_leaves(spark, folder):
-    return _classified(spark, folder, "lightgbm", {"n_estimators": 10, "num_leaves": 8, "learning_rate": 0.2})
+    return _classified(spark, folder, "lightgbm", {"n_estimators": 50, "num_leaves": 8, "learning_rate": 0.2})
 
 
 @query()
@@ -85,7 +89,7 @@ def train_boosted_many_classes(spark, folder):
     """Language from document statistics by one boosted model per class."""
     df = store(documents_measured(spark, folder).select("doc_id", "lang", *DOCUMENT_FEATURES))
     split = random_split(df, "lang", keys=["doc_id"])
-    params = {"n_estimators": 3, "max_depth": 3}
+    params = {"n_estimators": 50, "max_depth": 3}
     model, classes = _fit(split.where(F.col("split") != TEST), "xgboost", params, "lang", DOCUMENT_FEATURES, "classification")
     scored = predict(model, split.where(F.col("split") == TEST))
     return rounded(metrics.classification(scored, "lang", "prediction", "probabilities", classes))
@@ -94,10 +98,7 @@ def train_boosted_many_classes(spark, folder):
 @query()
 def search_classifiers(spark, folder):
     split = _split_documents(spark, folder)
-    trainer = Trainer(
-        "classification", ["logistic_regression", "random_forest"], n_trials=2, cv_folds=3,
-        spaces={"random_forest": {"n_estimators": [10, 20], "max_depth": [3, 5]}},
-    )
+    trainer = Trainer("classification", CLASSIFIERS, n_trials=10, cv_folds=5)
     result = trainer.train(
         split.where(F.col("split") == TRAIN), split.where(F.col("split") == VAL), "quality", DOCUMENT_FEATURES, ["doc_id"]
     )
@@ -109,10 +110,7 @@ def search_regressors(spark, folder):
     columns = ["words", "distinct_words", "non_letters"]
     df = store(documents_measured(spark, folder).select("doc_id", "n_chars", *columns))
     split = random_split(df, "n_chars", keys=["doc_id"])
-    trainer = Trainer(
-        "regression", ["linear_regression", "xgboost"], n_trials=1, cv_folds=2,
-        spaces={"xgboost": {"n_estimators": [5], "max_depth": [3]}},
-    )
+    trainer = Trainer("regression", REGRESSORS, n_trials=10, cv_folds=5)
     result = trainer.train(
         split.where(F.col("split") == TRAIN), split.where(F.col("split") == VAL), "n_chars", columns, ["doc_id"]
     )
@@ -310,9 +308,8 @@ def training_job(spark, folder):
         "documents",
         "quality",
         FeatureSpec(correlation_threshold=0.99),
-        TrainingSpec(models=["logistic_regression", "random_forest"], n_trials=1, cv_folds=2,
-                     spaces={"random_forest": {"n_estimators": [10], "max_depth": [4]}}),
-        EvaluationSpec(cv_folds=2),
+        TrainingSpec(models=CLASSIFIERS, n_trials=10, cv_folds=5),
+        EvaluationSpec(cv_folds=5),
         key_columns=["doc_id"],
     )
     result = run_job(spark, spec, scratch_path(spark, "registry"), source=source)
