@@ -7,7 +7,21 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tablelearn.llm import bpe, embeddings, jaccard, language, mixing, quality, quotes, secrets, substrings, token_counts
+from tablelearn.llm import (
+    bpe,
+    embeddings,
+    hmm,
+    jaccard,
+    language,
+    mixing,
+    phrases,
+    quality,
+    quotes,
+    resampling,
+    secrets,
+    substrings,
+    token_counts,
+)
 from tablelearn.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -394,3 +408,134 @@ FROM repeated r JOIN docs d ON d.doc_id = r.doc_id
 def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents").select("doc_id", "source", "lang", "text")
     return mixing.replicate(docs)
+
+
+_CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+_PHRASES_SQL = f"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                 translate(coalesce(text, ''), '{_CAPITALS}', '{_SMALL}'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+        FROM documents)
+),
+words AS (
+  SELECT lang, id, unnest(w) AS word, generate_subscripts(w, 1) AS i
+  FROM (SELECT lang, w, row_number() OVER () AS id FROM pieces)
+),
+next_words AS (
+  SELECT lang, word, lead(word) OVER d AS second, lead(word, 2) OVER d AS third FROM words
+  WINDOW d AS (PARTITION BY id ORDER BY i)
+),
+runs AS (
+  SELECT lang, 1 AS k, word AS phrase FROM next_words
+  UNION ALL SELECT lang, 2, word || ' ' || second FROM next_words WHERE second IS NOT NULL
+  UNION ALL SELECT lang, 3, word || ' ' || second || ' ' || third FROM next_words WHERE third IS NOT NULL
+),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS a FROM runs GROUP BY ALL),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+parts AS (
+  SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= {phrases.LEAST}
+),
+split AS MATERIALIZED (
+  SELECT lang, phrase, a, c, array_to_string(w[1:c], ' ') AS head, array_to_string(w[c + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, k)) AS c FROM parts)
+),
+cuts AS (
+  SELECT p.lang, p.phrase, p.a, c, x.a AS l, y.a AS r, (p.a::HUGEINT * p.a * 1000000 // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM split p JOIN f x ON x.lang = p.lang AND x.phrase = head JOIN f y ON y.lang = p.lang AND y.phrase = tail
+),
+candidates AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1
+),
+inner_runs AS (
+  SELECT lang, array_to_string(w[i:i + 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT lang, w, a, unnest([1, 2]) AS i FROM parts WHERE k = 3) GROUP BY ALL
+),
+ranked AS (
+  SELECT c.lang, phrase, a, l, r, score,
+         row_number() OVER (PARTITION BY c.lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM candidates c LEFT JOIN inner_runs USING (lang, phrase)
+  WHERE longer IS NULL OR 100 * longer < {phrases.INSIDE} * a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= {phrases.TOP}
+"""
+
+
+@query(_PHRASES_SQL)
+def op11_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The best 2,000 phrases of two and three words of each language, from all whole texts."""
+    return phrases.mine_phrases(read_table(spark, folder, "documents"))
+
+
+_RESAMPLING_SQL = f"""
+WITH bytes AS (
+  SELECT b, list_reduce([b] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS t
+  FROM range(256) AS r(b)
+),
+steps AS (SELECT list(t ORDER BY b) AS t FROM bytes),
+texts AS (
+  SELECT 0 AS side, doc_id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark
+),
+worded AS (
+  SELECT side, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_CAPITALS}', '{_SMALL}'),
+                                          '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM texts
+),
+next_words AS (
+  SELECT side, doc_id, word, lead(word) OVER (PARTITION BY side, doc_id ORDER BY i) AS second
+  FROM (SELECT side, doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM worded)
+),
+runs AS (
+  SELECT side, doc_id, word AS run FROM next_words
+  UNION ALL SELECT side, doc_id, word || ' ' || second FROM next_words WHERE second IS NOT NULL
+),
+distinct_runs AS (SELECT DISTINCT run, hex(encode(run)) AS h FROM runs),
+digits AS (
+  SELECT run, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i::INTEGER + 1, 2))::BIGINT) AS b
+  FROM distinct_runs
+),
+bucketed AS (
+  SELECT run, xor(list_reduce([4294967295] || b, lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295)
+              % {resampling.BUCKETS} AS bucket
+  FROM digits, steps
+),
+found AS (SELECT side, doc_id, bucket FROM runs JOIN bucketed USING (run)),
+sums AS (
+  SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM found GROUP BY bucket
+),
+totals AS (SELECT sum(s)::DOUBLE AS all_s, sum(t)::DOUBLE AS all_t FROM sums),
+gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (all_s + {resampling.BUCKETS})
+                                 / ((s + 1)::DOUBLE * (all_t + {resampling.BUCKETS}))))::BIGINT AS gain
+  FROM sums, totals
+),
+weights AS (
+  SELECT doc_id, count(*) AS n_features, floor(sum(gain) / count(*))::BIGINT AS weight
+  FROM found JOIN gains USING (bucket) WHERE side = 0 GROUP BY doc_id
+),
+scored AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{resampling.SEED}:' || doc_id), 1, 8))::BIGINT + 0.5)
+                                                  / 4294967296.0::DOUBLE)))::BIGINT AS score
+  FROM worded LEFT JOIN weights USING (doc_id) WHERE side = 0
+),
+ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n
+  FROM scored WHERE n_words >= {resampling.LEAST_WORDS}
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= {resampling.PERCENT} * n // 100 THEN rank END AS rank
+FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+
+
+@query(_RESAMPLING_SQL)
+def op12_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    """A quarter of the documents with enough words, drawn towards the benchmark's distribution of words."""
+    return resampling.resample(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
+@query()
+def op13_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probabilities of all documents under the hidden Markov model and under word frequencies."""
+    return hmm.score_texts(read_table(spark, folder, "documents"))
