@@ -17,7 +17,7 @@ from tablelearn.session import Workspace, store
 STATES = 6
 ROUNDS = 3
 # Each state gives this share of its words by the base distribution, which alone knows unseen words.
-BASE_SHARE = 0.1
+BASE_SHARE = 0.3
 # Added to every count by the base distribution.
 ADDED = 0.1
 # Chance to stay in a state before anything is learned; later every transition counts once more than it was seen.
