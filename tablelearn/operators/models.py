@@ -2,26 +2,20 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from random import Random
 from typing import Any
 
 from pyspark.ml import Estimator
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LogisticRegression,
-    OneVsRest,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablelearn.operators.features import JsonStage
+from tablelearn.operators.trees import FEATURES, LABEL, TreeFit, TreePlan
 
-FEATURES, LABEL = "features", "__label"
 # Values of a column that trees may split at, unless ``max_bins`` says otherwise.
 BINS = 256
 
@@ -149,58 +143,66 @@ def linear(params: Mapping[str, Any], shape: Shape) -> Estimator:
     )
 
 
-def forest(params: Mapping[str, Any], shape: Shape) -> Estimator:
-    kind = RandomForestClassifier if shape.task == "classification" else RandomForestRegressor
-    # Unlimited depth maps to 30, the deepest tree Spark grows. The minimum
-    # size of a split has no counterpart and is only recorded.
-    return kind(
-        featuresCol=FEATURES,
-        labelCol=LABEL,
-        seed=shape.seed,
-        numTrees=params.get("n_estimators", 100),
-        maxDepth=params.get("max_depth") or 30,
-        maxBins=params.get("max_bins", BINS),
-        minInstancesPerNode=params.get("min_samples_leaf", 1),
+def forest_plan(params: Mapping[str, Any], shape: Shape) -> TreePlan:
+    """Splits of a regression tree may use any column, of a class tree the root of their number."""
+    return TreePlan(
+        boosted=False,
+        classes=shape.classes if shape.task == "classification" else 0,
+        trees=params.get("n_estimators", 100),
+        max_depth=params.get("max_depth"),
+        min_split=params.get("min_samples_split", 2),
+        min_leaf=params.get("min_samples_leaf", 1),
         bootstrap=params.get("bootstrap", True),
-        # Splits of a regression tree may use any column, of a class tree a few.
-        featureSubsetStrategy="sqrt" if shape.task == "classification" else "all",
+        root_columns=shape.task == "classification",
+        bins=params.get("max_bins", BINS),
+        seed=shape.seed,
     )
 
 
-def _boosted(shape: Shape, **settings: Any) -> Estimator:
-    settings = {"featuresCol": FEATURES, "labelCol": LABEL, "seed": shape.seed, **settings}
-    if shape.task == "regression":
-        return GBTRegressor(**settings)
-    single = GBTClassifier(**settings)
-    if shape.classes <= 2:
-        return single
-    return OneVsRest(classifier=single, featuresCol=FEATURES, labelCol=LABEL, parallelism=2)
+def _boosted(params: Mapping[str, Any], shape: Shape, rate: float, **settings: Any) -> TreePlan:
+    return TreePlan(
+        boosted=True,
+        classes=shape.classes if shape.task == "classification" else 0,
+        trees=params.get("n_estimators", 100),
+        rate=params.get("learning_rate", rate),
+        subsample=params.get("subsample", 1.0),
+        penalty=params.get("reg_lambda", 0.0),
+        bins=params.get("max_bins", BINS),
+        seed=shape.seed,
+        **settings,
+    )
 
 
-def boosted_by_depth(params: Mapping[str, Any], shape: Shape) -> Estimator:
-    """Gradient boosting that samples columns and limits depth."""
+def depth_plan(params: Mapping[str, Any], shape: Shape) -> TreePlan:
+    """Gradient boosting that samples columns per tree and limits depth."""
     return _boosted(
-        shape,
-        maxIter=params.get("n_estimators", 100),
-        maxBins=params.get("max_bins", BINS),
-        maxDepth=params.get("max_depth", 6),
-        stepSize=params.get("learning_rate", 0.3),
-        subsamplingRate=params.get("subsample", 1.0),
-        featureSubsetStrategy=str(params.get("colsample_bytree", "all")),
+        params, shape, 0.3, max_depth=params.get("max_depth", 6), tree_columns=float(params.get("colsample_bytree", 1.0))
     )
 
 
+def leaves_plan(params: Mapping[str, Any], shape: Shape) -> TreePlan:
+    """Gradient boosting whose trees grow best leaf first up to a number of leaves."""
+    return _boosted(params, shape, 0.1, max_depth=params.get("max_depth"), max_leaves=params.get("num_leaves", 31))
+
+
+# Families of trees: their fits of one table are made together.
+TREE_PLANS: dict[str, Callable[[Mapping[str, Any], Shape], TreePlan]] = {
+    "random_forest": forest_plan,
+    "xgboost": depth_plan,
+    "lightgbm": leaves_plan,
+}
+
+
+def forest(params: Mapping[str, Any], shape: Shape) -> Estimator:
+    return TreeFit(forest_plan(params, shape))
+
+
+def boosted_by_depth(params: Mapping[str, Any], shape: Shape) -> Estimator:
+    return TreeFit(depth_plan(params, shape))
+
+
 def boosted_by_leaves(params: Mapping[str, Any], shape: Shape) -> Estimator:
-    """Gradient boosting limited by leaves, which bounds the depth of its trees."""
-    by_leaves = math.ceil(math.log2(params.get("num_leaves", 31)))
-    return _boosted(
-        shape,
-        maxIter=params.get("n_estimators", 100),
-        maxBins=params.get("max_bins", BINS),
-        maxDepth=min(params.get("max_depth") or by_leaves, by_leaves),
-        stepSize=params.get("learning_rate", 0.1),
-        subsamplingRate=params.get("subsample", 1.0),
-    )
+    return TreeFit(leaves_plan(params, shape))
 
 
 Family = Callable[[Mapping[str, Any], Shape], Estimator]
@@ -227,6 +229,12 @@ def add_family(task: str, name: str, family: Family, space: Space | None = None)
     SPACES[task][name] = dict(space or {})
 
 
+def tree_plan(task: str, name: str, params: Mapping[str, Any], shape: Shape) -> TreePlan | None:
+    """The plan of a fit if the family of that name is one of trees (and was not replaced by another)."""
+    own = {"random_forest": forest, "xgboost": boosted_by_depth, "lightgbm": boosted_by_leaves}
+    return TREE_PLANS[name](params, shape) if name in own and FAMILIES[task].get(name) is own[name] else None
+
+
 def estimator(task: str, name: str, params: Mapping[str, Any], shape: Shape) -> Estimator:
     if name not in FAMILIES[task]:
         raise ValueError(f"Unknown {task} model: {name}")

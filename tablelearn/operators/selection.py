@@ -6,19 +6,17 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Estimator
-from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler, VectorSlicer
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 from pyspark.storagelevel import StorageLevel
 
 from tablelearn.functions import stats
 from tablelearn.functions.columns import numeric_columns, quoted
 from tablelearn.operators.labels import index_label
+from tablelearn.operators.trees import TreeFit, TreePlan
 
+# Trees grow until their leaves are pure.
 IMPORTANCE_TREES = 50
-# Trees grow until their leaves are pure; this is the deepest that Spark allows.
-IMPORTANCE_DEPTH = 30
 IMPORTANCE_SEED = 42
 
 # Why a column was dropped.
@@ -81,20 +79,27 @@ def variance_filter(df: DataFrame, threshold: float = 0.01, exclude: Sequence[st
     return FeatureReport([c for c in columns if c not in reasons], dropped, reasons)
 
 
-def _forest(task: str) -> Estimator:
-    settings = {"numTrees": IMPORTANCE_TREES, "maxDepth": IMPORTANCE_DEPTH, "seed": IMPORTANCE_SEED, "featuresCol": "features", "labelCol": "__label"}
-    if task == "classification":
-        return RandomForestClassifier(**settings)
-    return RandomForestRegressor(**settings, featureSubsetStrategy="all")
+def _forest(classes: int) -> Estimator:
+    return TreeFit(
+        TreePlan(
+            boosted=False,
+            classes=classes,
+            trees=IMPORTANCE_TREES,
+            root_columns=classes > 0,
+            seed=IMPORTANCE_SEED,
+        )
+    )
 
 
-def _assembled(df: DataFrame, numeric: Sequence[str], target: str, task: str) -> DataFrame:
+def _assembled(df: DataFrame, numeric: Sequence[str], target: str, task: str) -> tuple[DataFrame, int]:
+    """Vectors with numeric labels, and the number of classes (0 for numbers)."""
+    classes: Sequence = ()
     if task == "classification":
-        df, _ = index_label(df, target, "__label")
+        df, classes = index_label(df, target, "__label")
     else:
         df = df.withColumn("__label", quoted(target).cast("double"))
     assembler = VectorAssembler(inputCols=list(numeric), outputCol="features", handleInvalid="error")
-    return assembler.transform(df).select("features", "__label")
+    return assembler.transform(df).select("features", "__label"), len(classes)
 
 
 def importance_filter(
@@ -113,7 +118,8 @@ def importance_filter(
     columns, numeric = _features(df, [*exclude, target])
     if not numeric:
         return FeatureReport(columns, [])
-    fitted = (model or _forest(task)).fit(_assembled(df, numeric, target, task))
+    data, classes = _assembled(df, numeric, target, task)
+    fitted = (model or _forest(classes)).fit(data)
     weights = fitted.featureImportances.toArray()
     ranked = [numeric[i] for i in sorted(range(len(numeric)), key=lambda i: (-weights[i], i))]
     k = len(ranked) if top_k is None else min(top_k, len(ranked))
@@ -139,14 +145,15 @@ def recursive_elimination(
     columns, numeric = _features(df, [*exclude, target])
     if len(numeric) <= min_features:
         return FeatureReport(columns, [])
-    data = _assembled(df, numeric, target, task).persist(StorageLevel.MEMORY_AND_DISK)
+    data, classes = _assembled(df, numeric, target, task)
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
     rounds: list[list[int]] = []
     kept = list(range(len(numeric)))
     try:
         while len(kept) > min_features:
             slicer = VectorSlicer(inputCol="features", outputCol="__kept", indices=kept)
             rows = slicer.transform(data).select(F.col("__kept").alias("features"), "__label")
-            weights = (model or _forest(task)).fit(rows).featureImportances.toArray()
+            weights = (model or _forest(classes)).fit(rows).featureImportances.toArray()
             order = sorted(range(len(kept)), key=lambda i: (weights[i], i))
             gone = [kept[i] for i in order[: min(step, len(kept) - min_features)]]
             rounds.append(gone)

@@ -33,8 +33,11 @@ from tablelearn.operators.models import (
     estimator,
     sample_params,
     search_space,
+    tree_plan,
 )
 from tablelearn.operators.splits import k_folds
+from tablelearn.operators.trees import TreePlan, bin_table, fit_trees, held_out_predictions
+from tablelearn.session import Workspace
 
 log = logging.getLogger(__name__)
 FOLD = "__fold"
@@ -213,6 +216,9 @@ class Trainer:
         """
         draws = sample_params(space, self.n_trials, self.seed)
         judge = scorer(self.task, self.metric)
+        plans = [tree_plan(self.task, name, params, shape) for params in draws]
+        if all(p is not None for p in plans):
+            return self._search_trees(draws, plans, ready, judge.isLargerBetter())
         sizes = {r[FOLD]: r["count"] for r in ready.groupBy(FOLD).count().collect()}
 
         def score(job: tuple[dict[str, Any], int]) -> float:
@@ -228,6 +234,33 @@ class Trainer:
         best = draws[means.index(better(means))]
         return best, estimator(self.task, name, best, shape).fit(ready)
 
+    def _search_trees(
+        self, draws: list[dict[str, Any]], plans: list[TreePlan], ready: DataFrame, larger: bool
+    ) -> tuple[dict[str, Any], Model]:
+        """The same for trees: the columns are binned once, and all draws are fitted to all folds together."""
+        with Workspace(ready.sparkSession) as work:
+            binned = {b: bin_table(ready, work, b, FOLD) for b in {p.bins for p in plans}}
+            folds = [r[FOLD] for r in ready.select(FOLD).distinct().collect()]
+            means: list[float] = [0.0] * len(plans)
+            for bins, table in binned.items():
+                mine = [i for i, p in enumerate(plans) if p.bins == bins]
+                fits = [(i, f) for i in mine for f in folds]
+                found = held_out_predictions(table, [replace(plans[i], fold=f) for i, f in fits])
+                scores = plan_scores(found, self.task, self.metric)
+                for k, (i, _) in enumerate(fits):
+                    means[i] += (scores[k] or 0.0) / len(folds)
+            best = means.index((max if larger else min)(means))
+            return draws[best], fit_trees(binned[plans[best].bins], plans[best])
+
+
+def plan_scores(found: DataFrame, task: str, metric: str) -> dict[int, float]:
+    """The metric of every fit, from ``fit, label, prediction``, in one pass."""
+    if task == "classification":
+        wide = metrics.classification_wide(found, "label", "prediction", ["fit"])
+    else:
+        wide = metrics.regression_wide(found, "label", "prediction", ["fit"])
+    return {r["fit"]: r["score"] for r in wide.select("fit", F.col(metric).alias("score")).collect()}
+
 
 def in_parallel(work: Callable, jobs: Sequence, parallelism: int, spark: SparkSession) -> list:
     """Results in the order of the jobs, of which so many run at a time."""

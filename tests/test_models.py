@@ -57,9 +57,14 @@ def test_parameter_mapping():
     shape = models.Shape("classification", 100, 2)
     logistic = models.logistic({"C": 0.5, "max_iter": 500}, shape)
     assert logistic.getRegParam() == pytest.approx(1 / 50) and logistic.getMaxIter() == 500
-    assert models.forest({"max_depth": None}, shape).getMaxDepth() == 30
-    assert models.boosted_by_leaves({"max_depth": 9, "num_leaves": 20}, shape).getMaxDepth() == 5
-    assert models.boosted_by_depth({"colsample_bytree": 0.75}, shape).getFeatureSubsetStrategy() == "0.75"
+    plan = models.forest({"max_depth": None, "min_samples_split": 7, "min_samples_leaf": 3}, shape).plan
+    assert (plan.max_depth, plan.min_split, plan.min_leaf, plan.classes, plan.root_columns) == (None, 7, 3, 2, True)
+    plan = models.boosted_by_leaves({"max_depth": 9, "num_leaves": 20, "subsample": 0.7}, shape).plan
+    assert (plan.max_depth, plan.max_leaves, plan.subsample) == (9, 20, 0.7)
+    plan = models.boosted_by_depth({"colsample_bytree": 0.75, "learning_rate": 0.05}, shape).plan
+    assert (plan.tree_columns, plan.rate, plan.max_leaves) == (0.75, 0.05, None)
+    numbers = models.forest({}, models.Shape("regression", 100)).plan
+    assert (numbers.classes, numbers.root_columns) == (0, False)
     with pytest.raises(ValueError):
         models.estimator("classification", "guess", {}, shape)
 
