@@ -156,12 +156,13 @@ class Growing:
         self.pending = [0]
 
     def _new(self, depth: int, sums: np.ndarray | None) -> int:
-        for values, start in ((self.column, -1), (self.bin, 0), (self.left, -1), (self.right, -1)):
-            values.append(start)
+        node, plan = len(self.depth), self.plan
+        self.column.append(-1)
+        self.bin.append(0)
+        self.left.append(-1)
+        self.right.append(-1)
         self.depth.append(depth)
         self.sums.append(sums)
-        node = len(self.depth) - 1
-        plan = self.plan
         if sums is not None and (
             plan.max_depth is not None and depth >= plan.max_depth or sums[-1] < max(plan.min_split, 2 * plan.min_leaf)
         ):
