@@ -61,33 +61,24 @@ BASE_RULES = (
     Rule("hex", r"[0-9a-f]{32,}", 0, 32),
 )
 
-# Public formats of credentials, found besides the base kinds.
+# A private key is its header with the body up to the footer (no five hyphens in a row between them), or with the base64
+# lines that follow if it has none, or alone.
+_HEADER, _FOOTER = r"-----BEGIN [A-Z0-9\x20]*PRIVATE KEY(?:\x20BLOCK)?-----", r"-----END [A-Z0-9\x20]*PRIVATE KEY(?:\x20BLOCK)?-----"
+_BODY = r"(?:[^-]|-{1,4}[^-])*"
+_BREAK = r"""(?:[\s>"',+]|\\[nrt])*"""
+_KEY_LINE = r"(?:(?:Proc-Type|DEK-Info|Version|Comment):[^\n\\]*|[A-Za-z0-9/][A-Za-z0-9+/]{19,}={0,2})"
+_LAST_LINE = r"(?:\s*\n[\x20\t>]*[A-Za-z0-9+/]+={0,2}\r?(?m:$)|\\n[A-Za-z0-9+/]+={0,2})?"
+
+# Public formats of credentials, found besides the base kinds; their patterns say the same in Python and in SQL.
 MORE_RULES = (
-    Rule("private", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private", rf"{_HEADER}(?:{_BODY}{_FOOTER}|(?:{_BREAK}{_KEY_LINE})+{_LAST_LINE})?"),
     Rule("code_host", r"gh[opsur]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
-    Rule("url_login", r"[a-z]{2,10}://[A-Za-z0-9._-]{1,64}:[^\s:@/]{6,64}@[A-Za-z0-9.-]{3,}"),
+    Rule("url_login", r"[a-z]{2,10}://[A-Za-z0-9._-]+:[^\s:@/]{6,}@[A-Za-z0-9.-]{3,}"),
 )
 RULES = BASE_RULES + MORE_RULES
 
-# Masking has to cover the whole secret, where a scan needs only its place: a key with its body up to the
-# footer, or the base64 lines that follow if it has none, and logins of any length.
-_HEADER, _FOOTER = r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----", r"-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
-_BREAK = r"""(?:[\s>"',+]|\\[nrt])*"""
-_KEY_LINE = rf"(?:(?:Proc-Type|DEK-Info|Version|Comment):[^\n\\]*|[A-Za-z0-9/][A-Za-z0-9+/]{{19,}}={{0,2}})"
-_LAST_LINE = r"(?:(?:\s*\n[\x20\t>]*|\\n)[A-Za-z0-9+/]+={0,2}(?=\s|\\|[\"']|$))?"
-MASK_RULES = BASE_RULES + tuple(
-    {
-        "private": Rule(
-            "private",
-            rf"{_HEADER}(?:(?:(?!-----BEGIN )[\s\S])*?{_FOOTER}|(?:{_BREAK}{_KEY_LINE})+{_LAST_LINE})?",
-        ),
-        "url_login": Rule("url_login", r"[a-z]{2,10}://[A-Za-z0-9._-]+:[^\s:@/]{6,}@[A-Za-z0-9.-]{3,}"),
-    }.get(rule.kind, rule)
-    for rule in MORE_RULES
-)
-
 
 # --- Boolean queries over trigrams ---------------------------------------------------------
 
@@ -301,7 +292,7 @@ def mask(text: str, spans: Sequence[tuple[int, int]], by: str = "[secret]") -> s
     return "".join([*out, text[at:]])
 
 
-def mask_secrets(docs: DataFrame, rules: Sequence[Rule] = MASK_RULES) -> DataFrame:
+def mask_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """The same rows and columns with every secret in ``text`` replaced; a null text stays null."""
     return docs.mapInArrow(_scan(tuple(rules), "text", masked=True), docs.schema)
 
