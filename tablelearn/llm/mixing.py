@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tablelearn.functions.columns import quoted
 from tablelearn.llm.quality import spread_join
-from tablelearn.session import fit_table
+from tablelearn.session import FittedTable, fit_table
 
 SEED = 11
 # Sources' weights are their numbers of documents to this power, unless weights are given.
@@ -65,6 +65,43 @@ def log_factorial() -> Column:
     return F.lit([math.lgamma(k + 1) for k in range(TERMS + 1)])
 
 
+def _marked(rows: DataFrame, table: FittedTable, column: str, mark: str) -> DataFrame:
+    """Whether ``column`` is in a table of values with their number of rows ``n``."""
+    told = table.df.withColumn(mark, F.lit(True))
+    if table.small:
+        joined = rows.join(F.broadcast(told.drop("n")), column, "left")
+    else:
+        joined = spread_join(rows, told, column)
+    return joined.withColumn(mark, F.coalesce(mark, F.lit(False)))
+
+
+def _named(docs: DataFrame, key: str, free: str) -> DataFrame:
+    """``docs`` with a name per row from which its draws are hashed, in ``<free>name``.
+
+    A key that only one row has is its name. Where rows share a key or have none, the hash of the whole row is added, and
+    where rows are equal besides, their number in the table as it is read.
+    """
+    own, digest, shared, twice = (free + c for c in ("key", "digest", "shared", "twice"))
+    hashed = [quoted(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    rows = docs.select(
+        "*",
+        F.monotonically_increasing_id().alias(free + "row"),
+        F.coalesce(quoted(key).cast("string"), F.lit("")).alias(own),
+        F.xxhash64(*hashed).alias(free + "hash"),
+    ).withColumn(digest, F.concat_ws(":", own, free + "hash"))
+    count = lambda df, c: fit_table(df.groupBy(c).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    marked = _marked(rows, count(rows.where(quoted(key).isNotNull()).select(own), own), own, shared)
+    marked = marked.withColumn(shared, F.col(shared) | quoted(key).isNull())
+    repeated = count(marked.where(F.col(shared)).select(digest), digest)
+    marked = _marked(marked, repeated, digest, twice)
+    name = (
+        F.when(~F.col(shared), F.col(own))
+        .when(~F.col(twice), F.col(digest))
+        .otherwise(F.concat_ws(":", digest, F.col(free + "row")))
+    )
+    return marked.withColumn(free + "name", name)
+
+
 def replicate(
     docs: DataFrame,
     weights: dict[str, float] | None = None,
@@ -75,38 +112,40 @@ def replicate(
     """Every document as often as a Poisson draw says, all shuffled globally.
 
     The draw inverts the distribution function at a number hashed from the seed
-    and the key, so it does not depend on partitions or retries; repeated rows of
-    one key share their draw. Columns of ``docs`` come first, then mix_copy (0, 1,
-    ...) and mix_place, a hash of key and copy by which rows are dealt to partitions
-    and ordered in them; names that begin with mix_ must be free. A null key draws like the key ''. The steps
+    and the row's name: its key, or where rows share a key or have none, key and whole row. So each row has
+    a draw and places of its own that do not depend on partitions or retries; only those of rows that are equal in everything
+    depend on how the table is read. Columns of ``docs`` come first, then mix_copy (0, 1,
+    ...) and mix_place, a hash of name and copy by which rows are dealt to partitions
+    and ordered in them; both get leading underscores until no column of ``docs`` begins like them. The steps
     of the sources are broadcast if they were found small, else joined by shuffle
-    with large sources split.
+    with large sources split. An empty table gives no rows.
     """
-    taken = {c for c in docs.columns if c.lower().startswith("mix_")}
-    if taken:
-        raise ValueError(f"columns must be free: {sorted(taken)}")
+    free = "mix_"
+    while any(c.lower().startswith(free) for c in docs.columns):
+        free = "_" + free
+    many, step = free + "parts", free + "steps"
     parts = F.greatest(F.ceil(F.col("rate") / PART_MEAN), F.lit(1)).cast("int")
     rates = (
         repetition_rates(docs, weights, epochs)
-        .withColumn("mix_parts", parts)
-        .select(F.col("source").alias("mix_source"), "n", "mix_parts", steps(F.col("rate") / F.col("mix_parts")).alias("mix_steps"))
+        .withColumn(many, parts)
+        .select(F.col("source").alias(free + "source"), "n", many, steps(F.col("rate") / F.col(many)).alias(step))
     )
     fitted = fit_table(rates)
-    rows = docs.withColumn("mix_source", F.coalesce("source", F.lit("")))
+    rows = _named(docs, key, free).withColumn(free + "source", F.coalesce("source", F.lit("")))
     if fitted.small:
-        joined = rows.join(fitted.hinted().drop("n"), "mix_source")
+        joined = rows.join(fitted.hinted().drop("n"), free + "source")
     else:
-        joined = spread_join(rows, fitted.df, "mix_source")
-    name = F.coalesce(quoted(key).cast("string"), F.lit(""))
-    # Part 0 draws from the key alone, further parts from the key and their number.
+        joined = spread_join(rows, fitted.df, free + "source")
+    name, count, copy, place = (free + c for c in ("name", "count", "copy", "place"))
+    # Part 0 draws from the name alone, further parts from the name and their number.
     draw = lambda j: uniform(name, F.lit(str(seed)), F.when(j > 0, j))
-    one = lambda j: F.size(F.filter("mix_steps", lambda s: s <= draw(j)))
-    count = F.aggregate(F.sequence(F.lit(0), F.col("mix_parts") - 1), F.lit(0), lambda got, j: got + one(j))
+    one = lambda j: F.size(F.filter(step, lambda s: s <= draw(j)))
+    drawn = F.aggregate(F.sequence(F.lit(0), F.col(many) - 1), F.lit(0), lambda got, j: got + one(j))
     return (
-        joined.withColumn("mix_count", count)
-        .withColumn("mix_copy", F.explode(F.when(F.col("mix_count") > 0, F.sequence(F.lit(0), F.col("mix_count") - 1))))
-        .withColumn("mix_place", F.md5(F.concat_ws(":", F.lit(str(seed + 1)), name, F.col("mix_copy"))))
-        .select(*[quoted(c) for c in docs.columns], "mix_copy", "mix_place")
-        .repartition("mix_place")
-        .sortWithinPartitions("mix_place")
+        joined.withColumn(count, drawn)
+        .withColumn(copy, F.explode(F.when(F.col(count) > 0, F.sequence(F.lit(0), F.col(count) - 1))))
+        .withColumn(place, F.md5(F.concat_ws(":", F.lit(str(seed + 1)), name, F.col(copy))))
+        .select(*[quoted(c) for c in docs.columns], copy, place)
+        .repartition(place)
+        .sortWithinPartitions(place)
     )
