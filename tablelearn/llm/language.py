@@ -118,11 +118,14 @@ class Ranges:
 
 
 def _fit_texts(docs: DataFrame, sizes: dict[str, int], fit_rows: int, seed: int) -> DataFrame:
-    """lang, text of about ``fit_rows`` rows of each language, chosen by a hash of the key."""
+    """lang, text of about ``fit_rows`` rows of each language, chosen by a hash of key, text and place in the table:
+    rows that share a key, have none or are equal are drawn each for itself."""
     share = F.create_map(*[F.lit(x) for lang in sizes for x in (lang, min(1.0, fit_rows / sizes[lang]))])
     # A hash in [0, 1) for each key.
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    return _known(docs).where(draw < share[F.col("lang")]).select("lang", "text")
+    hashed = F.xxhash64("doc_id", "text", F.monotonically_increasing_id(), F.lit(seed))
+    draw = F.pmod(hashed, F.lit(1 << 40)) / F.lit(float(1 << 40))
+    drawn = docs.select("doc_id", "lang", "text", draw.alias("draw"))
+    return _known(drawn).where(F.col("draw") < share[F.col("lang")]).select("lang", "text")
 
 
 def _known(docs: DataFrame) -> DataFrame:
