@@ -233,7 +233,8 @@ def _linked_nodes(docs: DataFrame, rows: DataFrame) -> DataFrame:
     members = nodes.select("node", F.explode("bands").alias("group"))
     candidates = cells(members).join(nodes.select("node", "values"), "node")
     clusters = components(_candidate_edges(candidates))
-    texts = docs.select(row_key().alias("key"), "text")
+    # One text per key, chosen in the tasks before the shuffle: equal rows are one node.
+    texts = docs.select(row_key().alias("key"), "text").groupBy("key").agg(F.first("text").alias("text"))
     placed = cells(clusters.select("node", F.col("component").alias("group")), EXACT_BLOCK, distinct=False)
     with_texts = placed.join(nodes.select("node", "key", "n_docs"), "node").join(texts, "key")
     found = store(_exact_links(with_texts.select("cell", "node", "side", "n_docs", "text")), "links")
