@@ -493,12 +493,25 @@ def test_steps_are_the_distribution_function(spark):
         assert abs(step - total) < 1e-12
 
 
-def test_names_of_the_mix_must_be_free(spark):
-    with pytest.raises(ValueError):
-        mixing.replicate(spark.range(1).selectExpr("id as doc_id", "'a' as source", "1 as mix_copy"))
-
-
-def test_repeated_rows_and_null_keys_are_drawn_alike(spark):
-    docs = spark.createDataFrame([(None, "a")] * 3 + [(1, "a")] * 5, "doc_id long, source string")
-    found = Counter(r["doc_id"] for r in mixing.replicate(docs, epochs=4.0).collect())
-    assert found[None] % 3 == 0 and found[1] % 5 == 0
+def test_names_of_the_mix_may_be_taken(spark):
+    docs = spark.range(200).selectExpr("id as doc_id", "'a' as source", "1 as mix_copy", "2 as MIX_place", "3 as _mix_name")
+    found = mixing.replicate(docs)
+    assert found.columns == [*docs.columns, "__mix_copy", "__mix_place"]
+    plain = mixing.replicate(docs.select("doc_id", "source"))
+    assert sorted(r["doc_id"] for r in found.collect()) == sorted(r["doc_id"] for r in plain.collect())
+
+
+@pytest.mark.parametrize("seed", [11, 12, 13])
+@pytest.mark.parametrize("kind", ["no id", "one id", "equal rows"])
+def test_rows_of_one_id_or_none_draw_for_themselves(spark, seed, kind):
+    n = 20_000
+    key = {"no id": "if(id % 2 = 0, null, id)", "one id": "if(id % 2 = 0, 5, id)", "equal rows": "null"}[kind]
+    text = "'same'" if kind == "equal rows" else "concat('text ', id)"
+    docs = spark.range(0, n, 1, 8).selectExpr(f"{key} as doc_id", f"{text} as text", "'a' as source")
+    found = mixing.replicate(docs, seed=seed)
+    # As dealt: by the hash of the place, not put together again where partitions are small.
+    sizes = [r["count"] for r in found.groupBy(F.pmod(F.hash("mix_place"), F.lit(8))).count().collect()]
+    assert abs(sum(sizes) - n) < 0.02 * n + 3 * n**0.5
+    assert max(sizes) < 2 * n / 8
+    if kind != "equal rows":
+        assert sorted(map(repr, found.collect())) == sorted(map(repr, mixing.replicate(docs.repartition(3), seed=seed).collect()))

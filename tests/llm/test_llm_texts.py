@@ -84,7 +84,7 @@ def test_whole_keys_and_logins_are_masked():
     begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
     bodies = ["\n".join(lines), "\r\n".join(lines), "\\n".join(lines), "\n".join(f"> {x}" for x in lines)]
     bodies += ["Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n" + "\n".join(lines)]
-    scanner = secrets.Scanner(secrets.MASK_RULES)
+    scanner = secrets.Scanner(secrets.RULES)
 
     def masked(text):
         return secrets.mask(text, [s[:2] for s in scanner.find([text])[0]])
@@ -99,10 +99,33 @@ def test_whole_keys_and_logins_are_masked():
     between = f"{begin}\n{lines[0]}\n{end}\nwords between\n{begin}\n{lines[1]}\n{end}"
     assert masked(between) == "[secret]\nwords between\n[secret]"
     assert masked(f"{begin}\nis a header.") == "[secret]\nis a header."
-    for user, password in (("u" * 80, "p" * 9), ("u", "p" * 200)):
+    for kind in ("RSA2 PRIVATE KEY", "PGP PRIVATE KEY BLOCK"):
+        assert masked(f"a\n-----BEGIN {kind}-----\n{lines[0]}\n{lines[-1]}\n-----END {kind}-----\nb") == "a\n[secret]\nb"
+    for user, password in (("u" * 80, "p" * 9), ("u", "p" * 200), ("u" * 65, "p" * 65), ("u" * 5_000, "p" * 5_000)):
         assert password not in masked(f"see ftp://{user}:{password}@host.org for it")
 
 
+def test_spans_of_long_logins_and_keys_are_those_of_sql(spark, tmp_path):
+    import duckdb
+
+    from tablelearn.llm import queries
+
+    rng = random.Random(9)
+    line = lambda n: "".join(rng.choices(string.ascii_letters + string.digits + "+/", k=n))
+    begin, end = "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----"
+    body = "\n".join(line(64) for _ in range(12))
+    texts = [f"see postgres://{'u' * n}:{'p' * n}@host.org now" for n in (6, 64, 65, 5_000)]
+    texts += [f"x {begin}\n{body}\n{line(9)}==\n{end} y", f"{begin}\n{body}\n{line(9)}\n", f"{begin}\n{body}\r\n{line(9)}=\r\nwords"]
+    texts += [f"{begin} words {begin}\n{body}\n{end}", f"'{begin}\\n{line(64)}\\n{line(12)}=\\n' {end}", f"{begin}\n- a - b -- c\n{end}", begin]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    wanted = {r[0]: r[-1] for r in con.execute(queries.ORACLES["op1_secret_scan"]).fetchall()}
+    found = {r["doc_id"]: r["spans"] for r in queries.QUERIES["op1_secret_scan"](spark, str(tmp_path)).collect()}
+    assert found == wanted and all(f"url_login:4:{len(texts[i]) - 4}" in found[i] for i in range(4))
+    assert found[4].endswith(f"private:2:{len(texts[4]) - 2}") or f"private:2:{len(texts[4]) - 2}" in found[4]
+
+
 def test_mask_joins_overlaps():
     assert secrets.mask("abcdef", [(1, 3), (2, 4)]) == "a[secret]ef"
     assert secrets.mask("", []) == ""
