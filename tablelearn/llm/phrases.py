@@ -8,7 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tablelearn.functions.ordering import global_rank
 from tablelearn.llm.blocks import encode_blocks, unpack
+from tablelearn.llm.common import mixed
 from tablelearn.session import fit_table, store
 
 # Least occurrences of a phrase, the per cent of them inside one longer phrase that drop it, and the phrases returned.
@@ -146,81 +148,126 @@ def count_stream(trie: HatTrie, stream: np.ndarray) -> None:
         trie.add(head, rests[start:end], counts[start:end])
 
 
-_RUNS = "lang string, first string, second string, third string, n long, c_first long, c_last long"
-
-
-def _count_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of the frequent words of each block; a block's words come before its texts."""
-    block = None
-    trie = words = counts = numbers = lang = None
-    known: list[pa.RecordBatch] = []
-    stream: list[np.ndarray] = []
-    size = 0
-
-    def rows(runs) -> Iterator[pa.RecordBatch]:
-        for first, rest, n in runs:
-            second, third = np.divmod(rest, trie.width)
-            two = third == 0
-            last = np.where(two, second, third)
-            # The counts of words travel with runs of two; those of three get them from there.
-            columns = [
-                pa.array([lang]).take(pa.array(np.zeros(len(n), dtype=np.int32))),
-                words.take(pa.array(first - 1)),
-                words.take(pa.array(second - 1)),
-                words.take(pa.array(np.where(two, 0, third - 1), mask=two)),
-                pa.array(n),
-                pa.array(counts[first - 1], mask=~two),
-                pa.array(counts[last - 1], mask=~two),
-            ]
-            yield pa.record_batch(columns, names=[c.split()[0] for c in _RUNS.split(", ")])
-
-    def counted() -> Iterator[pa.RecordBatch]:
-        nonlocal size
-        count_stream(trie, np.concatenate(stream))
-        stream.clear()
+_WORD_COLUMNS = ("first", "second", "third", "n")
+
+
+def pack_numbers(values: np.ndarray) -> bytes:
+    """64-bit numbers byte plane by byte plane; planes of sorted or small numbers take next to no room in a shuffle."""
+    return np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpack_numbers(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T).view("<i8").reshape(-1)
+
+
+def _count_blocks(parts: int):
+    """Runs of the frequent words of each block (whose words come before its texts), as sorted parts: every
+    run goes to the part that its first two words choose."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, trie, names, numbers = None, None, None, None
+        known: list[pa.RecordBatch] = []
+        stream: list[np.ndarray] = []
         size = 0
-        if trie.full():
-            yield from rows(trie.runs(trie.spill // 2))
-
-    def closed() -> Iterator[pa.RecordBatch]:
-        if trie is not None:
-            if stream:
-                yield from counted()
-            yield from rows(trie.runs())
-
-    for batch in batches:
-        blocks = batch.column("block").to_numpy()
-        is_word = np.asarray(batch.column("place").is_valid())
-        cuts = np.flatnonzero((np.diff(blocks) != 0) | (np.diff(is_word.astype(np.int8)) != 0)) + 1
-        for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
-            if start == end:
-                continue
-            part = batch.slice(start, end - start)
-            if blocks[start] != block:
-                yield from closed()
-                block, trie, known, stream, size = blocks[start], None, [], [], 0
-            if is_word[start]:
-                known.append(part.select(["lang", "word", "place", "c"]))
-                continue
-            if not known:
-                continue
-            if trie is None:
-                table = pa.Table.from_batches(known)
-                lang = table["lang"][0].as_py()
-                words, counts = table["word"].combine_chunks(), table["c"].to_numpy()
-                places = table["place"].to_numpy()
-                numbers = np.zeros(places.max() + 1, dtype=np.int64)
-                numbers[places] = np.arange(1, len(places) + 1)
-                trie = HatTrie(len(places) + 1)
-            for data in part.column("ids").to_pylist():
-                ids = unpack(data)
-                # Places beyond the last frequent word, and rare words between, are breaks.
-                known_ids = np.where(ids < len(numbers), numbers[np.minimum(ids, len(numbers) - 1)], 0)
-                stream += [known_ids, np.zeros(1, dtype=np.int64)]
-                size += len(ids) + 1
-                if size >= STREAM:
+
+        def rows(runs) -> Iterator[pa.RecordBatch]:
+            for first, rest, n in runs:
+                second, third = np.divmod(rest, trie.width)
+                words = [names[first], names[second], np.where(third > 0, names[third], 0), n]
+                part = (mixed((words[0] * 0x9E3779B1 + words[1]).astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+                order = np.lexsort((words[2], words[1], words[0], part))
+                cuts = np.flatnonzero(np.diff(part[order])) + 1
+                pieces = [np.split(w[order], cuts) for w in words]
+                yield pa.record_batch(
+                    [
+                        pa.array(part[order][np.concatenate([[0], cuts]).astype(np.int64)]),
+                        *[pa.array([pack_numbers(v) for v in piece], pa.binary()) for piece in pieces],
+                    ],
+                    names=["part", *_WORD_COLUMNS],
+                )
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            nonlocal size
+            count_stream(trie, np.concatenate(stream))
+            stream.clear()
+            size = 0
+            if trie.full():
+                yield from rows(trie.runs(trie.spill // 2))
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            if trie is not None:
+                if stream:
                     yield from counted()
-    yield from closed()
+                yield from rows(trie.runs())
+
+        for batch in batches:
+            blocks = batch.column("block").to_numpy()
+            is_word = np.asarray(batch.column("place").is_valid())
+            cuts = np.flatnonzero((np.diff(blocks) != 0) | (np.diff(is_word.astype(np.int8)) != 0)) + 1
+            for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                if start == end:
+                    continue
+                part = batch.slice(start, end - start)
+                if blocks[start] != block:
+                    yield from closed()
+                    block, trie, known, stream, size = blocks[start], None, [], [], 0
+                if is_word[start]:
+                    known.append(part.select(["place", "gid"]))
+                    continue
+                if not known:
+                    continue
+                if trie is None:
+                    table = pa.Table.from_batches(known)
+                    places = table["place"].to_numpy()
+                    # Number 0 is no word; the others follow the places.
+                    names = np.concatenate([[0], table["gid"].to_numpy()])
+                    numbers = np.zeros(places.max() + 1, dtype=np.int64)
+                    numbers[places] = np.arange(1, len(places) + 1)
+                    trie = HatTrie(len(places) + 1)
+                for data in part.column("ids").to_pylist():
+                    ids = unpack(data)
+                    # Places beyond the last frequent word, and rare words between, are breaks.
+                    known_ids = np.where(ids < len(numbers), numbers[np.minimum(ids, len(numbers) - 1)], 0)
+                    stream += [known_ids, np.zeros(1, dtype=np.int64)]
+                    size += len(ids) + 1
+                    if size >= STREAM:
+                        yield from counted()
+        yield from closed()
+
+    return run
+
+
+def _merge_part(least: int):
+    """Sum the sorted runs of one part; runs of three meet the run of two they begin with there."""
+
+    def run(table: pa.Table) -> pa.Table:
+        first, second, third, n = (
+            np.concatenate([unpack_numbers(d) for d in table[c].to_pylist()]) for c in _WORD_COLUMNS
+        )
+        order = np.lexsort((third, second, first))
+        first, second, third, n = first[order], second[order], third[order], n[order]
+        new = np.ones(len(first), dtype=bool)
+        new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1]) | (third[1:] != third[:-1])
+        starts = np.flatnonzero(new)
+        total = np.add.reduceat(n, starts)
+        starts, total = starts[total >= least], total[total >= least]
+        first, second, third = first[starts], second[starts], third[starts]
+        longer = np.zeros(len(total), dtype=np.int64)
+        if len(total):
+            # A frequent run of three has a frequent run of two before it, which sorts first.
+            heads = np.flatnonzero(third == 0)
+            longer[heads] = np.maximum.reduceat(np.where(third > 0, total, 0), heads)
+        return pa.table(
+            {
+                "first": pa.array(first),
+                "second": pa.array(second),
+                "third": pa.array(third, mask=third == 0),
+                "a": pa.array(total),
+                "longer": pa.array(longer),
+            }
+        )
+
+    return run
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:
@@ -229,42 +276,40 @@ def _score(a: Column, left: Column, right: Column) -> Column:
     return F.call_function("div", a * a * F.lit(1_000_000).cast("decimal(7,0)"), left * right)
 
 
-def frequent_runs(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """Runs of two and three words with at least ``least`` occurrences, and all word occurrences per language.
+# Occurrences of runs that a part is to hold; there are at least so many parts for each partition of a shuffle.
+PART_RUNS, PARTS = 2_000_000, 4
 
-    A run is frequent only if its words are, so tries hold frequent words only; their counts are joined
-    to the dictionaries of the blocks by shuffle. Runs leave a task combined and sorted and are dealt by
-    language and first two words, where they are merged, and where runs of three meet the run of two they begin with.
+
+def frequent_runs(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``first, second, third, a, longer`` of the runs of two and three words with at least ``least`` occurrences, as
+    numbers of words (third null for two; longer: the most of a run of three that begins with the two);
+    ``lang, word, c, gid`` of the frequent words; all word occurrences per language.
+
+    A run is frequent only if its words are, so tries hold frequent words only; words are numbered by frequency, and their
+    numbers joined to the dictionaries of the blocks by shuffle. Runs leave a task counted, sorted and packed, dealt
+    by their first two words into parts that grow in number with the corpus, and each part is merged by one task.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.coalesce("lang", F.lit(UNDETERMINED)).alias("lang"), "text")
     blocks = store(encode_blocks(rows, split_pieces, b"\n", ["lang"], by="lang"), "pieces")
     words = blocks.where("place > 0").select("block", "lang", "word", "place", "n")
     counted = words.groupBy("lang", "word").agg(F.sum("n").alias("c"))
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    known = words.drop("n").join(counted.where(F.col("c") >= least), ["lang", "word"])
+    totals = store(words.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    ranked = global_rank(counted.where(F.col("c") >= least).withColumn("rare", -F.col("c")), ["rare", "lang", "word"], "gid")
+    vocabulary = store(ranked.drop("rare"), "vocabulary")
+    known = words.drop("n").join(vocabulary, ["lang", "word"]).select("block", "place", "gid")
     texts = blocks.where("place is null").select("block", "ids")
     both = known.unionByName(texts, allowMissingColumns=True).repartition("block").sortWithinPartitions(
         "block", F.col("place").asc_nulls_last()
     )
-    prefix = ["lang", "first", "second"]
-    runs = both.select("block", "lang", "word", "place", "c", "ids").mapInArrow(_count_blocks, _RUNS)
-    merged = (
-        runs.repartition(*prefix)
-        .groupBy(*prefix, "third")
-        .agg(F.sum("n").alias("a"), F.max("c_first").alias("c_first"), F.max("c_last").alias("c_last"))
-        .where(F.col("a") >= least)
+    tokens = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts = max(PARTS * int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * tokens // PART_RUNS)
+    packed = ", ".join(f"{c} binary" for c in _WORD_COLUMNS)
+    runs = both.select("block", "place", "gid", "ids").mapInArrow(_count_blocks(parts), f"part long, {packed}")
+    merged = runs.groupBy("part").applyInArrow(
+        _merge_part(least), "first long, second long, third long, a long, longer long"
     )
-    same = Window.partitionBy(*prefix)
-    two = F.col("third").isNull()
-    return merged.select(
-        *prefix,
-        "third",
-        "a",
-        F.max("c_first").over(same).alias("c_first"),
-        "c_last",
-        F.max(F.when(two, F.col("a"))).over(same).alias("f_first"),
-        F.max(F.when(~two, F.col("a"))).over(same).alias("longer"),
-    ), totals
+    return store(merged, "runs"), vocabulary, totals
 
 
 def mine_phrases(docs: DataFrame, least: int = LEAST, inside: int = INSIDE, top: int = TOP) -> DataFrame:
@@ -275,24 +320,23 @@ def mine_phrases(docs: DataFrame, least: int = LEAST, inside: int = INSIDE, top:
     phrase goes if one longer candidate holds ``inside`` per cent of its occurrences. Repeated rows count each; ids
     and other columns are not read. A table without such phrases gives no rows.
     """
-    found, totals = frequent_runs(docs, least)
-    found = store(found, "runs")
-    pairs = found.where("third is null").drop("third")
+    found, vocabulary, totals = frequent_runs(docs, least)
+    one = vocabulary.select("lang", F.col("gid").alias("first"), F.col("word").alias("w1"), F.col("c").alias("c_first"))
+    two = vocabulary.select(F.col("gid").alias("second"), F.col("word").alias("w2"), F.col("c").alias("c_last"))
+    pairs = store(found.where("third is null").drop("third").join(one, "first").join(two, "second"), "pairs")
+    starts = pairs.select("lang", "first", "second", F.col("a").alias("f_first"), "c_first", "w1", "w2")
     ends = pairs.select(
-        "lang", F.col("first").alias("second"), F.col("second").alias("third"), F.col("a").alias("f_last"), "c_last"
-    )
-    triples = found.where("third is not null").drop("c_last", "longer").join(ends, ["lang", "second", "third"])
-    covering = triples.groupBy("lang", F.col("second").alias("first"), F.col("third").alias("second")).agg(
-        F.max("a").alias("after")
+        F.col("first").alias("second"), F.col("second").alias("third"), F.col("a").alias("f_last"), "c_last", F.col("w2").alias("w3")
     )
-    # The greater of two that may be null; 0 if both are.
-    longer = F.coalesce(F.greatest("longer", "after"), F.lit(0))
+    triples = found.where("third is not null").drop("longer")
+    covering = triples.groupBy(F.col("second").alias("first"), F.col("third").alias("second")).agg(F.max("a").alias("after"))
+    longer = F.greatest("longer", F.coalesce("after", F.lit(0)))
     pairs = (
-        pairs.join(covering, ["lang", "first", "second"], "left")
+        pairs.join(covering, ["first", "second"], "left")
         .where(100 * longer < inside * F.col("a"))
         .select(
             "lang",
-            F.concat_ws(" ", "first", "second").alias("phrase"),
+            F.concat_ws(" ", "w1", "w2").alias("phrase"),
             "a",
             F.col("c_first").alias("l"),
             F.col("c_last").alias("r"),
@@ -301,15 +345,18 @@ def mine_phrases(docs: DataFrame, least: int = LEAST, inside: int = INSIDE, top:
     )
     early = _score(F.col("a"), F.col("c_first"), F.col("f_last"))
     late = _score(F.col("a"), F.col("f_first"), F.col("c_last"))
+    first_cut = F.col("early") <= F.col("late")
     triples = (
-        triples.withColumn("early", early)
+        triples.join(starts, ["first", "second"])
+        .join(ends, ["second", "third"])
+        .withColumn("early", early)
         .withColumn("late", late)
         .select(
             "lang",
-            F.concat_ws(" ", "first", "second", "third").alias("phrase"),
+            F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"),
             "a",
-            F.when(F.col("early") <= F.col("late"), F.col("c_first")).otherwise(F.col("f_first")).alias("l"),
-            F.when(F.col("early") <= F.col("late"), F.col("f_last")).otherwise(F.col("c_last")).alias("r"),
+            F.when(first_cut, F.col("c_first")).otherwise(F.col("f_first")).alias("l"),
+            F.when(first_cut, F.col("f_last")).otherwise(F.col("c_last")).alias("r"),
             F.least("early", "late").alias("score"),
         )
     )
