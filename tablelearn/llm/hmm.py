@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablelearn.functions.columns import quoted
-from tablelearn.llm.blocks import encode_blocks, unpack
+from tablelearn.llm.blocks import encode_blocks, pack, pack_numbers, unpack, unpack_numbers
 from tablelearn.session import Workspace, store
 
 STATES = 6
@@ -20,6 +21,9 @@ ROUNDS = 3
 BASE_SHARE = 0.3
 # Added to every count by the base distribution.
 ADDED = 0.1
+# Words the training texts hold less often have no counts of their own in the states: they share those of the
+# words with the same two last characters, by their frequency. Endings are hashed into so many classes.
+RARE, CLASSES = 5, 1024
 # Chance to stay in a state before anything is learned; later every transition counts once more than it was seen.
 STAY = 0.9
 SEED = 13
@@ -54,12 +58,21 @@ class Chain:
     tokens: int
     distinct: int
     base_share: float = BASE_SHARE
+    class_sums: np.ndarray | None = None
+    class_counts: np.ndarray | None = None
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         return (counts + ADDED) / (self.tokens + ADDED * (self.distinct + 1))
 
-    def emissions(self, counts: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def emissions(
+        self, counts: np.ndarray, sums: np.ndarray, classes: np.ndarray | None = None
+    ) -> tuple[np.ndarray, np.ndarray]:
         """Probabilities of words in every state, and the part of each that the state itself has learned."""
+        if classes is not None:
+            rare = np.flatnonzero((counts > 0) & (counts < RARE))
+            share = counts[rare] / self.class_counts[classes[rare]]
+            sums = sums.copy()
+            sums[rare] = self.class_sums[classes[rare]] * share[:, None]
         own = (1 - self.base_share) * sums / np.maximum(self.totals, 1e-300)
         rest = np.where(self.totals > 0, self.base_share, 1.0) * self.base(counts)[:, None]
         return own + rest, own / (own + rest)
@@ -184,38 +197,38 @@ def _sums(states: int) -> list[str]:
     return [f"e{k}" for k in range(states)]
 
 
-def _learned(words: pa.Table, states: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of ``words`` by place, their counts in the training texts, and their expected counts per state."""
-    order = np.argsort(words["place"].to_numpy())
-    counts = words["c"].to_numpy()[order].astype(float)
-    sums = np.stack([words[e].to_numpy()[order].astype(float) for e in _sums(states)], axis=1)
-    return order, counts, sums
+def _learned(told: pa.Table, states: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Table]:
+    """Training counts and classes of a block's words by place, their counts in the states (0 for
+    rare words), and the rows of the words that have such counts."""
+    whole = told.filter(pc.is_valid(told["counts"]))
+    counts = unpack_numbers(whole["counts"][0].as_py()).astype(float)
+    classes = unpack(whole["classes"][0].as_py())
+    own = told.filter(pc.is_valid(told["place"]))
+    sums = np.zeros((len(counts), states))
+    for k, e in enumerate(_sums(states)):
+        sums[own["place"].to_numpy(), k] = own[e].to_numpy()
+    return counts, classes, sums, own
 
 
 def _counts_of_blocks(chain: Chain):
     states = len(chain.start)
 
-    def run(texts: pa.Table, words: pa.Table) -> pa.Table:
-        order, counts, sums = _learned(words, states)
-        emit, own = chain.emissions(counts, sums)
+    def run(texts: pa.Table, told: pa.Table) -> pa.Table:
+        counts, classes, sums, words = _learned(told, states)
+        emit, own = chain.emissions(counts, sums, classes)
         seen, moves, starts = np.zeros_like(sums), np.zeros((states, states)), np.zeros(states)
         for _, batch in batches_of([unpack(d) for d in texts["ids"].to_pylist()]):
             more = expected(chain, batch, emit, len(counts))
             seen, moves, starts = seen + more[0], moves + more[1], starts + more[2]
         # What the base distribution explains of a word is not the state's own.
         seen *= own
-        some = np.flatnonzero(counts)
-        names = words["word"].combine_chunks().take(pa.array(order[some]))
-        every = np.concatenate([seen[some], moves, starts[None, :]]).astype(np.float32)
-        shared = states + 1
-        return pa.table(
-            {
-                "word": pa.concat_arrays([names, pa.nulls(shared, pa.string())]),
-                "row": pa.array(np.concatenate([np.zeros(len(some)), np.arange(shared)]).astype(np.int32)),
-                "c": pa.array(np.concatenate([counts[some], np.zeros(shared)]).astype(np.int64)),
-                **{e: pa.array(every[:, k]) for k, e in enumerate(_sums(states))},
-            }
-        )
+        rare = (counts > 0) & (counts < RARE)
+        shared = np.stack([np.bincount(classes[rare], weights=seen[rare, k], minlength=CLASSES) for k in range(states)], 1)
+        some = np.flatnonzero(shared.any(axis=1))
+        every = np.concatenate([seen[words["place"].to_numpy()], moves, starts[None, :], shared[some]]).astype(np.float32)
+        rows = np.concatenate([np.zeros(len(words)), np.arange(states + 1), states + 1 + some]).astype(np.int32)
+        names = pa.concat_arrays([words["word"].combine_chunks(), pa.nulls(len(rows) - len(words), pa.string())])
+        return pa.table({"word": names, "row": rows, **{e: every[:, k] for k, e in enumerate(_sums(states))}})
 
     return run
 
@@ -223,9 +236,9 @@ def _counts_of_blocks(chain: Chain):
 def _scores_of_blocks(chain: Chain):
     states = len(chain.start)
 
-    def run(texts: pa.Table, words: pa.Table) -> pa.Table:
-        _, counts, sums = _learned(words, states)
-        emit, _ = chain.emissions(counts, sums)
+    def run(texts: pa.Table, told: pa.Table) -> pa.Table:
+        counts, classes, sums, _ = _learned(told, states)
+        emit, _ = chain.emissions(counts, sums, classes)
         base = np.log10(chain.base(counts))
         coded = [unpack(d) for d in texts["ids"].to_pylist()]
         score = np.empty(len(coded))
@@ -247,19 +260,33 @@ def _scores_of_blocks(chain: Chain):
     return run
 
 
-def _chain(sums: DataFrame, states: int, tokens: int, distinct: int, share: float) -> Chain:
-    """Moves and starts from the rows without a word, the states' totals from the others."""
-    totals = sums.where("word is not null").agg(*[F.sum(F.col(e).cast("double")).alias(e) for e in _sums(states)]).first()
-    shared = {r["row"]: [r[e] for e in _sums(states)] for r in sums.where("word is null").collect()}
-    moves = np.array([shared[k] for k in range(states)]) + 1.0
-    starts = np.array(shared[states]) + 1.0
-    return Chain(
-        starts / starts.sum(),
-        moves / moves.sum(axis=1, keepdims=True),
-        np.array([totals[e] or 0.0 for e in _sums(states)]),
-        tokens,
-        distinct,
-        share,
+def _pack_dictionary(words: pa.Table) -> pa.Table:
+    """Counts and classes of a block's words by place, as one row."""
+    order = np.argsort(words["place"].to_numpy())
+    return pa.table(
+        {
+            "of_block": words["of_block"][:1],
+            "counts": pa.array([pack_numbers(words["c"].to_numpy()[order])], pa.binary()),
+            "classes": pa.array([pack(words["class"].to_numpy()[order])], pa.binary()),
+        }
+    )
+
+
+def _chain(before: Chain, sums: DataFrame) -> Chain:
+    """Moves, starts and classes from the rows without a word, the states' totals from all."""
+    states = len(before.start)
+    names = _sums(states)
+    totals = sums.where("word is not null").agg(*[F.sum(F.col(e).cast("double")).alias(e) for e in names]).first()
+    shared = np.zeros((states + 1 + CLASSES, states))
+    for r in sums.where("word is null").collect():
+        shared[r["row"]] = [r[e] for e in names]
+    moves, starts, classes = shared[:states] + 1.0, shared[states] + 1.0, shared[states + 1 :]
+    return replace(
+        before,
+        start=starts / starts.sum(),
+        moves=moves / moves.sum(axis=1, keepdims=True),
+        totals=np.array([totals[e] or 0.0 for e in names]) + classes.sum(axis=0),
+        class_sums=classes,
     )
 
 
@@ -275,8 +302,10 @@ def score_texts(
 
     Texts are numbered once, in blocks with their own dictionaries, and stored by block. Each round of
     Baum-Welch joins what every state knows of a word to the dictionaries (a shuffle by word, one by
-    block; the texts stay where they are), runs the blocks forwards and backwards, and sums the expected counts by word. All
-    words of the corpus have their own counts in every state; states squared numbers reach the driver.
+    block; the texts stay where they are), runs the blocks forwards and backwards, and sums the expected counts by word. Words
+    of ``RARE`` or more occurrences have counts of their own in every state, rarer ones share those of their class of endings in
+    proportion to their counts; all words have their own count in the base distribution. Numbers of the
+    states and classes alone reach the driver.
 
     A null or empty text is its end alone. A null id is not held out. Rows of one id, repeated ones too, are
     texts like others. Other columns are not read. Without training texts every state is the base
@@ -296,40 +325,69 @@ def score_texts(
             # Under another name, so that Spark can tell the two sides of the grouping apart.
             words = blocks.where("place is not null").select(F.col("block").alias("of_block"), "word", "place")
             found = blocks.where("n > 0").groupBy("word").agg(F.sum("n").alias("c"))
+            ending = F.crc32(F.substring("word", -2, 2).cast("binary"))
+            counted = words.join(found, "word", "left").select(
+                "of_block",
+                "place",
+                "word",
+                F.coalesce("c", F.lit(0)).alias("c"),
+                F.pmod(ending, F.lit(CLASSES)).cast("int").alias("class"),
+            )
+            counted = work.store(counted, "counted")
+            packed = work.store(
+                counted.groupBy("of_block").applyInArrow(_pack_dictionary, "of_block long, counts binary, classes binary"),
+                "dictionaries",
+            )
+            own = counted.where(F.col("c") >= RARE).select("of_block", "place", "word")
+            every = counted.where("c > 0").groupBy("word").agg(F.max("c").alias("c"), F.max("class").alias("class"))
+            every = work.store(every, "vocabulary")
             # Uneven shares of every word's count set the states apart.
             pulls = [
                 F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "word"), F.lit(1 << 20)) / float(1 << 20) + 0.05 for k in range(states)
             ]
             total = sum(pulls[1:], pulls[0])
             sums = work.store(
-                found.select("word", "c", *[(F.col("c") * p / total).cast("float").alias(e) for e, p in zip(names, pulls)]),
+                every.where(F.col("c") >= RARE).select(
+                    "word", *[(F.col("c") * p / total).cast("float").alias(e) for e, p in zip(names, pulls)]
+                ),
                 "sums0",
             )
-            sizes = sums.agg(
-                F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), *[F.sum(F.col(e).cast("double")) for e in names]
-            ).first()
+            sizes = every.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+            class_counts = np.zeros(CLASSES)
+            for r in every.where(F.col("c") < RARE).groupBy("class").agg(F.sum("c").alias("c")).collect():
+                class_counts[r["class"]] = r["c"]
+            pulls = np.random.default_rng(seed).random((CLASSES, states)) + 0.05
+            classes = class_counts[:, None] * pulls / pulls.sum(axis=1, keepdims=True)
             moves = np.full((states, states), (1 - STAY) / max(states - 1, 1))
             np.fill_diagonal(moves, STAY if states > 1 else 1.0)
+            totals = sums.agg(*[F.sum(F.col(e).cast("double")).alias(e) for e in names]).first()
             chain = Chain(
-                np.full(states, 1 / states), moves, np.array([v or 0.0 for v in sizes[2:]]), sizes[0], sizes[1], base_share
+                np.full(states, 1 / states),
+                moves,
+                np.array([v or 0.0 for v in totals]) + classes.sum(axis=0),
+                sizes[0],
+                sizes[1],
+                base_share,
+                classes,
+                class_counts,
             )
 
             def informed() -> DataFrame:
-                told = sums.where("word is not null").select("word", "c", *names)
-                zero = [F.coalesce(c, F.lit(0).cast(told.schema[c].dataType)).alias(c) for c in ("c", *names)]
-                return words.join(told, "word", "left").select("of_block", "word", "place", *zero)
+                """What the states know of each block's words: a row per word that has counts, and the packed dictionary."""
+                told = sums.where("word is not null").select("word", *names)
+                return own.join(told, "word").unionByName(packed, allowMissingColumns=True)
 
             float_sums = ", ".join(f"{e} float" for e in names)
             learn = texts.where(~F.col("held_out")).groupBy("block")
             for i in range(rounds if sizes[0] else 0):
                 parts = learn.cogroup(informed().groupBy("of_block")).applyInArrow(
-                    _counts_of_blocks(chain), f"word string, row int, c long, {float_sums}"
+                    _counts_of_blocks(chain), f"word string, row int, {float_sums}"
                 )
                 summed = parts.groupBy("word", "row").agg(
-                    F.max("c").alias("c"), *[F.sum(F.col(e).cast("double")).cast("float").alias(e) for e in names]
+                    *[F.sum(F.col(e).cast("double")).cast("float").alias(e) for e in names]
                 )
                 sums = work.store(summed, f"sums{i + 1}")
-                chain = _chain(sums, states, chain.tokens, chain.distinct, base_share)
+                chain = _chain(chain, sums)
             kind = docs.schema["doc_id"].dataType.simpleString()
             scored = texts.groupBy("block").cogroup(informed().groupBy("of_block")).applyInArrow(
                 _scores_of_blocks(chain),

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablelearn.functions.ordering import global_rank
-from tablelearn.llm.blocks import encode_blocks, unpack
+from tablelearn.llm.blocks import encode_blocks, pack_numbers, unpack, unpack_numbers
 from tablelearn.llm.common import mixed
 from tablelearn.session import fit_table, store
 
@@ -151,15 +151,6 @@ def count_stream(trie: HatTrie, stream: np.ndarray) -> None:
 _WORD_COLUMNS = ("first", "second", "third", "n")
 
 
-def pack_numbers(values: np.ndarray) -> bytes:
-    """64-bit numbers byte plane by byte plane; planes of sorted or small numbers take next to no room in a shuffle."""
-    return np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def unpack_numbers(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T).view("<i8").reshape(-1)
-
-
 def _count_blocks(parts: int):
     """Runs of the frequent words of each block (whose words come before its texts), as sorted parts: every
     run goes to the part that its first two words choose."""
