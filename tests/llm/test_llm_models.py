@@ -298,6 +298,34 @@ def test_scores_of_the_query(spark, sf):
     assert sum(r["score"] for r in fresh) > sum(r["base_score"] for r in fresh)
 
 
+def test_slices_and_groups_of_any_size_learn_alike(spark, monkeypatch):
+    rng = random.Random(9)
+    docs = documents(spark, [prose(rng, 60, 60) for _ in range(60)]).repartition(3)
+
+    def scores():
+        return {r["doc_id"]: r["score"] for r in hmm.score_texts(docs, states=3).collect()}
+
+    monkeypatch.setattr(hmm, "SLICE_WORDS", 7)
+    monkeypatch.setattr(hmm, "BLOCK_TOKENS", 300)
+    whole = scores()
+    monkeypatch.setattr(hmm, "GROUP_WORDS", 20)
+    assert scores() == pytest.approx(whole, rel=1e-4)
+    # Other blocks round their counts elsewhere, nothing more.
+    monkeypatch.setattr(hmm, "BLOCK_TOKENS", 4_000_000)
+    assert scores() == pytest.approx(whole, rel=1e-2)
+
+
+def test_shares_as_they_travel():
+    rng = np.random.default_rng(5)
+    counts = rng.integers(1, 9, 40)
+    sums = rng.random((40, 3)) * counts[:, None] / 3
+    back = hmm._unpack_shares(hmm._pack_shares(hmm._shares(sums, counts)), 3) * (counts[:, None] / 255)
+    assert np.abs(back - sums).max() <= counts.max() / 510 + 1e-12
+    index = np.unique(rng.integers(0, 10**6, 500))
+    assert hmm._index(hmm._gaps(index)).tolist() == index.tolist()
+    assert hmm._index(hmm._gaps(index[:0])).tolist() == []
+
+
 def test_blocks_of_any_size_give_the_same_base(spark, sf, monkeypatch):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").repartition(3)
     small = blocks.encode_blocks(docs, hmm.words_and_end, b"", ["doc_id"], tokens=500)
