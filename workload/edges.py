@@ -197,35 +197,45 @@ def custom_feature_step(spark, folder):
         METHODS.pop("halve")
 
 
-def _as_text(spark, rows: DataFrame, shape: Column) -> str:
-    """A folder with one text file that holds ``shape`` as JSON."""
+# Orders of one landed response, which bounds its file.
+_PAGE = 10_000
+
+
+def _landed(spark, folder: str, shape: Column) -> str:
+    """A folder with one response per page of orders, each a file of its own that holds ``shape`` as JSON."""
     path = scratch_path(spark, "payload")
-    rows.agg(F.to_json(shape).alias("value")).coalesce(1).write.text(path)
+    orders = table(spark, folder, "orders").withColumn("page", F.floor(F.col("o_orderkey") / _PAGE))
+    pages = orders.groupBy("page").agg(F.to_json(shape).alias("value"))
+    pages.write.partitionBy("page").text(path)
     return path
 
 
-def _nations() -> Column:
-    return F.collect_list(F.struct("n_nationkey", "n_name", F.array(F.struct("n_regionkey")).alias("data")))
+def _orders() -> Column:
+    return F.collect_list(F.struct("o_orderkey", "o_orderpriority", F.array(F.struct("o_custkey")).alias("data")))
 
 
-@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name, 1 AS n_data FROM nation")
+@query("SELECT o_orderkey::BIGINT AS o_orderkey, o_orderpriority, 1 AS n_data FROM orders")
 def json_list_with_data(spark, folder):
     """A list keeps its columns, also one that is called data."""
-    path = _as_text(spark, table(spark, folder, "nation"), _nations())
-    return read_json_payload(spark, path).select("n_nationkey", "n_name", F.size("data").alias("n_data"))
+    landed = read_json_payload(spark, _landed(spark, folder, _orders()))
+    return landed.select("o_orderkey", "o_orderpriority", F.size("data").alias("n_data"))
 
 
-@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation")
+@query("SELECT o_orderkey::BIGINT AS o_orderkey, o_orderpriority FROM orders")
 def json_data_object(spark, folder):
-    path = _as_text(spark, table(spark, folder, "nation"), F.struct(_nations().alias("data")))
-    return read_json_payload(spark, path).select("n_nationkey", "n_name")
+    """Objects whose rows are under data."""
+    landed = read_json_payload(spark, _landed(spark, folder, F.struct(_orders().alias("data"))))
+    return landed.select("o_orderkey", "o_orderpriority")
 
 
-@query("SELECT count(*) AS n, sum(n_nationkey)::DOUBLE AS total FROM nation")
+@query(
+    "SELECT count(*) AS n, sum(o_orderkey)::DOUBLE AS total FROM orders "
+    f"GROUP BY o_orderkey::BIGINT // {_PAGE}"
+)
 def json_single_object(spark, folder):
-    nation = table(spark, folder, "nation")
-    shape = F.struct(F.count(F.lit(1)).alias("n"), F.sum(F.col("n_nationkey").cast("double")).alias("total"))
-    return read_json_payload(spark, _as_text(spark, nation, shape))
+    """Objects that are one row each."""
+    shape = F.struct(F.count(F.lit(1)).alias("n"), F.sum(F.col("o_orderkey").cast("double")).alias("total"))
+    return read_json_payload(spark, _landed(spark, folder, shape)).select("n", "total")
 
 
 # ---------------------------------------------------------------- metrics and advice
