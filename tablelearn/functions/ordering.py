@@ -6,7 +6,7 @@ Three tools, by falling cost:
   sketches narrow each search to a short interval, exact counts finish it.
 * ``hash_cuts`` finds, per stratum, the hash below which exactly ``rank`` rows
   lie. Splits and folds then need one comparison per row and no row shuffle.
-* ``running_totals`` / ``global_rank`` number every row of a sorted table:
+* ``running_totals`` / ``global_rank`` add up or number the rows of a sorted table:
   range partitions, then offsets from the per-partition totals.
 """
 
@@ -30,6 +30,8 @@ EXACT_ROWS = 1_000_000
 SKETCH_ACCURACY = 10_000
 # Bounds the sketches one task holds at a time.
 SKETCHES_PER_SCAN = 64
+# ``monotonically_increasing_id`` numbers the rows of a partition in this many bits, below the partition's number.
+ROW_BITS = 33
 
 
 def order_hash(df: DataFrame, keys: Sequence[str] | None, seed: int) -> Column:
@@ -247,7 +249,7 @@ def tie_cuts(rows: DataFrame, cuts: FittedTable) -> DataFrame:
     open_cuts = cuts.df.withColumnRenamed("threshold", "hash").where("need > 0 and need < equal")
     wanted = open_cuts.select(*keys).distinct()
     ties = rows.join(F.broadcast(wanted) if cuts.small else wanted, keys, "left_semi").withColumn(
-        "block", F.shiftright("row", 33)
+        "block", F.shiftright("row", ROW_BITS)
     )
     order = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
     blocks = ties.groupBy(*keys, "block").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(order))
@@ -296,6 +298,25 @@ def running_totals(df: DataFrame, order: Sequence[str], values: Sequence[str]) -
 
 
 def global_rank(df: DataFrame, order: Sequence[str], name: str = "rank") -> DataFrame:
-    """Number all rows 1..n by ``order`` (which must be unique per row)."""
-    ones = running_totals(df.withColumn("__one", F.lit(1).cast("long")), order, ["__one"])
-    return ones.withColumn(name, F.col("before___one") + 1).drop("__one", "before___one")
+    """Number all rows 1..n by ``order`` (which must be unique per row).
+
+    One shuffle: rows are dealt by range, sorted and numbered where they lie. Row
+    numbers carry the partition's number, whose offset is added in place.
+    """
+    placed = cut_lineage(
+        df.repartitionByRange(*[F.col(c) for c in order])
+        .sortWithinPartitions(*order)
+        .withColumn("__row", F.monotonically_increasing_id())
+        .withColumn("__part", F.shiftright("__row", ROW_BITS))
+    )
+    place = F.col("__row") - F.shiftleft("__part", ROW_BITS) + 1
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per partition, so the unpartitioned window stays small.
+    offsets = fit_table(
+        placed.groupBy("__part")
+        .agg(F.max(place).alias("n"))
+        .select("__part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).cast("long").alias("__offset"))
+    )
+    return placed.join(offsets.hinted(), "__part").select(
+        *[quoted(c) for c in df.columns], (F.col("__offset") + place).alias(name)
+    )

@@ -5,16 +5,19 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablelearn.functions.columns import as_double, divide, is_number, quoted
 from tablelearn.functions.ordering import EXACT_ROWS, order_statistics
-from tablelearn.session import fit_table
+from tablelearn.session import fit_table, scratch_path, store
 
 # A variance this small beside the sum of squares may be rounding; such pairs are looked at again.
 SUSPECT = 1e-6
-SKETCH_ERROR = 0.05
+# Distinct values are counted exactly up to two to this power.
+DISTINCT_BITS = 10
+# Columns of a block; wider tables are correlated by pairs of blocks.
+BLOCK_COLUMNS = 512
 # Texts longer than this many bytes are counted by digest.
 LONG_TEXT = 256
 
@@ -151,24 +154,28 @@ def _long_mode(df: DataFrame, name: str, counted: DataFrame, most: int) -> str:
     return rows.agg(F.min("value")).first()[0]
 
 
-def distinct_counts(df: DataFrame, columns: Sequence[str], exact_below: int = 200) -> dict[str, int]:
-    """Distinct non-null values: exact where few, estimated where clearly many.
+def rows_and_distinct(df: DataFrame, columns: Sequence[str]) -> tuple[int, dict[str, int]]:
+    """Number of rows, and distinct non-null values of every column, in one scan.
 
-    Rules that read these counts compare them with 15 or 50; an estimate above
-    ``exact_below`` is far beyond both, and only the others are counted again.
+    A theta sketch keeps the hashes of the values themselves until it is full, so
+    counts up to 2^DISTINCT_BITS are exact and larger ones are estimates. It holds a
+    bounded number of hashes per column, whatever the column holds.
     """
-    if not columns:
-        return {}
-    row = df.agg(
-        *[F.approx_count_distinct(quoted(c), SKETCH_ERROR).alias(f"d{i}") for i, c in enumerate(columns)]
-    ).first()
-    out = {c: row[f"d{i}"] for i, c in enumerate(columns)}
-    near = [c for c in columns if out[c] <= exact_below]
-    if near:
-        # The sketch bounds these sets to a few hundred values each.
-        row = df.agg(*[F.size(F.collect_set(quoted(c))).alias(f"d{i}") for i, c in enumerate(near)]).first()
-        out.update({c: row[f"d{i}"] for i, c in enumerate(near)})
-    return out
+    hashed = [F.when(quoted(c).isNotNull(), F.xxhash64(quoted(c))) for c in columns]
+    found = [
+        F.coalesce(F.theta_sketch_estimate(F.theta_sketch_agg(h, F.lit(DISTINCT_BITS))), F.lit(0)).alias(f"d{i}")
+        for i, h in enumerate(hashed)
+    ]
+    row = df.agg(F.count(F.lit(1)).alias("n"), *found).first()
+    return row["n"], {c: row[f"d{i}"] for i, c in enumerate(columns)}
+
+
+def distinct_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
+    """Distinct non-null values: exact where few, estimated where many.
+
+    Rules that read these counts compare them with 15 or 50, where they are exact.
+    """
+    return rows_and_distinct(df, columns)[1] if columns else {}
 
 
 def variances(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
@@ -183,82 +190,87 @@ def variances(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
     return {c: row[f"v{i}"] for i, c in enumerate(columns)}
 
 
-def _pair_sums(centres: list[float], names: list[str]):
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        d = len(names)
-        total = np.zeros((6, d, d))
+_SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+_ENDS = ("x0", "x1", "y0", "y1")
+
+
+def _matrix(batch: pa.RecordBatch, block: range) -> np.ndarray:
+    """Values of a block's columns, one row per row; NaN where there is none."""
+    return np.asarray(batch.column(f"b{block.start}").flatten()).reshape(batch.num_rows, len(block))
+
+
+def _column_sums(blocks: list[range]):
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, blocks[-1].stop))
         for batch in batches:
-            raw = batch[names].to_numpy(dtype="float64", na_value=np.nan) - np.asarray(centres)
-            there = ~np.isnan(raw)
-            m = there.astype("float64")
-            x = np.where(there, raw, 0.0)
-            x2 = x * x
-            total += np.stack([m.T @ m, x.T @ m, m.T @ x, x2.T @ m, m.T @ x2, x.T @ x])
-        left, right = np.triu_indices(d, k=1)
-        yield pd.DataFrame(
-            {
-                "i": left.astype("int32"),
-                "j": right.astype("int32"),
-                **{k: total[t][left, right] for t, k in enumerate(("n", "sx", "sy", "sxx", "syy", "sxy"))},
-            }
-        )
+            for block in blocks:
+                x = _matrix(batch, block)
+                total[0, block] += (~np.isnan(x)).sum(axis=0)
+                total[1, block] += np.nansum(x, axis=0)
+        places = pa.array(np.arange(total.shape[1], dtype="int32"))
+        yield pa.record_batch([places, pa.array(total[0]), pa.array(total[1])], names=["i", "n", "s"])
+
+    return sums
+
+
+def _pair_sums(centres: np.ndarray, left: range, right: range):
+    def centred(batch: pa.RecordBatch, block: range) -> tuple[np.ndarray, np.ndarray]:
+        raw = _matrix(batch, block) - centres[block]
+        there = ~np.isnan(raw)
+        return np.where(there, raw, 0.0), there.astype("float64")
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((6, len(left), len(right)))
+        for batch in batches:
+            x, has_x = centred(batch, left)
+            y, has_y = (x, has_x) if left == right else centred(batch, right)
+            total += np.stack(
+                [has_x.T @ has_y, x.T @ has_y, has_x.T @ y, (x * x).T @ has_y, has_x.T @ (y * y), x.T @ y]
+            )
+        a, b = np.nonzero(np.asarray(left)[:, None] < np.asarray(right)[None, :])
+        places = [pa.array((a + left.start).astype("int32")), pa.array((b + right.start).astype("int32"))]
+        yield pa.record_batch([*places, *(pa.array(t[a, b]) for t in total)], names=["i", "j", *_SUMS])
 
     return sums
 
 
-def _pair_ranges(names: list[str], pairs: list[tuple[int, int]]):
+def _pair_ranges(pairs: list[tuple[int, int]], left: range, right: range):
     """Least and largest value of both columns of each pair where both are present, per partition."""
 
-    def ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = np.tile([np.inf, -np.inf, np.inf, -np.inf], (len(pairs), 1))
         for batch in batches:
-            raw = batch[names].to_numpy(dtype="float64", na_value=np.nan)
-            there = ~np.isnan(raw)
+            x, y = _matrix(batch, left), _matrix(batch, right)
             for k, (i, j) in enumerate(pairs):
-                both = there[:, i] & there[:, j]
+                one, other = x[:, i - left.start], y[:, j - right.start]
+                both = ~np.isnan(one) & ~np.isnan(other)
                 if both.any():
-                    x, y = raw[both, i], raw[both, j]
-                    ends[k, ::2] = np.minimum(ends[k, ::2], [x.min(), y.min()])
-                    ends[k, 1::2] = np.maximum(ends[k, 1::2], [x.max(), y.max()])
-        left, right = np.array(pairs, dtype="int32").T
-        yield pd.DataFrame({"i": left, "j": right, **{c: ends[:, k] for k, c in enumerate(("x0", "x1", "y0", "y1"))}})
+                    one, other = one[both], other[both]
+                    ends[k, ::2] = np.minimum(ends[k, ::2], [one.min(), other.min()])
+                    ends[k, 1::2] = np.maximum(ends[k, 1::2], [one.max(), other.max()])
+        places = [pa.array(p) for p in np.array(pairs, dtype="int32").T]
+        yield pa.record_batch([*places, *(pa.array(e) for e in ends.T)], names=["i", "j", *_ENDS])
 
     return ranges
 
 
-def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson r of every column pair: ``i, j, left, right, r`` with i < j.
-
-    Nulls and NaN are dropped pair by pair. A column that is constant where both are
-    present gives NULL: pairs whose variance could be rounding are compared by least
-    and largest value. Sums come from one matrix product per batch, whatever the
-    number of columns.
-    """
-    names = list(columns)
-    spark = df.sparkSession
-    if len(names) < 2:
-        return spark.createDataFrame([], "i int, j int, left string, right string, r double")
-    # Centre first: sums of raw squares would lose the digits r depends on.
-    centre = means(df, names)
-    values = df.select(*[as_double(c).alias(c) for c in names])
-    parts = values.mapInPandas(
-        _pair_sums([centre[c] or 0.0 for c in names], names),
-        "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double",
-    )
-    total = fit_table(
-        parts.groupBy("i", "j").agg(*[F.sum(k).alias(k) for k in ("n", "sx", "sy", "sxx", "syy", "sxy")])
-    )
+def _block_correlations(values: DataFrame, centres: np.ndarray, left: range, right: range) -> DataFrame:
+    """i, j, r of the pairs i < j of two blocks of columns."""
+    part = values.select(*[f"b{k}" for k in sorted({left.start, right.start})])
+    schema = "i int, j int, " + ", ".join(f"{k} double" for k in _SUMS)
+    sums = part.mapInArrow(_pair_sums(centres, left, right), schema)
+    total = fit_table(sums.groupBy("i", "j").agg(*[F.sum(k).alias(k) for k in _SUMS]))
     cov = F.col("sxy") - divide(F.col("sx") * F.col("sy"), F.col("n"))
     vx = F.col("sxx") - divide(F.col("sx") * F.col("sx"), F.col("n"))
     vy = F.col("syy") - divide(F.col("sy") * F.col("sy"), F.col("n"))
     suspect = total.df.where((vx <= SUSPECT * F.col("sxx")) | (vy <= SUSPECT * F.col("syy"))).where("n > 0")
+    # At most the pairs of two blocks.
     doubtful = [(r["i"], r["j"]) for r in suspect.select("i", "j").collect()]
     found = total.df.withColumn("flat", F.col("n") <= 0)
     if doubtful:
+        schema = "i int, j int, " + ", ".join(f"{k} double" for k in _ENDS)
         ends = (
-            values.mapInPandas(
-                _pair_ranges(names, doubtful), "i int, j int, x0 double, x1 double, y0 double, y1 double"
-            )
+            part.mapInArrow(_pair_ranges(doubtful, left, right), schema)
             .groupBy("i", "j")
             .agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
         )
@@ -266,12 +278,55 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         found = found.join(constant.hinted(), ["i", "j"], "left").withColumn(
             "flat", F.col("flat") | F.coalesce("constant", F.lit(False))
         )
-    label = F.array(*[F.lit(c) for c in names])
     spread = F.sqrt(F.greatest(vx, F.lit(0.0)) * F.greatest(vy, F.lit(0.0)))
-    return found.select(
-        "i",
-        "j",
-        F.element_at(label, F.col("i") + 1).alias("left"),
-        F.element_at(label, F.col("j") + 1).alias("right"),
-        F.when(~F.col("flat"), divide(cov, spread)).alias("r"),
+    return found.select("i", "j", F.when(~F.col("flat"), divide(cov, spread)).alias("r"))
+
+
+def correlations(
+    df: DataFrame, columns: Sequence[str], above: float | None = None, block: int = BLOCK_COLUMNS
+) -> DataFrame:
+    """Pearson r of every column pair: ``i, j, left, right, r`` with i < j.
+
+    With ``above`` only pairs whose absolute r exceeds it. Nulls and NaN are dropped
+    pair by pair. A column that is constant where both are present gives NULL: pairs
+    whose variance could be rounding are compared by least and largest value.
+
+    Sums come from one matrix product per batch. A table of more than ``block``
+    columns is stored once, an array per block of columns; every pair of blocks is then
+    a job that reads only these two, over all partitions, and keeps only the pairs
+    asked for. So no task holds sums of more than two blocks, however wide the table.
+    """
+    names = list(columns)
+    spark = df.sparkSession
+    if len(names) < 2:
+        return spark.createDataFrame([], "i int, j int, left string, right string, r double")
+    blocks = [range(k, min(k + block, len(names))) for k in range(0, len(names), block)]
+    nan = F.lit(float("nan"))
+    values = df.select(
+        *[F.array(*[F.coalesce(as_double(names[i]), nan) for i in some]).alias(f"b{some.start}") for some in blocks]
+    )
+    if len(blocks) > 1:
+        values = store(values, "numbers")
+    # Centre first: sums of raw squares would lose the digits r depends on.
+    centres = np.zeros(len(names))
+    column_sums = values.mapInArrow(_column_sums(blocks), "i int, n double, s double")
+    # One row per column.
+    for row in column_sums.groupBy("i").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).where("n > 0").collect():
+        centres[row["i"]] = row["s"] / row["n"]
+    path = None if len(blocks) == 1 else scratch_path(spark, "correlations")
+    for k, left in enumerate(blocks):
+        for right in blocks[k:]:
+            found = _block_correlations(values, centres, left, right)
+            if above is not None:
+                found = found.where(F.abs("r") > above)
+            if path:
+                found.write.mode("append").parquet(path)
+    if path:
+        found = spark.read.parquet(path)
+    # One row per column.
+    labels = F.broadcast(spark.createDataFrame(list(enumerate(names)), "k int, label string"))
+    return (
+        found.join(labels.select(F.col("k").alias("i"), F.col("label").alias("left")), "i")
+        .join(labels.select(F.col("k").alias("j"), F.col("label").alias("right")), "j")
+        .select("i", "j", "left", "right", "r")
     )

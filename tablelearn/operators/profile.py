@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablelearn.functions.columns import is_moment, is_number, missing, quoted
-from tablelearn.functions.stats import distinct_counts
+from tablelearn.functions.stats import distinct_counts, rows_and_distinct
 
 ISSUE = "check string, column string, message string, severity string"
 STATISTICS = "column string, dtype string, n_rows long, n_columns long, null_count long"
@@ -228,8 +228,7 @@ def detect_roles(df: DataFrame) -> ColumnRoles:
     """Role of every column from its type and its number of distinct values."""
     fields = {f.name: f.dataType for f in df.schema}
     counted = [c for c, t in fields.items() if is_number(t) or isinstance(t, (T.StringType, T.BooleanType))]
-    distinct = distinct_counts(df, counted)
-    n = df.count()
+    n, distinct = rows_and_distinct(df, counted)
     roles = ColumnRoles([], [], [], [])
     for c, kind in fields.items():
         if is_moment(kind):

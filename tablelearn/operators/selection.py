@@ -63,7 +63,7 @@ def correlation_filter(df: DataFrame, threshold: float = 0.95, exclude: Sequence
     columns, numeric = _features(df, exclude)
     if len(numeric) < 2:
         return FeatureReport(columns, [])
-    high = stats.correlations(df, numeric).where(F.abs("r") > threshold)
+    high = stats.correlations(df, numeric, above=threshold)
     first = {r["j"]: numeric[r["i"]] for r in high.groupBy("j").agg(F.min("i").alias("i")).collect()}
     dropped = [numeric[j] for j in sorted(first)]
     reasons = {numeric[j]: CORRELATED.format(limit=threshold, other=name) for j, name in first.items()}

@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,6 +64,16 @@ def test_global_rank(spark):
     assert [(r["g"], r["id"]) for r in ranked] == sorted((i * 7919 % 13, i) for i in range(5000))
 
 
+def test_ranks_shuffle_their_rows_once(spark):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("id"), F.lit("x").alias("t"))
+    ranked = ordering.global_rank(df, ["id"])
+    # What is left after the stored range shuffle is narrow: a scan and the join with the offsets.
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "SinglePartition" not in plan and "Window" not in plan
+    assert ranked.where(F.col("rank") != F.col("id") + 1).count() == 0 and ranked.count() == 5000
+    assert ordering.global_rank(df.limit(0), ["id"]).collect() == []
+
+
 def test_running_totals(spark):
     df = spark.range(1000).select("id", (F.col("id") % 7).alias("v"))
     rows = ordering.running_totals(df, ["id"], ["v"]).orderBy("id").collect()
@@ -130,6 +141,50 @@ def test_distinct_counts(spark):
     assert counts["a"] == 14 and counts["n"] == 0 and counts["id"] > 3000
 
 
+def test_rows_and_distinct_values_take_one_scan(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    source = spark.range(3000).selectExpr(
+        "id % 1000 as k", "concat('', id % 49) as s", "if(id % 2 = 0, 0.0D, -0.0D) as zero", "'' as none", "id % 2 = 0 as f"
+    )
+    df = source.mapInArrow(watched, source.schema)
+    n, counts = stats.rows_and_distinct(df, df.columns)
+    assert n == 3000 and counts == {"k": 1000, "s": 49, "zero": 1, "none": 1, "f": 2}
+    assert seen.value == 3000
+    assert stats.rows_and_distinct(source.limit(0), ["k", "s"]) == (0, {"k": 0, "s": 0})
+
+
+@pytest.mark.parametrize("block", [3, 64])
+def test_blocks_of_columns_do_not_matter(spark, block):
+    columns = [F.sin(F.col("id") * (k + 0.5)).alias(f"c.{k}") for k in range(5)]
+    columns += [F.when(F.col("id") % 9 != 0, F.col("id") % 11).alias("gap`s"), F.lit(2.5).alias("flat")]
+    columns += [(F.sin(F.col("id") * 0.5) * 3 + 1e6).alias("again")]
+    df = spark.range(700).select(*columns)
+    whole = {(r["i"], r["j"]): r for r in stats.correlations(df, df.columns).collect()}
+    parts = {(r["i"], r["j"]): r for r in stats.correlations(df, df.columns, block=block).collect()}
+    assert len(parts) == 28 and parts.keys() == whole.keys()
+    for k, r in parts.items():
+        assert (r["left"], r["right"]) == (df.columns[k[0]], df.columns[k[1]])
+        assert r["r"] == (None if whole[k]["r"] is None else pytest.approx(whole[k]["r"], abs=1e-9))
+    high = stats.correlations(df, df.columns, above=0.9, block=block).collect()
+    assert [(r["left"], r["right"]) for r in high] == [("c.0", "again")]
+
+
+def test_correlations_of_wide_tables(spark):
+    # 1,100 columns are three blocks; column k + 1,000 repeats column k.
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 1000))
+    x = np.hstack([x, x[:, :100] * -2.0])
+    df = spark.createDataFrame(pa.table({f"c{i}": x[:, i] for i in range(1100)}))
+    high = {(r["i"], r["j"]): r["r"] for r in stats.correlations(df, df.columns, above=0.999).collect()}
+    assert high.keys() == {(i, i + 1000) for i in range(100)} and max(high.values()) < -0.999
+
+
 def test_correlations(spark):
     df = spark.range(500).select(
         (F.sin(F.col("id") * 1.0) + 1e6).alias("a"),
