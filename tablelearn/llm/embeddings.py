@@ -4,7 +4,9 @@
 2. Trees are fitted on a bounded sample: each inner node splits the projections on a
    random direction between their quarter points, where they are sparsest. Every vector
    is routed through all trees; near a split it goes to both sides (spill overlap), so
-   that close vectors seldom part.
+   that close vectors seldom part. The sample does not grow with the table, but leaves
+   do: those with too many vectors get trees of their own, fitted on their own
+   vectors, until none is left that can be split.
 3. In each leaf, for each label, in cells of bounded size, all cosines are computed;
    the links found connect nodes to clusters, and all pairs of a cluster are then
    compared once, which gives the numbers of links.
@@ -12,11 +14,13 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablelearn.llm.common import mixed
@@ -33,6 +37,13 @@ LEAF = 40
 MOST_DOUBLED = 0.25
 # Half width of the overlap, in standard deviations of the difference of two vectors at the threshold.
 OVERLAP = 0.75
+# Leaves with more vectors are split again, by trees fitted on about so many of their own vectors, if that
+# halves their pairs at least; else they are dense and stay whole.
+SPLIT_ABOVE = 256
+SPLIT_FIT_ROWS = 2_000
+FEWER_PAIRS = 0.5
+# Vectors of a task's unit of routing, about.
+ROUTE_ROWS = 4_096
 SEED = 5
 CELL_PAIRS = 1 << 16
 
@@ -170,6 +181,73 @@ def route(nodes: DataFrame, forest: dict[int, list[Tree]]) -> DataFrame:
     )
 
 
+def _subtree(cell: pa.Table) -> pa.RecordBatch | None:
+    """The tree of a leaf, fitted on some of its vectors, if it makes far fewer pairs of them."""
+    # By node, so that no order of rows changes the tree.
+    cell = cell.sort_by("node")
+    sample = _unit(_matrix(cell["vector"], cell["size"][0].as_py()))
+    group, total = cell["cell"][0].as_py(), cell["n"][0].as_py()
+    # Leaves half as large as allowed, since the overlap adds to them.
+    leaf = max(LEAF, len(sample) * SPLIT_ABOVE // (2 * total))
+    tree = fit_tree(sample, group & (1 << 63) - 1, leaf)
+    _, leaves = tree.leaves(sample, overlap_width(tree.size))
+    counts = np.unique(leaves, return_counts=True)[1].astype(np.float64)
+    if (counts**2).sum() > FEWER_PAIRS * len(sample) ** 2:
+        return None
+    return pa.record_batch([pa.array([group], pa.int64()), pa.array([pickle.dumps(tree)])], names=["group", "tree"])
+
+
+def _route_leaf(cell: pa.Table) -> pa.RecordBatch | None:
+    """Some vectors of a leaf in the leaves of its tree, which is one of the rows."""
+    is_tree = pc.is_valid(cell["tree"])
+    held = cell.filter(pc.invert(is_tree))
+    if not held.num_rows:
+        return None
+    tree: Tree = pickle.loads(cell.filter(is_tree)["tree"][0].as_py())
+    rows, leaves = tree.leaves(_unit(_matrix(held["vector"], tree.size)), overlap_width(tree.size))
+    with np.errstate(over="ignore"):
+        key = mixed(held["group"].to_numpy()[rows].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+        key = mixed(key + leaves.astype(np.uint64))
+    nodes = pa.array(held["node"].to_numpy()[rows])
+    return pa.record_batch([pa.array(key.view(np.int64)), nodes], names=["group", "node"])
+
+
+def split_large(placed: DataFrame, held: DataFrame) -> DataFrame:
+    """group, node with the groups of more than SPLIT_ABOVE vectors split as often as that brings something.
+
+    ``held`` has node, size and vector. Trees are fitted on bounded samples of single
+    groups; the vectors of a group are routed in units of about ROUTE_ROWS, so no task
+    gets a whole large group. Every split at least about halves the pairs of a group.
+    """
+    final = None
+    while True:
+        sizes = store(placed.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPLIT_ABOVE), "large")
+        if sizes.isEmpty():
+            return placed if final is None else final.unionByName(placed)
+        vectors = placed.join(sizes, "group").join(held.select("node", "size", "vector"), "node")
+        draw = F.pmod(F.xxhash64("node", "group", F.lit(SEED + 2)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+        sample = vectors.where(draw < F.lit(float(SPLIT_FIT_ROWS)) / F.col("n"))
+        trees = store(
+            by_cell(sample.withColumnRenamed("group", "cell"), _subtree, "group long, tree binary").join(sizes, "group"),
+            "subtrees",
+        )
+        whole = placed.join(trees.select("group"), "group", "left_anti")
+        final = whole if final is None else final.unionByName(whole)
+        units = F.ceil(F.col("n") / ROUTE_ROWS).cast("int")
+        unit = F.xxhash64("group", F.pmod(F.xxhash64("node"), units).cast("int")).alias("cell")
+        moved = vectors.join(trees.select("group"), "group", "left_semi").select(
+            unit, "group", "node", "vector", F.lit(None).cast("binary").alias("tree")
+        )
+        guides = trees.select("group", "tree", F.explode(F.sequence(F.lit(0), units - 1)).alias("unit")).select(
+            F.xxhash64("group", "unit").alias("cell"),
+            "group",
+            F.lit(None).cast("long").alias("node"),
+            F.lit(None).cast("array<double>").alias("vector"),
+            "tree",
+        )
+        placed = store(by_cell(moved.unionByName(guides), _route_leaf, "group long, node long"), "routed")
+
+
 def _linked(cell: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(nodes, rows they stand for, left and right of the pairs with the same label and length that link)."""
     nodes, side = cell["node"].to_numpy(), cell["side"].to_numpy()
@@ -212,8 +290,9 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     vec_id or label. Repeated rows are copies.
     """
     nodes = store(vector_nodes(vectors), "vectors")
-    placed = cells(route(nodes, fit_forest(nodes)).distinct())
     held = nodes.select("node", "size", "vector", "n_rows", F.xxhash64("label").alias("label_key"))
+    routed = store(route(nodes, fit_forest(nodes)).distinct(), "routed")
+    placed = cells(split_large(routed, held))
     clusters = components(by_cell(placed.join(held, "node"), _edges, "a long, b long"))
     in_clusters = cells(clusters.select("node", F.col("component").alias("group")), distinct=False)
     links = (

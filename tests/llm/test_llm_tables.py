@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,6 +23,7 @@ from tablelearn.llm import (
     substrings,
     token_counts,
 )
+from tablelearn.session import store
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -463,6 +465,40 @@ def test_forest_finds_the_links(spark):
     assert len({g for x in leaf.values() for g in x}) > 100
 
 
+def test_pairs_per_vector_hardly_grow_while_the_sample_of_the_trees_stays(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "SPLIT_FIT_ROWS", 500)
+    monkeypatch.setattr(embeddings, "SPLIT_ABOVE", 64)
+    rng = np.random.default_rng(11)
+    per_vector = []
+    for n in (2_000, 30_000):
+        x = rng.normal(size=(n, 12))
+        # A dense group, whose members cannot be told apart by any tree, beside pairs of near copies.
+        x[:300] = x[0] + rng.normal(size=(300, 12)) * 1e-4
+        x[400:500] = x[300:400] + rng.normal(size=(100, 12)) * 0.05
+        ids = pa.array(range(n), pa.int64())
+        table = spark.createDataFrame(pa.table({"vec_id": ids, "embedding": x.tolist(), "label": pa.array([1] * n)}))
+        nodes = store(embeddings.vector_nodes(table))
+        names = {}
+        for r in nodes.collect():
+            names[r["node"]] = tuple(r["vector"])
+        placed = embeddings.route(nodes, embeddings.fit_forest(nodes, fit_rows=400)).distinct()
+        unsplit = placed.groupBy("group").count().agg(F.sum(F.col("count") ** 2)).first()[0] / n
+        groups: dict[int, set] = {}
+        for r in embeddings.split_large(placed, nodes).collect():
+            groups.setdefault(r["group"], set()).add(names[r["node"]])
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        keys = [tuple(v) for v in x.tolist()]
+        pairs = [(i, i + 100) for i in range(300, 400) if unit[i] @ unit[i + 100] >= 0.98]
+        pairs += [(0, i) for i in range(1, 300)]
+        met = sum(any(keys[a] in g and keys[b] in g for g in groups.values()) for a, b in pairs)
+        assert len(pairs) > 350 and met >= 0.99 * len(pairs)
+        # Cells of the dense group aside, which are its answer.
+        dense = set(keys[:300])
+        per_vector.append(sum(len(g) ** 2 for g in groups.values() if not g & dense) / n)
+    # Of 15 times the vectors, only the copies made by overlaps grow, with the depth of the trees.
+    assert per_vector[1] < 3 * per_vector[0] and per_vector[1] < unsplit / 3
+
+
 # --- mixing -----------------------------------------------------------------
 
 
