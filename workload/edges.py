@@ -16,7 +16,15 @@ from tablelearn.operators.profile import validate_completeness
 from tablelearn.operators.splits import TRAIN, VAL, k_folds, random_split, split_shapes, time_split
 from tablelearn.plans.job import run_job
 from tablelearn.plans.registry import Registry, RunLog
-from tablelearn.plans.search import Trainer, results_table
+from tablelearn.plans.search import (
+    CLASS_SCORES,
+    REGRESSION_SCORES,
+    Trainer,
+    plan_scores,
+    results_table,
+    scorer,
+    validation_metrics,
+)
 from tablelearn.plans.spec import EvaluationSpec, FeatureSpec, JobSpec, TrainingSpec
 from tablelearn.session import scratch_path, store
 from tablelearn.sources.readers import read_json_payload
@@ -394,3 +402,40 @@ def search_with_known_scores(spark, folder):
         models.FAMILIES["regression"].pop("scaled_mean")
         models.SPACES["regression"].pop("scaled_mean")
     return rounded(results_table(result, split).drop("training_time"), 4)
+
+
+_ERRORS = """(SELECT avg(abs(label - by_quantity)) AS mae, avg((label - by_quantity) ** 2) AS mse,
+  sqrt(avg((label - by_quantity) ** 2)) AS rmse, 1 - avg((label - by_quantity) ** 2) / var_pop(label) AS r2 FROM estimated)"""
+
+
+@query(
+    f"""WITH {JUDGED_DOCUMENTS}, {ESTIMATED_PRICES}, {class_metrics_sql("judged", "quality", "long_rule")},
+named AS (
+  SELECT k.kind, u.task, u.metric, u.v
+  FROM (VALUES ('search'), ('trees')) AS k(kind), m, {_ERRORS} AS e, LATERAL (VALUES
+    ('classification', 'accuracy', m.accuracy), ('classification', 'precision', m."precision"),
+    ('classification', 'recall', m.recall), ('classification', 'f1', m.f1),
+    ('regression', 'mae', e.mae), ('regression', 'mse', e.mse), ('regression', 'rmse', e.rmse),
+    ('regression', 'r2', e.r2)) AS u(task, metric, v))
+SELECT kind, task, metric, round(v, CASE WHEN task = 'regression' AND metric <> 'r2' THEN 1 ELSE 6 END) + 0.0 AS value
+FROM (FROM named UNION ALL SELECT 'validation', task, metric, v FROM named
+      WHERE kind = 'search' AND metric NOT IN ('precision', 'recall'))"""
+)
+def scores_by_name(spark, folder):
+    """Every scoring name of the searches, in both ways of searching, and the metrics of validation rows."""
+    judged = judged_documents(spark, folder).select(
+        "quality", F.col("quality").cast("double").alias(LABEL), F.col("long_rule").cast("double").alias("prediction")
+    )
+    prices = estimated_prices(spark, folder).select("label", F.col("label").alias(LABEL), F.col("by_quantity").alias("prediction"))
+    rows = []
+    for task, df, target, names in (
+        ("classification", store(judged), "quality", CLASS_SCORES),
+        ("regression", store(prices), "label", REGRESSION_SCORES),
+    ):
+        found = df.select(F.lit(0).alias("fit"), F.col(LABEL).alias("label"), "prediction")
+        rows += [("search", task, n, scorer(task, n).evaluate(df)) for n in names]
+        rows += [("trees", task, n, plan_scores(found, task, n)[0]) for n in names]
+        rows += [("validation", task, n, v) for n, v in validation_metrics(df, target, task).items()]
+    scores = spark.createDataFrame(rows, "kind string, task string, metric string, value double")
+    large = (F.col("task") == "regression") & (F.col("metric") != "r2")
+    return scores.withColumn("value", F.when(large, F.round("value", 1)).otherwise(F.round("value", 6)) + 0.0)
