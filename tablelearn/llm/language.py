@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablelearn.functions.columns import quoted
+from tablelearn.functions.ordering import order_statistics
 from tablelearn.llm.common import chunks, mixed
+from tablelearn.session import store
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
-# Texts a language's counts are learned from, about; a documented bound, the classes' shares come from all rows.
-FIT_ROWS = 4_000
 SMOOTHING = 0.5
 # A text is of no learned language if its mean log probability of an n-gram is further below the median of
 # the language's fit texts than RANGES times their lowest hundredth is, and than the deviation of one n-gram;
@@ -117,9 +117,11 @@ class Ranges:
         return mean >= self.floor[language] - DEVIATIONS * self.deviation[language] / np.sqrt(n)
 
 
-def _fit_texts(docs: DataFrame, sizes: dict[str, int], fit_rows: int, seed: int) -> DataFrame:
-    """lang, text of about ``fit_rows`` rows of each language, chosen by a hash of key, text and place in the table:
-    rows that share a key, have none or are equal are drawn each for itself."""
+def _fit_texts(docs: DataFrame, sizes: dict[str, int], fit_rows: int | None, seed: int) -> DataFrame:
+    """lang, text of all rows that may teach, or if asked for of about ``fit_rows`` of each language, chosen by a hash of
+    key, text and place in the table: rows that share a key, have none or are equal are drawn each for itself."""
+    if fit_rows is None:
+        return _known(docs).select("lang", "text")
     share = F.create_map(*[F.lit(x) for lang in sizes for x in (lang, min(1.0, fit_rows / sizes[lang]))])
     # A hash in [0, 1) for each key.
     hashed = F.xxhash64("doc_id", "text", F.monotonically_increasing_id(), F.lit(seed))
@@ -132,11 +134,11 @@ def _known(docs: DataFrame) -> DataFrame:
     return docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
 
 
-def fit_languages(docs: DataFrame, fit_rows: int = FIT_ROWS, buckets: int = BUCKETS, seed: int = 7) -> LanguageModel:
+def fit_languages(docs: DataFrame, fit_rows: int | None = None, buckets: int = BUCKETS, seed: int = 7) -> LanguageModel:
     """Learn from ``text`` and ``lang`` of the rows that are not held out.
 
-    Shares of the languages come from all these rows, counts of n-grams from
-    about ``fit_rows`` texts of each language, chosen by a hash of the key. Rows
+    Shares of the languages and counts of n-grams come from all these rows; with
+    ``fit_rows`` the counts are those of about so many texts of each language. Rows
     whose language or text is null teach nothing. A table without such rows gives
     a model that determines nothing.
     """
@@ -179,7 +181,7 @@ def fit_languages(docs: DataFrame, fit_rows: int = FIT_ROWS, buckets: int = BUCK
     )
 
 
-def fit_ranges(docs: DataFrame, model: LanguageModel, fit_rows: int = FIT_ROWS, seed: int = 7) -> Ranges:
+def fit_ranges(docs: DataFrame, model: LanguageModel, fit_rows: int | None = None, seed: int = 7) -> Ranges:
     """What is usual for the texts that ``fit_languages`` learned from, with the same arguments.
 
     Every text is measured by the counts of the others, since a model knows the texts
@@ -217,15 +219,19 @@ def fit_ranges(docs: DataFrame, model: LanguageModel, fit_rows: int = FIT_ROWS,
                 )
 
     chosen = _fit_texts(docs, dict(zip(model.languages, model.sizes)), fit_rows, seed)
-    # About fit_rows rows of three numbers for each language reach the driver.
-    found = chosen.mapInArrow(measure, "k int, mean double, variance double").toArrow()
-    which, means, variances = (found[c].to_numpy() for c in ("k", "mean", "variance"))
-    for k in range(shape):
-        own = means[which == k]
-        if len(own) > 1:
-            middle, low = np.quantile(own, 0.5), np.quantile(own, LOW, method="lower")
-            ranges.deviation[k] = np.sqrt(variances[which == k].mean())
-            ranges.floor[k] = middle - max(RANGES * (middle - low), ranges.deviation[k])
+    found = store(chosen.mapInArrow(measure, "k int, mean double, variance double"), "language-ranges")
+    sizes = {r["k"]: r for r in found.groupBy("k").agg(F.count("mean").alias("n"), F.avg("variance").alias("v")).collect()}
+    own = {f"m{k}": r["n"] for k, r in sizes.items() if r["n"] > 1}
+    # The middle one or two of a language's texts, and the highest of its lowest hundredth, counted from one.
+    ranks = {c: sorted({(n + 1) // 2, n // 2 + 1, int(np.floor(LOW * (n - 1))) + 1}) for c, n in own.items()}
+    wide = found.select(*[F.when(F.col("k") == int(c[1:]), F.col("mean")).alias(c) for c in own])
+    values = order_statistics(wide, ranks, own) if own else {}
+    for c, n in own.items():
+        k = int(c[1:])
+        middle = (values[c, (n + 1) // 2].value + values[c, n // 2 + 1].value) / 2
+        low = values[c, int(np.floor(LOW * (n - 1))) + 1].value
+        ranges.deviation[k] = np.sqrt(sizes[k]["v"])
+        ranges.floor[k] = middle - max(RANGES * (middle - low), ranges.deviation[k])
     return ranges
 
 

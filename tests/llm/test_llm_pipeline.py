@@ -3,13 +3,15 @@
 import base64
 import random
 import string
+import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tablelearn.llm import bpe, jaccard, secrets
+from tablelearn.llm import bpe, jaccard, language, secrets
 
 
 @pytest.fixture(scope="module")
@@ -108,3 +110,26 @@ def test_rows_of_one_id_or_none_are_documents(spark, sf):
         [(5, prose[0]), (5, prose[1]), (1, prose[2]), (None, prose[3]), one, (8, prose[5]), (9, prose[6])]
         + [(None, ""), (3, None), (3, " ")]
     )
+
+
+def test_language_counts_and_ranges_come_from_all_texts(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcde ", k=rng.randint(3, 12))) + "x" for _ in range(6_000)]
+    docs = spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)], "doc_id long, lang string, text string")
+    model = language.fit_languages(docs.repartition(4))
+    grams = language.Grams()
+    known = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 4 != 2]
+    counts = grams.counts(known)
+    assert len(known) > 4_400 and model.totals.tolist() == [counts.sum()]
+    means, variances, extra = [], [], language.SMOOTHING * language.BUCKETS
+    for text in known:
+        own = grams.counts([text])
+        used = np.flatnonzero(own)
+        own, n = own[used], own.sum()
+        logs = np.log(counts[used] - own + language.SMOOTHING) - np.log(counts.sum() - n + extra)
+        means.append((own * logs).sum() / n)
+        variances.append((own * (logs - means[-1]) ** 2).sum() / n)
+    middle, low = np.quantile(means, 0.5), np.quantile(means, language.LOW, method="lower")
+    ranges = language.fit_ranges(docs, model)
+    assert ranges.deviation[0] == pytest.approx(np.mean(variances) ** 0.5)
+    assert ranges.floor[0] == pytest.approx(middle - max(language.RANGES * (middle - low), ranges.deviation[0]))
