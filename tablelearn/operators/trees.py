@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml import Estimator
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -27,10 +28,12 @@ from tablelearn.operators.features import JsonStage
 from tablelearn.session import Workspace
 
 FEATURES, LABEL = "features", "__label"
-# Rows and bytes of a binned table that may be broadcast.
-SMALL_ROWS, SMALL_BYTES = 200_000, 32 << 20
+# Rows and bytes of a binned table that may be broadcast, and rows of it that pass the driver at a time.
+SMALL_ROWS, SMALL_BYTES, PIECE_ROWS = 4_000_000, 128 << 20, 1 << 16
 # Trees of a forest that are grown at a time, and rounds after which margins are written.
 GROUP, WRITTEN = 10, 10
+# Nodes of a model that a task keeps unpacked while it predicts; the rest is unpacked again for every batch.
+KEPT_NODES = 8_000_000
 # Cells of a histogram a task holds at a time.
 CELLS = 1 << 21
 # A summary of a column keeps so many values per bin.
@@ -96,10 +99,12 @@ def _uniform(seed: int, *parts: Any) -> np.ndarray:
 
 def drawn_rows(plan: TreePlan, tree: int, rows: np.ndarray) -> np.ndarray:
     """How often a tree sees each row."""
+    if plan.subsample >= 1.0 if plan.boosted else not plan.bootstrap:
+        return np.ones(len(rows))
     u = _uniform(plan.seed, 1, tree, rows)
     if plan.boosted:
         return (u < plan.subsample).astype(float)
-    return np.searchsorted(_POISSON, u, side="right").astype(float) if plan.bootstrap else np.ones(len(rows))
+    return np.searchsorted(_POISSON, u, side="right").astype(float)
 
 
 def drawn_columns(plan: TreePlan, tree: int, nodes: Sequence[int], columns: int) -> np.ndarray:
@@ -210,14 +215,28 @@ class Growing:
         """All nodes made so far, for routing."""
         return tuple(np.array(v, dtype=np.int64) for v in (self.column, self.bin, self.left, self.right))
 
-    def finished(self) -> dict[str, np.ndarray]:
-        """The tree of the chosen splits alone."""
+    def _numbered(self) -> tuple[dict[int, int], list[int]]:
         number, order = {0: 0}, [0]
         for node in order:
             if node in self.chosen:
                 for child in (self.left[node], self.right[node]):
                     number[child] = len(order)
                     order.append(child)
+        return number, order
+
+    def places(self) -> np.ndarray:
+        """For every node made, its number in the finished tree or that of the leaf it lies below."""
+        number, _ = self._numbered()
+        place = np.zeros(len(self.depth), dtype=np.int64)
+        for node, left in enumerate(self.left):
+            place[node] = number.get(node, place[node])
+            if left >= 0:
+                place[left] = place[left + 1] = place[node]
+        return place
+
+    def finished(self) -> dict[str, np.ndarray]:
+        """The tree of the chosen splits alone."""
+        number, order = self._numbered()
         some = [n in self.chosen for n in order]
         return {
             "column": np.array([self.column[n] if s else -1 for n, s in zip(order, some)], dtype=np.int32),
@@ -241,24 +260,45 @@ def route(x: np.ndarray, node: np.ndarray, arrays: Sequence[np.ndarray]) -> np.n
     return node
 
 
-def gradients(plan: TreePlan, label: np.ndarray, margins: np.ndarray, tree: int, output: int, rows: np.ndarray):
-    """Sums that a node needs of every row: (gradients, one or one per class; curvature; how often it is seen)."""
-    seen = drawn_rows(plan, tree, rows)
+def grid(rows: int, largest: float) -> float:
+    """Step to which what is summed over so many rows is rounded, so that the sums are exact in any order.
+
+    It is a power of two, about 1e-15 of the largest possible sum; 0 if nothing can be rounded.
+    """
+    most = 8.0 * max(rows, 1) * largest
+    return float(np.ldexp(1.0, int(np.ceil(np.log2(most))) - 52)) if np.isfinite(most) and most > 0 else 0.0
+
+
+def _on_grid(values: np.ndarray, step: float) -> np.ndarray:
+    return np.rint(values / step) * step if step else values
+
+
+def parts_of(
+    plan: TreePlan, label: np.ndarray, margins: np.ndarray, output: int, seen: np.ndarray, step: float
+) -> list[np.ndarray]:
+    """What a node needs of every row, to be summed: gradients, one or one per class; curvature; how often it is seen."""
     if not plan.boosted:
         if plan.classes:
-            hit = (label[:, None] == np.arange(plan.classes)).astype(float)
-            return np.column_stack([hit * seen[:, None], seen, seen])
-        return np.column_stack([label * seen, seen, seen])
+            return [np.where(label == k, seen, 0.0) for k in range(plan.classes)] + [seen, seen]
+        return [_on_grid(label * seen, step), seen, seen]
     if not plan.classes:
-        slope, curve = label - margins[:, 0], np.ones(len(label))
-    elif plan.width == 1:
+        return [_on_grid((label - margins[:, 0]) * seen, step), seen, seen]
+    if plan.width == 1:
         p = 1.0 / (1.0 + np.exp(-margins[:, 0]))
-        slope, curve = label - p, np.maximum(p * (1 - p), 1e-16)
+        slope = label - p
     else:
         powers = np.exp(margins - margins.max(axis=1, keepdims=True))
         p = powers[:, output] / powers.sum(axis=1)
-        slope, curve = (label == output) - p, np.maximum(p * (1 - p), 1e-16)
-    return np.column_stack([slope * seen, curve * seen, seen])
+        slope = (label == output) - p
+    curve = np.maximum(_on_grid(p * (1 - p), step), max(step, 1e-16))
+    return [_on_grid(slope, step) * seen, curve * seen, seen]
+
+
+def gradients(
+    plan: TreePlan, label: np.ndarray, margins: np.ndarray, tree: int, output: int, rows: np.ndarray, step: float
+) -> np.ndarray:
+    """``parts_of`` the rows of a tree, a column each."""
+    return np.column_stack(parts_of(plan, label, margins, output, drawn_rows(plan, tree, rows), step))
 
 
 def _value(sums: np.ndarray, penalty: float) -> np.ndarray:
@@ -279,8 +319,12 @@ def _gains(left: np.ndarray, right: np.ndarray, plan: TreePlan) -> np.ndarray:
     gain = parts - _gain(left + right, plan.penalty)
     least = max(plan.min_leaf, 1)
     enough = (left[..., -1] >= least) & (right[..., -1] >= least) & (gain > 1e-9 * parts)
+    return np.where(enough, _rounded(gain), -np.inf)
+
+
+def _rounded(gain: np.ndarray) -> np.ndarray:
     share, power = np.frexp(gain)
-    return np.where(enough, np.ldexp(np.round(share * (1 << 24)), power - 24), -np.inf)
+    return np.ldexp(np.round(share * (1 << 24)), power - 24)
 
 
 def best_bin(histogram: np.ndarray, column: int, plan: TreePlan) -> Split | None:
@@ -293,44 +337,213 @@ def best_bin(histogram: np.ndarray, column: int, plan: TreePlan) -> Split | None
     return Split(float(gain[at]), column, at, upto[at], upto[-1] - upto[at])
 
 
-def best_splits(x, order: list[np.ndarray], node, sums, pending: Sequence[int], plan: TreePlan, tree: int) -> dict[int, Split]:
-    """Best split of every pending node, on arrays of all rows; ``order`` sorts the rows by each column.
+@dataclass
+class Best:
+    """Best splits of some nodes, by place; a gain of -inf says that there is none."""
+
+    gain: np.ndarray
+    column: np.ndarray
+    bin: np.ndarray
+    left: np.ndarray
+    total: np.ndarray
+
+    @classmethod
+    def none(cls, nodes: int, kinds: int) -> Best:
+        whole = np.zeros(nodes, dtype=np.int64)
+        return cls(np.full(nodes, -np.inf), whole, whole.copy(), np.zeros((nodes, kinds)), np.zeros((nodes, kinds)))
+
+
+def _cells(place: np.ndarray, parts: Sequence[np.ndarray], most: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The cells that hold rows, ascending, and the sums of the parts in each."""
+    sums: list[np.ndarray] = []
+    if most > max(1 << 18, 16 * len(place)):
+        # Far more cells than rows: only those in use are numbered.
+        cells, place = np.unique(place, return_inverse=True)
+        held = np.bincount(place, weights=parts[-1], minlength=len(cells))
+        among: Any = slice(None)
+    else:
+        held = np.bincount(place, weights=parts[-1], minlength=most)
+        cells = among = np.flatnonzero(held)
+    for k, part in enumerate(parts[:-1]):
+        first = next((j for j in range(k) if parts[j] is part), None)
+        if part is parts[-1]:
+            sums.append(held[among])
+        elif first is not None:
+            sums.append(sums[first])
+        else:
+            sums.append(np.bincount(place, weights=part, minlength=len(held))[among])
+    return cells, [*sums, held[among]]
+
 
-    Running sums over the rows of a node, sorted by a column, are its histogram without the empty bins.
+def _shares(sums: Sequence[np.ndarray], penalty: float) -> np.ndarray:
+    """``_gain`` of sums that come part by part."""
+    below = sums[-2] + penalty
+    out = np.zeros(len(below))
+    for slope in sums[:-2]:
+        out += np.divide(slope, below, out=np.zeros(len(below)), where=below > 0) * slope
+    return out
+
+
+def best_splits(
+    x: np.ndarray, rows: np.ndarray | None, slot: np.ndarray, parts: Sequence[np.ndarray], open_: np.ndarray, bins: int, plan: TreePlan
+) -> Best:
+    """Best split of every node. ``x`` has a line per column; ``rows`` (all if none) lie in the nodes at ``slot``.
+
+    The rows of every node and bin are summed; only cells in use are looked at.
     """
-    slots = np.full(int(node.max(initial=0)) + 1, -1, dtype=np.int64)
-    reached = [n for n in pending if n < len(slots)]
-    slots[reached] = np.arange(len(reached))
-    open_ = drawn_columns(plan, tree, reached, x.shape[1])
-    slot = np.where(sums[:, -1] > 0, slots[node], -1)
-    found: dict[int, Split] = {}
-    if not reached:
-        return found
-    small = np.uint16 if len(reached) < 1 << 16 else np.int64
-    for c in range(x.shape[1]):
-        usable = (slot >= 0) & open_[np.maximum(slot, 0), c]
-        rows = order[c][usable[order[c]]]
-        # Sorting by node keeps the order by value within each.
-        rows = rows[np.argsort(slot[rows].astype(small), kind="stable")]
-        s, values = slot[rows], x[rows, c]
-        ends = np.flatnonzero((s[1:] == s[:-1]) & (values[1:] != values[:-1]))
-        if not len(ends):
+    nodes, kinds = len(open_), len(parts)
+    best = Best.none(nodes, kinds)
+    shift = max(1, int(bins - 1).bit_length())
+    mine = {id(p): p if rows is None else p[rows] for p in parts}
+    taken = [mine[id(p)] for p in parts]
+    for c in range(len(x)):
+        use = open_[:, c]
+        if not use.any():
             continue
-        upto = np.concatenate([np.zeros((1, sums.shape[1])), sums[rows].cumsum(axis=0)])
-        first = np.searchsorted(s, np.arange(len(reached) + 1))
-        own = s[ends]
-        left = upto[ends + 1] - upto[first[own]]
-        right = upto[first[own + 1]] - upto[ends + 1]
-        gain = _gains(left, right, plan)
+        values = x[c] if rows is None else x[c][rows]
+        if use.all():
+            which, place, some = np.arange(nodes), slot, taken
+        else:
+            which, here = np.flatnonzero(use), np.flatnonzero(use[slot])
+            place, values = (np.cumsum(use) - 1)[slot[here]], values[here]
+            fewer = {id(p): p[here] for p in taken}
+            some = [fewer[id(p)] for p in taken]
+        cells, sums = _cells((place << shift) + values, some, len(which) << shift)
+        if not len(cells):
+            continue
+        own = cells >> shift
         starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        sizes = np.diff(np.append(starts, len(own)))
+        left, total = [], []
+        for held in sums:
+            upto = held.cumsum()
+            before = upto[starts] - held[starts]
+            left.append(upto - np.repeat(before, sizes))
+            total.append(upto[starts + sizes - 1] - before)
+        right = [np.repeat(t, sizes) - l for t, l in zip(total, left)]
+        both = _shares(left, plan.penalty) + _shares(right, plan.penalty)
+        gain = both - np.repeat(_shares(total, plan.penalty), sizes)
+        least = max(plan.min_leaf, 1)
+        gain[~((left[-1] >= least) & (right[-1] >= least) & (gain > 1e-9 * both))] = -np.inf
         most = np.maximum.reduceat(gain, starts)
-        firsts = np.flatnonzero((gain == np.repeat(most, np.diff(np.append(starts, len(own))))) & np.isfinite(gain))
-        heads = firsts[np.flatnonzero(np.append(True, own[firsts][1:] != own[firsts][:-1]))] if len(firsts) else firsts
-        for k in heads.tolist():
-            n, g = reached[own[k]], float(gain[k])
-            if n not in found or g > found[n].gain:
-                found[n] = Split(g, c, int(values[ends[k]]), left[k], right[k])
-    return found
+        # Gains are compared rounded; only those near a node's largest can be as large as it then.
+        near = np.flatnonzero((gain >= np.repeat(most * (1 - 1e-6), sizes)) & np.isfinite(gain))
+        if not len(near):
+            continue
+        shown = _rounded(gain[near])
+        top = np.full(len(starts), -np.inf)
+        at = np.repeat(np.arange(len(starts)), sizes)[near]
+        np.maximum.at(top, at, shown)
+        firsts = np.flatnonzero(shown == top[at])
+        firsts = firsts[np.append(True, at[firsts][1:] != at[firsts][:-1])]
+        k, n = near[firsts], which[own[near[firsts]]]
+        more = shown[firsts] > best.gain[n]
+        k, n, g, a = k[more], n[more], shown[firsts][more], at[firsts][more]
+        best.gain[n], best.column[n], best.bin[n] = g, c, cells[k] & ((1 << shift) - 1)
+        for j in range(kinds):
+            best.left[n, j], best.total[n, j] = left[j][k], total[j][a]
+    return best
+
+
+def grow_tree(plan: TreePlan, tree: int, x: np.ndarray, parts: Sequence[np.ndarray], bins: int) -> tuple[dict, np.ndarray]:
+    """A tree from rows that are all seen, as its ``finished`` arrays, and the leaf of every row."""
+    total = np.array([p.sum() for p in parts])
+    if plan.max_leaves is not None:
+        return _grow_leaves(plan, tree, x, parts, bins, total)
+    n = x.shape[1]
+    leaf, rows, slot = np.zeros(n, dtype=np.int64), None, np.zeros(n, dtype=np.int64)
+    flat = x.ravel()
+    column, bin_, gain, sums = [np.full(1, -1)], [np.zeros(1, dtype=np.int64)], [np.zeros(1)], [total[None, :]]
+    made, depth, pending = 1, 0, np.zeros(1, dtype=np.int64)
+    if total[-1] < plan.min_split or plan.max_depth == 0:
+        pending = pending[:0]
+    while len(pending):
+        # ``pending`` are places in the newest level, whose nodes are numbered up to ``made``.
+        first = made - len(column[-1])
+        best = best_splits(x, rows, slot, parts, drawn_columns(plan, tree, first + pending, len(x)), bins, plan)
+        split = np.flatnonzero(np.isfinite(best.gain))
+        if not len(split):
+            break
+        column[-1][pending[split]], bin_[-1][pending[split]] = best.column[split], best.bin[split]
+        gain[-1][pending[split]] = best.gain[split]
+        rank = np.full(len(pending), -1)
+        rank[split] = np.arange(len(split))
+        if len(split) < len(pending):
+            stay = np.flatnonzero(rank[slot] >= 0)
+            rows, slot = stay if rows is None else rows[stay], slot[stay]
+        at = best.column[slot] * n + (np.arange(n) if rows is None else rows)
+        child = 2 * rank[slot] + (flat[at] > best.bin[slot])
+        leaf[slice(None) if rows is None else rows] = made + child
+        new = np.empty((2 * len(split), len(parts)))
+        new[0::2], new[1::2] = best.left[split], best.total[split] - best.left[split]
+        column.append(np.full(len(new), -1))
+        bin_.append(np.zeros(len(new), dtype=np.int64))
+        gain.append(np.zeros(len(new)))
+        sums.append(new)
+        made, depth = made + len(new), depth + 1
+        if plan.max_depth is not None and depth >= plan.max_depth:
+            break
+        going = new[:, -1] >= max(plan.min_split, 2 * plan.min_leaf)
+        pending = np.flatnonzero(going)
+        if len(pending) == len(new):
+            slot = child
+        else:
+            stay = np.flatnonzero(going[child])
+            rows, slot = stay if rows is None else rows[stay], (np.cumsum(going) - 1)[child[stay]]
+    column, sums = np.concatenate(column).astype(np.int32), np.concatenate(sums)
+    left = first_children(column)
+    return {
+        "column": column,
+        "bin": np.concatenate(bin_).astype(np.int32),
+        "left": left,
+        "right": np.where(left >= 0, left + 1, -1).astype(np.int32),
+        "gain": np.concatenate(gain),
+        "value": _value(sums, plan.penalty),
+    }, leaf
+
+
+def first_children(column: np.ndarray) -> np.ndarray:
+    """Left children of a tree whose nodes are numbered level by level; the right ones follow them."""
+    inner = column >= 0
+    return np.where(inner, 2 * np.cumsum(inner) - 1, -1).astype(np.int32)
+
+
+def _grow_leaves(plan, tree, x, parts, bins, total) -> tuple[dict, np.ndarray]:
+    growing, node = Growing(plan), np.zeros(x.shape[1], dtype=np.int64)
+    while growing.pending:
+        pending = np.array(growing.pending)
+        slots = np.full(len(growing.depth), -1)
+        slots[pending] = np.arange(len(pending))
+        slot = slots[node]
+        rows = None if (slot >= 0).all() else np.flatnonzero(slot >= 0)
+        open_ = drawn_columns(plan, tree, pending, len(x))
+        best = best_splits(x, rows, slot if rows is None else slot[rows], parts, open_, bins, plan)
+        found = {
+            growing.pending[k]: Split(
+                float(best.gain[k]), int(best.column[k]), int(best.bin[k]), best.left[k], best.total[k] - best.left[k]
+            )
+            for k in np.flatnonzero(np.isfinite(best.gain)).tolist()
+        }
+        growing.tell(total, found)
+        column, cut, left, _ = growing.arrays()
+        node = descend(x, node, column, cut, left)
+    # Nodes that were tried but not chosen give their rows back to the leaf above them.
+    place = growing.places()
+    return growing.finished(), place[node]
+
+
+def descend(x: np.ndarray, node: np.ndarray, column: np.ndarray, cut: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The leaf every row ends in, from the node it is at; ``x`` has a line per column, right children follow left ones."""
+    n, flat = x.shape[1], x.ravel()
+    node = node.astype(np.int64)
+    moving = np.flatnonzero(column[node] >= 0)
+    at = node[moving]
+    while len(moving):
+        at = left[at] + (flat[column[at].astype(np.int64) * n + moving] > cut[at])
+        node[moving] = at
+        on = np.flatnonzero(column[at] >= 0)
+        moving, at = moving[on], at[on]
+    return node
 
 
 def node_histograms(
@@ -358,26 +571,52 @@ def _step(plan: TreePlan, number: int) -> float:
     return plan.rate if plan.boosted and number else 1.0
 
 
-def grow_rounds(plan: TreePlan, x, label, fold, rows, numbers: Sequence[int]):
-    """Trees of these rounds and the margins they add up to, on arrays of all rows."""
-    order = [np.argsort(x[:, c], kind="stable") for c in range(x.shape[1])]
-    margins = np.zeros((len(label), plan.width))
-    learn = np.ones(len(label), dtype=bool) if plan.fold is None else fold != plan.fold
+def grow_rounds(plan: TreePlan, x, label, fold, rows, numbers: Sequence[int], step: float, keep: bool):
+    """Trees of these rounds (if they are kept) and else the margins they give the rows of the plan's fold.
+
+    ``x`` has a line per column.
+    """
+    bins = int(x.max(initial=0)) + 1
+    held = np.zeros(len(label), dtype=bool) if plan.fold is None else fold == plan.fold
+    asked = np.ascontiguousarray(x[:, held])
+    x, label, rows = (np.ascontiguousarray(x[:, ~held]), label[~held], rows[~held]) if held.any() else (x, label, rows)
+    margins, out = np.zeros((len(label) if plan.boosted else 0, plan.width)), np.zeros((asked.shape[1], plan.width))
     trees = []
     for number in numbers:
         added = []
         for tree, output in plan.units(number):
-            sums = gradients(plan, label, margins, tree, output, rows) * learn[:, None]
-            growing, node = Growing(plan), np.zeros(len(label), dtype=np.int64)
-            while growing.pending:
-                growing.tell(sums.sum(axis=0), best_splits(x, order, node, sums, growing.pending, plan, tree))
-                node = route(x, node, growing.arrays())
-            done = growing.finished()
-            added.append((output, done))
-            trees.append((output, number, done))
-        for output, done in added:
-            _add(plan, margins, x, output, number, done)
-    return trees, margins
+            seen = drawn_rows(plan, tree, rows)
+            used = np.flatnonzero(seen)
+            every = len(used) == len(seen)
+            if every:
+                found, leaf = grow_tree(plan, tree, x, parts_of(plan, label, margins, output, seen, step), bins)
+            else:
+                mine = margins[used] if plan.boosted else margins
+                parts = parts_of(plan, label[used], mine, output, seen[used], step)
+                found, leaf = grow_tree(plan, tree, x.take(used, axis=1), parts, bins)
+            if keep:
+                trees.append((output, number, found))
+            if plan.boosted:
+                added.append((output, found, None if every else used, leaf))
+            elif len(out):
+                out += found["value"][_leaves(found, asked)]
+        for output, found, used, leaf in added:
+            value = found["value"][:, 0] * _step(plan, number)
+            if used is None:
+                margins[:, output] += value[leaf]
+            else:
+                margins[used, output] += value[leaf]
+                rest = np.ones(len(label), dtype=bool)
+                rest[used] = False
+                rest = np.flatnonzero(rest)
+                margins[rest, output] += value[_leaves(found, x.take(rest, axis=1))]
+            if len(out):
+                out[:, output] += value[_leaves(found, asked)]
+    return trees, out
+
+
+def _leaves(tree: dict, x: np.ndarray) -> np.ndarray:
+    return descend(x, np.zeros(x.shape[1], dtype=np.int64), tree["column"], tree["bin"], tree["left"])
 
 
 def _add(plan: TreePlan, margins: np.ndarray, x: np.ndarray, output: int, number: int, tree: dict) -> None:
@@ -503,25 +742,33 @@ class Binned:
     kind: str
     work: Workspace
     small: bool
+    rows: int
+    # Largest label without its sign.
+    largest: float
+
+    def step(self, plan: TreePlan) -> float:
+        """The ``grid`` of the sums of a fit."""
+        return grid(self.rows, 1.0 if plan.classes else self.largest)
 
 
 def bin_table(df: DataFrame, work: Workspace, bins: int = 256, fold: str | None = None) -> Binned:
     cuts = learn_cuts(df, bins)
     kind = "uint8" if bins <= 256 else "uint16"
     table = work.store(into_bins(df, cuts, kind, fold), f"binned-{bins}")
-    rows = table.count()
-    size = rows * (len(cuts) * np.dtype(kind).itemsize + 32)
-    return Binned(table, cuts, kind, work, rows <= SMALL_ROWS and size <= SMALL_BYTES)
+    rows, largest = table.agg(F.count(F.lit(1)), F.max(F.abs("label"))).first()
+    size = rows * (len(cuts) * np.dtype(kind).itemsize + 20)
+    return Binned(table, cuts, kind, work, rows <= SMALL_ROWS and size <= SMALL_BYTES, rows, largest or 0.0)
 
 
 def _margin_names(width: int) -> list[str]:
     return [f"m{k}" for k in range(width)]
 
 
-def _held_rows(plan: TreePlan, number: int, label, fold, rows, margins, width: int) -> pa.RecordBatch:
+def _held_rows(number: int, plan: TreePlan, label, fold, rows, margins, width: int) -> pa.RecordBatch:
+    """What a fit says of the rows of its fold, given their margins."""
     mine = np.flatnonzero(fold == plan.fold) if plan.fold is not None else np.zeros(0, dtype=np.int64)
     filled = np.zeros((len(mine), width))
-    filled[:, : plan.width] = margins[mine]
+    filled[:, : plan.width] = margins
     return pa.record_batch(
         [
             pa.array(np.full(len(mine), number, dtype=np.int32)),
@@ -533,70 +780,156 @@ def _held_rows(plan: TreePlan, number: int, label, fold, rows, margins, width: i
     )
 
 
-def _pack(trees: list) -> bytes:
-    """Trees as one compressed archive: nodes one after the other, and what each tree adds to."""
-    out = io.BytesIO()
-    fields = {k: np.concatenate([t[k] for _, _, t in trees]) for k in ("column", "bin", "left", "right", "gain", "value")}
+def _pack(trees: list, columns: int) -> bytes:
+    """Trees as one compressed archive, nodes one after the other.
+
+    Inner nodes have a bin and leaves a value; where the children are follows from the order of the nodes. Gains are
+    kept as a sum for each tree and column.
+    """
+    out, none = io.BytesIO(), np.zeros(0, dtype=np.int32)
+    inner = [t["column"] >= 0 for _, _, t in trees]
+    small = np.int8 if columns < 128 else np.int32
     np.savez_compressed(
         out,
         sizes=np.array([len(t["column"]) for _, _, t in trees], dtype=np.int32),
         output=np.array([o for o, _, _ in trees], dtype=np.int32),
         number=np.array([n for _, n, _ in trees], dtype=np.int32),
-        **fields,
+        column=np.concatenate([none, *(t["column"] for _, _, t in trees)]).astype(small),
+        bin=np.concatenate([none, *(t["bin"][i] for i, (_, _, t) in zip(inner, trees))]).astype(np.uint16),
+        value=np.concatenate([t["value"][~i] for i, (_, _, t) in zip(inner, trees)]),
+        gains=np.array([gains_by_column(t, columns) for _, _, t in trees]),
     )
     return out.getvalue()
 
 
+def gains_by_column(tree: dict, columns: int) -> np.ndarray:
+    inner = tree["column"] >= 0
+    return np.bincount(tree["column"][inner], weights=tree["gain"][inner], minlength=columns)
+
+
 def _unpack(data: bytes) -> list:
+    """(margin, number, tree) of every tree; values of inner nodes are not kept."""
     with np.load(io.BytesIO(data)) as kept:
         found = {k: kept[k] for k in kept.files}
-    ends = found["sizes"].cumsum()
-    fields = ("column", "bin", "left", "right", "gain", "value")
-    return [
-        (int(o), int(n), {k: found[k][end - size : end] for k in fields})
-        for o, n, size, end in zip(found["output"], found["number"], found["sizes"], ends)
-    ]
-
-
-def _in_tasks(binned: Binned, plans: Sequence[TreePlan], keep: bool):
-    """Fits finished in tasks that all read the broadcast table; a forest's trees are dealt in groups."""
+    column, inner = found["column"].astype(np.int32), found["column"] >= 0
+    bins, values = np.zeros(len(column), dtype=np.int32), np.zeros((len(column), *found["value"].shape[1:]))
+    bins[inner], values[~inner] = found["bin"], found["value"]
+    trees, start = [], 0
+    for k, size in enumerate(found["sizes"].tolist()):
+        mine = slice(start, start + size)
+        left = first_children(column[mine])
+        tree = {"column": column[mine], "bin": bins[mine], "left": left, "right": np.where(left >= 0, left + 1, -1)}
+        trees.append((int(found["output"][k]), int(found["number"][k]), tree | {"value": values[mine], "gains": found["gains"][k]}))
+        start += size
+    return trees
+
+
+def _send(binned: Binned) -> list:
+    """The table as broadcasts of some rows each; the driver holds one of them at a time."""
+    columns, kind, spark = len(binned.cuts), binned.kind, binned.df.sparkSession
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed() -> pa.RecordBatch:
+            x, label, fold, rows = _columns(pa.Table.from_batches(held), columns, kind)
+            parts = (x.T.tobytes(), label.tobytes(), fold.tobytes(), rows.tobytes())
+            return pa.record_batch([pa.array([p], pa.binary()) for p in parts], names=["x", "label", "fold", "row"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            for start in range(0, batch.num_rows, PIECE_ROWS):
+                part = batch.slice(start, PIECE_ROWS)
+                if held and sum(b.num_rows for b in held) + part.num_rows > PIECE_ROWS:
+                    yield packed()
+                    held = []
+                held.append(part)
+        if held:
+            yield packed()
+
+    # A table of as many rows was written in as many parts as its source had: a few pieces to a part.
+    parts = max(1, -(-binned.rows // PIECE_ROWS))
+    packs = binned.df.coalesce(parts).mapInArrow(pack, "x binary, label binary, fold binary, row binary")
+    return [spark.sparkContext.broadcast(tuple(map(bytes, r))) for r in packs.toLocalIterator(True)]
+
+
+def _received(sent: list, columns: int, kind: str):
+    """Bins (a line per column), label, fold and row numbers of the whole table."""
+    x, label, fold, rows = [], [], [], []
+    for piece in sent:
+        b, l, f, r = piece.value
+        x.append(np.frombuffer(b, dtype=kind).reshape(columns, -1))
+        label.append(np.frombuffer(l, dtype=float))
+        fold.append(np.frombuffer(f, dtype=np.int32))
+        rows.append(np.frombuffer(r, dtype=np.int64))
+    if not x:
+        return np.zeros((columns, 0), dtype=kind), np.zeros(0), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
+    return np.concatenate(x, axis=1), np.concatenate(label), np.concatenate(fold), np.concatenate(rows)
+
+
+def _in_tasks(binned: Binned, plans: Sequence[TreePlan], keep: bool, gains: bool = False):
+    """Fits finished in tasks that all read the broadcast table; a forest's trees are dealt in groups.
+
+    With ``keep`` the trees of every fit come back, with ``gains`` only each tree's gains by column.
+    """
     spark = binned.df.sparkSession
-    table = binned.df.orderBy("row").toArrow()
-    sent = spark.sparkContext.broadcast(table)
+    sent = _send(binned)
     columns, kind, width = len(binned.cuts), binned.kind, max(p.width for p in plans)
+    # With many fits a task takes a whole one, so that a row has one margin of each.
+    whole = len(plans) >= 2 * spark.sparkContext.defaultParallelism
     jobs = []
     for i, plan in enumerate(plans):
-        per = plan.rounds() if plan.boosted else 3
+        per = plan.rounds() if plan.boosted or whole else 1
         jobs += [(i, list(range(a, min(a + per, plan.rounds())))) for a in range(0, plan.rounds(), per)]
+    steps = [binned.step(p) for p in plans]
+
+    def effort(job: tuple[int, list[int]]) -> float:
+        plan = plans[job[0]]
+        deep = min(plan.max_depth or 30, 10 if plan.max_leaves else 30)
+        return len(job[1]) * deep * (plan.width if plan.boosted else GROUP)
+
     # Long ones first.
-    jobs.sort(key=lambda job: -len(job[1]) * plans[job[0]].width)
+    jobs.sort(key=lambda job: -effort(job))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for j in batch.column(0).to_pylist():
                 number, rounds = jobs[j]
                 plan = plans[number]
-                x, label, fold, rows = _columns(sent.value, columns, kind)
-                trees, margins = grow_rounds(plan, x, label, fold, rows, rounds)
-                if keep:
+                x, label, fold, rows = _received(sent, columns, kind)
+                trees, margins = grow_rounds(plan, x, label, fold, rows, rounds, steps[number], keep or gains)
+                if gains:
+                    found = [gains_by_column(t, columns).tolist() for _, _, t in trees]
+                    yield pa.record_batch(
+                        [pa.array([number] * len(found), pa.int32()), pa.array(found, pa.list_(pa.float64()))],
+                        names=["fit", "gains"],
+                    )
+                elif keep:
                     yield pa.record_batch(
-                        [pa.array([number], pa.int32()), pa.array([rounds[0]], pa.int32()), pa.array([_pack(trees)])],
+                        [pa.array([number], pa.int32()), pa.array([rounds[0]], pa.int32()), pa.array([_pack(trees, columns)])],
                         names=["fit", "part", "trees"],
                     )
                 else:
-                    yield _held_rows(plan, number, label, fold, rows, margins, width)
+                    yield _held_rows(number, plan, label, fold, rows, margins, width)
 
     tasks = spark.range(0, len(jobs), 1, len(jobs))
+    try:
+        if gains:
+            return [np.array(r["gains"]) for r in tasks.mapInArrow(run, "fit int, gains array<double>").collect()]
+        kinds = "fit int, part int, trees binary"
+        if not keep:
+            kinds = "fit int, row long, label double, " + ", ".join(f"{m} double" for m in _margin_names(width))
+        table = binned.work.store(tasks.mapInArrow(run, kinds), f"grown-{uuid.uuid4().hex}")
+    finally:
+        for piece in sent:
+            piece.destroy()
     if keep:
-        found: dict[int, list] = {}
-        for r in tasks.mapInArrow(run, "fit int, part int, trees binary").orderBy("fit", "part").collect():
-            found.setdefault(r["fit"], []).extend(_unpack(r["trees"]))
+        # The parts of a forest come one after the other.
+        found: dict[int, list] = {i: [] for i in range(len(plans))}
+        for r in table.orderBy("fit", "part").toLocalIterator():
+            found[r["fit"]].append(bytes(r["trees"]))
         return found
-    names = _margin_names(width)
-    parts = tasks.mapInArrow(run, "fit int, row long, label double, " + ", ".join(f"{m} double" for m in names))
-    return binned.work.store(parts, f"held-{uuid.uuid4().hex}").groupBy("fit", "row").agg(
-        F.first("label").alias("label"), *[F.sum(m).alias(m) for m in names]
-    )
+    if all(p.boosted for p in plans) or whole:
+        return table
+    return table.groupBy("fit", "row").agg(F.first("label").alias("label"), *[F.sum(m).alias(m) for m in _margin_names(width)])
 
 
 def _by_levels(binned: Binned, plans: Sequence[TreePlan], keep: bool):
@@ -605,6 +938,7 @@ def _by_levels(binned: Binned, plans: Sequence[TreePlan], keep: bool):
     bins = max(len(c) for c in binned.cuts) + 1
     offsets = np.concatenate([[0], np.cumsum([p.width for p in plans])])
     state, since = binned.df, []
+    steps = [binned.step(p) for p in plans]
     kept: dict[int, list] = {i: [] for i in range(len(plans))}
 
     def arrays(batches: Iterator[pa.RecordBatch], added: list):
@@ -638,7 +972,7 @@ def _by_levels(binned: Binned, plans: Sequence[TreePlan], keep: bool):
                 for u, shape, pending in open_:
                     i, tree, output = units[u]
                     plan = plans[i]
-                    sums = gradients(plan, label, margins[:, offsets[i] : offsets[i + 1]], tree, output, rows)
+                    sums = gradients(plan, label, margins[:, offsets[i] : offsets[i + 1]], tree, output, rows, steps[i])
                     if plan.fold is not None:
                         sums *= (fold != plan.fold)[:, None]
                     node = route(x, np.zeros(len(x), dtype=np.int64), shape)
@@ -702,7 +1036,9 @@ def _by_levels(binned: Binned, plans: Sequence[TreePlan], keep: bool):
         if number % WRITTEN == WRITTEN - 1:
             state, since = work.store(_with_margins(state, arrays, list(since)), f"margins-{uuid.uuid4().hex}"), []
     if keep:
-        return kept
+        # Parts as those of the tasks: a forest's trees in groups, boosting whole.
+        per = [max(1, len(kept[i])) if p.boosted else GROUP for i, p in enumerate(plans)]
+        return {i: [_pack(t[a : a + per[i]], columns) for a in range(0, len(t), per[i])] for i, t in kept.items()}
     final, width = list(since), max(p.width for p in plans)
 
     def held(batches):
@@ -710,7 +1046,8 @@ def _by_levels(binned: Binned, plans: Sequence[TreePlan], keep: bool):
         if found is not None:
             _, label, fold, rows, margins = found
             for i, plan in enumerate(plans):
-                yield _held_rows(plan, i, label, fold, rows, margins[:, offsets[i] : offsets[i + 1]], width)
+                own = margins[fold == plan.fold, offsets[i] : offsets[i + 1]] if plan.fold is not None else margins[:0, : plan.width]
+                yield _held_rows(i, plan, label, fold, rows, own, width)
 
     names = ", ".join(f"{m} double" for m in _margin_names(width))
     return work.store(state.mapInArrow(held, f"fit int, row long, label double, {names}"), f"held-{uuid.uuid4().hex}")
@@ -749,12 +1086,23 @@ def _trees_of(plans: Sequence[TreePlan]):
 
 def fit_trees(binned: Binned, plan: TreePlan) -> "TreeModel":
     """One fit on all rows of the table."""
-    trees = (_in_tasks if binned.small else _by_levels)(binned, [plan], True)[0]
-    for _, _, tree in trees:
-        inner = tree["column"] >= 0
-        tree["cut"] = np.zeros(len(inner))
-        tree["cut"][inner] = [binned.cuts[c][b] for c, b in zip(tree["column"][inner], tree["bin"][inner])]
-    return TreeModel.of(plan, trees, len(binned.cuts))
+    parts = (_in_tasks if binned.small else _by_levels)(binned, [plan], True)[0]
+    return TreeModel.of(plan, parts, binned.cuts)
+
+
+def fit_importances(binned: Binned, plan: TreePlan) -> DenseVector:
+    """``featureImportances`` of one fit on all rows; its trees do not reach the driver if they grow in tasks."""
+    if not binned.small:
+        return fit_trees(binned, plan).featureImportances
+    return importances(_in_tasks(binned, [plan], False, gains=True), len(binned.cuts))
+
+
+def importances(gains: Sequence[np.ndarray], columns: int) -> DenseVector:
+    """Each tree's gains by column, scaled to one, summed over the trees and scaled to one."""
+    total = np.zeros(columns)
+    for own in gains:
+        total += own / own.sum() if own.sum() > 0 else 0
+    return Vectors.dense(total / total.sum() if total.sum() > 0 else total)
 
 
 # ---------------------------------------------------------------- the model
@@ -764,62 +1112,65 @@ class TreeModel(JsonStage):
     """``prediction`` from the feature vector and, for classes, ``probability``."""
 
     @classmethod
-    def of(cls, plan: TreePlan, trees: list, columns: int) -> TreeModel:
-        out = io.BytesIO()
-        np.savez_compressed(
-            out,
-            sizes=np.array([len(t["column"]) for _, _, t in trees], dtype=np.int32),
-            output=np.array([o for o, _, _ in trees], dtype=np.int32),
-            step=np.array([_step(plan, n) if plan.boosted else 1 / plan.trees for _, n, _ in trees]),
-            **{k: np.concatenate([t[k] for _, _, t in trees]) for k in ("column", "left", "right", "cut", "gain", "value")},
+    def of(cls, plan: TreePlan, parts: Sequence[bytes], cuts: Sequence[np.ndarray]) -> TreeModel:
+        shape = {"boosted": plan.boosted, "classes": plan.classes, "width": plan.width, "columns": len(cuts)}
+        return cls(
+            parts=[base64.b64encode(p).decode() for p in parts],
+            cuts=[c.tolist() for c in cuts],
+            rate=plan.rate,
+            scale=1 if plan.boosted else 1 / plan.trees,
+            **shape,
         )
-        shape = {"boosted": plan.boosted, "classes": plan.classes, "width": plan.width, "columns": columns}
-        return cls(trees=base64.b64encode(out.getvalue()).decode(), **shape)
-
-    def _trees(self) -> list[tuple[int, float, dict[str, np.ndarray]]]:
-        with np.load(io.BytesIO(base64.b64decode(self.known["trees"]))) as kept:
-            found = {k: kept[k] for k in kept.files}
-        ends, fields = found["sizes"].cumsum(), ("column", "left", "right", "cut", "gain", "value")
-        return [
-            (int(o), float(s), {k: found[k][end - size : end] for k in fields})
-            for o, s, size, end in zip(found["output"], found["step"], found["sizes"], ends)
-        ]
+
+    def _trees(self) -> Iterator[tuple[int, float, dict[str, np.ndarray]]]:
+        """(margin, factor of its values, tree) of one tree after the other."""
+        known = self.known
+        for part in known["parts"]:
+            for output, number, tree in _unpack(base64.b64decode(part)):
+                yield output, known["rate"] if known["boosted"] and number else known["scale"], tree
 
     @property
     def trees(self) -> list[dict[str, np.ndarray]]:
-        """Nodes of every tree: column (-1: leaf), cut (left if the value is at most that), left, right, gain, value."""
-        return [t for _, _, t in self._trees()]
+        """Nodes of every tree: column (-1: leaf), cut (left if the value is at most that), left, right, value (of
+        leaves), and the tree's gains by column."""
+        cuts, out = [np.array(c) for c in self.known["cuts"]], []
+        for _, _, tree in self._trees():
+            inner = tree["column"] >= 0
+            cut = np.zeros(len(inner))
+            cut[inner] = [cuts[c][b] for c, b in zip(tree["column"][inner], tree["bin"][inner])]
+            out.append(tree | {"cut": cut})
+        return out
 
     @property
     def featureImportances(self) -> DenseVector:  # noqa: N802 - the name Spark's tree models have
-        """Each tree's gains by column, scaled to one, summed over the trees and scaled to one."""
-        total = np.zeros(self.known["columns"])
-        for tree in self.trees:
-            inner = tree["column"] >= 0
-            own = np.bincount(tree["column"][inner], weights=tree["gain"][inner], minlength=len(total))
-            total += own / own.sum() if own.sum() > 0 else 0
-        return Vectors.dense(total / total.sum() if total.sum() > 0 else total)
+        return importances([t["gains"] for _, _, t in self._trees()], self.known["columns"])
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        known, trees = self.known, self._trees()
+        known = self.known
         boosted, width, classes = known["boosted"], known["width"], known["classes"]
-        sent = df.sparkSession.sparkContext.broadcast(
-            [(o, s, [t[k] for k in ("column", "cut", "left", "right")], t["value"]) for o, s, t in trees]
-        )
+        rate, scale, cuts = known["rate"], known["scale"], [np.array(c) for c in known["cuts"]]
+        sent = [df.sparkSession.sparkContext.broadcast(base64.b64decode(p)) for p in known.pop("parts")]
 
         @F.pandas_udf("array<double>")
-        def margins(x):
-            import pandas as pd
-
-            rows = np.stack(x.to_numpy()) if len(x) else np.zeros((0, known["columns"]))
-            out = np.zeros((len(rows), width))
-            for output, step, shape, value in sent.value:
-                leaf = route(rows, np.zeros(len(rows), dtype=np.int64), [shape[0], shape[1], shape[2], shape[3]])
-                found = value[leaf] * step
-                if boosted:
-                    out[:, output] += found[:, 0]
-                else:
-                    out += found
+        def margins(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            kept, nodes = [], 0
+            while len(kept) < len(sent) and nodes <= KEPT_NODES:
+                kept.append(_unpack(sent[len(kept)].value))
+                nodes += sum(len(tree["column"]) for _, _, tree in kept[-1])
+            for x in batches:
+                yield _outputs(x, kept)
+
+        def _outputs(x, kept):
+            raw = np.stack(x.to_numpy()) if len(x) else np.zeros((0, len(cuts)))
+            rows = np.array([np.searchsorted(c, raw[:, k], side="left") for k, c in enumerate(cuts)]).reshape(len(cuts), len(raw))
+            out = np.zeros((len(raw), width))
+            for k, part in enumerate(sent):
+                for output, number, tree in kept[k] if k < len(kept) else _unpack(part.value):
+                    found = tree["value"][_leaves(tree, rows)] * (rate if boosted and number else scale)
+                    if boosted:
+                        out[:, output] += found[:, 0]
+                    else:
+                        out += found
             if classes and boosted:
                 if width == 1:
                     p = 1.0 / (1.0 + np.exp(-out[:, 0]))

@@ -1,9 +1,12 @@
 """Trees against plain recursive ones, and both ways of growing them against each other."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
 
 from tablelearn.operators import trees
 from tablelearn.operators.trees import TreeFit, TreePlan, drawn_columns, drawn_rows
@@ -271,3 +274,40 @@ def test_odd_tables(spark):
         model = TreeFit(plan).fit(one)
         assert model.transform(one).count() == 1 and model.featureImportances.toArray().sum() == 0
         assert model.transform(one.limit(0)).collect() == []
+
+
+def test_long_tables_reach_the_tasks_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(trees, "PIECE_ROWS", 50_000)
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 9, 210_000)
+    df = spark.createDataFrame(pd.DataFrame({"x": x.astype(float), "__label": (x > 4).astype(float)})).repartition(3)
+    df = df.select(array_to_vector(F.array("x")).alias("features"), "__label")
+    with Workspace(spark) as work:
+        binned = trees.bin_table(df, work)
+        assert binned.small
+        sent = trees._send(binned)
+        sizes = [len(piece.value[1]) // 8 for piece in sent]
+        assert sum(sizes) == len(x) and max(sizes) <= 50_000
+        got, label, _, rows = trees._received(sent, 1, binned.kind)
+        assert ((got[0] > 4) == label).all() and len(set(rows.tolist())) == len(x)
+        model = trees.fit_trees(binned, TreePlan(True, 2, 2, max_depth=2))
+    assert model.transform(df).where("prediction <> __label").count() == 0
+
+
+@pytest.mark.parametrize("classes", [0, 2, 3])
+def test_sums_of_gradients_are_the_same_in_any_order(classes):
+    rng = np.random.default_rng(6)
+    plan, n = TreePlan(True, classes, subsample=0.7), 3_000
+    label = rng.integers(0, classes, n).astype(float) if classes else rng.normal(size=n) * 1e5
+    margins, step = rng.normal(size=(n, plan.width)), trees.grid(n, 1.0 if classes else np.abs(label).max())
+    sums = trees.gradients(plan, label, margins, 0, 0, np.arange(n), step)
+    orders = [rng.permutation(n) for _ in range(5)]
+    assert len({tuple(sums[o].cumsum(axis=0)[-1]) for o in orders}) == 1
+
+
+def test_models_are_kept_in_little_space(spark):
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(2_000, 3)), rng.normal(size=2_000)
+    model = TreeFit(TreePlan(False, 0, 10)).fit(table(spark, x, y))
+    nodes = sum(len(t["column"]) for t in model.trees)
+    assert nodes > 10_000 and sum(map(len, model.known["parts"])) < 10 * nodes
