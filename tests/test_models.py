@@ -151,3 +151,11 @@ def test_margins_become_probabilities(spark):
 def test_other_tree_model_on_assembled_vectors(flowers):
     ready = search.assemble(flowers, FLOWERS, "target", "classification", [0, 1, 2])
     assert DecisionTreeClassifier(labelCol="__label").fit(ready).numClasses == 3
+
+
+def test_steps_of_an_optimiser_run_few_tasks(spark, line):
+    ready = search.assemble(line, ["x1", "x2", "x3"], "target", "regression", None).repartition(16)
+    few, at_once = search.few_parts(ready, 200, 2)
+    assert few.rdd.getNumPartitions() == 1 and at_once >= spark.sparkContext.defaultParallelism
+    assert few.count() == 200 and search.few_parts(ready, 2_000_000, 2)[0].rdd.getNumPartitions() == 12
+    assert search.few_parts(ready.limit(0), 0, 3)[1] >= 3
