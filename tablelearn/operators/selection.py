@@ -13,7 +13,8 @@ from pyspark.storagelevel import StorageLevel
 from tablelearn.functions import stats
 from tablelearn.functions.columns import numeric_columns, quoted
 from tablelearn.operators.labels import index_label
-from tablelearn.operators.trees import TreeFit, TreePlan
+from tablelearn.operators.trees import TreePlan, bin_table, fit_importances
+from tablelearn.session import Workspace
 
 # Trees grow until their leaves are pure.
 IMPORTANCE_TREES = 50
@@ -79,16 +80,19 @@ def variance_filter(df: DataFrame, threshold: float = 0.01, exclude: Sequence[st
     return FeatureReport([c for c in columns if c not in reasons], dropped, reasons)
 
 
-def _forest(classes: int) -> Estimator:
-    return TreeFit(
-        TreePlan(
-            boosted=False,
-            classes=classes,
-            trees=IMPORTANCE_TREES,
-            root_columns=classes > 0,
-            seed=IMPORTANCE_SEED,
-        )
+def _weights(rows: DataFrame, model: Estimator | None, classes: int) -> list[float]:
+    """Importance of every column of the vectors, by the model or a forest of which only the gains are kept."""
+    if model is not None:
+        return model.fit(rows).featureImportances.toArray()
+    plan = TreePlan(
+        boosted=False,
+        classes=classes,
+        trees=IMPORTANCE_TREES,
+        root_columns=classes > 0,
+        seed=IMPORTANCE_SEED,
     )
+    with Workspace(rows.sparkSession) as work:
+        return fit_importances(bin_table(rows, work, plan.bins), plan).toArray()
 
 
 def _assembled(df: DataFrame, numeric: Sequence[str], target: str, task: str) -> tuple[DataFrame, int]:
@@ -119,8 +123,7 @@ def importance_filter(
     if not numeric:
         return FeatureReport(columns, [])
     data, classes = _assembled(df, numeric, target, task)
-    fitted = (model or _forest(classes)).fit(data)
-    weights = fitted.featureImportances.toArray()
+    weights = _weights(data, model, classes)
     ranked = [numeric[i] for i in sorted(range(len(numeric)), key=lambda i: (-weights[i], i))]
     k = len(ranked) if top_k is None else min(top_k, len(ranked))
     reasons = {c: LOW_IMPORTANCE.format(rank=k + i, total=len(ranked)) for i, c in enumerate(ranked[k:], 1)}
@@ -153,7 +156,7 @@ def recursive_elimination(
         while len(kept) > min_features:
             slicer = VectorSlicer(inputCol="features", outputCol="__kept", indices=kept)
             rows = slicer.transform(data).select(F.col("__kept").alias("features"), "__label")
-            weights = (model or _forest(classes)).fit(rows).featureImportances.toArray()
+            weights = _weights(rows, model, classes)
             order = sorted(range(len(kept)), key=lambda i: (weights[i], i))
             gone = [kept[i] for i in order[: min(step, len(kept) - min_features)]]
             rounds.append(gone)

@@ -3,7 +3,7 @@ import pytest
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.sql import functions as F
 
-from tablelearn.operators import selection as sel
+from tablelearn.operators import selection as sel, trees
 
 
 @pytest.fixture(scope="module")
@@ -83,3 +83,11 @@ def test_chain(signal):
     assert chosen.reports["correlation"].dropped == ["copy"] and chosen.reports["variance"].dropped == ["flat"]
     assert chosen.n_selected == 4
     assert sel.select_features(df, "y", exclude=["s"]).selected == [f"f{i}" for i in range(7)]
+
+
+def test_importances_need_no_tree_on_the_driver(spark, monkeypatch):
+    rows = [(float(i % 7), float(i % 3), int(i % 7 > 3)) for i in range(200)]
+    df = spark.createDataFrame(rows, "a double, b double, y int")
+    monkeypatch.setattr(trees, "fit_trees", None)
+    assert sel.importance_filter(df, "y", top_k=1).selected == ["a"]
+    assert sel.recursive_elimination(df, "y", min_features=1).selected == ["a"]
