@@ -36,6 +36,8 @@ GROUP, WRITTEN = 10, 10
 KEPT_NODES = 8_000_000
 # Cells of a histogram a task holds at a time.
 CELLS = 1 << 21
+# Columns of a node that are summed at a time, and values of them.
+COLUMNS, VALUES = 8, 1 << 15
 # A summary of a column keeps so many values per bin.
 KEPT = 4
 _POISSON = np.cumsum(np.exp(-1.0) / np.cumprod(np.concatenate([[1.0], np.arange(1.0, 30.0)])))
@@ -363,25 +365,29 @@ def _cells(place: np.ndarray, parts: Sequence[np.ndarray], most: int) -> tuple[n
         among: Any = slice(None)
     else:
         held = np.bincount(place, weights=parts[-1], minlength=most)
-        cells = among = np.flatnonzero(held)
+        cells = among = np.flatnonzero(held > 0)
+    seen = held[among]
     for k, part in enumerate(parts[:-1]):
         first = next((j for j in range(k) if parts[j] is part), None)
         if part is parts[-1]:
-            sums.append(held[among])
+            sums.append(seen)
         elif first is not None:
             sums.append(sums[first])
         else:
             sums.append(np.bincount(place, weights=part, minlength=len(held))[among])
-    return cells, [*sums, held[among]]
+    return cells, [*sums, seen]
 
 
 def _shares(sums: Sequence[np.ndarray], penalty: float) -> np.ndarray:
-    """``_gain`` of sums that come part by part."""
-    below = sums[-2] + penalty
-    out = np.zeros(len(below))
-    for slope in sums[:-2]:
-        out += np.divide(slope, below, out=np.zeros(len(below)), where=below > 0) * slope
-    return out
+    """``_gain`` of sums that come part by part; not a number where nothing was summed."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        below = sums[-2] + penalty
+        return sum(slope / below * slope for slope in sums[:-2])
+
+
+def _starts(owner: np.ndarray) -> np.ndarray:
+    """Where each run of an ascending array begins."""
+    return np.concatenate([[0], np.flatnonzero(owner[1:] != owner[:-1]) + 1])
 
 
 def best_splits(
@@ -389,62 +395,85 @@ def best_splits(
 ) -> Best:
     """Best split of every node. ``x`` has a line per column; ``rows`` (all if none) lie in the nodes at ``slot``.
 
-    The rows of every node and bin are summed; only cells in use are looked at.
+    The rows of every node, column and bin are summed, some of a node's columns at a time; only cells in use are looked at.
     """
-    nodes, kinds = len(open_), len(parts)
+    nodes, kinds, n = len(open_), len(parts), x.shape[1]
     best = Best.none(nodes, kinds)
     shift = max(1, int(bins - 1).bit_length())
     mine = {id(p): p if rows is None else p[rows] for p in parts}
-    taken = [mine[id(p)] for p in parts]
-    for c in range(len(x)):
-        use = open_[:, c]
-        if not use.any():
-            continue
-        values = x[c] if rows is None else x[c][rows]
-        if use.all():
-            which, place, some = np.arange(nodes), slot, taken
+    used = np.flatnonzero(open_.any(axis=0))
+    same = bool(open_[:, used].all())
+    most = len(used) if same else int(open_.sum(axis=1).max(initial=0))
+    if not most or not len(slot):
+        return best
+    # Every node's columns, ascending; nodes with fewer than others have closed ones at the end.
+    own = np.broadcast_to(used, (nodes, most)) if same else np.argsort(~open_, axis=1, kind="stable")[:, :most]
+    ends = not same and not np.take_along_axis(open_, own[:, -1:], axis=1).all()
+    at_once = max(1, min(COLUMNS, VALUES // len(slot)))
+    for first in range(0, most, at_once):
+        columns = own[:, first : first + at_once]
+        width = columns.shape[1]
+        if same:
+            values = x[columns[0]] if rows is None else x[columns[0][:, None], rows]
         else:
-            which, here = np.flatnonzero(use), np.flatnonzero(use[slot])
-            place, values = (np.cumsum(use) - 1)[slot[here]], values[here]
-            fewer = {id(p): p[here] for p in taken}
-            some = [fewer[id(p)] for p in taken]
-        cells, sums = _cells((place << shift) + values, some, len(which) << shift)
+            values = x.ravel()[columns.T[:, slot] * n + (np.arange(n) if rows is None else rows)]
+        place = values + ((slot * width) << shift)
+        place += (np.arange(width) << shift)[:, None]
+        repeated = {k: p if width == 1 else np.broadcast_to(p, (width, len(p))).reshape(-1) for k, p in mine.items()}
+        cells, sums = _cells(place.ravel(), [repeated[id(p)] for p in parts], (nodes * width) << shift)
         if not len(cells):
             continue
-        own = cells >> shift
-        starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-        sizes = np.diff(np.append(starts, len(own)))
-        left, total = [], []
+        owner = cells >> shift
+        starts = _starts(owner)
+        sizes = np.diff(starts, append=len(owner))
+        left, total, right, known = [], [], [], {}
         for held in sums:
-            upto = held.cumsum()
-            before = upto[starts] - held[starts]
-            left.append(upto - np.repeat(before, sizes))
-            total.append(upto[starts + sizes - 1] - before)
-        right = [np.repeat(t, sizes) - l for t, l in zip(total, left)]
+            if id(held) not in known:
+                every = np.add.reduceat(held, starts)
+                # Running sums that begin anew for every node and column.
+                upto = held.copy()
+                upto[starts[1:]] -= every[:-1]
+                upto.cumsum(out=upto)
+                known[id(held)] = upto, every, np.repeat(every, sizes) - upto
+            for out, own_sums in zip((left, total, right), known[id(held)]):
+                out.append(own_sums)
         both = _shares(left, plan.penalty) + _shares(right, plan.penalty)
         gain = both - np.repeat(_shares(total, plan.penalty), sizes)
         least = max(plan.min_leaf, 1)
         gain[~((left[-1] >= least) & (right[-1] >= least) & (gain > 1e-9 * both))] = -np.inf
-        most = np.maximum.reduceat(gain, starts)
-        # Gains are compared rounded; only those near a node's largest can be as large as it then.
-        near = np.flatnonzero((gain >= np.repeat(most * (1 - 1e-6), sizes)) & np.isfinite(gain))
+        if ends:
+            shut = ~np.take_along_axis(open_, columns, axis=1).ravel()
+            gain[shut[owner]] = -np.inf
+        # Gains are compared rounded; only those near a node's largest can be as large as it then. Of equal ones the
+        # first column counts, and its first bin.
+        node = owner // width
+        heads = _starts(node)
+        lengths = np.diff(heads, append=len(node))
+        near = np.flatnonzero((gain >= np.repeat(np.maximum.reduceat(gain, heads) * (1 - 1e-6), lengths)) & np.isfinite(gain))
         if not len(near):
             continue
-        shown = _rounded(gain[near])
-        top = np.full(len(starts), -np.inf)
-        at = np.repeat(np.arange(len(starts)), sizes)[near]
+        shown, at = _rounded(gain[near]), node[near]
+        top = np.full(nodes, -np.inf)
         np.maximum.at(top, at, shown)
-        firsts = np.flatnonzero(shown == top[at])
-        firsts = firsts[np.append(True, at[firsts][1:] != at[firsts][:-1])]
-        k, n = near[firsts], which[own[near[firsts]]]
-        more = shown[firsts] > best.gain[n]
-        k, n, g, a = k[more], n[more], shown[firsts][more], at[firsts][more]
-        best.gain[n], best.column[n], best.bin[n] = g, c, cells[k] & ((1 << shift) - 1)
+        k = np.flatnonzero(shown == top[at])
+        k = k[_starts(at[k])]
+        k = k[shown[k] > best.gain[at[k]]]
+        g, k = shown[k], near[k]
+        m = node[k]
+        best.gain[m], best.column[m], best.bin[m] = g, columns[m, owner[k] % width], cells[k] & ((1 << shift) - 1)
+        a = np.searchsorted(starts, k, side="right") - 1
         for j in range(kinds):
-            best.left[n, j], best.total[n, j] = left[j][k], total[j][a]
+            best.left[m, j], best.total[m, j] = left[j][k], total[j][a]
     return best
 
 
+def _undecided(plan: TreePlan, sums: np.ndarray) -> np.ndarray:
+    """Which nodes can gain by a split at all: those of a class forest whose rows are of several classes."""
+    if plan.boosted or not plan.classes:
+        return np.ones(len(sums), dtype=bool)
+    return sums[:, : plan.classes].max(axis=1) < sums[:, -1]
+
+
 def grow_tree(plan: TreePlan, tree: int, x: np.ndarray, parts: Sequence[np.ndarray], bins: int) -> tuple[dict, np.ndarray]:
     """A tree from rows that are all seen, as its ``finished`` arrays, and the leaf of every row."""
     total = np.array([p.sum() for p in parts])
@@ -455,7 +484,7 @@ def grow_tree(plan: TreePlan, tree: int, x: np.ndarray, parts: Sequence[np.ndarr
     flat = x.ravel()
     column, bin_, gain, sums = [np.full(1, -1)], [np.zeros(1, dtype=np.int64)], [np.zeros(1)], [total[None, :]]
     made, depth, pending = 1, 0, np.zeros(1, dtype=np.int64)
-    if total[-1] < plan.min_split or plan.max_depth == 0:
+    if total[-1] < plan.min_split or plan.max_depth == 0 or not _undecided(plan, total[None, :])[0]:
         pending = pending[:0]
     while len(pending):
         # ``pending`` are places in the newest level, whose nodes are numbered up to ``made``.
@@ -483,7 +512,7 @@ def grow_tree(plan: TreePlan, tree: int, x: np.ndarray, parts: Sequence[np.ndarr
         made, depth = made + len(new), depth + 1
         if plan.max_depth is not None and depth >= plan.max_depth:
             break
-        going = new[:, -1] >= max(plan.min_split, 2 * plan.min_leaf)
+        going = (new[:, -1] >= max(plan.min_split, 2 * plan.min_leaf)) & _undecided(plan, new)
         pending = np.flatnonzero(going)
         if len(pending) == len(new):
             slot = child
@@ -571,10 +600,12 @@ def _step(plan: TreePlan, number: int) -> float:
     return plan.rate if plan.boosted and number else 1.0
 
 
-def grow_rounds(plan: TreePlan, x, label, fold, rows, numbers: Sequence[int], step: float, keep: bool):
+def grow_rounds(
+    plan: TreePlan, x, label, fold, rows, numbers: Sequence[int], step: float, keep: bool, only: int | None = None
+):
     """Trees of these rounds (if they are kept) and else the margins they give the rows of the plan's fold.
 
-    ``x`` has a line per column.
+    ``x`` has a line per column; with ``only`` a forest grows the tree at that place of each round alone.
     """
     bins = int(x.max(initial=0)) + 1
     held = np.zeros(len(label), dtype=bool) if plan.fold is None else fold == plan.fold
@@ -584,7 +615,7 @@ def grow_rounds(plan: TreePlan, x, label, fold, rows, numbers: Sequence[int], st
     trees = []
     for number in numbers:
         added = []
-        for tree, output in plan.units(number):
+        for tree, output in plan.units(number) if only is None else plan.units(number)[only : only + 1]:
             seen = drawn_rows(plan, tree, rows)
             used = np.flatnonzero(seen)
             every = len(used) == len(seen)
@@ -868,20 +899,24 @@ def _received(sent: list, columns: int, kind: str):
 def _in_tasks(binned: Binned, plans: Sequence[TreePlan], keep: bool, gains: bool = False):
     """Fits finished in tasks that all read the broadcast table; a forest's trees are dealt in groups.
 
-    With ``keep`` the trees of every fit come back, with ``gains`` only each tree's gains by column.
+    With ``keep`` the trees of every fit come back, with ``gains`` only each tree's gains by column: then a task has one
+    tree of a forest.
     """
     spark = binned.df.sparkSession
     sent = _send(binned)
     columns, kind, width = len(binned.cuts), binned.kind, max(p.width for p in plans)
     # With many fits a task takes a whole one, so that a row has one margin of each.
     whole = len(plans) >= 2 * spark.sparkContext.defaultParallelism
-    jobs = []
+    jobs: list[tuple[int, list[int], int | None]] = []
     for i, plan in enumerate(plans):
         per = plan.rounds() if plan.boosted or whole else 1
-        jobs += [(i, list(range(a, min(a + per, plan.rounds())))) for a in range(0, plan.rounds(), per)]
+        dealt = [(i, list(range(a, min(a + per, plan.rounds()))), None) for a in range(0, plan.rounds(), per)]
+        if gains and not plan.boosted and not whole:
+            dealt = [(i, numbers, k) for _, numbers, _ in dealt for k in range(len(plan.units(numbers[0])))]
+        jobs += dealt
     steps = [binned.step(p) for p in plans]
 
-    def effort(job: tuple[int, list[int]]) -> float:
+    def effort(job: tuple[int, list[int], int | None]) -> float:
         plan = plans[job[0]]
         deep = min(plan.max_depth or 30, 10 if plan.max_leaves else 30)
         return len(job[1]) * deep * (plan.width if plan.boosted else GROUP)
@@ -892,10 +927,10 @@ def _in_tasks(binned: Binned, plans: Sequence[TreePlan], keep: bool, gains: bool
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for j in batch.column(0).to_pylist():
-                number, rounds = jobs[j]
+                number, rounds, only = jobs[j]
                 plan = plans[number]
                 x, label, fold, rows = _received(sent, columns, kind)
-                trees, margins = grow_rounds(plan, x, label, fold, rows, rounds, steps[number], keep or gains)
+                trees, margins = grow_rounds(plan, x, label, fold, rows, rounds, steps[number], keep or gains, only)
                 if gains:
                     found = [gains_by_column(t, columns).tolist() for _, _, t in trees]
                     yield pa.record_batch(

@@ -311,3 +311,53 @@ def test_models_are_kept_in_little_space(spark):
     model = TreeFit(TreePlan(False, 0, 10)).fit(table(spark, x, y))
     nodes = sum(len(t["column"]) for t in model.trees)
     assert nodes > 10_000 and sum(map(len, model.known["parts"])) < 10 * nodes
+
+
+@pytest.mark.parametrize("own", [False, True])
+def test_columns_are_summed_together(monkeypatch, own):
+    rng = np.random.default_rng(9)
+    plan = TreePlan(False, 2, root_columns=own)
+    x, slot = rng.integers(0, 40, (9, 600)).astype("uint8"), rng.integers(0, 3, 600)
+    label, seen = (rng.random(600) < 0.4).astype(float), rng.integers(1, 4, 600).astype(float)
+    parts = trees.parts_of(plan, label, np.zeros((0, 2)), 0, seen, 0.0)
+    open_ = trees.drawn_columns(plan, 0, [0, 1, 2], 9)
+    plain, cells, calls = [], trees._cells, []
+    for n in range(3):
+        for c in np.flatnonzero(open_[n]):
+            mine = slot == n
+            sums = np.column_stack([np.bincount(x[c][mine], weights=p[mine], minlength=40) for p in parts])
+            plain.append((n, trees.best_bin(sums, int(c), plan)))
+    best = {n: max((s for m, s in plain if m == n), key=lambda s: (s.gain, -s.column)) for n in range(3)}
+    for values in (trees.VALUES, 1):
+        monkeypatch.setattr(trees, "VALUES", values)
+        monkeypatch.setattr(trees, "_cells", lambda *a: calls.append(1) or cells(*a))
+        found = trees.best_splits(x, None, slot, parts, open_, 40, plan)
+        for n, s in best.items():
+            assert (found.gain[n], found.column[n], found.bin[n]) == (s.gain, s.column, s.bin)
+            assert found.left[n].tolist() == s.left.tolist() and (found.total[n] - found.left[n]).tolist() == s.right.tolist()
+        if values > 1:
+            # Nine columns take two steps, the three of a node one.
+            assert len(calls) == (1 if own else 2)
+
+
+def test_nodes_of_one_class_are_not_searched(monkeypatch):
+    x = np.arange(64, dtype="uint8")[None, :]
+    label, searched, search = (np.arange(64) >= 32).astype(float), [], trees.best_splits
+    monkeypatch.setattr(trees, "best_splits", lambda *a: searched.append(len(a[4])) or search(*a))
+    plan = TreePlan(False, 2)
+    parts = trees.parts_of(plan, label, np.zeros((0, 2)), 0, np.ones(64), 0.0)
+    tree, _ = trees.grow_tree(plan, 0, x, parts, 64)
+    assert searched == [1] and tree["column"].tolist() == [0, -1, -1]
+
+
+def test_importances_take_a_task_for_each_tree(spark, monkeypatch):
+    x, y = rows_of(80, 4, 2)
+    plan, taken = TreePlan(False, 2, 23, root_columns=True), []
+    with Workspace(spark) as work:
+        binned = trees.bin_table(table(spark, x, y), work)
+        context, ranged = binned.df.sparkSession, type(binned.df.sparkSession).range
+        monkeypatch.setattr(type(context), "range", lambda self, *a: taken.append(a[-1]) or ranged(self, *a))
+        got = trees.fit_importances(binned, plan)
+        monkeypatch.undo()
+        assert taken == [23]
+        assert got == trees.fit_trees(binned, plan).featureImportances
