@@ -14,6 +14,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablelearn.operators.features import JsonStage
+from tablelearn.operators.logistic import LogisticPlan
 from tablelearn.operators.trees import FEATURES, LABEL, TreeFit, TreePlan
 
 # Values of a column that trees may split at, unless ``max_bins`` says otherwise.
@@ -235,6 +236,14 @@ def tree_plan(task: str, name: str, params: Mapping[str, Any], shape: Shape) ->
     return TREE_PLANS[name](params, shape) if name in own and FAMILIES[task].get(name) is own[name] else None
 
 
+def logistic_plan(task: str, name: str, params: Mapping[str, Any], shape: Shape, fold: int) -> LogisticPlan | None:
+    """The settings of a logistic fit without a fold, if the family of that name is it (and was not replaced)."""
+    if FAMILIES[task].get(name) is not logistic:
+        return None
+    fit = logistic(params, shape)
+    return LogisticPlan(fold, fit.getRegParam(), fit.getMaxIter(), fit.getTol())
+
+
 def estimator(task: str, name: str, params: Mapping[str, Any], shape: Shape) -> Estimator:
     if name not in FAMILIES[task]:
         raise ValueError(f"Unknown {task} model: {name}")

@@ -1119,10 +1119,15 @@ def _trees_of(plans: Sequence[TreePlan]):
     return F.element_at(F.array(*[F.lit(float(p.trees)) for p in plans]), F.col("fit") + 1)
 
 
+def fit_many(binned: Binned, plans: Sequence[TreePlan]) -> list["TreeModel"]:
+    """A fit of every plan on all rows of the table."""
+    parts = (_in_tasks if binned.small else _by_levels)(binned, plans, True)
+    return [TreeModel.of(plan, parts[i], binned.cuts) for i, plan in enumerate(plans)]
+
+
 def fit_trees(binned: Binned, plan: TreePlan) -> "TreeModel":
     """One fit on all rows of the table."""
-    parts = (_in_tasks if binned.small else _by_levels)(binned, [plan], True)[0]
-    return TreeModel.of(plan, parts, binned.cuts)
+    return fit_many(binned, [plan])[0]
 
 
 def fit_importances(binned: Binned, plan: TreePlan) -> DenseVector:
