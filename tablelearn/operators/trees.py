@@ -3,7 +3,7 @@
 Columns are cut into bins once. All fits then grow their trees in lockstep: a job sums the
 histograms of every open node of every fit over the partitions and picks the best split of each, so that fits cost the jobs
 of the longest one. A table small enough to be broadcast is sent to the tasks instead, and each finishes whole fits by the same
-steps; both ways give the same trees.
+steps, in Java (``Grower.java``) or, where that cannot be had, here; all ways give the same trees.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseVector, Vectors
 from pyspark.sql import DataFrame, functions as F
 
+from tablelearn.operators import grower
 from tablelearn.operators.features import JsonStage
 from tablelearn.session import Workspace
 
@@ -777,6 +778,11 @@ class Binned:
     # Largest label without its sign.
     largest: float
 
+    @property
+    def java(self) -> bool:
+        """Whether it is as small with two bytes a bin, as Java has them."""
+        return self.small and self.rows * (2 * len(self.cuts) + 20) <= SMALL_BYTES
+
     def step(self, plan: TreePlan) -> float:
         """The ``grid`` of the sums of a fit."""
         return grid(self.rows, 1.0 if plan.classes else self.largest)
@@ -798,13 +804,17 @@ def _margin_names(width: int) -> list[str]:
 def _held_rows(number: int, plan: TreePlan, label, fold, rows, margins, width: int) -> pa.RecordBatch:
     """What a fit says of the rows of its fold, given their margins."""
     mine = np.flatnonzero(fold == plan.fold) if plan.fold is not None else np.zeros(0, dtype=np.int64)
-    filled = np.zeros((len(mine), width))
+    return _told_rows(number, plan, label[mine], rows[mine], margins, width)
+
+
+def _told_rows(number: int, plan: TreePlan, label, rows, margins, width: int) -> pa.RecordBatch:
+    filled = np.zeros((len(rows), width))
     filled[:, : plan.width] = margins
     return pa.record_batch(
         [
-            pa.array(np.full(len(mine), number, dtype=np.int32)),
-            pa.array(rows[mine]),
-            pa.array(label[mine]),
+            pa.array(np.full(len(rows), number, dtype=np.int32)),
+            pa.array(rows),
+            pa.array(label),
             *[pa.array(filled[:, k]) for k in range(width)],
         ],
         names=["fit", "row", "label", *_margin_names(width)],
@@ -828,7 +838,7 @@ def _pack(trees: list, columns: int) -> bytes:
         column=np.concatenate([none, *(t["column"] for _, _, t in trees)]).astype(small),
         bin=np.concatenate([none, *(t["bin"][i] for i, (_, _, t) in zip(inner, trees))]).astype(np.uint16),
         value=np.concatenate([t["value"][~i] for i, (_, _, t) in zip(inner, trees)]),
-        gains=np.array([gains_by_column(t, columns) for _, _, t in trees]),
+        gains=np.array([t["gains"] if "gains" in t else gains_by_column(t, columns) for _, _, t in trees]),
     )
     return out.getvalue()
 
@@ -855,9 +865,9 @@ def _unpack(data: bytes) -> list:
     return trees
 
 
-def _send(binned: Binned) -> list:
-    """The table as broadcasts of some rows each; the driver holds one of them at a time."""
-    columns, kind, spark = len(binned.cuts), binned.kind, binned.df.sparkSession
+def _pieces(binned: Binned) -> DataFrame:
+    """The table as ``x, label, fold, row`` of some rows each."""
+    columns, kind = len(binned.cuts), binned.kind
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packed() -> pa.RecordBatch:
@@ -878,8 +888,13 @@ def _send(binned: Binned) -> list:
 
     # A table of as many rows was written in as many parts as its source had: a few pieces to a part.
     parts = max(1, -(-binned.rows // PIECE_ROWS))
-    packs = binned.df.coalesce(parts).mapInArrow(pack, "x binary, label binary, fold binary, row binary")
-    return [spark.sparkContext.broadcast(tuple(map(bytes, r))) for r in packs.toLocalIterator(True)]
+    return binned.df.coalesce(parts).mapInArrow(pack, "x binary, label binary, fold binary, row binary")
+
+
+def _send(binned: Binned) -> list:
+    """The table as broadcasts of some rows each; the driver holds one of them at a time."""
+    context = binned.df.sparkSession.sparkContext
+    return [context.broadcast(tuple(map(bytes, r))) for r in _pieces(binned).toLocalIterator(True)]
 
 
 def _received(sent: list, columns: int, kind: str):
@@ -903,56 +918,51 @@ def _in_tasks(binned: Binned, plans: Sequence[TreePlan], keep: bool, gains: bool
     tree of a forest.
     """
     spark = binned.df.sparkSession
-    sent = _send(binned)
-    columns, kind, width = len(binned.cuts), binned.kind, max(p.width for p in plans)
+    columns, width = len(binned.cuts), max(p.width for p in plans)
     # With many fits a task takes a whole one, so that a row has one margin of each.
-    whole = len(plans) >= 2 * spark.sparkContext.defaultParallelism
-    jobs: list[tuple[int, list[int], int | None]] = []
+    whole = not keep and len(plans) >= 2 * spark.sparkContext.defaultParallelism
+    jobs: list[Job] = []
     for i, plan in enumerate(plans):
         per = plan.rounds() if plan.boosted or whole else 1
-        dealt = [(i, list(range(a, min(a + per, plan.rounds()))), None) for a in range(0, plan.rounds(), per)]
+        dealt = [(i, a, min(a + per, plan.rounds()), None) for a in range(0, plan.rounds(), per)]
         if gains and not plan.boosted and not whole:
-            dealt = [(i, numbers, k) for _, numbers, _ in dealt for k in range(len(plan.units(numbers[0])))]
+            dealt = [(i, a, b, k) for _, a, b, _ in dealt for k in range(len(plan.units(a)))]
         jobs += dealt
-    steps = [binned.step(p) for p in plans]
 
-    def effort(job: tuple[int, list[int], int | None]) -> float:
+    def effort(job: Job) -> float:
         plan = plans[job[0]]
         deep = min(plan.max_depth or 30, 10 if plan.max_leaves else 30)
-        return len(job[1]) * deep * (plan.width if plan.boosted else GROUP)
+        return (job[2] - job[1]) * deep * (plan.width if plan.boosted else GROUP)
 
     # Long ones first.
     jobs.sort(key=lambda job: -effort(job))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for j in batch.column(0).to_pylist():
-                number, rounds, only = jobs[j]
-                plan = plans[number]
-                x, label, fold, rows = _received(sent, columns, kind)
-                trees, margins = grow_rounds(plan, x, label, fold, rows, rounds, steps[number], keep or gains, only)
-                if gains:
-                    found = [gains_by_column(t, columns).tolist() for _, _, t in trees]
-                    yield pa.record_batch(
-                        [pa.array([number] * len(found), pa.int32()), pa.array(found, pa.list_(pa.float64()))],
-                        names=["fit", "gains"],
-                    )
-                elif keep:
-                    yield pa.record_batch(
-                        [pa.array([number], pa.int32()), pa.array([rounds[0]], pa.int32()), pa.array([_pack(trees, columns)])],
-                        names=["fit", "part", "trees"],
-                    )
-                else:
-                    yield _held_rows(number, plan, label, fold, rows, margins, width)
-
+    def told(job: tuple[int, int], trees: list, held: tuple) -> pa.RecordBatch:
+        """What comes back of a fit and its first round: of its trees or of the labels, numbers and margins of held rows."""
+        number, first = job
+        if gains:
+            found = [t["gains"] if "gains" in t else gains_by_column(t, columns) for _, _, t in trees]
+            found = pa.array([g.tolist() for g in found], pa.list_(pa.float64()))
+            return pa.record_batch([pa.array([number] * len(found), pa.int32()), found], names=["fit", "gains"])
+        if keep:
+            one = [pa.array([number], pa.int32()), pa.array([first], pa.int32()), pa.array([_pack(trees, columns)])]
+            return pa.record_batch(one, names=["fit", "part", "trees"])
+        return _told_rows(number, plans[number], *held, width)
+
+    if gains:
+        kinds = "fit int, gains array<double>"
+    elif keep:
+        kinds = "fit int, part int, trees binary"
+    else:
+        kinds = "fit int, row long, label double, " + ", ".join(f"{m} double" for m in _margin_names(width))
+    java = binned.java and grower.loader(spark) is not None
+    sent = [grower.send(_pieces(binned), columns, np.dtype(binned.kind).itemsize)] if java else _send(binned)
     tasks = spark.range(0, len(jobs), 1, len(jobs))
     try:
+        grown = (_in_java if java else _in_python)(binned, plans, jobs, keep or gains, tasks, sent, told, kinds)
         if gains:
-            return [np.array(r["gains"]) for r in tasks.mapInArrow(run, "fit int, gains array<double>").collect()]
-        kinds = "fit int, part int, trees binary"
-        if not keep:
-            kinds = "fit int, row long, label double, " + ", ".join(f"{m} double" for m in _margin_names(width))
-        table = binned.work.store(tasks.mapInArrow(run, kinds), f"grown-{uuid.uuid4().hex}")
+            return [np.array(r["gains"]) for r in grown.collect()]
+        table = binned.work.store(grown, f"grown-{uuid.uuid4().hex}")
     finally:
         for piece in sent:
             piece.destroy()
@@ -967,6 +977,58 @@ def _in_tasks(binned: Binned, plans: Sequence[TreePlan], keep: bool, gains: bool
     return table.groupBy("fit", "row").agg(F.first("label").alias("label"), *[F.sum(m).alias(m) for m in _margin_names(width)])
 
 
+# A fit, its first round, the one after its last, and which tree of a round alone.
+Job = tuple[int, int, int, int | None]
+
+
+def _in_python(binned, plans, jobs: Sequence[Job], trees: bool, tasks: DataFrame, sent: list, told, kinds: str) -> DataFrame:
+    columns, kind, steps = len(binned.cuts), binned.kind, [binned.step(p) for p in plans]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for j in batch.column(0).to_pylist():
+                number, first, end, only = jobs[j]
+                plan = plans[number]
+                x, label, fold, rows = _received(sent, columns, kind)
+                found, margins = grow_rounds(plan, x, label, fold, rows, range(first, end), steps[number], trees, only)
+                mine = fold == plan.fold if plan.fold is not None else np.zeros(len(fold), dtype=bool)
+                yield told((number, first), found, (label[mine], rows[mine], margins))
+
+    return tasks.mapInArrow(run, kinds)
+
+
+def _in_java(binned, plans, jobs: Sequence[Job], trees: bool, tasks: DataFrame, sent: list, told, kinds: str) -> DataFrame:
+    def unset(value: int | None) -> int:
+        return -1 if value is None else value
+
+    whole = [
+        [p.boosted, p.classes, p.trees, unset(p.max_depth), unset(p.max_leaves), p.min_split, p.min_leaf]
+        + [p.root_columns, p.bootstrap, np.uint64(p.seed & 0xFFFFFFFFFFFFFFFF).astype(np.int64)]
+        + [p.fold is not None, unset(p.fold), p.width]
+        for p in plans
+    ]
+    real = [[p.rate, p.subsample, p.penalty, p.tree_columns, binned.step(p)] for p in plans]
+    numbers = [[i, a, b, unset(only)] for i, a, b, only in jobs]
+    bins = [len(c) + 1 for c in binned.cuts]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grown: dict[tuple[int, int], list] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                job, plan = (r["fit"], r["part"]), plans[r["fit"]]
+                if not trees:
+                    rows, label = np.frombuffer(r["a"], dtype=np.int64), np.frombuffer(r["b"])
+                    yield told(job, [], (label, rows, np.frombuffer(r["c"]).reshape(len(rows), plan.width)))
+                    continue
+                column, cut = (np.frombuffer(r[k], dtype=np.int32) for k in "ab")
+                tree = {"column": column, "bin": cut, "value": np.frombuffer(r["c"]).reshape(len(column), -1)}
+                grown.setdefault(job, []).append((r["output"], r["number"], tree | {"gains": np.frombuffer(r["d"])}))
+        for job, own in grown.items():
+            yield told(job, own, ())
+
+    return grower.grown(tasks, sent[0], whole, real, numbers, _POISSON, bins, GROUP, trees).mapInArrow(run, kinds)
+
+
 def _by_levels(binned: Binned, plans: Sequence[TreePlan], keep: bool):
     """All fits in lockstep over the distributed table: one job for the open nodes of all trees of a round."""
     work, columns, kind = binned.work, len(binned.cuts), binned.kind

@@ -1,5 +1,7 @@
 """Trees against plain recursive ones, and both ways of growing them against each other."""
 
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -361,3 +363,47 @@ def test_importances_take_a_task_for_each_tree(spark, monkeypatch):
         monkeypatch.undo()
         assert taken == [23]
         assert got == trees.fit_trees(binned, plan).featureImportances
+
+
+@pytest.mark.parametrize("classes, values", [(0, 4), (2, 200), (3, 200)])
+def test_java_grows_the_trees_that_arrays_give(spark, monkeypatch, classes, values):
+    assert trees.grower.loader(spark) is not None
+    monkeypatch.setattr(trees, "_in_python", None)
+    x, y = rows_of(4_000, 4, classes, seed=11, values=values)
+    plans = [
+        TreePlan(True, classes, 4, max_depth=6, subsample=0.7, tree_columns=0.8),
+        TreePlan(True, classes, 4, max_depth=5, max_leaves=20, min_leaf=3, penalty=1.0),
+        TreePlan(False, classes, 12, min_split=5, min_leaf=2, root_columns=classes > 0),
+    ]
+    with Workspace(spark) as work:
+        binned = trees.bin_table(table(spark, x, y, np.arange(len(x)) % 3), work, 256, "fold")
+        own = binned.df.toPandas().sort_values("row")
+        bins = np.frombuffer(b"".join(own["bins"]), dtype=binned.kind).reshape(-1, 4).T
+        arrays = [own[k].to_numpy() for k in ("label", "fold", "row")]
+        for plan in plans:
+            plan = replace(plan, fold=1)
+            [parts] = trees._in_tasks(binned, [plan], True).values()
+            got = [t for p in parts for t in trees._unpack(p)]
+            expected, margins = trees.grow_rounds(plan, bins, *arrays, range(plan.rounds()), binned.step(plan), True)
+            assert [t[:2] for t in got] == [t[:2] for t in expected]
+            for (_, _, one), (_, _, two) in zip(got, expected):
+                leaf = two["column"] < 0
+                assert all((one[k] == two[k]).all() for k in ("column", "bin", "left", "right"))
+                assert one["value"][leaf] == pytest.approx(two["value"][leaf])
+                assert one["gains"] == pytest.approx(trees.gains_by_column(two, 4))
+            held = trees._in_tasks(binned, [plan], False).orderBy("row").toPandas()
+            assert held["row"].tolist() == own["row"][own["fold"] == 1].tolist()
+            assert held[trees._margin_names(plan.width)].to_numpy() == pytest.approx(margins)
+
+
+def test_rows_of_the_same_bins_come_as_one_cell(spark):
+    x = np.array([[i % 3, i % 2] for i in range(600)], dtype=float)
+    with Workspace(spark) as work:
+        binned = trees.bin_table(table(spark, x, x[:, 0]), work)
+        sent = trees.grower.send(trees._pieces(binned), 2, 1)
+        coded, start, label, fold, rows = sent.value()
+        assert len(coded) == 12 and sorted(np.diff(list(start))) == [100] * 6
+        assert sorted(rows) == sorted(r["row"] for r in binned.df.select("row").collect())
+        for a, b in zip(list(start), list(start)[1:]):
+            assert len(set(list(label)[a:b])) == 1
+        sent.destroy()
